@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from acreframe.llm import language_id
+from acreframe.llm import language_id, pieces, pii, toxicity
 from acreframe.llm._shared import remainder, table
 
 
@@ -19,7 +19,30 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (remainder(F.col("doc_id"), 3) == 1).alias("held_out"), "lang_pred", "score", "lang_accepted")
 
 
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every document."""
+    return pii.span_digests(table(spark, sf_dir, "documents"))
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document, learnt from the labelled documents whose crc32 remainder by 4 is not 2."""
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").where(remainder(F.col("doc_id"), 4) != 2)
+    found = toxicity.score(documents, toxicity.fit_rows(documents, labels))
+    return found.select("doc_id", (remainder(F.col("doc_id"), 4) == 2).alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
+
+
+def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids and their decoded text for every document."""
+    from public_tokenizers import path
+
+    return pieces.token_digests(table(spark, sf_dir, "documents"), path("piece_bpe_32k.model"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
+    "op2_pii": op2_pii,
+    "op3_toxicity": op3_toxicity,
+    "op5_sentencepiece": op5_sentencepiece,
 }
 ORACLES: dict[str, str] = {}
