@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Iterable, Iterator, Sequence
 
 import pyarrow as pa
@@ -49,6 +51,25 @@ def file_system(path: str):
     return fs.LocalFileSystem(), path
 
 
+_shipped: set[str] = set()
+
+
+def mapped(df: DataFrame, run, schema: str) -> DataFrame:
+    """``df.mapInArrow(run, schema)``, with this package sent to the executors once for each application."""
+    context = df.sparkSession.sparkContext
+    if context.applicationId not in _shipped:
+        root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+        archive = os.path.join(tempfile.mkdtemp(prefix="acreframe-"), "acreframe.zip")
+        with zipfile.ZipFile(archive, "w") as z:
+            for folder, _, names in os.walk(root):
+                for name in names:
+                    if name.endswith(".py"):
+                        z.write(os.path.join(folder, name), os.path.relpath(os.path.join(folder, name), os.path.dirname(root)))
+        context.addPyFile(archive)
+        _shipped.add(context.applicationId)
+    return df.mapInArrow(run, schema)
+
+
 def id_text(key: Column) -> Column:
     return F.coalesce(key.cast("string"), F.lit(""))
 
@@ -58,25 +79,39 @@ def remainder(key: Column, of: int) -> Column:
     return F.crc32(id_text(key).cast("binary")) % of
 
 
-def group_attach(rows: DataFrame, keys: Sequence[str], aggregates: dict[str, tuple[Column, Column]], by: Column, salts: int = SALTS) -> DataFrame:
-    """``rows`` with aggregates of their group, however large a group is.
+def salt_of(by: Column, salts: int = SALTS) -> Column:
+    return F.pmod(F.xxhash64(by), F.lit(salts)).cast("int")
+
+
+def group_whole(rows: DataFrame, keys: Sequence[str], aggregates: dict[str, tuple[Column, Column]], by: Column) -> DataFrame:
+    """(_key_<key>, the aggregates, _salts) of each group: pre-aggregated by (keys, salt), with the salts that occur.
 
     aggregates: output name -> (aggregate of rows, aggregate of those partial results, which stand in a column of
-    the output's name). Rows are pre-aggregated by (keys, salt), the groups' results go back to the salts that occur,
-    and rows join them on (keys, salt): no task holds more than a salt's part of a group. Keys are compared null-safe.
+    the output's name).
     """
-    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(by), F.lit(salts)).cast("int"))
-    flags = [F.col(k).isNull().alias(f"_null_{k}") for k in keys]
-    plain = [F.col(k).alias(f"_key_{k}") for k in keys]
-    partial = salted.groupBy(*plain, "_salt").agg(*[a.alias(n) for n, (a, _) in aggregates.items()])
     names = [f"_key_{k}" for k in keys]
-    whole = partial.groupBy(*names).agg(*[b.alias(n) for n, (_, b) in aggregates.items()], F.collect_set("_salt").alias("_salts"))
-    spread = whole.select(*names, *aggregates, F.explode("_salts").alias("_salt_of"))
-    del flags
+    partial = rows.withColumn("_salt", salt_of(by)).groupBy(*[F.col(k).alias(n) for k, n in zip(keys, names, strict=True)], "_salt").agg(*[a.alias(n) for n, (a, _) in aggregates.items()])
+    return partial.groupBy(*names).agg(*[b.alias(n) for n, (_, b) in aggregates.items()], F.collect_set("_salt").alias("_salts"))
+
+
+def whole_attach(rows: DataFrame, whole: DataFrame, keys: Sequence[str], by: Column) -> DataFrame:
+    """``rows`` with the columns of their group from ``group_whole``; keys are compared null-safe.
+
+    A group's row goes to each salt that the group has, and rows join it on (keys, salt): no task holds more than a
+    salt's part of a group.
+    """
+    facts = [c for c in whole.columns if c != "_salts" and not c.startswith("_key_")]
+    spread = whole.select(*[c for c in whole.columns if c != "_salts"], F.explode("_salts").alias("_salt_of"))
+    salted = rows.withColumn("_salt", salt_of(by))
     on = F.col("_salt") == F.col("_salt_of")
     for k in keys:
         on = on & salted[k].eqNullSafe(F.col(f"_key_{k}"))
-    return salted.join(spread, on, "left").select(*[salted[c] for c in rows.columns], *[F.col(n) for n in aggregates])
+    return salted.join(spread, on, "left").select(*[salted[c] for c in rows.columns], *facts)
+
+
+def group_attach(rows: DataFrame, keys: Sequence[str], aggregates: dict[str, tuple[Column, Column]], by: Column) -> DataFrame:
+    """``rows`` with aggregates of their group, however large a group is."""
+    return whole_attach(rows, group_whole(rows, keys, aggregates, by), keys, by)
 
 
 def class_sample(rows: DataFrame, key: str, label: str, per_class: int) -> list:

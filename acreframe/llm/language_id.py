@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from acreframe.llm._shared import class_sample, slices
+from acreframe.llm._shared import class_sample, mapped, slices
 
 UNDETERMINED = "und"
 PIECE = 1 << 19
@@ -187,4 +187,4 @@ def identify(rows: DataFrame, model: LanguageModel, key: str = "doc_id", text: s
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64()), pa.array([x[0] if x[2] else UNDETERMINED for x in found], pa.string())], names=[key, "lang_pred", "score", "lang_accepted"])
 
     kind = rows.schema[key].dataType.simpleString()
-    return rows.select(key, text).mapInArrow(run, f"{key} {kind}, lang_pred string, score double, lang_accepted string")
+    return mapped(rows.select(key, text), run, f"{key} {kind}, lang_pred string, score double, lang_accepted string")

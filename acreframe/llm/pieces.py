@@ -17,7 +17,7 @@ import re
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from acreframe.llm._shared import slices
+from acreframe.llm._shared import mapped, slices
 
 MARK = "▁"
 _chunk = re.compile(f"{MARK}+[^{MARK}]*")
@@ -96,7 +96,7 @@ def _apply(rows: DataFrame, model_path: str, key: str, text: str, with_ids: bool
     with open(model_path, "rb") as f:  # on the driver; executors get the bytes
         shipped = rows.sparkSession.sparkContext.broadcast(f.read())
     kind = rows.schema[key].dataType.simpleString()
-    return rows.select(key, text).mapInArrow(_run(shipped, with_ids), f"{key} {kind}, n_tokens bigint, {schema}")
+    return mapped(rows.select(key, text), _run(shipped, with_ids), f"{key} {kind}, n_tokens bigint, {schema}")
 
 
 def tokenize(rows: DataFrame, model_path: str, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -20,7 +20,7 @@ import re
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from acreframe.llm._shared import slices
+from acreframe.llm._shared import mapped, slices
 
 KINDS = ("email", "ip", "card", "phone", "account", "secret", "login")
 _DIGITS = frozenset("0123456789")
@@ -214,7 +214,7 @@ def detect(rows: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found, kind)], names=[key, "spans"])
 
     name = rows.schema[key].dataType.simpleString()
-    return rows.select(key, text).mapInArrow(run, f"{key} {name}, spans array<struct<kind:string,start:bigint,end:bigint,value:string>>")
+    return mapped(rows.select(key, text), run, f"{key} {name}, spans array<struct<kind:string,start:bigint,end:bigint,value:string>>")
 
 
 def redact(text: str) -> str:
@@ -240,4 +240,4 @@ def span_digests(rows: DataFrame, key: str = "doc_id", text: str = "text") -> Da
             yield pa.RecordBatch.from_arrays([part.column(0), *counts, shas, pa.array([digest(f) for f in found], pa.string()), added], names=[key, *(f"n_{k}" for k in base), "base_sha256", "spans", "n_added"])
 
     name = rows.schema[key].dataType.simpleString()
-    return rows.select(key, text).mapInArrow(run, f"{key} {name}, " + ", ".join(f"n_{k} bigint" for k in base) + ", base_sha256 string, spans string, n_added bigint")
+    return mapped(rows.select(key, text), run, f"{key} {name}, " + ", ".join(f"n_{k} bigint" for k in base) + ", base_sha256 string, spans string, n_added bigint")

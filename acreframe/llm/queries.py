@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from acreframe.llm import language_id, pieces, pii, toxicity
+from acreframe.llm import exact_dedup, language_id, mixing, near_dedup, pieces, pii, quality_model, quality_rules, toxicity, warc
 from acreframe.llm._shared import remainder, table
 
 
@@ -32,6 +32,11 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (remainder(F.col("doc_id"), 4) == 2).alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
 
 
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A record for every page, written to archives and read back."""
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
 def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids and their decoded text for every document."""
     from public_tokenizers import path
@@ -39,10 +44,49 @@ def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.token_digests(table(spark, sf_dir, "documents"), path("piece_bpe_32k.model"))
 
 
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that a mixture of all sources takes of every document."""
+    return mixing.mixture(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "rate", "copies")
+
+
+def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of equal texts over all documents."""
+    return exact_dedup.groups(table(spark, sf_dir, "documents"))
+
+
+def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Classes of near duplicates over all documents."""
+    return near_dedup.classes(table(spark, sf_dir, "documents"))
+
+
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base counts and distribution divergence of every document."""
+    return quality_rules.judged(table(spark, sf_dir, "documents"))
+
+
+def op10_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document from its own text and the posteriors of its host and path.
+
+    Learnt from the labelled documents whose crc32 remainder by 4 is not 2. A document's host is that of its page, else
+    its source.
+    """
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    model = quality_model.fit_rows(documents, table(spark, sf_dir, "labels").where(remainder(F.col("doc_id"), 4) != 2))
+    found = quality_model.sites(quality_model.evidence(documents, model, keep=("source",)), table(spark, sf_dir, "pages"))
+    scored = quality_model.combine(found, "host", "path")
+    return scored.select("doc_id", (remainder(F.col("doc_id"), 4) == 2).alias("held_out"), "host", "path", "evidence", "host_posterior", "path_posterior", "score", "kept")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_pii": op2_pii,
     "op3_toxicity": op3_toxicity,
+    "op4_warc": op4_warc,
     "op5_sentencepiece": op5_sentencepiece,
+    "op6_mixing": op6_mixing,
+    "op7_exact_dedup": op7_exact_dedup,
+    "op8_near_dedup": op8_near_dedup,
+    "op9_quality_rules": op9_quality_rules,
+    "op10_quality_model": op10_quality_model,
 }
 ORACLES: dict[str, str] = {}

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from acreframe.llm._shared import class_sample, slices
+from acreframe.llm._shared import class_sample, mapped, slices
 
 ORDER, DECAY = 3, 0.7
 WINDOW = 32
@@ -382,7 +382,7 @@ def score(rows: DataFrame, model: ToxicityModel, key: str = "doc_id", text: str
             found = own.scores([t or "" for t in part.column(1).to_pylist()])
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found, pa.float64())], names=[key, "score"])
 
-    return rows.select(key, text).mapInArrow(run, f"{key} {rows.schema[key].dataType.simpleString()}, score double")
+    return mapped(rows.select(key, text), run, f"{key} {rows.schema[key].dataType.simpleString()}, score double")
 
 
 def clean_rows(rows: DataFrame, model: ToxicityModel, text: str = "text") -> DataFrame:
@@ -396,4 +396,4 @@ def clean_rows(rows: DataFrame, model: ToxicityModel, text: str = "text") -> Dat
             found = own.scores([t or "" for t in part.column(at).to_pylist()])
             yield part.filter(pa.array(found < THRESHOLD))
 
-    return rows.mapInArrow(run, rows.schema)
+    return mapped(rows, run, rows.schema)
