@@ -8,9 +8,10 @@ need only the tokens of each size class, so one distributed aggregation of the d
 a source, and safeguarded Newton iterations run over those sums, in parallel for all sources.
 
 Rates are rounded to copies that add up: every document takes the whole part of its rate, and one more copy goes to the
-documents first in a random order (a hash of the key over the rate's fraction) until the source's target is reached. Where
-that order is cut comes from sums over ``BINS`` bins of the order, so a source misses its target by half a bin's tokens,
-which is about half a document in small sources and a 1/8192 of large ones.
+documents first in a random order (a hash of the key over the rate's fraction) as long as the source's target is not
+passed; later documents that still fit fill the gap, and a last one may pass the target if that ends nearer to it. This works
+on sums over ``BINS`` bins of the order, one document in a bin in small sources; a source misses its target by half of the
+smallest bin that was left out at most.
 
 Defined results: size is the number of words, 0 for a null or empty text; sources go by code point, a null one last; a
 source without words has target 0; documents of size 0 take no words. Reruns agree, whatever the partitioning; rows that
@@ -111,21 +112,33 @@ def mixture(rows: DataFrame, key: str = "doc_id", text: str = "text", source: st
     r = F.when(F.col("class") < 0, F.lit(1.0)).otherwise(rate(F.col("tilt"), F.col("class"), F.col("mean")))
     known = known.select(base[key], base[source], "size", "source_size", "target", "mark", r.alias("rate"))
     known = known.withColumn("_whole", F.floor("rate")).withColumn("_part", F.col("rate") - F.col("_whole"))
-    # mark / part of the documents chosen is below about 1; the order is cut into bins that are finest there.
+    # mark / part of the documents chosen is below about 1; the order is cut into bins that are finest there. Documents
+    # without a fraction or words are spread over bins of no use, so that they do not share one key.
     ratio = F.col("mark") / F.greatest(F.col("_part"), F.lit(1e-12))
-    known = known.withColumn("_bin", F.when((F.col("_part") > 1e-9) & (F.col("size") > 0), F.floor(BINS * ratio / (1 + ratio)).cast("int")).otherwise(BINS))
+    idle = BINS + F.floor(F.col("mark") * BINS).cast("int")
+    known = known.withColumn("_bin", F.when((F.col("_part") > 1e-9) & (F.col("size") > 0), F.floor(BINS * ratio / (1 + ratio)).cast("int")).otherwise(idle))
     known = written(known, "rates")
-    bins = known.groupBy(source, "_bin").agg(F.sum(F.when(F.col("_bin") < BINS, F.col("size")).otherwise(0)).alias("tokens"), F.sum(F.col("size") * F.col("_whole")).alias("whole"), F.first("target").alias("target"))
-    order = Window.partitionBy(source).orderBy("_bin")
-    whole = F.sum("whole").over(Window.partitionBy(source))
-    # A bin goes in when that leaves the source nearer to its target than leaving it out would.
-    bins = bins.withColumn("_in", (F.col("_bin") < BINS) & (whole + F.sum("tokens").over(order) - F.col("tokens") / 2 <= F.col("target")))
-    cuts = bins.groupBy(source).agg(F.max(F.when(F.col("_in"), F.col("_bin"))).alias("cut"))
-    found = known.join(_spread(known, cuts, key, source).withColumnRenamed("cut", "_cut"), known[source].eqNullSafe(F.col("_source")) & (F.pmod(F.xxhash64(id_text(known[key])), F.lit(128)) == F.col("_salt")))
-    copies = (F.col("_whole") + F.when(F.col("_bin") <= F.col("_cut"), 1).otherwise(0)).cast("bigint")
+    bins = known.groupBy(source, "_bin").agg(F.sum("size").alias("tokens"), F.sum(F.col("size") * F.col("_whole")).alias("whole"), F.first("target").alias("target"))
+    use = F.struct("_bin", "tokens")
+    lists = bins.groupBy(source).agg(F.sort_array(F.collect_list(F.when(F.col("_bin") < BINS, use))).alias("bins"), (F.first("target") - F.sum("whole")).alias("rest"))
+    taken = F.aggregate("bins", F.struct(F.lit(0).cast("bigint").alias("sum"), F.array().cast("array<int>").alias("bins")), lambda state, b: _fill(state, b, F.col("rest")))
+    filled = lists.withColumn("_taken", taken)
+    left = F.filter("bins", lambda b: ~F.array_contains(F.col("_taken.bins"), b["_bin"]))
+    gap = F.col("rest") - F.col("_taken.sum")
+    filled = filled.withColumn("_last", F.array_min(F.transform(left, lambda b: F.struct(F.abs(gap - b["tokens"]).alias("miss"), b["_bin"].alias("bin")))))
+    chosen = F.when(F.col("_last.miss") < F.abs(gap), F.array_append("_taken.bins", F.col("_last.bin"))).otherwise(F.col("_taken.bins"))
+    more = filled.select(F.col(source).alias("_source"), F.explode(chosen).alias("_more"))
+    found = known.join(more, known[source].eqNullSafe(F.col("_source")) & (F.col("_bin") == F.col("_more")), "left")
+    copies = (F.col("_whole") + F.col("_more").isNotNull().cast("int")).cast("bigint")
     return found.select(known[key], "size", "source_size", "target", "rate", copies.alias("copies"), (F.col("size") * copies).alias("taken"))
 
 
+def _fill(state: Column, b: Column, rest: Column) -> Column:
+    """Take a bin in if it still fits."""
+    fits = state["sum"] + b["tokens"] <= rest
+    return F.struct(F.when(fits, state["sum"] + b["tokens"]).otherwise(state["sum"]).alias("sum"), F.when(fits, F.array_append(state["bins"], b["_bin"])).otherwise(state["bins"]).alias("bins"))
+
+
 def _spread(rows: DataFrame, facts: DataFrame, key: str, source: str) -> DataFrame:
     """Facts of each source, once for each salt that its rows have."""
     salts = rows.select(F.col(source).alias("_source"), F.pmod(F.xxhash64(id_text(F.col(key))), F.lit(128)).alias("_salt")).distinct()
