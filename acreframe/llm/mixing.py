@@ -7,11 +7,11 @@ the source's mean. The lambdas solve a convex dual without constraints that fall
 need only the tokens of each size class, so one distributed aggregation of the documents gathers at most ``CLASSES`` sums for
 a source, and safeguarded Newton iterations run over those sums, in parallel for all sources.
 
-Rates are rounded to copies that add up: every document takes the whole part of its rate, and one more copy goes to the
-documents first in a random order (a hash of the key over the rate's fraction) as long as the source's target is not
-passed; later documents that still fit fill the gap, and a last one may pass the target if that ends nearer to it. This works
-on sums over ``BINS`` bins of the order, one document in a bin in small sources; a source misses its target by half of the
-smallest bin that was left out at most.
+Rates are rounded to copies that add up: every document takes the whole part of its rate. The fractions are rounded from the
+largest size class to the smallest: of a class the documents first in a random order (a hash of the key) take one more copy,
+as many as bring the words taken nearest to what all classes so far should take. What a class of long documents misses is
+thus made up by shorter ones, and a source misses its target by about half of a short document. The order is summed over
+``BINS`` ranges of the hash for each class, so no task sees the documents of a source together.
 
 Defined results: size is the number of words, 0 for a null or empty text; sources go by code point, a null one last; a
 source without words has target 0; documents of size 0 take no words. Reruns agree, whatever the partitioning; rows that
@@ -29,7 +29,7 @@ WEIGHTS = (5.0, 2.0, 1.0)
 CAP = 3.0
 STEP = 8  # size classes for each doubling of the size
 CLASSES = STEP * 40
-BINS = 4096
+BINS = 64
 NEWTON = 60
 
 
@@ -110,33 +110,35 @@ def mixture(rows: DataFrame, key: str = "doc_id", text: str = "text", source: st
     # One row for each source, salted over the source's documents.
     known = base.join(_spread(base, solved, key, source), base[source].eqNullSafe(F.col("_source")) & (F.pmod(F.xxhash64(id_text(base[key])), F.lit(128)) == F.col("_salt")))
     r = F.when(F.col("class") < 0, F.lit(1.0)).otherwise(rate(F.col("tilt"), F.col("class"), F.col("mean")))
-    known = known.select(base[key], base[source], "size", "source_size", "target", "mark", r.alias("rate"))
+    known = known.select(base[key], base[source], "size", "class", "source_size", "target", "mark", r.alias("rate"))
     known = known.withColumn("_whole", F.floor("rate")).withColumn("_part", F.col("rate") - F.col("_whole"))
-    # mark / part of the documents chosen is below about 1; the order is cut into bins that are finest there. Documents
-    # without a fraction or words are spread over bins of no use, so that they do not share one key.
-    ratio = F.col("mark") / F.greatest(F.col("_part"), F.lit(1e-12))
-    idle = BINS + F.floor(F.col("mark") * BINS).cast("int")
-    known = known.withColumn("_bin", F.when((F.col("_part") > 1e-9) & (F.col("size") > 0), F.floor(BINS * ratio / (1 + ratio)).cast("int")).otherwise(idle))
-    known = written(known, "rates")
-    bins = known.groupBy(source, "_bin").agg(F.sum("size").alias("tokens"), F.sum(F.col("size") * F.col("_whole")).alias("whole"), F.first("target").alias("target"))
-    use = F.struct("_bin", "tokens")
-    lists = bins.groupBy(source).agg(F.sort_array(F.collect_list(F.when(F.col("_bin") < BINS, use))).alias("bins"), (F.first("target") - F.sum("whole")).alias("rest"))
-    taken = F.aggregate("bins", F.struct(F.lit(0).cast("bigint").alias("sum"), F.array().cast("array<int>").alias("bins")), lambda state, b: _fill(state, b, F.col("rest")))
-    filled = lists.withColumn("_taken", taken)
-    left = F.filter("bins", lambda b: ~F.array_contains(F.col("_taken.bins"), b["_bin"]))
-    gap = F.col("rest") - F.col("_taken.sum")
-    filled = filled.withColumn("_last", F.array_min(F.transform(left, lambda b: F.struct(F.abs(gap - b["tokens"]).alias("miss"), b["_bin"].alias("bin")))))
-    chosen = F.when(F.col("_last.miss") < F.abs(gap), F.array_append("_taken.bins", F.col("_last.bin"))).otherwise(F.col("_taken.bins"))
-    more = filled.select(F.col(source).alias("_source"), F.explode(chosen).alias("_more"))
-    found = known.join(more, known[source].eqNullSafe(F.col("_source")) & (F.col("_bin") == F.col("_more")), "left")
-    copies = (F.col("_whole") + F.col("_more").isNotNull().cast("int")).cast("bigint")
+    # Documents of a class have one rate, so their marks order them; BINS ranges of the mark are summed up.
+    known = written(known.withColumn("_bin", F.floor(F.col("mark") * BINS).cast("int")), "rates")
+    bins = known.where((F.col("_part") > 1e-9) & (F.col("size") > 0)).groupBy(source, "class", "_bin").agg(F.sum("size").alias("tokens"), F.first("_part").alias("part"))
+    of_class = bins.groupBy(source, "class").agg(F.sum("tokens").alias("tokens"), F.first("part").alias("part"), F.sort_array(F.collect_list(F.struct("_bin", "tokens"))).alias("bins"))
+    of_source = of_class.groupBy(source).agg(F.sort_array(F.collect_list(F.struct((-F.col("class")).alias("order"), "class", "tokens", "part", "bins"))).alias("classes"))
+    start = F.struct(F.lit(0).cast("bigint").alias("taken"), F.lit(0.0).alias("goal"), F.array().cast("array<struct<class:int,cut:int>>").alias("cuts"))
+    cuts = of_source.select(F.col(source).alias("_source"), F.explode(F.aggregate("classes", start, _cut)["cuts"]).alias("_cut")).where("_cut.cut >= 0")
+    more = cuts.select("_source", F.col("_cut.class").alias("_class"), F.explode(F.sequence(F.lit(0), F.col("_cut.cut"))).alias("_more"))
+    found = known.join(more, known[source].eqNullSafe(F.col("_source")) & (F.col("class") == F.col("_class")) & (F.col("_bin") == F.col("_more")), "left")
+    extra = (F.col("_more").isNotNull() & (F.col("_part") > 1e-9)).cast("int")
+    copies = (F.col("_whole") + extra).cast("bigint")
     return found.select(known[key], "size", "source_size", "target", "rate", copies.alias("copies"), (F.col("size") * copies).alias("taken"))
 
 
-def _fill(state: Column, b: Column, rest: Column) -> Column:
-    """Take a bin in if it still fits."""
-    fits = state["sum"] + b["tokens"] <= rest
-    return F.struct(F.when(fits, state["sum"] + b["tokens"]).otherwise(state["sum"]).alias("sum"), F.when(fits, F.array_append(state["bins"], b["_bin"])).otherwise(state["bins"]).alias("bins"))
+def _cut(state: Column, c: Column) -> Column:
+    """The last bin of a class that takes one more copy, and the words that it and larger classes have taken.
+
+    The goal is what all classes so far should take; bins go in as long as each brings the words nearer to it.
+    """
+    goal = state["goal"] + c["tokens"] * c["part"]
+
+    def take(s: Column, b: Column) -> Column:
+        more = s["open"] & (F.abs(s["taken"] + b["tokens"] - goal) <= F.abs(s["taken"] - goal))
+        return F.struct(F.when(more, s["taken"] + b["tokens"]).otherwise(s["taken"]).alias("taken"), F.when(more, b["_bin"]).otherwise(s["cut"]).alias("cut"), more.alias("open"))
+
+    found = F.aggregate(c["bins"], F.struct(state["taken"].alias("taken"), F.lit(-1).alias("cut"), F.lit(True).alias("open")), take)
+    return F.transform(F.array(found), lambda f: F.struct(f["taken"].alias("taken"), goal.alias("goal"), F.array_append(state["cuts"], F.struct(c["class"].alias("class"), f["cut"].alias("cut"))).alias("cuts")))[0]
 
 
 def _spread(rows: DataFrame, facts: DataFrame, key: str, source: str) -> DataFrame:
