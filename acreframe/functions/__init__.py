@@ -1 +1 @@
-
+"""Column expressions: indices, coordinates, statistics."""

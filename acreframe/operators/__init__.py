@@ -1 +1 @@
-
+"""Operators on rasters, scenes, labels and predictions as DataFrames."""

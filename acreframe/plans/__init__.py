@@ -1 +1 @@
-
+"""Registered queries, the SQL they are checked against, and the round loop."""

@@ -1 +1 @@
-
+"""Sources and sinks: adapters of generic tables, CSV files, GeoTIFF tiles."""
