@@ -123,16 +123,17 @@ def read_archive(stream):
     reader = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(dictionary) if size else None)
     rest = b""
     while True:
-        one, out = reader.decompressobj(), []
+        one, out, begun = reader.decompressobj(), [], bool(rest)
         while not one.eof:
             if not rest:
                 rest = stream.read(1 << 18)
                 if not rest:
                     break
+                begun = True
             out.append(one.decompress(rest))
             rest = one.unused_data if one.eof else b""
         if not one.eof:
-            if any(out):
+            if begun:
                 raise ValueError("the archive ends inside a record")
             return
         yield parse(b"".join(out))
