@@ -1,6 +1,6 @@
 """Spectral indices as column expressions; a zero denominator gives null, or is avoided by an epsilon in the eps forms."""
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 EPS = 1e-6
@@ -50,3 +50,18 @@ def ndvi_floor(ts: Column) -> Column:
     """Lowest NDVI of crops by month: 0.2 from March to June, 0.3 from August to October, else and unknown 0.25."""
     m = F.month(ts)
     return F.when(m.between(3, 6), 0.2).when(m.between(8, 10), 0.3).otherwise(0.25)
+
+
+def with_formula(rows: DataFrame, name: str, text: str, **operands: Column) -> DataFrame:
+    """Rows with a column from a formula in SQL over named operands, as ``"2.5 * (NIR - RED)", NIR=col, RED=col``."""
+    return rows.withColumns({n: c.cast("double") for n, c in operands.items()}).withColumn(name, F.expr(text)).drop(*operands)
+
+
+def rgb_bands(descriptions: list[str | None], strict: bool = True) -> list[int]:
+    """1-based bands of red, green and blue by a name that holds B4, B3 and B2; else the first three, or the first thrice."""
+    found = []
+    for wanted in ("B4", "B3", "B2"):
+        found += [i + 1 for i, d in enumerate(descriptions) if d and wanted.lower() in d.lower()][:1]
+    if len(found) == 3:
+        return found
+    return [1, 2, 3] if strict or len(descriptions) >= 3 else [1, 1, 1]

@@ -41,3 +41,8 @@ def stacked(scenes: DataFrame, bands: Sequence[str] = SETTINGS.bands, seasons: S
         b = named(s)
         extra |= {f"NDVI_s{s}": X.ndvi(b["B8"], b["B4"]), f"EVI_s{s}": X.evi(b["B8"], b["B4"], b["B2"]), f"EVI2_s{s}": X.evi2(b["B8"], b["B4"]), f"NBR_s{s}": X.nbr(b["B8"], b["B12"]), f"NDMI_s{s}": X.ndmi(b["B8"], b["B11"])}
     return grouped.withColumns(extra)
+
+
+def intersecting(scenes: DataFrame, x0: float, y0: float, x1: float, y1: float) -> DataFrame:
+    """Scenes whose footprint (x0, y0, x1, y1) meets a box, borders included."""
+    return scenes.where((F.col("x0") <= x1) & (F.col("x1") >= x0) & (F.col("y0") <= y1) & (F.col("y1") >= y0))

@@ -106,3 +106,16 @@ def refused(labels: DataFrame, order: str, by: str) -> DataFrame:
         return F.struct((s["p"] + (take & x["pos"]).cast("int")).alias("p"), (s["n"] + (take & ~x["pos"]).cast("int")).alias("n"), F.when(take, F.array_append(s["taken"], x["o"].cast("bigint"))).otherwise(s["taken"]).alias("taken"))
 
     return labels.groupBy(by).agg(F.sort_array(F.collect_list(item)).alias("items")).select(by, F.explode(F.aggregate("items", start, step)["taken"]).alias(order))
+
+
+def answered(candidates: DataFrame, answers: DataFrame, key: str = "id") -> DataFrame:
+    """Candidates with the label that the answers give them; those without an answer stay pending."""
+    known = answers.select(F.col(key).alias("_key"), F.col("label").alias("_label"))
+    joined = candidates.join(known, F.col(key) == F.col("_key"), "left")
+    pending = F.trim(F.coalesce("label", F.lit(""))) == ""
+    return joined.select(*[F.when(pending, F.coalesce("_label", F.lit(""))).otherwise(F.col("label")).alias("label") if c == "label" else F.col(c) for c in candidates.columns])
+
+
+def add_batch(master: DataFrame, new: DataFrame, key: str = "id") -> DataFrame:
+    """Labels and a batch of new ones, less those that are near a label already there."""
+    return appended(master, near_duplicates(new, master, key, keep_duplicates=False))

@@ -190,3 +190,16 @@ sql("valid_rows", body="SELECT 'T' || doc_id || '.TIF' AS image_file, doc_id AS
 sql("block_mean", _PIXEL, body="SELECT tile, cast(floor(r/4e0) AS bigint) AS br, cast(floor(c/4e0) AS bigint) AS bc, round(avg(nir), 9) AS nir FROM pixel GROUP BY 1, 2, 3")
 sql("nearest_resize", _PIXEL, "small AS (SELECT tile, cast(floor(r/4e0) AS bigint) AS br, cast(floor(c/4e0) AS bigint) AS bc, CASE WHEN round(avg(p), 9) >= 0.5 THEN 1 ELSE 0 END AS v FROM pixel GROUP BY 1, 2, 3)", "k AS (SELECT cast(unnest(range(0, 40)) AS bigint) AS k)", body="SELECT tile, a.k AS r, b.k AS c, v FROM small JOIN k a ON floor((a.k+0.5e0)/4) = br JOIN k b ON floor((b.k+0.5e0)/4) = bc")
 sql("postprocess_summary", _PIXEL, "s AS (SELECT tile, 1/(1+exp(-(0.1e0 + (nir-25)/(10+1e-6) - 0.5e0*((red-4)/(2+1e-6))))) AS p FROM pixel)", body="SELECT 'tile' || tile AS tile, round_even(round(avg(CASE WHEN p >= 0.5 THEN 1 ELSE 0 END)*100, 6), 2) AS pct_agricultural FROM s GROUP BY 1")
+
+_SMALL = _PIXEL.replace("pixel AS (", "pixel AS (SELECT * FROM (", 1) + " x WHERE r < 8 AND c < 8)"
+sql(
+    "stack_with_terrain", _SCENE, _SMALL, f"m AS (SELECT tile, r, c, {_MEDIANS} FROM scene GROUP BY 1, 2, 3)", _HORN, _GRAD,
+    body=f"SELECT m.tile, m.r, m.c, round(B2_s1, 6) AS b2_s1, round(B8_s2, 6) AS b8_s2, round({_ndi('B8_s3', 'B4_s3')}, 6) AS ndvi_s3, round({_ndi('B8_s1', 'B12_s1')}, 6) AS nbr_s1, round(p.nir, 6) AS elevation, round(slope, 5) AS slope, round(CASE WHEN slope > 1e-9 THEN CASE WHEN t > 90 THEN 450 - t ELSE 90 - t END END, 5) AS aspect, 36 AS bands FROM m JOIN pixel p ON m.tile = p.tile AND m.r = p.r AND m.c = p.c LEFT JOIN turn u ON u.tile = m.tile AND u.r = m.r AND u.c = m.c",
+)
+sql("scene_bounds", _SCENE, body="SELECT tile, r, c, count(*) AS n FROM scene WHERE season = 2 AND ts >= TIMESTAMP '2024-01-11' AND cloud_pct < 60 AND r <= 2 AND r + 1 >= 1.5 AND c <= 1 AND c + 1 >= 0.5 GROUP BY 1, 2, 3")
+sql("expression_dsl", _PIXEL, body="SELECT tile, r, c, round(2.5e0*(nir-red)/(nir+2.4e0*red+1), 6) AS evi2 FROM pixel")
+sql("overlay_points", _PIXEL, _RANKED, "dot AS (SELECT tile, r, c FROM ranked WHERE rank <= 2)", body="SELECT p.tile, count(*) FILTER (WHERE EXISTS (SELECT 1 FROM dot WHERE dot.tile = p.tile AND (dot.r-p.r)*(dot.r-p.r) + (dot.c-p.c)*(dot.c-p.c) <= 4)) AS marked, count(*) AS pixels FROM pixel p GROUP BY 1")
+sql("answered_candidates", _LABEL, body="SELECT id, tile, CASE WHEN k % 2 = 1 THEN 'Agricultural' WHEN k % 3 <> 0 THEN label ELSE '' END AS label FROM point")
+sql("label_batch", _LABEL, body="SELECT id, label FROM point a WHERE a.k % 2 = 1 OR NOT EXISTS (SELECT 1 FROM point b WHERE b.k % 2 = 1 AND abs(a.lat-b.lat) < 0.0002 AND abs(a.lon-b.lon) < 0.0002 AND sqrt((a.lat-b.lat)*(a.lat-b.lat) + (a.lon-b.lon)*(a.lon-b.lon)) < 0.0001e0)")
+sql("legacy_candidates", _PIXEL, "e AS (SELECT tile, max(r)+1 AS h, max(c)+1 AS w FROM pixel GROUP BY 1)", "k AS (SELECT cast(unnest(range(0, 40)) AS int) AS k)", f"q AS (SELECT tile, k, {_CELL.format('r')} % h AS r, {_CELL.format('c')} % w AS c FROM e, k)", body="SELECT tile, r, c, k, 1e0 AS uncertainty FROM q WHERE NOT EXISTS (SELECT 1 FROM labels WHERE doc_id % 10 = q.tile AND doc_id % 40 = q.r AND (doc_id*3) % 40 = q.c)")
+sql("check_results_report", _LABEL, _COUNTS, _PIXEL, _patch(8), _PATCHP, body=f"SELECT 'user' AS source, total AS rows, agri AS ag, round({_RATIO}, 6) AS ratio FROM counts UNION ALL SELECT 'model', count(*), count(*) FILTER (WHERE round(p, 9) > round(1-p, 9)), round(count(*) FILTER (WHERE round(p, 9) > round(1-p, 9)) * 1e0 / nullif(count(*), 0), 6) FROM patchp")

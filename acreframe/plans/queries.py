@@ -10,7 +10,7 @@ from acreframe.functions import geo, stats
 from acreframe.functions import indices as X
 from acreframe.operators import composite, grid, labels, models, patches, regions, sampling
 from acreframe.sources import adapters as A
-from acreframe.sources import files
+from acreframe.sources import files, sinks
 
 QUERIES = {}
 SIDE = 40  # rows and columns of the adapter's tiles
@@ -643,5 +643,69 @@ def postprocess_summary(spark, d):
     return s.select("tile", F.bround("pct_agricultural", 2).alias("pct_agricultural"))
 
 
+@query
+def stack_with_terrain(spark, d):
+    """Stacked seasonal bands joined by pixel to elevation, slope and aspect: 36 bands."""
+    terrain = A.pixels(spark, d).where("r < 8 and c < 8")
+    slopes = grid.slope_aspect(terrain, "nir")
+    full = composite.stacked(composite.mask_clouds(A.scenes(spark, d))).join(terrain.select(*ORDER, C("nir").alias("elevation")), ORDER).join(slopes, ORDER, "left")
+    flat = F.when(C("slope") > 1e-9, C("aspect"))
+    return full.select(*ORDER, *[r6(C(n), n.lower()) for n in ("B2_s1", "B8_s2", "NDVI_s3", "NBR_s1")], r6(C("elevation"), "elevation"), F.round("slope", 5).alias("slope"), F.round(flat, 5).alias("aspect"), F.lit(len(full.columns) - 3).alias("bands"))
+
+
+@query
+def scene_bounds(spark, d):
+    """Scenes whose footprint meets a box and whose time lies in a half-open season."""
+    s = A.scenes(spark, d).withColumns({"x0": C("r") * 1.0, "y0": C("c") * 1.0, "x1": C("r") + 1.0, "y1": C("c") + 1.0})
+    return composite.intersecting(composite.select_scenes(s, "2024-01-11", "2024-01-21", 60.0), 1.5, 0.5, 2.0, 1.0).groupBy("tile", "r", "c").agg(F.count("*").alias("n"))
+
+
+@query
+def expression_dsl(spark, d):
+    """An index as a formula with named operands."""
+    p = A.pixels(spark, d).select(*ORDER, C("nir").alias("band_a"), C("red").alias("band_b"))
+    return X.with_formula(p, "evi2", "round(2.5 * (NIR - RED) / (NIR + 2.4 * RED + 1), 6)", NIR=C("band_a"), RED=C("band_b")).select(*ORDER, "evi2")
+
+
+@query
+def overlay_points(spark, d):
+    """Pixels in circles of two cells around candidates."""
+    p = A.pixels(spark, d)
+    return sinks.overlay(p.select(*ORDER), sampling.random_per_group(p, "tile", ORDER, 2), 2).groupBy("tile").agg(F.count_if("marked").alias("marked"), F.count("*").alias("pixels"))
+
+
+@query
+def answered_candidates(spark, d):
+    """Pending candidates take the label of the answers; others keep theirs."""
+    p = A.label_points(spark, d)
+    candidates = p.select("id", "tile", "lat", "lon", F.when(C("k") % 2 == 0, "").otherwise("Agricultural").alias("label"))
+    return labels.answered(candidates, p.where("k % 3 <> 0").select("id", "label")).select("id", "tile", "label")
+
+
+@query
+def label_batch(spark, d):
+    """A batch of labels added to the others, less near duplicates."""
+    p = A.label_points(spark, d).select("id", "lat", "lon", "tile", "label", "k")
+    return labels.add_batch(p.where("k % 2 = 1"), p.where("k % 2 = 0")).select("id", "label")
+
+
+@query
+def legacy_candidates(spark, d):
+    """Random cells of each tile that are not labelled, with the uncertainty of no model, 1."""
+    tiles = A.pixels(spark, d).groupBy("tile").agg((F.max("r") + 1).alias("height"), (F.max("c") + 1).alias("width"))
+    known = A.label_points(spark, d).select((C("k") % 10).alias("tile"), (C("k") % SIDE).alias("r"), ((C("k") * 3) % SIDE).alias("c")).distinct()
+    return sampling.random_cells(tiles, 40).join(known, ORDER, "left_anti").select(*ORDER, "k", F.lit(1.0).alias("uncertainty"))
+
+
+@query
+def check_results_report(spark, d):
+    """Counts by source and the model's share of agricultural patches among all patches."""
+    t = patches.tumbling(A.pixels(spark, d), 8, SIDE, SIDE).groupBy("tile", "pr", "pc").agg(F.avg("p").alias("p"))
+    ag = F.count_if(F.round("p", 9) > F.round(1 - C("p"), 9))
+    model = t.agg(F.count("*").alias("rows"), ag.alias("ag")).select(F.lit("model").alias("source"), "rows", "ag", r6(F.try_divide(C("ag").cast("double"), C("rows")), "ratio"))
+    user = labels.summary(A.label_points(spark, d)).select(F.lit("user").alias("source"), C("total").alias("rows"), C("agri").alias("ag"), r6(C("ratio"), "ratio"))
+    return user.unionByName(model)
+
+
 def fixed_linear() -> models.LinearScorer:
     return models.LinearScorer(["nir", "red"], [25.0, 4.0], [10.0, 2.0], [1.0, -0.5], 0.1)

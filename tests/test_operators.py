@@ -10,7 +10,7 @@ from acreframe.functions import geo, stats
 from acreframe.functions import indices as X
 from acreframe.operators import composite, grid, labels, models, patches, regions, sampling
 from acreframe.plans import rounds
-from acreframe.sources import files, geotiff
+from acreframe.sources import files, geotiff, sinks
 from acreframe.sources.adapters import FEATURES, features, pixels
 from acreframe import schema
 from tests.conftest import DATA
@@ -233,3 +233,26 @@ def test_kml(spark):
     text = spark.range(1).select(geo.document(geo.placemark(F.lit("a"), ring)).alias("t")).first().t
     assert "0.0,1.0,0 2.0,1.0,0 2.0,3.0,0 0.0,3.0,0 0.0,1.0,0" in text and text.endswith("</Document></kml>")
     assert SETTINGS.sieve_pixels == 50
+
+
+def test_sinks(spark, tmp_path):
+    m = cells(spark, "101", "010", tile=3)
+    done = sinks.write_masks(m, str(tmp_path / "masks"), 2, 4, (10.0, 0.0, 0.0, 0.0, -10.0, 0.0), 255).collect()
+    image, _ = geotiff.decode(open(done[0].path, "rb").read())
+    assert done[0].pixels == 3 and image[0].tolist() == [[255, 0, 255, 0], [0, 255, 0, 0]]
+    assert not sinks.exists(spark, str(tmp_path / "tiles"))
+    sinks.write_tiles(m, str(tmp_path / "tiles"))
+    sinks.write_once(m.limit(0), str(tmp_path / "tiles"))
+    assert sinks.exists(spark, str(tmp_path / "tiles")) and spark.read.parquet(str(tmp_path / "tiles")).count() == 6
+    sinks.write_kml(spark.createDataFrame([("t", "<Placemark/>"), ("t", "<Placemark/>")], "tile string, kml string"), str(tmp_path / "kml"))
+    assert spark.read.text(str(tmp_path / "kml")).first().value.count("<Placemark/>") == 2
+
+
+def test_formula_of_named_operands(spark):
+    got = X.with_formula(spark.range(1), "v", "2 * (A - B)", A=F.lit(3), B=F.lit(1))
+    assert got.columns == ["id", "v"] and got.first().v == 4.0
+
+
+def test_rgb_bands():
+    assert X.rgb_bands(["B2_s1", "B3_s1", "B4_s1"]) == [3, 2, 1]
+    assert X.rgb_bands([None, "x"], strict=False) == [1, 1, 1] and X.rgb_bands([None, "x"]) == [1, 2, 3]
