@@ -354,7 +354,7 @@ def calibrate(model: ToxicityModel, texts: list[str], labels: list[int]) -> None
     gap = [(f[i] if i < len(f) else f[-1] + 1) - (f[i - 1] if i else f[0] - 1) for i in best]
     i = int(best[int(np.argmax(gap))])
     low, high = (f[i - 1] if i else f[0] - 1), (f[i] if i < len(f) else f[-1] + 1)
-    cut = (low + high) / 2
+    cut = low + 0.4 * (high - low)  # nearer to clean texts, as disguised insults fall between
     model.slope = 6.0 / max(1e-6, abs(high - low) + float(np.std(f)))
     model.offset = float(np.log(THRESHOLD / (1 - THRESHOLD)) - model.slope * cut)
 
