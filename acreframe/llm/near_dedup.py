@@ -8,8 +8,10 @@ from blocks of documents (a shingle of a tenth of all documents is in a twentiet
 Each text draws ``BANDS * ROWS`` consistent samples; two texts agree in a sample with a chance equal to their weighted
 Jaccard similarity. Texts that agree in all samples of a band share a bucket. Identical texts are one from the start. In a
 bucket, members are compared with the bucket's hubs, members whose other buckets are full, and with a few others: all of
-them up to ``SMALL`` members, those of the same hash block beyond; so pairs grow in proportion to members, and a bucket of
-near copies holds together. Every compared pair is verified on whole texts: the weighted Jaccard
+them up to ``SMALL`` members, those of the same hash block beyond; so these pairs grow in proportion to members, and a bucket
+of near copies holds together. Then all other pairs of a bucket whose ends are in different classes are compared too, so every
+pair that shares a bucket is compared or is in one class already: few where buckets hold near copies, quadratic in a bucket
+of many texts that are not similar. Every compared pair is verified on whole texts: the weighted Jaccard
 similarity must reach ``LEAST``, with ``LEAST_PLAIN`` of the plain shingle sets, or the plain one must reach ``LEAST``. Classes are the connected components.
 
 A pair of similarity 0.8 shares no bucket with a chance of 1 in 20,000. Defined results: null, empty and wordless texts are
@@ -34,6 +36,7 @@ FLOOR = 0.6  # no shingle weighs less: copies that make up much of a corpus make
 BLOCK_DOCS, BLOCK_SHINGLES = 2048, 2_000_000
 SMALL, PART = 24, 12  # members of a bucket that are all compared; members of a block of larger ones
 HUBS, VARIES = 4, 0.15  # hubs of a bucket; share of a member's weight that chance takes when a hub is chosen
+FEW, CHUNK = 8, 256  # open pairs for each member of a mixed bucket that are compared at once; members in a task's part of a bucket
 MEMBERS = 64  # of a pair's head that go to a task together
 
 _U = np.uint64
@@ -175,8 +178,8 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
     return float(low / (a[1].sum() + b[1].sum() - low)), len(i) / (len(a[0]) + len(b[0]) - len(i))
 
 
-def signature(words: np.ndarray, weights: Weights, bands: int = BANDS, rows: int = ROWS) -> list[int]:
-    s, t = draw(*weighted(words, weights), bands * rows)
+def signature(found: np.ndarray, weights: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> list[int]:
+    s, t = draw(found, weights, bands * rows)
     each = mix(s + t.astype(np.uint64) * _U(_MULTIPLIER)).reshape(bands, rows)
     total = np.zeros(bands, np.uint64)
     for k in range(rows):
@@ -233,35 +236,41 @@ def heavy_shingles(rows: DataFrame, text: str, documents: int) -> list[tuple[int
 
 
 def signed(rows: DataFrame, key: str, text: str, weights: Weights) -> DataFrame:
-    """(key, one, two, bands) of each row: two hashes of the sequence of words, and a code for each band."""
+    """(key, one, two, bands, width) of each row: two hashes of the sequence of words, a code for each band, and its number of shingles."""
     shipped = rows.sparkSession.sparkContext.broadcast(weights)
 
     def run(batches):
         import xxhash
 
-        known: dict[tuple[int, int], list[int]] = {}
+        known: dict[tuple[int, int], tuple[list[int], int]] = {}
         for part in slices(batches):
-            one, two, codes = [], [], []
+            one, two, codes, widths = [], [], [], []
             for words in word_hashes([t or "" for t in part.column(1).to_pylist()]):
                 raw = words.tobytes()
                 same = (xxhash.xxh64_intdigest(raw, 1) - (1 << 63), xxhash.xxh64_intdigest(raw, 2) - (1 << 63))
                 if same not in known:
                     if len(known) > 4096:
                         known.clear()
-                    known[same] = signature(words, shipped.value) if len(words) else []
+                    own = weighted(words, shipped.value)
+                    known[same] = (signature(*own) if len(words) else [], len(own[0]))
                 one.append(same[0])
                 two.append(same[1])
-                codes.append(known[same])
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(one, pa.int64()), pa.array(two, pa.int64()), pa.array(codes, pa.list_(pa.int64()))], names=[key, "one", "two", "bands"])
+                codes.append(known[same][0])
+                widths.append(known[same][1])
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(one, pa.int64()), pa.array(two, pa.int64()), pa.array(codes, pa.list_(pa.int64())), pa.array(widths, pa.int64())], names=[key, "one", "two", "bands", "width"])
 
-    return mapped(rows.select(key, text), run, f"{key} {rows.schema[key].dataType.simpleString()}, one bigint, two bigint, bands array<bigint>")
+    return mapped(rows.select(key, text), run, f"{key} {rows.schema[key].dataType.simpleString()}, one bigint, two bigint, bands array<bigint>, width bigint")
 
 
-def pairs(texts: DataFrame) -> DataFrame:
-    """Distinct pairs (a, b), a < b, of the ids of different texts (id, bands) that are to be compared."""
-    banded = texts.select("id", F.posexplode("bands").alias("band", "code"))
+def buckets(texts: DataFrame) -> DataFrame:
+    """(id, width, band, code, n) of the members of each bucket of n > 1 different texts (id, bands, width)."""
+    banded = texts.select("id", "width", F.posexplode("bands").alias("band", "code"))
     sized = group_attach(banded, ["band", "code"], {"n": (F.count("*"), F.sum("n"))}, F.col("id"))
-    full = written(sized.where("n > 1"), "buckets")
+    return written(sized.where("n > 1"), "buckets")
+
+
+def pairs(full: DataFrame) -> DataFrame:
+    """Distinct pairs (a, b), a < b, of the ids in buckets that are to be compared first."""
     weight = full.groupBy("id").agg(F.sum(F.log2(F.col("n").cast("double"))).alias("weight"))
     central = full.join(weight, "id")
     # A hub's weight varies by chance, so that the buckets of a group have different central texts for hubs.
@@ -337,6 +346,60 @@ def components(links: DataFrame) -> DataFrame:
         state = now
 
 
+def mixed(full: DataFrame, rooted: DataFrame) -> tuple[DataFrame, int, int]:
+    """Members of large buckets of several classes (with root, and stray: not of the bucket's largest class), their number, and that of their pairs across classes."""
+    own = full.where(F.col("n") > SMALL).join(rooted.withColumnRenamed("id", "_id"), F.col("id") == F.col("_id"), "left").drop("_id")
+    own = written(own.withColumn("root", F.coalesce("root", "id")), "rooted")
+    counts = own.groupBy("band", "code", "root").agg(F.count("*").alias("c"))
+    most = counts.groupBy(F.col("band").alias("_band"), F.col("code").alias("_code")).agg(F.max(F.struct("c", "root")).alias("top"), F.sum("c").alias("total"), F.sum(F.col("c") * F.col("c")).alias("inner")).where("top.c < total")
+    most = written(most, "mixed")
+    found = own.join(most, (own["band"] == most["_band"]) & (own["code"] == most["_code"])).select(*own.columns, (F.col("root") != F.col("top.root")).alias("stray"))
+    n, crossing = most.agg(F.coalesce(F.sum("total"), F.lit(0)), F.coalesce(F.sum((F.col("total") * F.col("total") - F.col("inner")) / 2), F.lit(0))).first()
+    return found, int(n), int(crossing)
+
+
+def across(members: DataFrame, turn: int | None) -> DataFrame:
+    """Distinct pairs (a, b), a < b, across classes of a bucket: all, or in a turn those of the turn's hash blocks.
+
+    One end is a stray. Pairs that cannot have ``LEAST_PLAIN`` of their shingles in common, by their numbers, are left out.
+    """
+    if turn is None:
+        parts = F.ceil(F.col("n") / CHUNK).cast("long")
+        own, to = F.pmod(F.xxhash64("id", F.lit(7)), parts), F.sequence(F.lit(0).cast("long"), parts - 1)
+    else:
+        own = F.pmod(F.xxhash64("id", "band", "code", F.lit(turn)), F.ceil(F.col("n") / PART))
+        to = F.array(own.cast("long"))
+    names = ("id", "width", "root")
+    x = members.where("stray").select("band", "code", *[F.col(c).alias(f"x_{c}") for c in names], F.explode(to).alias("part"))
+    y = members.select("band", "code", *[F.col(c).alias(f"y_{c}") for c in names], own.cast("long").alias("part"))
+    wide = F.least("x_width", "y_width") >= LEAST_PLAIN * F.greatest("x_width", "y_width") - 1e-6
+    met = x.join(y.hint("merge"), ["band", "code", "part"]).where((F.col("x_root") != F.col("y_root")) & wide)
+    return met.select(F.least("x_id", "y_id").alias("a"), F.greatest("x_id", "y_id").alias("b")).distinct()
+
+
+def all_linked(full: DataFrame, verify) -> DataFrame:
+    """(id, root) by the links of all pairs that share a bucket; ``verify`` gives the similar ones of pairs.
+
+    After the first pairs, what is left are pairs of large buckets across classes. Turns of new hash blocks make classes
+    grow together while that halves those pairs; then all that remain are compared.
+    """
+    compared = written(pairs(full), "compared")
+    links = written(verify(compared).select("a", "b"), "links")
+    turn, last = 0, None
+    while True:
+        rooted = components(links)
+        members, n, crossing = mixed(full, rooted)
+        if not crossing:
+            return rooted
+        final = crossing <= FEW * n or (last is not None and crossing > last / 2)
+        turn, last = turn + 1, crossing
+        new = written(across(members, None if final else turn).join(compared, ["a", "b"], "left_anti"), "compared")
+        links = links.unionByName(written(verify(new).select("a", "b"), "links"))
+        if final:
+            return components(links)
+        compared = compared.unionByName(new)
+
+
 def classes(rows: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, class_id, copy_of, kept) of each row: the least key of its class, and of the texts with the same words."""
     weights = Weights(heavy_shingles(rows, text, n := rows.count()), n)
@@ -344,10 +407,9 @@ def classes(rows: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
     same = ["one", "two"]
     by = F.col(key).cast("string")
     worded = table.where((F.size("bands") > 0) & F.col(key).isNotNull())
-    whole = written(group_whole(worded, same, {"id": (F.min(key), F.min("id")), "bands": (F.any_value("bands"), F.any_value("bands"))}, by), "distinct")
-    links = written(verified(pairs(whole.select("id", "bands")), rows, key, text, weights), "links")
-    rooted = components(links)
-    final = whole.drop("bands").join(rooted.withColumnRenamed("id", "_id"), F.col("id") == F.col("_id"), "left").drop("_id")
+    whole = written(group_whole(worded, same, {"id": (F.min(key), F.min("id")), "bands": (F.any_value("bands"), F.any_value("bands")), "width": (F.any_value("width"), F.any_value("width"))}, by), "distinct")
+    rooted = all_linked(buckets(whole.select("id", "bands", "width")), lambda compared: verified(compared, rows, key, text, weights))
+    final = whole.drop("bands", "width").join(rooted.withColumnRenamed("id", "_id"), F.col("id") == F.col("_id"), "left").drop("_id")
     found = whole_attach(worded.select(key, *same), final, same, by)
     known = found.select(key, F.coalesce("root", "id").alias("class_id"), F.col("id").alias("copy_of"))
     alone = table.where((F.size("bands") <= 0) | F.col(key).isNull()).select(key, F.col(key).alias("class_id"), F.col(key).alias("copy_of"))

@@ -208,6 +208,15 @@ def test_a_large_group_of_near_copies(spark):
     assert all(got[k] == 0 for k in range(150)) and all(got[1000 + k] == 1000 + k for k in range(60))
 
 
+def test_pairs_that_share_only_large_buckets(spark, monkeypatch):
+    # Every text is in one bucket for each band, and similar to one other text of it alone.
+    signed = near_dedup.signed
+    monkeypatch.setattr(near_dedup, "signed", lambda *a: signed(*a).withColumn("bands", F.array(*[F.lit(b) for b in range(14)]).cast("array<bigint>")))
+    rows = [(k, " ".join([f"p{k // 2}x{i}" for i in range(90)] + [f"q{k}x{i}" for i in range(4)])) for k in range(600)]
+    got = {r.doc_id: r.class_id for r in near_dedup.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {k: k // 2 * 2 for k in range(600)}
+
+
 def test_samples_agree_as_often_as_sets_are_similar():
     import numpy as np
 
