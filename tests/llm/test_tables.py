@@ -217,6 +217,15 @@ def test_pairs_that_share_only_large_buckets(spark, monkeypatch):
     assert got == {k: k // 2 * 2 for k in range(600)}
 
 
+def test_texts_that_repeat_another_are_its_class(spark):
+    rows = []
+    for k in range(40):
+        words = " ".join(f"r{k}x{i}" for i in range(100))
+        rows += [(10 * k + j, f"{words} ".join([""] + [""] * n).strip()) for j, n in enumerate((1, 5, 20))]
+    got = {r.doc_id: r.class_id for r in near_dedup.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: i // 10 * 10 for i, _ in rows}
+
+
 def test_samples_agree_as_often_as_sets_are_similar():
     import numpy as np
 
