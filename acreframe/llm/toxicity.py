@@ -6,9 +6,11 @@ left between its letters. Landmarks are strings that tell labelled toxic sentenc
 near them. The machine is linear in the Nystroem features of a word, that is, its decision is a weighted sum of the word's
 kernels with the landmarks. A sentence counts as its worst word, a document as its worst sentence.
 
-A word is a run of characters between white space; three single characters or more in a row also make up one word, spelt out.
-The kernel is taken as zero where a word lacks most letters, or most neighbouring letter pairs (up to two characters may
-stand between), of a landmark: that holds for nearly all words, and is tested by bit masks before any kernel is computed.
+A word is the letters and digits of a run of characters between white space. Neighbouring short words make up words too: three
+single characters or more in a row, two words of at most ``SHORT`` characters each, or three of at most ``SHORT`` - 1 each.
+The kernel is taken as zero where a word lacks a quarter of the letters of a landmark (any, of four letters at most), or has
+less than ``PAIRS`` of its neighbouring letter pairs in their order, whatever stands between. Letters are tested by bit masks
+for all words, pairs once for each word that passes.
 
 Defined results: null, empty and wordless texts score like a text of harmless words; without labelled rows of both
 classes every score is 0. Long texts are read whole, long words in overlapping windows.
@@ -30,10 +32,13 @@ from acreframe.llm._shared import class_sample, mapped, slices
 
 ORDER, DECAY = 3, 0.7
 WINDOW = 32
+SHORT = 4
+PAIRS = 0.6
 THRESHOLD = 0.3
 _SPACE = np.zeros(64, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _CACHE = 100_000
+_tables: dict[str, np.ndarray] = {}
 START, END = "\x02", "\x03"  # of a word, in landmarks and in the kernel
 
 
@@ -46,10 +51,11 @@ def _points(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
 
 
-def _pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """A bit for a pair of characters."""
-    x = (a.astype(np.uint32) * np.uint32(0x9E3779B1) + b.astype(np.uint32) * np.uint32(0x85EBCA77)) >> np.uint32(26)
-    return np.uint64(1) << x.astype(np.uint64)
+def _alnum() -> np.ndarray:
+    """Of each code point whether it is a letter or digit."""
+    if "alnum" not in _tables:
+        _tables["alnum"] = np.array([chr(c).isalnum() for c in range(0x110000)])
+    return _tables["alnum"]
 
 
 def _lag(k: int) -> np.ndarray:
@@ -90,7 +96,7 @@ class Landmark:
     toxic: bool
     self_kernel: float = 0.0
     letters: np.uint64 = field(default=np.uint64(0))
-    pairs: np.uint64 = field(default=np.uint64(0))
+    pairs: list[tuple[int, int]] = field(default_factory=list)
     need_letters: int = 0
     need_pairs: int = 0
 
@@ -98,35 +104,28 @@ class Landmark:
         p = _points(self.text.strip(START + END))
         self.self_kernel = float(kernels([self.text], self.text)[0])
         self.letters = np.bitwise_or.reduce(np.uint64(1) << (p & np.uint32(63)).astype(np.uint64))
-        self.pairs = np.bitwise_or.reduce(_pair(p[:-1], p[1:]))
-        n, q = int(np.bitwise_count(self.letters)), int(np.bitwise_count(self.pairs))
+        self.pairs = sorted(set(zip(p[:-1].tolist(), p[1:].tolist(), strict=True)))
+        n, q = int(np.bitwise_count(self.letters)), len(self.pairs)
         self.need_letters = n if n <= 4 else int(np.ceil(0.75 * n))
-        self.need_pairs = int(np.ceil(0.6 * q))
+        self.need_pairs = int(np.ceil(PAIRS * q))
 
 
-def masks(texts: list[str]) -> tuple[str, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(all texts joined, and of each word start, end, text, letters, pairs)."""
-    joined = "\n".join(texts) + "\n"
-    p = _points(joined)
+def masks(texts: list[str]) -> tuple[str, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(letters, digits and white space of all texts joined, and of each word start, end, text, letters)."""
+    p = _points("\n".join(texts) + "\n")
     space = (p < 64) & _SPACE[p & np.uint32(63)]
-    inside = ~space
+    keep = space | _alnum()[p]
+    bounds = np.cumsum(keep)[np.cumsum([len(t) + 1 for t in texts]) - 1] if texts else np.zeros(0, np.int64)
+    p, inside = p[keep], ~space[keep]
+    joined = p.tobytes().decode("utf-32-le", "surrogatepass")
     edge = np.diff(np.concatenate([[False], inside]).astype(np.int8))
     starts = np.flatnonzero(edge == 1)
     ends = np.flatnonzero(edge == -1)
-    none = np.zeros(0, np.uint64)
     if not len(starts):
-        return joined, starts, starts, starts, none, none
-    bounds = np.cumsum([len(t) + 1 for t in texts])
+        return joined, starts, starts, starts, np.zeros(0, np.uint64)
     owner = np.searchsorted(bounds, starts, side="right")
     bits = np.where(inside, np.uint64(1) << (p & np.uint32(63)).astype(np.uint64), np.uint64(0))
-    letters = np.bitwise_or.reduceat(bits, starts)
-    bits[:] = 0
-    run = inside
-    for gap in (1, 2, 3):
-        if len(p) > gap:
-            run = run[:-1] & inside[gap:]
-            bits[: len(run)] |= np.where(run, _pair(p[:-gap], p[gap:]), np.uint64(0))
-    return joined, starts, ends, owner, letters, np.bitwise_or.reduceat(bits, starts)
+    return joined, starts, ends, owner, np.bitwise_or.reduceat(bits, starts)
 
 
 def spelt(joined: str, starts: np.ndarray, ends: np.ndarray, owner: np.ndarray) -> list[tuple[int, str]]:
@@ -147,51 +146,78 @@ def spelt(joined: str, starts: np.ndarray, ends: np.ndarray, owner: np.ndarray)
     return out
 
 
+def split_words(joined: str, starts: np.ndarray, ends: np.ndarray, owner: np.ndarray, letters: np.ndarray, landmarks: list[Landmark]) -> list[tuple[int, str]]:
+    """Words that two or three neighbouring short words make up and that pass the masks: (text, word)."""
+    size, out = ends - starts, []
+    for n in (2, 3):
+        count = len(starts) - n + 1
+        if count <= 0:
+            break
+        short = size <= SHORT + 2 - n
+        at = np.flatnonzero(np.logical_and.reduce([short[k : count + k] for k in range(n)]) & (owner[:count] == owner[n - 1 :]))
+        at = at[_passes(np.bitwise_or.reduce([letters[at + k] for k in range(n)]), landmarks)]
+        out += [(int(owner[i]), "".join(joined[starts[i + k] : ends[i + k]] for k in range(n))) for i in at]
+    return out
+
+
 def windows(word: str) -> list[str]:
     return [word] if len(word) <= WINDOW else [word[i : i + WINDOW] for i in range(0, len(word) - WINDOW // 2, WINDOW // 2)]
 
 
 def suspects(texts: list[str], landmarks: list[Landmark]) -> list[list[str]]:
     """The words of each text that pass the masks of a toxic landmark, each once."""
-    lowered = [t.lower() for t in texts]
-    joined, starts, ends, owner, letters, pairs = masks(lowered)
+    joined, starts, ends, owner, letters = masks([t.lower() for t in texts])
     found: list[dict[str, None]] = [{} for _ in texts]
-    extra = spelt(joined, starts, ends, owner)
-    if extra:
-        ej, es, ee, eo, el, ep = masks([w for _, w in extra])
-        for i in np.flatnonzero(_passes(el, ep, landmarks)):
-            found[extra[eo[i]][0]][ej[es[i] : ee[i]]] = None
-    for i in np.flatnonzero(_passes(letters, pairs, landmarks)):
+    for i, word in spelt(joined, starts, ends, owner) + split_words(joined, starts, ends, owner, letters, landmarks):
+        found[i][word] = None
+    for i in np.flatnonzero(_passes(letters, landmarks)):
         found[owner[i]][joined[starts[i] : ends[i]]] = None
     return [[x for w in f for x in windows(marked(w))] for f in found]
 
 
-def _passes(letters: np.ndarray, pairs: np.ndarray, landmarks: list[Landmark]) -> np.ndarray:
+def _passes(letters: np.ndarray, landmarks: list[Landmark]) -> np.ndarray:
     out = np.zeros(len(letters), bool)
     for m in landmarks:
         if m.toxic:
-            some = np.flatnonzero(np.bitwise_count(letters & m.letters) >= m.need_letters)
-            out[some[np.bitwise_count(pairs[some] & m.pairs) >= m.need_pairs]] = True
+            out |= np.bitwise_count(letters & m.letters) >= m.need_letters
     return out
 
 
+def _ordered(grid: np.ndarray, pairs: list[tuple[int, int]]) -> np.ndarray:
+    """How many of the pairs each word has in order, with anything between."""
+    width, count = grid.shape[1], np.zeros(len(grid), int)
+    first, last = {}, {}
+    for c in {c for pair in pairs for c in pair}:
+        same = grid == c
+        some = same.any(1)
+        first[c] = np.where(some, same.argmax(1), width)
+        last[c] = np.where(some, width - 1 - same[:, ::-1].argmax(1), -1)
+    for a, b in pairs:
+        count += first[a] < last[b]
+    return count
+
+
 def similarities(words: list[str], landmarks: list[Landmark]) -> np.ndarray:
     """Normalised kernel of each word with each landmark; zero where masks fail."""
     out = np.zeros((len(words), len(landmarks)))
     if not words:
         return out
-    joined, starts, _, owner, letters, pairs = masks(words)
+    _, starts, _, owner, letters = masks(words)
     if not len(starts):
         return out
     size = np.array([len(w) for w in words])
-    for k, m in enumerate(landmarks):
-        hit = (np.bitwise_count(letters & m.letters) >= m.need_letters) & (np.bitwise_count(pairs & m.pairs) >= m.need_pairs)
-        rows = np.unique(owner[hit])
-        for low, high in ((0, 12), (12, 20), (20, WINDOW)):
-            own = rows[(size[rows] > low) & (size[rows] <= high)]
-            for at in range(0, len(own), 512):
-                part = own[at : at + 512]
-                out[part, k] = kernels([words[i] for i in part], m.text) / np.sqrt(m.self_kernel)
+    for low, high in ((0, 12), (12, 20), (20, WINDOW)):
+        own = np.flatnonzero((size[owner] > low) & (size[owner] <= high))
+        for at in range(0, len(own), 4096):
+            part = own[at : at + 4096]
+            grid = _grid([words[owner[i]] for i in part])
+            for k, m in enumerate(landmarks):
+                hit = np.flatnonzero(np.bitwise_count(letters[part] & m.letters) >= m.need_letters)
+                hit = hit[_ordered(grid[hit], m.pairs) >= m.need_pairs]
+                for first in range(0, len(hit), 512):
+                    some = hit[first : first + 512]
+                    same = grid[some][:, :, None] == _points(m.text)[None, None, :]
+                    out[owner[part[some]], k] = _common(same) / np.sqrt(m.self_kernel)
     some = np.flatnonzero(out.any(1))
     for at in range(0, len(some), 512):
         part = some[at : at + 512]
@@ -314,11 +340,13 @@ def fit(texts: list[str], labels: list[int], most: int = 64) -> ToxicityModel:
     # A sentence is its word nearest to the toxic landmarks; a toxic document's label holds for its nearest sentence.
     rows, signs = [np.zeros(len(landmarks))], [-1.0]
     for text, y in zip(lowered, labels, strict=True):
-        parts = sentences(text)
+        parts = suspects(sentences(text), landmarks)
+        place = {w: i for i, w in enumerate(dict.fromkeys(w for f in parts for w in f))}
+        known = similarities(list(place), landmarks)
         best = []
-        for f in suspects(parts, landmarks):
-            if f:
-                s = similarities(f, landmarks)
+        for f in parts:
+            s = known[[place[w] for w in f]]
+            if s.any():
                 best.append(s[s[:, : len(chosen)].max(1).argmax()])
         best.sort(key=lambda s: -s[: len(chosen)].max())
         for s in best[:3]:

@@ -143,6 +143,21 @@ def test_insults_with_gaps():
     assert (model.scores([" ".join(word() for _ in range(60)) for _ in range(50)]) < toxicity.THRESHOLD).mean() > 0.95
 
 
+def test_disguised_insults_reach_the_kernel():
+    marks = [toxicity.Landmark("idiot", True), toxicity.Landmark("scumbag", True)]
+    model = toxicity.ToxicityModel(marks, np.ones(2), 0.0)
+    whole = model.decisions(["idiot", "scumbag"])
+    told = ["an i---d---i---o---t then", "an id iot then", "i. d. i. o. t.", "(id) - iot!", "s***c***u***m***b***a***g", "scum bag", "i d iot"]
+    assert np.allclose(model.decisions(told), [whole[int("s" in t)] for t in told])
+    assert model.decisions(["ixxxdxxxixxxoxxxt"])[0] > 0
+    # Words whose kernel is far from nothing pass the filter.
+    rng = np.random.default_rng(1)
+    words = ["".join(np.insert(list("idiot"), sorted(rng.integers(1, 5, n)), "x")) for n in range(9) for _ in range(40)]
+    full = toxicity.kernels(words, "idiot") / np.sqrt(toxicity.self_kernels(words) * marks[0].self_kernel)
+    got = np.array([toxicity.similarities([w], marks[:1])[0, 0] for w in words])
+    assert (got > 0).all() and np.allclose(got, full)
+
+
 def test_toxicity_defined_results(spark, hard, none):
     labels = spark.createDataFrame([(1, 0, 1)], "doc_id long, quality int, toxic int")
     model = toxicity.fit_rows(hard, labels)
