@@ -646,7 +646,7 @@ def postprocess_summary(spark, d):
 @query
 def stack_with_terrain(spark, d):
     """Stacked seasonal bands joined by pixel to elevation, slope and aspect: 36 bands."""
-    terrain = A.pixels(spark, d).where("r < 8 and c < 8")
+    terrain = A.pixels(spark, d)
     slopes = grid.slope_aspect(terrain, "nir")
     full = composite.stacked(composite.mask_clouds(A.scenes(spark, d))).join(terrain.select(*ORDER, C("nir").alias("elevation")), ORDER).join(slopes, ORDER, "left")
     flat = F.when(C("slope") > 1e-9, C("aspect"))

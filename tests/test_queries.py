@@ -39,3 +39,11 @@ def test_query_gives_the_rows_of_its_sql(spark, other, name):
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES)))
 def test_query_without_sql_runs(spark, name):
     assert QUERIES[name](spark, FOLDER).count() > 0
+
+
+def test_terrain_of_every_cell_with_scenes(spark, monkeypatch):
+    from acreframe.plans import queries
+
+    scenes = queries.A.scenes
+    monkeypatch.setattr(queries.A, "scenes", lambda spark, d: scenes(spark, d).selectExpr("* except (r, c)", "r + 20 as r", "c + 20 as c"))
+    assert {(r.r, r.c) for r in QUERIES["stack_with_terrain"](spark, FOLDER).select("r", "c").collect()} & {(r, c) for r in range(20, 24) for c in range(20, 24)}
