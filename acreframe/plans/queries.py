@@ -528,14 +528,13 @@ def rf_score(spark, d):
 @query
 def svm_score(spark, d):
     f = A.features(spark, d)
-    return models.train("SVM", f.where("vec_id < 400"), A.FEATURES, "y", ["vec_id"]).score(f).select("vec_id", F.round("p", 6).alias("p"))
+    return models.train("SVM", f, A.FEATURES, "y", ["vec_id"]).score(f).select("vec_id", F.round("p", 6).alias("p"))
 
 
 @query
 def ensemble_score(spark, d):
     f = A.features(spark, d)
-    train = f.where("vec_id < 400")
-    both = models.Ensemble([models.train(c, train, A.FEATURES, "y", ["vec_id"]) for c in ("Logistic", "ResNet")])
+    both = models.Ensemble([models.train(c, f, A.FEATURES, "y", ["vec_id"]) for c in ("Logistic", "ResNet")])
     return both.score(f).select("vec_id", F.round("p", 6).alias("p"))
 
 

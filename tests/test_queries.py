@@ -47,3 +47,13 @@ def test_terrain_of_every_cell_with_scenes(spark, monkeypatch):
     scenes = queries.A.scenes
     monkeypatch.setattr(queries.A, "scenes", lambda spark, d: scenes(spark, d).selectExpr("* except (r, c)", "r + 20 as r", "c + 20 as c"))
     assert {(r.r, r.c) for r in QUERIES["stack_with_terrain"](spark, FOLDER).select("r", "c").collect()} & {(r, c) for r in range(20, 24) for c in range(20, 24)}
+
+
+@pytest.mark.parametrize("name", ["svm_score", "ensemble_score"])
+def test_models_are_fitted_on_all_labelled_rows(spark, monkeypatch, name):
+    from acreframe.plans import queries
+
+    train, seen = queries.models.train, []
+    monkeypatch.setattr(queries.models, "train", lambda choice, rows, *a: (seen.append(rows.where("y is not null").count()), train(choice, rows, *a))[1])
+    QUERIES[name](spark, FOLDER)
+    assert set(seen) == {queries.A.features(spark, FOLDER).where("y is not null").count()}
