@@ -209,7 +209,7 @@ def heavy_shingles(rows: DataFrame, text: str, documents: int) -> list[tuple[int
     blocks that hold a nineteenth of them, so others are dropped; what is left, at most 380 times a document's mean
     number of shingles, is counted exactly in a second pass.
     """
-    if documents < 20:
+    if not documents:
         return []
 
     def local(batches):
@@ -217,7 +217,7 @@ def heavy_shingles(rows: DataFrame, text: str, documents: int) -> list[tuple[int
 
         def flush():
             found, n = np.unique(np.concatenate(held), return_counts=True)
-            some = n >= max(2, int(np.ceil(LOCAL * docs)))
+            some = n >= int(np.ceil(LOCAL * docs))
             return pa.RecordBatch.from_arrays([pa.array(found[some].view(np.int64)), pa.array(np.full(int(some.sum()), docs), pa.int64())], names=["shingle", "docs"])
 
         for part in slices(batches):

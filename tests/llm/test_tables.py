@@ -248,6 +248,14 @@ def test_heavy_shingles_are_counted(spark):
     assert w.idf.tolist() == [near_dedup.FLOOR] * 3 and abs(near_dedup.Weights([(5, 24)], 120).idf[0] - 0.69897) < 1e-4
 
 
+def test_heavy_shingles_of_small_blocks(spark):
+    rows = [(i, ("one common line here now " if i % 10 == 0 else "") + " ".join(f"u{i}x{j}" for j in range(9))) for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartitionByRange(40, "doc_id")
+    assert [n for _, n in near_dedup.heavy_shingles(df, "text", 40)] == [4]
+    few = spark.createDataFrame(rows[:1] + [(1, rows[0][1])], "doc_id long, text string")
+    assert {n for _, n in near_dedup.heavy_shingles(few, "text", 2)} == {2}
+
+
 def test_components_of_a_chain(spark):
     links = [(i, i + 1) for i in range(0, 40)] + [(100, 101), (100, 102)]
     got = {r.id: r.root for r in near_dedup.components(spark.createDataFrame(links, "a long, b long")).collect()}
