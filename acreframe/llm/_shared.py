@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import re
 import tempfile
@@ -33,16 +34,58 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir().rstrip("/")
 
 
+_roots: set[str] = set()
+
+
 def scratch(spark: SparkSession, label: str) -> str:
-    """A new path below the shared folder."""
-    return f"{shared_dir(spark)}/acreframe-{label}-{uuid.uuid4().hex}"
+    """A new path below the application's own part of the shared folder, which goes when the driver ends."""
+    root = f"{shared_dir(spark)}/acreframe-{spark.sparkContext.applicationId}"
+    if root not in _roots:
+        _roots.add(root)
+        context = spark.sparkContext
+        atexit.register(_at_exit, context._jvm, context._jsc.hadoopConfiguration(), root)
+    return f"{root}/{label}-{uuid.uuid4().hex}"
+
+
+def _delete(jvm, conf, path: str) -> None:
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(conf).delete(at, True)
+
+
+def _at_exit(jvm, conf, root: str) -> None:
+    try:
+        _delete(jvm, conf, root)
+    except Exception:  # the JVM may have gone first; nothing is left to tell then
+        pass
 
 
 def written(df: DataFrame, label: str) -> DataFrame:
     """``df`` as a Parquet table in the shared folder: cuts the lineage and outlives executors."""
     path = scratch(df.sparkSession, label)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._scratch = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables of ``written`` that no plan reads any more; what is not given here goes when the driver ends."""
+    for t in tables:
+        if path := getattr(t, "_scratch", None):
+            context = t.sparkSession.sparkContext
+            _delete(context._jvm, context._jsc.hadoopConfiguration(), path)
+
+
+def unused(rows: DataFrame, *stems: str) -> list[str]:
+    """Column names that no column of ``rows`` has, whatever its case."""
+    taken = {c.lower() for c in rows.columns}
+    out = []
+    for stem in stems:
+        while stem.lower() in taken:
+            stem += "_"
+        taken.add(stem.lower())
+        out.append(stem)
+    return out
 
 
 def file_system(path: str):

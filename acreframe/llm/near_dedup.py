@@ -1,19 +1,25 @@
 """Near duplicates by improved consistent weighted sampling over TF-IDF shingles.
 
-A shingle is five lower-case words in a row (all words, where a text has fewer); its weight is 1 + ln of how often the text
-holds it, so that a line repeated a hundred times does not outweigh all others, times its inverse document frequency: 1 up to a tenth of all documents, then ln(N / df) / ln 10, FLOOR at least. Only shingles of more than
-a tenth of the documents have another weight than their count, and those are few, however large the corpus: they are found
-from blocks of documents (a shingle of a tenth of all documents is in a twentieth of many blocks) and counted exactly.
+A shingle is five lower-case words in a row (all words, where a text has fewer). Its weight is 1 + ln of how often the text
+holds it, so that a line repeated a hundred times does not outweigh all others, times its inverse document frequency: the
+logarithm of the share of documents that hold it, 1 up to a share of ``RARE`` and never under ``FLOOR``. Shares come from a
+count sketch of all documents, two rows of ``SLOTS`` counters, whose size does not grow with the corpus; what chance puts
+into a slot is a like share of any corpus and is taken off. All documents see the same sketch, so weights agree.
 
 Each text draws ``BANDS * ROWS`` consistent samples; two texts agree in a sample with a chance equal to their weighted
 Jaccard similarity. A text with weights other than 1 draws again with all weights 1, as the plain similarity alone may make a
-pair, whatever the weighted one is. Texts that agree in all samples of a band, by either draw, share a bucket. Identical texts are one from the start. In a
-bucket, members are compared with the bucket's hubs, members whose other buckets are full, and with a few others: all of
-them up to ``SMALL`` members, those of the same hash block beyond; so these pairs grow in proportion to members, and a bucket
-of near copies holds together. Then all other pairs of a bucket whose ends are in different classes are compared too, so every
-pair that shares a bucket is compared or is in one class already: few where buckets hold near copies, quadratic in a bucket
-of many texts that are not similar. Every compared pair is verified on whole texts: the weighted Jaccard
-similarity must reach ``LEAST``, with ``LEAST_PLAIN`` of the plain shingle sets, or the plain one must reach ``LEAST``. Classes are the connected components.
+pair, whatever the weighted one is. Texts that agree in all samples of a band, by either draw, share a bucket. Identical texts
+are one from the start. In a bucket, members are compared with the bucket's hubs, members whose other buckets are full, and
+with a few others: all of them up to ``SMALL`` members, those of the same hash block beyond; so these pairs grow in
+proportion to members. Every compared pair is verified on whole texts: the weighted Jaccard similarity must reach ``LEAST``,
+or that with all weights 1 must. Classes are the connected components.
+
+Then the members of larger buckets are compared exactly with those of other classes. Texts of similarity ``LEAST`` share a
+shingle among the rarest ones that make up 1 - LEAST of either, and behind the first one that they share, enough is left in
+both for the overlap that ``LEAST`` asks for. Pairs that meet by such a shingle and pass that bound, by weights or by numbers,
+are all verified; no other pair can be similar. So no pair of similar texts that shares a bucket is left out, and texts that
+share a bucket by a common passage only, or strays around a group of copies, do not meet at all, as their rarest shingles
+are their own.
 
 A pair of weighted or of plain similarity 0.8 shares no bucket with a chance of (1 - 0.8**3)**14, 1 in 23,000. Defined results: null, empty and wordless texts are
 in no class but their own; a null key gives a null class; of a key that repeats, the least text is verified.
@@ -21,23 +27,26 @@ in no class but their own; a null key gives a null class; of a key that repeats,
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from acreframe.llm._shared import SPACES, group_attach, group_whole, mapped, slices, whole_attach, written
+from acreframe.llm._shared import SPACES, discard, group_attach, group_whole, mapped, slices, unused, whole_attach, written
 from acreframe.llm.language_id import pieces
 
 BANDS, ROWS = 14, 3
-LEAST, LEAST_PLAIN = 0.8, 0.7
+LEAST = 0.8
 WIDTH = 5  # words of a shingle
-HEAVY, LOCAL = 0.1, 0.05  # document share of shingles that weigh less, and share of a block that may hint at one
-FLOOR = 0.6  # no shingle weighs less: copies that make up much of a corpus make their own shingles frequent
-BLOCK_DOCS, BLOCK_SHINGLES = 2048, 2_000_000
-SMALL, PART = 24, 12  # members of a bucket that are all compared; members of a block of larger ones
+SLOTS, PARTS = 1 << 19, 256  # counters of a row of the sketch, and the parts in which rows travel
+RARE, FLOOR = 1 / 256, 0.1  # document share up to which a shingle has its whole weight; the least inverse document frequency
+PRIOR = 1000  # documents that a corpus is taken to have besides its own, as few documents tell little of what is common
+BLOCK_SHINGLES = 1_000_000  # that a task counts at once
+SMALL, PART = 24, 6  # members of a bucket that are all compared; members of a block of larger ones
 HUBS, VARIES = 4, 0.15  # hubs of a bucket; share of a member's weight that chance takes when a hub is chosen
-FEW, CHUNK = 8, 256  # open pairs for each member of a mixed bucket that are compared at once; members in a task's part of a bucket
+FEW, CHUNK = 8, 256  # open pairs for each member of mixed buckets that are compared at once; members in a task's part of a shingle
 MEMBERS = 64  # of a pair's head that go to a task together
 
 _U = np.uint64
@@ -152,24 +161,25 @@ def draws(found: np.ndarray, weightings: list[np.ndarray], samples: int) -> list
     return [(best_s, best_t) for _, best_s, best_t in best]
 
 
+def slots(found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The counter of each shingle in either row of the sketch."""
+    return (found & _U(SLOTS - 1)).astype(np.int64), (found >> _U(40) & _U(SLOTS - 1)).astype(np.int64)
+
+
 class Weights:
-    """Inverse document frequency of shingles: 1 but for the heavy ones given."""
+    """Inverse document frequency of shingles, from a sketch of (2, SLOTS) document counts."""
+
+    def __init__(self, counts: np.ndarray, documents: int):
+        own = np.maximum(counts - counts.mean(1, keepdims=True), 1)
+        self.share = (own / (documents + PRIOR)).astype(np.float32)
 
-    def __init__(self, heavy: list[tuple[int, int]], documents: int):
-        count = dict(heavy)
-        ids = sorted(count)
-        self.ids = np.array(ids, np.int64).view(np.uint64)
-        self.idf = np.array([max(FLOOR, min(1.0, np.log(max(documents, 1) / count[i]) / np.log(1 / HEAVY))) for i in ids])
-        order = np.argsort(self.ids)
-        self.ids, self.idf = self.ids[order], self.idf[order]
+    def shares(self, found: np.ndarray) -> np.ndarray:
+        one, two = slots(found)
+        return np.minimum(self.share[0][one], self.share[1][two])
 
     def of(self, found: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        w = 1 + np.log(counts)
-        if len(self.ids):
-            at = np.minimum(np.searchsorted(self.ids, found), len(self.ids) - 1)
-            hit = self.ids[at] == found
-            w[hit] *= self.idf[at[hit]]
-        return w
+        idf = np.log(np.maximum(self.shares(found).astype(np.float64), 1e-12)) / np.log(RARE)
+        return (1 + np.log(counts)) * np.clip(idf, FLOOR, 1.0)
 
 
 def weighted(words: np.ndarray, weights: Weights) -> tuple[np.ndarray, np.ndarray]:
@@ -202,85 +212,82 @@ def signature(found: np.ndarray, weights: np.ndarray, bands: int = BANDS, rows:
     return out
 
 
-def heavy_shingles(rows: DataFrame, text: str, documents: int) -> list[tuple[int, int]]:
-    """Shingles of a tenth of the documents or more, and their document counts.
-
-    A block names the shingles that a twentieth of its documents hold. A shingle of a tenth of all documents is named by
-    blocks that hold a nineteenth of them, so others are dropped; what is left, at most 380 times a document's mean
-    number of shingles, is counted exactly in a second pass.
-    """
-    if not documents:
-        return []
+def document_frequencies(rows: DataFrame, text: str) -> Weights:
+    """The sketch of all documents: each task counts its own, parts of the counters are summed up by task."""
 
     def local(batches):
-        held, docs, size = [], 0, 0
+        counts, held, size, docs = np.zeros((2, SLOTS), np.int64), [], 0, 0
 
-        def flush():
-            found, n = np.unique(np.concatenate(held), return_counts=True)
-            some = n >= int(np.ceil(LOCAL * docs))
-            return pa.RecordBatch.from_arrays([pa.array(found[some].view(np.int64)), pa.array(np.full(int(some.sum()), docs), pa.int64())], names=["shingle", "docs"])
+        def add():
+            for row, at in enumerate(slots(np.concatenate(held))):
+                counts[row] += np.bincount(at, minlength=SLOTS)
+            held.clear()
 
         for part in slices(batches):
             for words in word_hashes([t or "" for t in part.column(0).to_pylist()]):
                 held.append(np.unique(shingles(words)))
                 docs, size = docs + 1, size + len(held[-1])
-                if docs >= BLOCK_DOCS or size >= BLOCK_SHINGLES:
-                    yield flush()
-                    held, docs, size = [], 0, 0
-        if docs:
-            yield flush()
-
-    named = mapped(rows.select(text), local, "shingle bigint, docs bigint").groupBy("shingle").agg(F.sum("docs").alias("docs")).where(F.col("docs") >= documents / 19.5)
-    found = np.sort(np.array([r[0] for r in named.select("shingle").collect()], np.int64).view(np.uint64))
-    if not len(found):
-        return []
-    shipped = rows.sparkSession.sparkContext.broadcast(found)
-
-    def exact(batches):
-        total = np.zeros(len(shipped.value), np.int64)
-        for part in slices(batches):
-            for words in word_hashes([t or "" for t in part.column(0).to_pylist()]):
-                own = np.unique(shingles(words))
-                at = np.minimum(np.searchsorted(shipped.value, own), len(total) - 1)
-                total[at[shipped.value[at] == own]] += 1
-        some = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(shipped.value[some].view(np.int64)), pa.array(total[some])], names=["shingle", "n"])
-
-    counted = mapped(rows.select(text), exact, "shingle bigint, n bigint").groupBy("shingle").agg(F.sum("n").alias("n"))
-    return [(r[0], r[1]) for r in counted.where(F.col("n") >= HEAVY * documents).collect()]
+            if size >= BLOCK_SHINGLES:
+                add()
+                size = 0
+        if held:
+            add()
+        pieces_ = counts.reshape(2 * PARTS, -1)
+        some = [k for k in range(2 * PARTS) if pieces_[k].any()]
+        # Each part in the least width that holds its counts.
+        packed = [pieces_[k].astype(np.min_scalar_type(int(pieces_[k].max()))).tobytes() for k in some]
+        yield pa.RecordBatch.from_arrays([pa.array([-1, *some], pa.int64()), pa.array([np.int64(docs).tobytes(), *packed], pa.binary())], names=["part", "counts"])
+
+    def total(batches):
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for k, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                n = 1 if k < 0 else SLOTS // PARTS
+                data = data.as_buffer()
+                own = np.frombuffer(data, f"u{data.size // n}").astype(np.int64)
+                sums[k] = sums[k] + own if k in sums else own
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int64()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], names=["part", "counts"])
+
+    schema = "part bigint, counts binary"
+    summed = mapped(mapped(rows.select(text), local, schema).repartition("part"), total, schema).collect()  # 2 * PARTS rows of fixed size
+    counts, docs = np.zeros((2 * PARTS, SLOTS // PARTS), np.int64), 0
+    for k, data in summed:
+        if k < 0:
+            docs = int(np.frombuffer(data, np.int64)[0])
+        else:
+            counts[k] = np.frombuffer(data, np.int64)
+    return Weights(counts.reshape(2, SLOTS), docs)
 
 
 def signed(rows: DataFrame, key: str, text: str, weights: Weights) -> DataFrame:
-    """(key, one, two, bands, width) of each row: two hashes of the sequence of words, a code for each band, and its number of shingles."""
+    """(key, one, two, bands) of each row: two hashes of the sequence of words, and a code for each band."""
     shipped = rows.sparkSession.sparkContext.broadcast(weights)
 
     def run(batches):
         import xxhash
 
-        known: dict[tuple[int, int], tuple[list[int], int]] = {}
+        known: dict[tuple[int, int], list[int | None]] = {}
         for part in slices(batches):
-            one, two, codes, widths = [], [], [], []
+            one, two, codes = [], [], []
             for words in word_hashes([t or "" for t in part.column(1).to_pylist()]):
                 raw = words.tobytes()
                 same = (xxhash.xxh64_intdigest(raw, 1) - (1 << 63), xxhash.xxh64_intdigest(raw, 2) - (1 << 63))
                 if same not in known:
                     if len(known) > 4096:
                         known.clear()
-                    own = weighted(words, shipped.value)
-                    known[same] = (signature(*own) if len(words) else [], len(own[0]))
+                    known[same] = signature(*weighted(words, shipped.value)) if len(words) else []
                 one.append(same[0])
                 two.append(same[1])
-                codes.append(known[same][0])
-                widths.append(known[same][1])
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(one, pa.int64()), pa.array(two, pa.int64()), pa.array(codes, pa.list_(pa.int64())), pa.array(widths, pa.int64())], names=[key, "one", "two", "bands", "width"])
+                codes.append(known[same])
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(one, pa.int64()), pa.array(two, pa.int64()), pa.array(codes, pa.list_(pa.int64()))], names=[key, "one", "two", "bands"])
 
-    return mapped(rows.select(key, text), run, f"{key} {rows.schema[key].dataType.simpleString()}, one bigint, two bigint, bands array<bigint>, width bigint")
+    return mapped(rows.select(key, text), run, f"{key} {rows.schema[key].dataType.simpleString()}, one bigint, two bigint, bands array<bigint>")
 
 
 def buckets(texts: DataFrame) -> DataFrame:
-    """(id, width, band, code, n) of the members of each bucket of n > 1 different texts (id, bands, width)."""
-    drawn = texts.select("id", "width", F.posexplode("bands").alias("place", "code")).where("code is not null")
-    banded = drawn.select("id", "width", (F.col("place") % BANDS).alias("band"), "code")
+    """(id, band, code, n) of the members of each bucket of n > 1 different texts (id, bands)."""
+    drawn = texts.select("id", F.posexplode("bands").alias("place", "code")).where("code is not null")
+    banded = drawn.select("id", (F.col("place") % BANDS).alias("band"), "code")
     sized = group_attach(banded, ["band", "code"], {"n": (F.count("*"), F.sum("n"))}, F.col("id"))
     return written(sized.where("n > 1"), "buckets")
 
@@ -294,21 +301,19 @@ def pairs(full: DataFrame) -> DataFrame:
     hubs = {f"hub{k}": (F.max(F.struct((F.col("weight") * (1 - VARIES * chance(k))).alias("weight"), F.col("id").alias("id"))), F.max(f"hub{k}")) for k in range(HUBS)}
     starred = group_attach(central, ["band", "code"], hubs, F.col("id"))
     star = starred.select(F.col("id").alias("x"), F.explode(F.array_distinct(F.array(*[F.col(f"hub{k}.id") for k in range(HUBS)]))).alias("y")).where("x <> y")
-    block = F.when(F.col("n") <= SMALL, F.lit(0)).otherwise(F.pmod(F.xxhash64("id", F.lit(5)), F.ceil(F.col("n") / PART)))
+    block = F.when(F.col("n") <= SMALL, F.lit(0)).otherwise(F.pmod(F.xxhash64("id", "band", "code"), F.ceil(F.col("n") / PART)))
     parts = full.groupBy("band", "code", block.alias("block")).agg(F.collect_set("id").alias("members")).where(F.size("members") > 1)
     near = parts.select(F.explode("members").alias("x"), "members").select("x", F.explode(F.filter("members", lambda m: m > F.col("x"))).alias("y"))
     return star.unionByName(near).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
-def verified(compared: DataFrame, rows: DataFrame, key: str, text: str, weights: Weights) -> DataFrame:
-    """(a, b, weighted, plain) of the pairs that are similar enough, from whole texts.
+def verified(compared: DataFrame, stored: DataFrame, weights: Weights) -> DataFrame:
+    """(a, b, weighted, plain) of the pairs that are similar enough, from the whole texts stored by id.
 
     The end of a pair that is in more pairs is its head. A head's text goes once to each task that holds some of its
     members, next to their texts, so nothing waits for a hub's pairs in one task.
     """
     ends = compared.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("degree"))
-    ends = written(ends, "ends")
-    stored = written(rows.join(ends, rows[key] == ends["id"], "left_semi").groupBy(F.col(key).alias("id")).agg(F.min(text).alias("text")), "texts")
     of_a, of_b = (ends.select(F.col("id").alias(c), F.col("degree").alias(f"degree_{c}")) for c in "ab")
     both = compared.join(of_a, "a").join(of_b, "b")
     a_heads = (F.col("degree_a") > F.col("degree_b")) | ((F.col("degree_a") == F.col("degree_b")) & (F.col("a") < F.col("b")))
@@ -317,8 +322,8 @@ def verified(compared: DataFrame, rows: DataFrame, key: str, text: str, weights:
     heads = led.select("head", "salt").distinct().join(stored, F.col("head") == stored["id"]).select("head", "salt", F.col("head").alias("id"), F.lit(0).alias("place"), "text")
     members = led.join(stored, F.col("member") == stored["id"]).select("head", "salt", "id", F.lit(1).alias("place"), "text")
     lined = heads.unionByName(members).repartition("head", "salt").sortWithinPartitions("head", "salt", "place", "id")
-    shipped = rows.sparkSession.sparkContext.broadcast(weights)
-    kind = rows.schema[key].dataType.simpleString()
+    shipped = stored.sparkSession.sparkContext.broadcast(weights)
+    kind = stored.schema["id"].dataType.simpleString()
 
     def run(batches):
         head, own = None, None
@@ -330,7 +335,7 @@ def verified(compared: DataFrame, rows: DataFrame, key: str, text: str, weights:
                     head, own = h, s
                 elif head == h:
                     w, p = similarity(own, s)
-                    if p >= LEAST or (w >= LEAST and p >= LEAST_PLAIN):
+                    if w >= LEAST or p >= LEAST:
                         out.append((min(h, i), max(h, i), w, p))
             if out:
                 a, b, w, p = zip(*out, strict=True)
@@ -355,77 +360,117 @@ def components(links: DataFrame) -> DataFrame:
         down = large.select(F.col("b").alias("u"), F.col("a").alias("v"))
         least = group_attach(down, ["u"], {"m": (F.min("v"), F.min("m"))}, F.col("v"))
         small = least.select(F.explode(F.array("u", "v")).alias("b"), F.col("m").alias("a")).where("a <> b").select("a", "b").distinct()
-        edges = written(small, "edges")
+        before, edges = edges, written(small, "edges")
         now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+        discard(before)
         if now == state:
             return edges.select(F.col("b").alias("id"), F.col("a").alias("root"))
         state = now
 
 
-def mixed(full: DataFrame, rooted: DataFrame) -> tuple[DataFrame, int, int]:
-    """Members of large buckets of several classes (with root, and stray: not of the bucket's largest class), their number, and that of their pairs across classes."""
-    own = full.where(F.col("n") > SMALL).join(rooted.withColumnRenamed("id", "_id"), F.col("id") == F.col("_id"), "left").drop("_id")
-    own = written(own.withColumn("root", F.coalesce("root", "id")), "rooted")
-    counts = own.groupBy("band", "code", "root").agg(F.count("*").alias("c"))
-    most = counts.groupBy(F.col("band").alias("_band"), F.col("code").alias("_code")).agg(F.max(F.struct("c", "root")).alias("top"), F.sum("c").alias("total"), F.sum(F.col("c") * F.col("c")).alias("inner")).where("top.c < total")
-    most = written(most, "mixed")
-    found = own.join(most, (own["band"] == most["_band"]) & (own["code"] == most["_code"])).select(*own.columns, (F.col("root") != F.col("top.root")).alias("stray"))
-    n, crossing = most.agg(F.coalesce(F.sum("total"), F.lit(0)), F.coalesce(F.sum((F.col("total") * F.col("total") - F.col("inner")) / 2), F.lit(0))).first()
-    return found, int(n), int(crossing)
-
-
-def across(members: DataFrame, turn: int | None) -> DataFrame:
-    """Distinct pairs (a, b), a < b, across classes of a bucket: all, or in a turn those of the turn's hash blocks.
+def rarest(stored: DataFrame, weights: Weights) -> DataFrame:
+    """(id, root, token, left, width, heft, weight) of the rarest shingles of texts (id, root, text).
 
-    One end is a stray. Pairs that cannot have ``LEAST_PLAIN`` of their shingles in common, by their numbers, are left out.
+    left and heft are the number and the weight of a text's shingles from the token on, rarest first, width and weight
+    those of all; tokens go on as long as either is ``LEAST`` of the whole.
     """
-    if turn is None:
-        parts = F.ceil(F.col("n") / CHUNK).cast("long")
-        own, to = F.pmod(F.xxhash64("id", F.lit(7)), parts), F.sequence(F.lit(0).cast("long"), parts - 1)
-    else:
-        own = F.pmod(F.xxhash64("id", "band", "code", F.lit(turn)), F.ceil(F.col("n") / PART))
-        to = F.array(own.cast("long"))
-    names = ("id", "width", "root")
-    x = members.where("stray").select("band", "code", *[F.col(c).alias(f"x_{c}") for c in names], F.explode(to).alias("part"))
-    y = members.select("band", "code", *[F.col(c).alias(f"y_{c}") for c in names], own.cast("long").alias("part"))
-    wide = F.least("x_width", "y_width") >= LEAST_PLAIN * F.greatest("x_width", "y_width") - 1e-6
-    met = x.join(y.hint("merge"), ["band", "code", "part"]).where((F.col("x_root") != F.col("y_root")) & wide)
-    return met.select(F.least("x_id", "y_id").alias("a"), F.greatest("x_id", "y_id").alias("b")).distinct()
-
-
-def all_linked(full: DataFrame, verify) -> DataFrame:
-    """(id, root) by the links of all pairs that share a bucket; ``verify`` gives the similar ones of pairs.
-
-    After the first pairs, what is left are pairs of large buckets across classes. Turns of new hash blocks make classes
-    grow together while that halves those pairs; then all that remain are compared.
+    shipped = stored.sparkSession.sparkContext.broadcast(weights)
+    kind = stored.schema["id"].dataType.simpleString()
+
+    def run(batches):
+        for part in slices(batches):
+            ids, roots = part.column(0).to_pylist(), part.column(1).to_pylist()
+            out: list[list] = [[] for _ in range(7)]
+            for i, root, words in zip(ids, roots, word_hashes([t or "" for t in part.column(2).to_pylist()]), strict=True):
+                found, w = weighted(words, shipped.value)
+                order = np.lexsort((found, shipped.value.shares(found)))
+                found, w = found[order], w[order]
+                heft = np.cumsum(w[::-1])[::-1]
+                left = np.arange(len(found), 0, -1)
+                n = int(((left >= LEAST * len(found) - 1e-9) | (heft >= LEAST * heft[0] - 1e-9)).sum())
+                for column, values in zip(out, ([i] * n, [root] * n, found[:n].view(np.int64), left[:n], [len(found)] * n, heft[:n], [heft[0]] * n), strict=True):
+                    column.extend(values)
+            kinds = [part.column(0).type] * 2 + [pa.int64()] * 3 + [pa.float64()] * 2
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names=["id", "root", "token", "left", "width", "heft", "weight"])
+
+    return mapped(stored.select("id", "root", "text"), run, f"id {kind}, root {kind}, token bigint, left bigint, width bigint, heft double, weight double")
+
+
+def rest(full: DataFrame, stored: DataFrame, rooted: DataFrame, weights: Weights) -> tuple[DataFrame, int]:
+    """Distinct pairs (a, b), a < b, of texts of larger buckets that are in different classes and may be similar, and the number of those texts."""
+    large = full.where(F.col("n") > SMALL).select("id", "band", "code").join(rooted.withColumnRenamed("id", "_id"), F.col("id") == F.col("_id"), "left")
+    large = large.select("id", "band", "code", F.coalesce("root", "id").alias("root"))
+    mixed = group_attach(large, ["band", "code"], {"lo": (F.min("root"), F.min("lo")), "hi": (F.max("root"), F.max("hi"))}, F.col("id"))
+    members = written(mixed.where("lo <> hi").select("id", "root").distinct(), "mixed")
+    tokens = written(rarest(stored.join(members, "id"), weights), "tokens")
+    counts = tokens.groupBy("token", "root").agg(F.count("*").alias("c"))
+    shared = counts.groupBy(F.col("token").alias("_token")).agg(F.max(F.struct("c", "root")).alias("top"), F.sum("c").alias("n")).where("top.c < n")
+    found = written(tokens.join(shared, F.col("token") == F.col("_token")).select(*tokens.columns, "n", (F.col("root") != F.col("top.root")).alias("stray")), "shared")
+    # One end is not of the shingle's largest class; the other end's side of a shingle is dealt out in parts.
+    parts = F.ceil(F.col("n") / CHUNK).cast("long")
+    names = ("id", "root", "left", "width", "heft", "weight")
+    x = found.where("stray").select("token", *[F.col(c).alias(f"x_{c}") for c in names], F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("part"))
+    y = found.select("token", *[F.col(c).alias(f"y_{c}") for c in names], F.pmod(F.xxhash64("id", F.lit(7)), parts).alias("part"))
+    need = LEAST / (1 + LEAST) * (1 - 1e-9)
+    plain = F.least("x_left", "y_left") >= need * (F.col("x_width") + F.col("y_width"))
+    heavy = F.least("x_heft", "y_heft") >= need * (F.col("x_weight") + F.col("y_weight"))
+    met = x.join(y.hint("merge"), ["token", "part"]).where((F.col("x_root") != F.col("y_root")) & (plain | heavy))
+    out = written(met.select(F.least("x_id", "y_id").alias("a"), F.greatest("x_id", "y_id").alias("b")).distinct(), "open")
+    n = members.count()
+    discard(members, tokens, found)
+    return out, n
+
+
+def across(compared: DataFrame, rooted: DataFrame) -> DataFrame:
+    """The pairs whose ends are in different classes still."""
+    of_a, of_b = (rooted.select(F.col("id").alias(c), F.col("root").alias(f"root_{c}")) for c in "ab")
+    both = compared.join(of_a, "a", "left").join(of_b, "b", "left")
+    return both.where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b")
+
+
+def all_linked(full: DataFrame, stored: DataFrame, weights: Weights) -> DataFrame:
+    """(id, root) by the links of all pairs that share a bucket.
+
+    First the pairs of hubs, blocks and small buckets; then all that ``rest`` finds. Where those are many, some of them
+    are compared first, about one for each text, so that classes grow together and the others need not be: as long as
+    that halves their number.
     """
     compared = written(pairs(full), "compared")
-    links = written(verify(compared).select("a", "b"), "links")
+    found = [written(verified(compared, stored, weights).select("a", "b"), "links")]
+    rooted = components(found[0])
+    open_, members = rest(full, stored, rooted, weights)
+    left = written(open_.join(compared, ["a", "b"], "left_anti"), "open")
+    discard(open_, compared)
     turn, last = 0, None
-    while True:
-        rooted = components(links)
-        members, n, crossing = mixed(full, rooted)
-        if not crossing:
-            return rooted
-        final = crossing <= FEW * n or (last is not None and crossing > last / 2)
-        turn, last = turn + 1, crossing
-        new = written(across(members, None if final else turn).join(compared, ["a", "b"], "left_anti"), "compared")
-        links = links.unionByName(written(verify(new).select("a", "b"), "links"))
+    while n := left.count():
+        final = n <= FEW * members or (last is not None and n > last / 2)
+        some = F.lit(True) if final else F.pmod(F.xxhash64("a", "b", F.lit(turn)), F.lit(-(-n // max(1, members)))) == 0
+        found.append(written(verified(left.where(some), stored, weights).select("a", "b"), "links"))
+        rooted = components(reduce(DataFrame.unionByName, found))
         if final:
-            return components(links)
-        compared = compared.unionByName(new)
+            break
+        before, left = left, written(across(left.where(~some), rooted), "open")
+        discard(before)
+        turn, last = turn + 1, n
+    discard(left, *found)
+    return rooted
 
 
 def classes(rows: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, class_id, copy_of, kept) of each row: the least key of its class, and of the texts with the same words."""
-    weights = Weights(heavy_shingles(rows, text, n := rows.count()), n)
+    weights = document_frequencies(rows, text)
     table = written(signed(rows, key, text, weights), "signatures")
     same = ["one", "two"]
     by = F.col(key).cast("string")
     worded = table.where((F.size("bands") > 0) & F.col(key).isNotNull())
-    whole = written(group_whole(worded, same, {"id": (F.min(key), F.min("id")), "bands": (F.any_value("bands"), F.any_value("bands")), "width": (F.any_value("width"), F.any_value("width"))}, by), "distinct")
-    rooted = all_linked(buckets(whole.select("id", "bands", "width")), lambda compared: verified(compared, rows, key, text, weights))
-    final = whole.drop("bands", "width").join(rooted.withColumnRenamed("id", "_id"), F.col("id") == F.col("_id"), "left").drop("_id")
+    whole = written(group_whole(worded, same, {"id": (F.min(key), F.min("id")), "bands": (F.any_value("bands"), F.any_value("bands"))}, by), "distinct")
+    full = buckets(whole.select("id", "bands"))
+    ids = full.select(F.col("id").alias("_id")).distinct()
+    own = rows.select(F.col(key).alias("id"), F.col(text).alias("text"))
+    stored = written(own.join(ids, F.col("id") == F.col("_id"), "left_semi").groupBy("id").agg(F.min("text").alias("text")), "texts")
+    rooted = all_linked(full, stored, weights)
+    discard(full, stored)
+    final = whole.drop("bands").join(rooted.withColumnRenamed("id", "_id"), F.col("id") == F.col("_id"), "left").drop("_id")
     found = whole_attach(worded.select(key, *same), final, same, by)
     known = found.select(key, F.coalesce("root", "id").alias("class_id"), F.col("id").alias("copy_of"))
     alone = table.where((F.size("bands") <= 0) | F.col(key).isNull()).select(key, F.col(key).alias("class_id"), F.col(key).alias("copy_of"))
@@ -434,5 +479,6 @@ def classes(rows: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
 
 def keep_rows(rows: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows whose document stays, with all their columns; of a key that repeats, every row with that key."""
-    kept = classes(rows, key, text).where("kept").select(F.col(key).alias("_key"))
-    return rows.join(kept, rows[key].eqNullSafe(F.col("_key")), "left_semi")
+    (name,) = unused(rows, "_key")
+    kept = classes(rows, key, text).where("kept").select(F.col(key).alias(name))
+    return rows.join(kept, rows[key].eqNullSafe(F.col(name)), "left_semi")

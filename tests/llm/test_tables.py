@@ -239,21 +239,41 @@ def test_samples_agree_as_often_as_sets_are_similar():
     assert abs(((s == u) & (t == v)).mean() - w) < 0.04
 
 
-def test_heavy_shingles_are_counted(spark):
-    rows = [(i, "one common line of seven plain words " + " ".join(f"u{i}x{j}" for j in range(6))) for i in range(60)] + [(100 + i, " ".join(f"v{i}x{j}" for j in range(9))) for i in range(60)]
-    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
-    heavy = near_dedup.heavy_shingles(df, "text", 120)
-    assert len(heavy) == 3 and {n for _, n in heavy} == {60}
-    w = near_dedup.Weights(heavy, 120)
-    assert w.idf.tolist() == [near_dedup.FLOOR] * 3 and abs(near_dedup.Weights([(5, 24)], 120).idf[0] - 0.69897) < 1e-4
-
-
-def test_heavy_shingles_of_small_blocks(spark):
-    rows = [(i, ("one common line here now " if i % 10 == 0 else "") + " ".join(f"u{i}x{j}" for j in range(9))) for i in range(40)]
-    df = spark.createDataFrame(rows, "doc_id long, text string").repartitionByRange(40, "doc_id")
-    assert [n for _, n in near_dedup.heavy_shingles(df, "text", 40)] == [4]
-    few = spark.createDataFrame(rows[:1] + [(1, rows[0][1])], "doc_id long, text string")
-    assert {n for _, n in near_dedup.heavy_shingles(few, "text", 2)} == {2}
+def test_document_frequencies_come_from_all_documents(spark):
+    import numpy as np
+
+    rows = [(i, "one common line of seven plain words " + " ".join(f"u{i}x{j}" for j in range(6))) for i in range(2000)] + [(5000, None), (5001, ""), (5002, "lone")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    weights = near_dedup.document_frequencies(df.repartition(5), "text")
+    own = near_dedup.shingles(near_dedup.word_hashes([rows[7][1]])[0])
+    shares = weights.shares(own) * (2003 + near_dedup.PRIOR)
+    assert (np.abs(shares[:3] - 2000) < 2).all() and (shares[3:] < 3).all()
+    idf = weights.of(own, np.ones(len(own)))
+    assert (idf[3:] == 1).all() and np.allclose(idf[:3], np.log(2000 / 3003) / np.log(near_dedup.RARE), atol=1e-3) | (idf[:3] == near_dedup.FLOOR).all()
+    again = near_dedup.document_frequencies(df.repartitionByRange(17, "doc_id"), "text")
+    assert (again.share == weights.share).all()
+    assert (near_dedup.document_frequencies(df.limit(0), "text").share <= 1 / near_dedup.PRIOR).all()
+
+
+def test_rarest_shingles_leave_no_similar_pair_apart(spark, monkeypatch):
+    # Without the first pairs, everything hangs on the exact pass over larger buckets.
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    base = [f"w{i}" for i in range(120)]
+    rows = []
+    for k in range(200):
+        words = list(base)
+        for at in rng.integers(0, 120, int(rng.integers(0, 7))):
+            words[int(at)] = f"n{k}x{at}"
+        rows.append((k, " ".join(words)))
+    pairs = near_dedup.pairs
+    monkeypatch.setattr(near_dedup, "pairs", lambda full: pairs(full).limit(0))
+    signed = near_dedup.signed
+    monkeypatch.setattr(near_dedup, "signed", lambda *a: signed(*a).withColumn("bands", F.array(*[F.lit(b) for b in range(14)]).cast("array<bigint>")))
+    got = {r.doc_id: r.class_id for r in near_dedup.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    want = brute_classes(rows)
+    assert got == want and 1 < len(set(want.values())) < 200
 
 
 def test_components_of_a_chain(spark):
