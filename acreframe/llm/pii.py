@@ -1,8 +1,9 @@
 """Personal data by anchor expansion.
 
 An Aho-Corasick automaton finds anchors: at-signs, schemes, cues of identifiers, and the short digit patterns that every
-address or number must hold. From an anchor a deterministic parser finds the span's bounds and checks it. Nothing
-backtracks, so a text costs time in proportion to its length.
+address or number must hold. From an anchor a deterministic parser finds the span's bounds and checks it. A parser reads a
+bounded number of characters, or up to a character that the next anchor of its kind is behind, or uses up what it has read
+though it holds no span; so a text costs time in proportion to its length.
 
 Base kinds, leftmost and not overlapping within a kind: email, ip, card, phone (see the parsers). Added kinds:
   account  the value after an identifier cue such as ``iban:`` or ``account no.``: 6 to 34 letters and digits, two of
@@ -31,8 +32,9 @@ _PHONE = _DIGITS | frozenset(" ().-")
 ACCOUNT_CUES = ("iban", "account number", "account no", "passport no", "passport number", "customer id", "social security number", "ssn")
 SECRET_CUES = ("password", "passwd", "token", "api_key", "apikey", "secret")
 _value_account = re.compile(r"[\x20.]{0,2}[:=#]?\x20?([A-Za-z0-9](?:[\x20-]?[A-Za-z0-9]){5,40})")
+_iban_head = re.compile(r"(?:[\x20-]?[A-Za-z]){2}(?:[\x20-]?[0-9]){2}")
 _value_secret = re.compile(r"\x20?[:=]\x20?[\"']?([^\s\"',;]{8,})")
-_login = re.compile(r"[^\s/@:]+:[^\s/@]+(?=@)")
+_login = re.compile(r"[^\s/@:]+:[^\s/@]+")
 _automata: list = []
 
 
@@ -155,6 +157,8 @@ def parse_account(text: str, at: int, used: int, length: int):
         return None
     value = m.group(1)
     if text[at : at + length].lower() == "iban":
+        if not _iban_head.match(value):
+            return None
         words = value.split(" ")
         for k in range(len(words), 0, -1):  # words after the number are not of it
             if iban(" ".join(words[:k])):
@@ -168,12 +172,16 @@ def parse_account(text: str, at: int, used: int, length: int):
 
 def parse_secret(text: str, at: int, used: int, length: int):
     m = _value_secret.match(text, at + length)
-    return (m.start(1), m.end(1), m.end(1), True) if m and any(c in _DIGITS for c in m.group(1)) else None
+    # Cues inside a value without a digit have parts of it for values, so it is used up as a whole.
+    return (m.start(1), m.end(1), m.end(1), any(c in _DIGITS for c in m.group(1))) if m else None
 
 
 def parse_login(text: str, at: int, used: int, length: int):
     m = _login.match(text, at + length)
-    return (m.start(), m.end(), m.end(), True) if m else None
+    if not m:
+        return None
+    held = text.startswith("@", m.end())
+    return (m.start(), m.end(), m.end(), True) if held else None
 
 
 _BASE = {"email": parse_email, "ip": parse_ip, "card": parse_card, "phone": parse_phone}

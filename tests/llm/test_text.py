@@ -98,6 +98,38 @@ def test_added_spans_and_redaction():
     assert pii.find("iban: DE00 3704 0044 0532 0130 00")["account"] == []
 
 
+def test_time_grows_with_length_only():
+    import time
+
+    def took(unit, n):
+        t = (unit * (n // len(unit) + 1))[:n]
+        best = 9.0
+        for _ in range(3):
+            began = time.perf_counter()
+            pii.find(t)
+            best = min(best, time.perf_counter() - began)
+        return best
+
+    for unit in ("token:", "token=a", "secret: '", "iban:", "iban ", "iban ab12 ", "account no. a1 ", "://a:", "://a:b", "a@", "a.", "@a.b", "1.", "1", "11.", "1 ", "1-", "+1", "+1(", "00000000000000000000.", "x"):
+        short, long = took(unit, 60_000), took(unit, 480_000)
+        assert long < 20 * short + 0.2, (unit, short, long)  # eight times the length
+
+
+def test_rejected_secrets_hide_none():
+    kinds = lambda t: {k: [t[a:b] for a, b in v] for k, v in pii.find(t).items() if v}
+    assert kinds("token:password:abcdefgh token:abcdefg1") == {"secret": ["abcdefg1"]}
+    assert kinds("token:abcdefghij'password:abcdefg1") == {"secret": ["abcdefg1"]}
+    assert kinds("iban iban DE89 3704 0044 0532 0130 00")["account"] == ["DE89 3704 0044 0532 0130 00"]
+    assert kinds("http://a:b/c@d http://u:p@h") == {"login": ["u:p"]}
+
+
+def test_every_planted_kind_is_found(spark):
+    """Of documents with a cue or anchor of any kind, those in which a span is found: base kinds and added ones together."""
+    texts = [r.text or "" for r in spark.read.parquet(f"{FOLDER}/documents.parquet").select("text").collect()]
+    planted = [t for t in texts if any(base_spans(t).values()) or re.search(r"(?:api_?key|token|password|passwd|secret)\s?[:=]\s?\S*[0-9]", t.lower())]
+    assert len(planted) > 20 and all(any(pii.find(t).values()) for t in planted)
+
+
 def test_pii_columns(hard, none):
     got = pii.span_digests(hard).collect()
     assert len(got) == len(HARD) and pii.span_digests(none).count() == 0
