@@ -5,10 +5,13 @@ normalised text, keeps its compressed bytes in a heap file of the task in the sh
 document; a task stores a text once however many copies it meets. The distinct texts of all tasks are entries of the index.
 Owner tasks take ranges of the hash: each builds its part of the index, whose directory doubles when a full bucket has to
 be split and whose buckets go to shared files when memory is short. Entries of one hash are a chain; their bytes are
-fetched from the heap files and compared, so texts of one hash that differ stay apart.
+fetched from the heap files and compared, so texts of one hash that differ stay apart. A chain of more than ``CHAIN`` entries,
+as of a text that every task meets, is cut in parts that go to several owners first; of each part only one entry for each
+text goes on.
 
 Of equal texts the row with the most code points stays, then that with the smallest key. Defined results: a null text
-counts as empty; empty texts are equal to each other; a null key counts as the smallest; of repeated rows one stays.
+counts as empty; empty texts are equal to each other; a null key counts as the smallest; of repeated rows one stays, of rows
+that share key, text and length the one whose columns come first as JSON.
 """
 
 from __future__ import annotations
@@ -22,12 +25,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from acreframe.llm._shared import SPACES, file_system, mapped, scratch, slices, written
+from acreframe.llm._shared import SPACES, file_system, mapped, scratch, slices, unused, written
 
 CAPACITY = 2048  # entries of a bucket before it is split
 IN_MEMORY = 200_000  # entries that an owner task holds before buckets go to files
 RECENT = 24_000_000  # bytes of normalised texts that a task remembers
 PER_OWNER = 400_000
+CHAIN = 256  # entries of a hash that one owner compares
 _DELETE = SPACES.encode()
 
 
@@ -200,40 +204,69 @@ def classes(chain: list[tuple], read) -> list[list[tuple]]:
     return [members for _, members in found]
 
 
-def resolve(table: DataFrame, key: str, folder: str) -> DataFrame:
-    """(heap, at, keep, keep_heap, keep_row, group_size) of each entry of a table that ``hashed`` made."""
-    entries = table.groupBy("hash", "heap", "at", "bytes").agg(F.count("*").alias("n"), F.min(F.struct((-F.col("points")).alias("less"), F.col(key).alias("key"), F.col("heap").alias("of"), F.col("row").alias("row"))).alias("best"))
-    entries = entries.select("hash", "heap", "at", "bytes", "n", F.col("best.less").alias("less"), F.col("best.key").alias("key"), F.col("best.row").alias("row"))
-    shuffles = int(table.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    owners = max(shuffles, -(-table.count() // PER_OWNER))
-    # A range of the hash's upper 32 bits for each owner.
-    owner = F.floor((F.shiftright("hash", 32) + (1 << 31)) * F.lit(float(owners)) / float(1 << 32))
+ENTRY = ("hash", "heap", "at", "bytes", "n", "less", "key", "of", "row")  # the last four tell the rows and the best one of them
+
+
+def owned(entries: DataFrame, folder: str) -> DataFrame:
+    """(the entry's heap and at; the first entry of its class: first_heap, first_at, first_bytes; the class's hash, n, less, key, of, row).
+
+    Each partition is one owner's: it must hold all entries that are to be compared with each other.
+    """
 
     def run(batches):
         index = ExtendibleIndex(f"{folder}/owner-{uuid.uuid4().hex}")
         for part in slices(batches, 4096):
             columns = part.to_pydict()
-            for entry in zip(*(columns[c] for c in ("hash", "heap", "at", "bytes", "n", "less", "key", "row")), strict=True):
+            for entry in zip(*(columns[c] for c in ENTRY), strict=True):
                 index.insert(entry)
         heaps, out = Heaps(folder), []
         for chain in index.chains():
             for members in classes(chain, heaps.read):
                 n = sum(m[4] for m in members)
-                best = min(members, key=lambda m: (m[5], m[6] is not None, m[6], m[1], m[7]))
-                out += [(m[1], m[2], best[6], best[1], best[7], n) for m in members]
+                best = min(members, key=lambda m: (m[5], m[6] is not None, m[6], m[7], m[8]))
+                first = min(m[1:4] for m in members)
+                out += [(m[1], m[2], *first, m[0], n, *best[5:]) for m in members]
             if len(out) >= 4096:
                 yield batch(out)
                 out = []
         if out:
             yield batch(out)
 
-    kind = table.schema[key].dataType
-    arrow = pa.schema([("heap", pa.string()), ("at", pa.int64()), ("keep", to_arrow(kind)), ("keep_heap", pa.string()), ("keep_row", pa.int64()), ("group_size", pa.int64())])
+    kind = entries.schema["key"].dataType
+    fields = [("heap", pa.string()), ("at", pa.int64()), ("first_heap", pa.string()), ("first_at", pa.int64()), ("first_bytes", pa.int64()), ("hash", pa.int64()), ("n", pa.int64()), ("less", pa.int64()), ("key", to_arrow(kind)), ("of", pa.string()), ("row", pa.int64())]
+    arrow = pa.schema(fields)
 
     def batch(out):
         return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*out, strict=True), arrow, strict=True)], schema=arrow)
 
-    return mapped(entries.repartition(owners, owner), run, f"heap string, at bigint, keep {kind.simpleString()}, keep_heap string, keep_row bigint, group_size bigint")
+    return mapped(entries.select(*ENTRY), run, f"heap string, at bigint, first_heap string, first_at bigint, first_bytes bigint, hash bigint, n bigint, less bigint, key {kind.simpleString()}, of string, row bigint")
+
+
+def resolve(table: DataFrame, key: str, folder: str) -> DataFrame:
+    """(heap, at, keep, keep_heap, keep_row, group_size) of each entry of a table that ``hashed`` made."""
+    best = F.min(F.struct((-F.col("points")).alias("less"), F.col(key).alias("key"), F.col("heap").alias("of"), F.col("row").alias("row")))
+    entries = table.groupBy("hash", "heap", "at", "bytes").agg(F.count("*").alias("n"), best.alias("best")).select("hash", "heap", "at", "bytes", "n", "best.*")
+    shuffles = int(table.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    owners = max(shuffles, -(-table.count() // PER_OWNER))
+    crowded = written(entries.groupBy("hash").agg(F.count("*").alias("length")).where(F.col("length") > CHAIN).withColumnRenamed("hash", "_hash"), "chains")
+    early = None
+    if not crowded.isEmpty():
+        entries = written(entries, "entries")
+        parts = F.pmod(F.xxhash64("heap"), F.ceil(F.col("length") / CHAIN))
+        cut = entries.join(crowded, F.col("hash") == F.col("_hash")).withColumn("_part", parts)
+        early = written(owned(cut.repartition(owners, "hash", "_part"), folder), "parts")
+        firsts = early.where((F.col("heap") == F.col("first_heap")) & (F.col("at") == F.col("first_at"))).withColumnRenamed("first_bytes", "bytes")
+        entries = entries.join(crowded, F.col("hash") == F.col("_hash"), "left_anti").unionByName(firsts.select(*ENTRY))
+    # A range of the hash's upper 32 bits for each owner.
+    owner = F.floor((F.shiftright("hash", 32) + (1 << 31)) * F.lit(float(owners)) / float(1 << 32))
+    found = owned(entries.repartition(owners, owner), folder).select("heap", "at", F.col("key").alias("keep"), F.col("of").alias("keep_heap"), F.col("row").alias("keep_row"), F.col("n").alias("group_size"))
+    if early is None:
+        return found
+    found = written(found, "classes")
+    of_first = found.select(F.col("heap").alias("_heap"), F.col("at").alias("_at"), "keep", "keep_heap", "keep_row", "group_size")
+    others = early.where((F.col("heap") != F.col("first_heap")) | (F.col("at") != F.col("first_at"))).select("heap", "at", "first_heap", "first_at")
+    joined = others.join(of_first, (F.col("first_heap") == F.col("_heap")) & (F.col("first_at") == F.col("_at")))
+    return found.unionByName(joined.select(*found.columns))
 
 
 def to_arrow(kind) -> pa.DataType:
@@ -242,22 +275,29 @@ def to_arrow(kind) -> pa.DataType:
     return to_arrow_type(kind)
 
 
-def groups(rows: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, keep_id, group_size, kept, text_sha256) of each row."""
+def groups(rows: DataFrame, key: str = "doc_id", text: str = "text", points: str | None = None) -> DataFrame:
+    """(key, keep_id, group_size, kept, text_sha256) of each row, and its number of code points under the name given."""
     folder = scratch(rows.sparkSession, "exact")
     table = written(hashed(rows, key, text, f"{folder}"), "hashes")
     found = resolve(table, key, folder).select(F.col("heap").alias("_heap"), F.col("at").alias("_at"), F.col("keep").alias("keep_id"), "keep_heap", "keep_row", "group_size")
     joined = table.join(found, (table["heap"] == found["_heap"]) & (table["at"] == found["_at"]))
     kept = (F.col("heap") == F.col("keep_heap")) & (F.col("row") == F.col("keep_row"))
-    return joined.select(table[key], "keep_id", "group_size", kept.alias("kept"), F.col("sha256").alias("text_sha256"))
+    return joined.select(table[key], "keep_id", "group_size", kept.alias("kept"), F.col("sha256").alias("text_sha256"), *[F.col("points").alias(p) for p in [points] if p])
 
 
 def keep_rows(rows: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows that stay, with all their columns. Of a key that repeats, each text counts for itself."""
-    kept = written(groups(rows, key, text).where("kept").select(F.col(key).alias("_key"), F.col("text_sha256").alias("_sha")), "kept")
+    """The rows that stay, with all their columns: one for each group of equal texts, also where keys repeat."""
+    key_, sha, points, whole = unused(rows, "_key", "_sha", "_points", "_row")
+    length = F.length(F.coalesce(F.col(text), F.lit("")))
+    grouped = groups(rows, key, text, points="points").where("kept")
+    kept = written(grouped.select(F.col(key).alias(key_), F.col("text_sha256").alias(sha), F.col("points").alias(points)), "kept")
     repeats = not rows.groupBy(key).count().where(F.col("count") > 1).isEmpty()
-    same = rows[key].eqNullSafe(F.col("_key"))
+    same = rows[key].eqNullSafe(F.col(key_))
     if not repeats:
         return rows.join(kept, same, "left_semi")
+    # A repeated key leads to all of its rows: those with the text and the length that stay are told apart by their columns.
     own = F.sha2(F.translate(F.coalesce(F.col(text), F.lit("")), SPACES, ""), 256)
-    return rows.join(kept, same & (own == F.col("_sha")), "left_semi").dropDuplicates([key, text])
+    found = rows.join(kept, same & (own == F.col(sha)) & (length == F.col(points)), "left_semi")
+    all_ = F.struct(*[F.col(f"`{c}`") for c in rows.columns])
+    least = found.groupBy(F.col(key).alias(key_), own.alias(sha)).agg(F.min_by(all_, F.to_json(all_, {"ignoreNullFields": "false"})).alias(whole))
+    return least.select(*[F.col(f"`{whole}`.`{c}`").alias(c) for c in rows.columns])

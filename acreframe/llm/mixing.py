@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from acreframe.llm._shared import WORD, id_text, written
+from acreframe.llm._shared import WORD, id_text, unused, written
 
 WEIGHTS = (5.0, 2.0, 1.0)
 CAP = 3.0
@@ -149,6 +149,7 @@ def _spread(rows: DataFrame, facts: DataFrame, key: str, source: str) -> DataFra
 
 def repeated(rows: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """The rows with all their columns, each as many times as the mixture takes it."""
-    copies = mixture(rows, key, text, source).where("copies > 0").select(F.col(key).alias("_key"), "copies").groupBy("_key").agg(F.max("copies").alias("copies"))
-    joined = rows.join(copies, rows[key].eqNullSafe(F.col("_key")))
-    return joined.select(*[rows[c] for c in rows.columns], F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("_copy")).drop("_copy")
+    key_, copies, copy = unused(rows, "_key", "_copies", "_copy")
+    taken = mixture(rows, key, text, source).where("copies > 0").groupBy(F.col(key).alias(key_)).agg(F.max("copies").alias(copies))
+    joined = rows.join(taken, rows[key].eqNullSafe(F.col(key_)))
+    return joined.select(*[rows[c] for c in rows.columns], F.explode(F.sequence(F.lit(1), F.col(copies))).alias(copy)).drop(copy)

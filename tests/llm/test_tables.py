@@ -114,7 +114,7 @@ def test_mixing_defined_results(hard, none):  # noqa: F811
     got = mixing.mixture(hard).collect()
     assert len(got) == len(HARD) and all(r.taken <= 3 * r.size for r in got) and {r.size for r in got if r.doc_id in (2, 3, 4)} == {0}
     assert mixing.mixture(none).count() == 0
-    assert mixing.repeated(hard).columns == hard.columns
+    assert mixing.repeated(hard).columns == hard.columns and {tuple(r[7:]) for r in mixing.repeated(hard).collect()} <= {tuple(r[7:]) for r in hard.collect()}
 
 
 # --- exact duplicates
@@ -141,6 +141,25 @@ def test_exact_defined_results(hard, none):  # noqa: F811
     assert kept.columns == hard.columns and sorted(str(r.doc_id) for r in kept.collect()) == ["1", "4", "5", "6", "None"]
 
 
+def test_one_row_of_a_group_stays_where_keys_repeat(spark):
+    rows = [(1, "a b c", 1), (1, "ab c", 2), (2, "abc", 3), (3, "zz", 4), (1, "a b c", 0), (None, "n n", 5), (None, "nn ", 6), (1, "zz", 7)]
+    for parts in (1, 3, 8):
+        df = spark.createDataFrame(rows, "doc_id long, text string, extra int").repartition(parts)
+        got = sorted((str(r.doc_id), r.text, r.extra) for r in exact_dedup.keep_rows(df).collect())
+        assert got[:2] == [("1", "a b c", 0), ("1", "zz", 7)] and len(got) == 3 and got[2][0] == "None"
+        assert [r.kept for r in exact_dedup.groups(df).collect()].count(True) == 3
+
+
+def test_long_chains_are_cut(spark, monkeypatch):
+    monkeypatch.setattr(exact_dedup, "CHAIN", 4)
+    monkeypatch.setattr(exact_dedup, "RECENT", 1)  # every row is an entry of its own
+    rows = [(k, ["one text", "onetext ", "other", None, ""][k % 5]) for k in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    got = {r.doc_id: (r.keep_id, r.group_size, r.kept) for r in exact_dedup.groups(df).collect()}
+    want = {0: (0, 120), 1: (0, 120), 2: (2, 60), 3: (3, 120), 4: (3, 120)}
+    assert {k: v[:2] for k, v in got.items()} == {k: want[k % 5] for k in range(300)} and sorted(k for k, v in got.items() if v[2]) == [0, 2, 3]
+
+
 def test_index_splits_spills_and_chains(tmp_path):
     index = exact_dedup.ExtendibleIndex(str(tmp_path), capacity=4, in_memory=20)
     entries = [(h * 7919 % 1009 - 500, "x", i, 1) for i, h in enumerate(list(range(200)) + [5] * 30)]

@@ -20,7 +20,7 @@ HARD = [(1, "plain words of a text"), (2, None), (3, ""), (4, " \t\n"), (5, "x"
 @pytest.fixture(scope="module")
 def hard(spark):
     """Nulls, empty and long texts, repeated rows, and columns of clashing names."""
-    return spark.createDataFrame(HARD, "doc_id long, text string").withColumns({"lang": F.lit(None).cast("string"), "source": F.lit(None).cast("string"), "n_chars": F.lit(0), "score": F.lit(1), "kept": F.lit(True), "_salt": F.lit(0), "id": F.lit(0)})
+    return spark.createDataFrame(HARD, "doc_id long, text string").withColumns({"lang": F.lit(None).cast("string"), "source": F.lit(None).cast("string"), "n_chars": F.lit(0), "score": F.lit(1), "kept": F.lit(True), "_salt": F.lit(0), "id": F.lit(0)} | {c: F.lit(c) for c in ("_key", "_copy", "_Copies", "copies", "_sha", "_points", "_row", "points", "host", "path", "hash", "heap", "_text", "_lang", "_host", "evidence", "label")})
 
 
 @pytest.fixture(scope="module")
