@@ -160,21 +160,45 @@ def group_attach(rows: DataFrame, keys: Sequence[str], aggregates: dict[str, tup
     return whole_attach(rows, group_whole(rows, keys, aggregates, by), keys, by)
 
 
-def class_sample(rows: DataFrame, key: str, label: str, per_class: int) -> list:
+#: Texts of more characters are not drawn for a fit, so that what the driver gathers is bounded.
+SAMPLE_CHARS = 200_000
+
+
+def class_sample(rows: DataFrame, key: str, label: str, per_class: int, text: str | None = None, most_chars: int = SAMPLE_CHARS) -> list:
     """A bounded sample of labelled rows: about ``per_class`` of each label, chosen by a hash of the key.
 
-    The same rows are chosen whatever the partitioning. Returned in the order of that hash.
+    Rows whose ``text`` has more than ``most_chars`` characters are left out. The same rows are chosen whatever the
+    partitioning. Returned in the order of that hash.
     """
-    counts = {r[0]: r[1] for r in rows.groupBy(label).count().collect() if r[0] is not None}
+    if text:
+        rows = rows.where(F.length(text) <= most_chars)
+    counts = {r[0]: r[1] for r in rows.groupBy(F.col(label).cast("string")).count().collect() if r[0] is not None}
     if not counts:
         return []
     scale = 1 << 24
-    wanted = F.lit(0)
-    for value, n in sorted(counts.items(), key=lambda x: str(x[0])):
-        wanted = F.when(F.col(label) == F.lit(value), F.lit(min(scale, per_class * scale // n + 1))).otherwise(wanted)
-    drawn = F.pmod(F.xxhash64(id_text(F.col(key)), F.lit(17)), F.lit(scale))
-    found = rows.withColumn("_drawn", drawn).where(F.col("_drawn") < wanted).collect()
-    return sorted(found, key=lambda r: (r["_drawn"], str(r[key])))
+    drawn, wanted = unused(rows, "_drawn", "_wanted")
+    of = F.map_from_arrays(F.lit(list(counts)), F.lit([min(scale, per_class * scale // n + 1) for n in counts.values()]))
+    hashed = F.pmod(F.xxhash64(id_text(F.col(key)), F.lit(17)), F.lit(scale))
+    found = rows.withColumn(drawn, hashed).withColumn(wanted, F.try_element_at(of, F.col(label).cast("string"))).where(F.col(drawn) < F.col(wanted)).drop(wanted).collect()
+    return sorted(found, key=lambda r: (r[drawn], str(r[key])))
+
+
+def labelled_sample(documents: DataFrame, labels: DataFrame, key: str, text: str, label: str, per_class: int, most_chars: int = SAMPLE_CHARS) -> tuple[list[tuple[str, int]], dict[int, int]]:
+    """((text, label) of about ``per_class`` documents of each label, the number of keys of each label).
+
+    The sample is chosen from the labels alone, so of the texts only those of the sample move. A key with several labels
+    has the largest one, a key with several texts the least one; rows without key, text or label, and texts of more than
+    ``most_chars`` characters, are left out.
+    """
+    marked = labels.select(F.col(key).alias("key"), F.col(label).cast("int").alias("label")).where("key is not null and label is not null").groupBy("key").agg(F.max("label").alias("label"))
+    share = {r[0]: r[1] for r in marked.groupBy("label").count().collect()}
+    chosen = class_sample(marked, "key", "label", per_class)
+    if not chosen:
+        return [], share
+    wanted = documents.sparkSession.createDataFrame([(r["key"], r["label"]) for r in chosen], marked.schema)  # per_class rows of each label
+    own = documents.select(F.col(key).alias("key"), F.col(text).alias("text")).where(F.length("text") <= most_chars)
+    found = own.join(F.broadcast(wanted), "key").groupBy("key").agg(F.min("text").alias("text"), F.max("label").alias("label")).collect()
+    return [(r["text"], r["label"]) for r in sorted(found, key=lambda r: str(r["key"]))], share
 
 
 def slices(batches: Iterable[pa.RecordBatch], rows: int = 256, chars: int = 4_000_000) -> Iterator[pa.RecordBatch]:

@@ -18,10 +18,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from acreframe.llm._shared import class_sample, mapped, slices
+from acreframe.llm._shared import SAMPLE_CHARS, class_sample, mapped, slices
 
 UNDETERMINED = "und"
 PIECE = 1 << 19
+PARTS = 6  # sentences of a sampled text that training takes besides the whole text
 _letters: list[np.ndarray] = []
 
 
@@ -108,7 +109,7 @@ def softmax(x: np.ndarray) -> np.ndarray:
 
 
 def fit(texts: list[str], labels: list[str], bits: int = 16, width: int = 12, epochs: int = 4, rate: float = 4.0, reject: float = 0.002, seed: int = 3) -> LanguageModel:
-    """Train on texts and on their sentences; every fifth text calibrates instead."""
+    """Train on texts and on ``PARTS`` sentences of each; every fifth text calibrates instead."""
     languages = sorted(set(labels))
     if not languages:
         return LanguageModel([], np.zeros((1, 0), np.float32), np.zeros(0), bits)
@@ -119,7 +120,7 @@ def fit(texts: list[str], labels: list[str], bits: int = 16, width: int = 12, ep
     for i, t in enumerate(texts):
         if i % 5 != 4:
             parts = [x for x in t.replace("\n", ".").split(".") if x.strip()]
-            chosen = [t, *(parts if len(parts) <= 6 else [parts[j] for j in rng.choice(len(parts), 6, replace=False)])]
+            chosen = [t, *(parts if len(parts) <= PARTS else [parts[j] for j in rng.choice(len(parts), PARTS, replace=False)])]
             samples += chosen
             of += [number[labels[i]]] * len(chosen)
     ids, n = subwords(samples, bits)
@@ -170,9 +171,9 @@ def calibrate(model: LanguageModel, texts: list[str], of: np.ndarray, reject: fl
         model.least = float(np.quantile(right, reject))
 
 
-def fit_rows(rows: DataFrame, key: str = "doc_id", text: str = "text", label: str = "lang", per_language: int = 200) -> LanguageModel:
-    """Fit on about ``per_language`` rows of each language; rows without text or label are left out."""
-    found = class_sample(rows.select(key, text, label).where(F.col(text).isNotNull() & F.col(label).isNotNull()), key, label, per_language)
+def fit_rows(rows: DataFrame, key: str = "doc_id", text: str = "text", label: str = "lang", per_language: int = 200, most_chars: int = SAMPLE_CHARS) -> LanguageModel:
+    """Fit on about ``per_language`` rows of each language; rows without text or label, or of more than ``most_chars`` characters, are left out."""
+    found = class_sample(rows.select(key, text, label).where(F.col(text).isNotNull() & F.col(label).isNotNull()), key, label, per_language, text, most_chars)
     return fit([r[text] for r in found], [r[label] for r in found])
 
 

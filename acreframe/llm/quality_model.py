@@ -2,13 +2,16 @@
 
 A logistic classifier on measures of the whole text gives each document evidence, a probability of good quality. The
 evidence of a host's documents, and of a path's below it, is combined by grouped aggregation: a host's rate is shrunk towards
-the mean of all documents, a path's towards its host's, both as beta posteriors whose strengths come from how far hosts
-(and paths of a host) differ, by the method of moments. A document's score adds to its own log odds those of its path's
-posterior, less those of the mean. Sparse hosts thus stay near the mean, and hosts that do not differ change nothing.
+the mean of all documents, a path's towards its host's. How far is told by variance components of a nested design, by the
+method of moments: W within paths, P between paths of a host, H between hosts. A mean of n documents of a path counts for
+P / (P + W / n), that of a host for H / (H + W / n + P * sum(n_path**2) / n**2), the rest is the level above; for evidence of
+0 and 1 these are the posteriors of beta priors of strengths W / P and W / H. A document's own evidence is left out of its
+host's and path's sums. Its score adds to its own log odds those of its path's posterior, less those of the mean. Sparse
+sites thus stay near the mean, and sites that do not differ change nothing.
 
 Defined results: a null text counts as empty; without labelled rows of both classes every evidence is 0.5; a null host or
-path is a host or path of its own. Only sums leave the documents, so a host of a third of all rows is no burden; its
-posterior comes back by a salted join.
+path is a host or path of its own; a key with several labels is good if one is. Only sums leave the documents, so a host of a
+third of all rows is no burden; its sums come back by a salted join.
 """
 
 from __future__ import annotations
@@ -21,10 +24,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from acreframe.llm._shared import class_sample, group_whole, id_text, mapped, slices, whole_attach, written
+from acreframe.llm._shared import SAMPLE_CHARS, group_whole, id_text, labelled_sample, mapped, slices, unused, whole_attach, written
 from acreframe.llm.near_dedup import shingles, word_hashes
 
-MOST_STRENGTH, LEAST_STRENGTH = 1e6, 2.0
 THRESHOLD = 0.5
 
 
@@ -91,18 +93,13 @@ def fit(texts: list[str], labels: list[int], shares: tuple[float, float] | None
     return EvidenceModel(mean, scale, w)
 
 
-def fit_rows(documents: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", per_class: int = 1500) -> EvidenceModel:
-    """Fit on about ``per_class`` labelled documents of each class; rows without text or label are left out."""
-    marked = labels.select(F.col(key), F.col(label).cast("int").alias("_good")).where(F.col("_good").isNotNull() & F.col(key).isNotNull()).dropDuplicates([key])
-    chosen = class_sample(marked, key, "_good", per_class)
-    if not chosen:
+def fit_rows(documents: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", per_class: int = 1500, most_chars: int = SAMPLE_CHARS) -> EvidenceModel:
+    """Fit on about ``per_class`` labelled documents of each class, of ``most_chars`` characters at most."""
+    found, share = labelled_sample(documents, labels, key, text, label, per_class, most_chars)
+    if not found:
         return fit([], [])
-    share = {r["_good"]: r["count"] for r in marked.groupBy("_good").count().collect()}
-    wanted = {r[key]: r["_good"] for r in chosen}
-    rows = documents.select(key, text).where(F.col(text).isNotNull() & F.col(key).isin(list(wanted))).collect()
-    rows = sorted({r[key]: r for r in sorted(rows, key=lambda r: r[text])}.values(), key=lambda r: str(r[key]))
-    total = sum(share.values())
-    return fit([r[text] for r in rows], [int(wanted[r[key]] > 0) for r in rows], (1 - sum(n for g, n in share.items() if g > 0) / total, sum(n for g, n in share.items() if g > 0) / total))
+    good = sum(n for y, n in share.items() if y > 0) / sum(share.values())
+    return fit([t for t, _ in found], [int(y > 0) for _, y in found], (1 - good, good))
 
 
 def evidence(rows: DataFrame, model: EvidenceModel, key: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
@@ -118,29 +115,50 @@ def evidence(rows: DataFrame, model: EvidenceModel, key: str = "doc_id", text: s
     return mapped(rows.select(text, key, *keep), run, f"{kinds}, evidence double")
 
 
-def _strength(mean: Column, spread: Column, noise: Column) -> Column:
-    """Beta strength of a prior from the variance between groups, less what sampling alone makes."""
-    between = F.greatest(spread - noise, F.lit(1e-12))
-    return F.least(F.greatest(mean * (1 - mean) / between - 1, F.lit(LEAST_STRENGTH)), F.lit(MOST_STRENGTH))
-
-
-def posteriors(rows: DataFrame, host: str, path: str, key: str) -> tuple[DataFrame, DataFrame]:
-    """(one row with the global mean, the groups of host and path with their posteriors and salts)."""
-    sums = {"n": (F.count("*"), F.sum("n")), "s": (F.sum("evidence"), F.sum("s")), "q": (F.sum(F.col("evidence") * F.col("evidence")), F.sum("q"))}
-    paths = written(group_whole(rows, [host, path], sums, id_text(F.col(key))), "paths")
-    hosts = paths.groupBy(F.col(f"_key_{host}").alias("_host")).agg(F.sum("n").alias("host_n"), F.sum("s").alias("host_s"))
-    everything = paths.agg((F.sum("s") / F.greatest(F.sum("n"), F.lit(1))).alias("mean"), (F.sum("q") / F.greatest(F.sum("n"), F.lit(1))).alias("square"))
-    one = lambda c: F.col(c)
-    level = hosts.crossJoin(F.broadcast(everything))  # one row
-    within = F.greatest(one("square") - one("mean") * one("mean"), F.lit(0.0))
-    of_hosts = level.agg(F.first("mean").alias("mean"), F.sum(F.col("host_n") * F.pow(F.col("host_s") / F.col("host_n") - F.col("mean"), 2)).alias("spread"), F.sum(within).alias("noise"), F.sum("host_n").alias("n"))
-    top = of_hosts.select("mean", _strength(one("mean"), F.col("spread") / F.greatest("n", F.lit(1)), F.col("noise") / F.greatest("n", F.lit(1))).alias("host_strength"))
-    hosts = hosts.crossJoin(F.broadcast(top)).withColumn("host_posterior", (F.col("host_s") + F.col("host_strength") * F.col("mean")) / (F.col("host_n") + F.col("host_strength")))
-    joined = paths.join(hosts, paths[f"_key_{host}"].eqNullSafe(F.col("_host"))).drop("_host")
-    of_paths = joined.crossJoin(F.broadcast(everything.select("square"))).agg(F.sum(F.col("n") * F.pow(F.col("s") / F.col("n") - F.col("host_s") / F.col("host_n"), 2)).alias("spread"), F.sum(F.greatest(F.col("square") - F.col("mean") * F.col("mean"), F.lit(0.0)) * (1 - F.col("n") / F.col("host_n"))).alias("noise"), F.sum("n").alias("n"), F.first("mean").alias("mean"))
-    low = of_paths.select(_strength(one("mean"), F.col("spread") / F.greatest("n", F.lit(1)), F.col("noise") / F.greatest("n", F.lit(1))).alias("path_strength"))
-    found = joined.crossJoin(F.broadcast(low)).withColumn("path_posterior", (F.col("s") + F.col("path_strength") * F.col("host_posterior")) / (F.col("n") + F.col("path_strength")))
-    return top, found.select(f"_key_{host}", f"_key_{path}", "_salts", "host_posterior", "path_posterior", F.col("mean").alias("global_mean"))
+@dataclass
+class Components:
+    """Mean of all evidence, and its variance within paths, between paths of a host, and between hosts."""
+
+    mean: float = 0.5
+    within: float = 0.0
+    paths: float = 0.0
+    hosts: float = 0.0
+
+
+def components(paths: DataFrame, host: str) -> tuple[Components, DataFrame]:
+    """(variance components by the method of moments, the sums of each host) from the sums n, s, q of each path."""
+    square = F.col("n").cast("double") * F.col("n")
+    hosts = paths.groupBy(F.col(f"_key_{host}").alias("_host")).agg(F.sum("n").alias("host_n"), F.sum("s").alias("host_s"), F.sum(square).alias("host_square"), F.count("*").alias("_paths"), F.sum(F.col("s") * F.col("s") / F.col("n")).alias("_of_paths"), F.sum("q").alias("_q"))
+    n, s = F.col("host_n").cast("double"), F.col("host_s")
+    sums = hosts.agg(F.sum(n).alias("n"), F.sum(s).alias("s"), F.sum("_q").alias("q"), F.count("*").alias("hosts"), F.sum("_paths").alias("paths"), F.sum("_of_paths").alias("of_paths"), F.sum(s * s / n).alias("of_hosts"), F.sum("host_square").alias("square"), F.sum(n * n).alias("host_square"), F.sum(F.col("host_square") / n).alias("ratio")).first()
+    if not sums["n"]:
+        return Components(), hosts
+    mean = sums["s"] / sums["n"]
+    # Sums of squares within paths, between paths of a host and between hosts; what each is expected to be is linear in
+    # the components.
+    within = max(0.0, sums["q"] - sums["of_paths"]) / max(1, sums["n"] - sums["paths"])
+    between_paths = sums["of_paths"] - sums["of_hosts"] - (sums["paths"] - sums["hosts"]) * within
+    of_paths = max(0.0, between_paths / (sums["n"] - sums["ratio"])) if sums["n"] - sums["ratio"] > 1e-9 else 0.0
+    between_hosts = sums["of_hosts"] - sums["s"] ** 2 / sums["n"] - (sums["hosts"] - 1) * within - (sums["ratio"] - sums["square"] / sums["n"]) * of_paths
+    room = sums["n"] - sums["host_square"] / sums["n"]
+    return Components(mean, within, of_paths, max(0.0, between_hosts / room) if room > 1e-9 else 0.0), hosts
+
+
+def _toward(level: Column, n: Column, s: Column, between: float, noise: Column) -> Column:
+    """The level above, drawn towards the mean of n rows of sum s as far as their noise allows."""
+    share = between / F.greatest(between + noise, F.lit(1e-300))
+    return F.when((n > 0) & F.lit(between > 0), level + share * (s / n - level)).otherwise(level)
+
+
+def posteriors(found: DataFrame, of: Components) -> DataFrame:
+    """Rows with the sums of their host and path: host_posterior and path_posterior, from all rows but the row itself."""
+    own, mean = F.col("evidence"), F.lit(of.mean)
+    n, s, host_n, host_s = F.col("n") - 1.0, F.col("s") - own, F.col("host_n") - 1.0, F.col("host_s") - own
+    square = F.col("host_square") - 2.0 * F.col("n") + 1.0  # of the host's paths, with one row less in this one
+    inside = lambda p: F.least(F.greatest(p, F.lit(0.0)), F.lit(1.0))
+    of_host = _toward(mean, host_n, host_s, of.hosts, of.within / F.greatest(host_n, F.lit(1.0)) + of.paths * square / F.greatest(host_n * host_n, F.lit(1.0)))
+    found = found.withColumn("host_posterior", inside(of_host))
+    return found.withColumn("path_posterior", inside(_toward(F.col("host_posterior"), n, s, of.paths, of.within / F.greatest(n, F.lit(1.0)))))
 
 
 def _log_odds(p: Column) -> Column:
@@ -150,20 +168,28 @@ def _log_odds(p: Column) -> Column:
 
 def combine(rows: DataFrame, host: str, path: str, key: str = "doc_id") -> DataFrame:
     """Rows (key, host, path, evidence) with host_posterior, path_posterior, score and kept."""
-    rows = written(rows, "evidence")
-    _, groups = posteriors(rows, host, path, key)
-    joined = whole_attach(rows, written(groups, "posteriors"), [host, path], id_text(F.col(key)))
-    z = _log_odds(F.col("evidence")) + _log_odds(F.col("path_posterior")) - _log_odds(F.col("global_mean"))
-    scored = joined.withColumn("score", 1 / (1 + F.exp(-z)))
-    return scored.drop("global_mean").withColumn("kept", F.col("score") >= THRESHOLD)
+    rows = written(rows.select(key, host, path, "evidence"), "evidence")
+    sums = {"n": (F.count("*"), F.sum("n")), "s": (F.sum("evidence"), F.sum("s")), "q": (F.sum(F.col("evidence") * F.col("evidence")), F.sum("q"))}
+    paths = written(group_whole(rows, [host, path], sums, id_text(F.col(key))), "paths")
+    of, hosts = components(paths, host)
+    known = paths.join(hosts.select("_host", "host_n", "host_s", "host_square"), paths[f"_key_{host}"].eqNullSafe(F.col("_host"))).drop("_host", "q")
+    found = posteriors(whole_attach(rows, known, [host, path], id_text(F.col(key))), of)
+    z = _log_odds(F.col("evidence")) + _log_odds(F.col("path_posterior")) - _log_odds(F.lit(of.mean))
+    scored = found.select(*rows.columns, "host_posterior", "path_posterior", (1 / (1 + F.exp(-z))).alias("score"))
+    return scored.withColumn("kept", F.col("score") >= THRESHOLD)
 
 
 def sites(documents: DataFrame, pages: DataFrame, key: str = "doc_id", source: str = "source") -> DataFrame:
     """Rows with host and path: of the page whose address ends in the document's number, else its source.
 
-    An address is ``scheme://host/path/number``; of several pages of a document the one with the least id counts.
+    An address is ``scheme://host/path/number``; of several pages of a document the one with the least id counts. Columns
+    host and path that the rows have are replaced.
     """
-    parts = pages.select(F.regexp_extract("url", r"^[a-z]+://([^/]+)/([^/]*)/([0-9]{1,18})(?:[./?#]|$)", 1).alias("_host"), F.regexp_extract("url", r"^[a-z]+://([^/]+)/([^/]*)/", 2).alias("_path"), F.expr(r"try_cast(regexp_extract(url, '^[a-z]+://[^/]+/[^/]*/([0-9]{1,18})(?:[./?#]|$)', 1) as bigint)").alias("_number"), "page_id")
-    first = parts.where(F.col("_number").isNotNull()).groupBy("_number").agg(F.min(F.struct("page_id", "_host", "_path")).alias("_page"))
-    joined = documents.join(first, documents[key] == F.col("_number"), "left")
-    return joined.select(*[documents[c] for c in documents.columns], F.coalesce(F.col("_page._host"), documents[source]).alias("host"), F.coalesce(F.col("_page._path"), F.lit("")).alias("path"))
+    address = r"^[a-z]+://([^/]+)/([^/]*)/([0-9]{1,18})(?:[./?#]|$)"
+    part = lambda k: F.regexp_extract("url", address, k)
+    number, page = unused(documents, "_number", "_page")
+    parts = pages.select(part(1).alias("host"), part(2).alias("path"), part(3).try_cast("bigint").alias(number), "page_id")
+    first = parts.where(F.col(number).isNotNull()).groupBy(number).agg(F.min(F.struct("page_id", "host", "path")).alias(page))
+    joined = documents.join(first, documents[key] == F.col(number), "left")
+    own = [documents[c] for c in documents.columns if c.lower() not in ("host", "path")]
+    return joined.select(*own, F.coalesce(F.col(f"{page}.host"), documents[source]).alias("host"), F.coalesce(F.col(f"{page}.path"), F.lit("")).alias("path"))

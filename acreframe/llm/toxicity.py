@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from acreframe.llm._shared import class_sample, mapped, slices
+from acreframe.llm._shared import SAMPLE_CHARS, labelled_sample, mapped, slices
 
 ORDER, DECAY = 3, 0.7
 WINDOW = 32
@@ -387,17 +387,10 @@ def calibrate(model: ToxicityModel, texts: list[str], labels: list[int]) -> None
     model.offset = float(np.log(THRESHOLD / (1 - THRESHOLD)) - model.slope * cut)
 
 
-def fit_rows(documents: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", per_class: int = 1000) -> ToxicityModel:
-    """Fit on about ``per_class`` labelled documents of each class; rows without text or label are left out."""
-    # The sample is chosen from the labels alone, so of the texts only those of the sample move.
-    marked = labels.select(F.col(key), F.col(label).cast("int").alias("_toxic")).where(F.col("_toxic").isNotNull() & F.col(key).isNotNull()).dropDuplicates([key])
-    chosen = class_sample(marked, key, "_toxic", per_class)
-    if not chosen:
-        return fit([], [])
-    wanted = {r[key]: r["_toxic"] for r in chosen}
-    rows = documents.select(key, text).where(F.col(text).isNotNull() & F.col(key).isin(list(wanted))).collect()
-    rows = sorted({r[key]: r for r in sorted(rows, key=lambda r: r[text])}.values(), key=lambda r: str(r[key]))
-    return fit([r[text] for r in rows], [int(wanted[r[key]]) for r in rows])
+def fit_rows(documents: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", per_class: int = 1000, most_chars: int = SAMPLE_CHARS) -> ToxicityModel:
+    """Fit on about ``per_class`` labelled documents of each class, of ``most_chars`` characters at most; a key with several labels is toxic if one is."""
+    found, _ = labelled_sample(documents, labels, key, text, label, per_class, most_chars)
+    return fit([t for t, _ in found], [y for _, y in found])
 
 
 def score(rows: DataFrame, model: ToxicityModel, key: str = "doc_id", text: str = "text") -> DataFrame:

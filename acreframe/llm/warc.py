@@ -214,7 +214,7 @@ def archive(pages: DataFrame, key: str = "page_id", url: str = "url", payload: s
     spark = pages.sparkSession
     folder = scratch(spark, "warc")
     n = pages.count()
-    sample = class_sample(pages.select(F.col(key).cast("bigint").alias(key), F.col(payload).alias("_body"), F.lit(0).alias("_all")).where(F.length("_body") < 200_000), key, "_all", DICTIONARY_PAGES) if n else []
+    sample = class_sample(pages.select(F.col(key).cast("bigint").alias(key), F.col(payload).alias("_body"), F.lit(0).alias("_all")).where("_body is not null"), key, "_all", DICTIONARY_PAGES, "_body") if n else []
     dictionary = train([r["_body"].encode("utf-8", "surrogatepass") for r in sample])
     shipped = spark.sparkContext.broadcast(dictionary)
 

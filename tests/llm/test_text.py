@@ -250,6 +250,94 @@ def test_sparse_hosts_shrink(spark):
     assert got["good"].score > 0.9 > 0.5 > got["bad"].score
 
 
+def simulated(rng, hosts, paths, docs, between_hosts, between_paths):
+    """Rows of sites whose rates are known: 0 or 1 for each document."""
+    rows = []
+    for h in range(hosts):
+        a = rng.beta(0.6 * between_hosts, 0.4 * between_hosts)
+        for p in range(paths):
+            rate = rng.beta(a * between_paths, (1 - a) * between_paths) if between_paths else a
+            rows += [(len(rows) + k, f"h{h}", f"p{p}", float(rng.random() < rate), rate) for k in range(docs)]
+    return rows
+
+
+@pytest.mark.parametrize(("hosts", "docs"), [(20_000, 2), (400, 50)])
+def test_rates_of_simulated_sites_are_recovered(spark, hosts, docs):
+    rng = np.random.default_rng(hosts)
+    rows = simulated(rng, hosts, 1, docs, 8, 0)
+    df = spark.createDataFrame([r[:4] for r in rows], "doc_id long, host string, path string, evidence double")
+    found = quality_model.group_whole(df, ["host", "path"], {"n": (F.count("*"), F.sum("n")), "s": (F.sum("evidence"), F.sum("s")), "q": (F.sum(F.col("evidence") ** 2), F.sum("q"))}, F.col("doc_id"))
+    of, _ = quality_model.components(found, "host")
+    assert abs(of.mean - 0.6) < 0.03 and 6 < of.within / of.hosts < 10.5 and of.paths == 0
+    got = {r.doc_id: r for r in quality_model.combine(df, "host", "path").collect()}
+    true = np.array([r[4] for r in rows])
+    post = np.array([got[r[0]].host_posterior for r in rows])
+    # Nearer to the true rates than the mean of all, and than what the other documents of the site say alone.
+    s, n = np.bincount([int(r[1][1:]) for r in rows], [r[3] for r in rows]), docs
+    alone = np.array([(s[int(r[1][1:])] - r[3]) / (n - 1) for r in rows])
+    assert ((post - true) ** 2).mean() < 0.9 * min(((0.6 - true) ** 2).mean(), ((alone - true) ** 2).mean() / (0.9 if docs > 10 else 1) ** 2)
+
+
+def test_posteriors_by_plain_arithmetic(spark):
+    rng = np.random.default_rng(2)
+    rows = [r for r in simulated(rng, 60, 4, 9, 5, 12) if rng.random() < 0.7] + [(99_999, None, None, 0.25, 0), (99_998, "h0", "lone", 0.5, 0)]
+    rows = [(i, h, p, 0.8 * e + 0.1, t) for i, h, p, e, t in rows]
+    df = spark.createDataFrame([r[:4] for r in rows], "doc_id long, host string, path string, evidence double").repartition(5)
+    got = {r.doc_id: r for r in quality_model.combine(df, "host", "path").collect()}
+    groups, hosts = {}, {}
+    for i, h, p, e, _ in rows:
+        groups.setdefault((h, p), []).append((i, e))
+        hosts.setdefault(h, []).append((i, e))
+    every = np.array([e for *_, e, _ in rows])
+    n = len(every)
+    ssw = sum(((np.array([e for _, e in g]) - np.mean([e for _, e in g])) ** 2).sum() for g in groups.values())
+    mean_of = {h: np.mean([e for _, e in g]) for h, g in hosts.items()}
+    ssp = sum(len(g) * (np.mean([e for _, e in g]) - mean_of[h]) ** 2 for (h, _), g in groups.items())
+    ssh = sum(len(g) * (mean_of[h] - every.mean()) ** 2 for h, g in hosts.items())
+    w = ssw / (n - len(groups))
+    ratio = sum(sum(len(g) ** 2 for (x, _), g in groups.items() if x == h) / len(hosts[h]) for h in hosts)
+    between_paths = max(0, (ssp - (len(groups) - len(hosts)) * w) / (n - ratio))
+    squares = sum(len(g) ** 2 for g in groups.values()) / n
+    between_hosts = max(0, (ssh - (len(hosts) - 1) * w - (ratio - squares) * between_paths) / (n - sum(len(g) ** 2 for g in hosts.values()) / n))
+    assert between_hosts > 0.01 and between_paths > 0.001
+    for i, h, p, e, _ in rows:
+        rest, near = [x for k, x in hosts[h] if k != i], [x for k, x in groups[h, p] if k != i]
+        post = every.mean()
+        if rest:
+            square = sum((len(g) - (q == p)) ** 2 for (x, q), g in groups.items() if x == h)
+            noise = w / len(rest) + between_paths * square / len(rest) ** 2
+            post += between_hosts / (between_hosts + noise) * (np.mean(rest) - post)
+        assert abs(got[i].host_posterior - post) < 1e-9
+        if near:
+            post += between_paths / (between_paths + w / len(near)) * (np.mean(near) - post)
+        assert abs(got[i].path_posterior - post) < 1e-9
+        odds = lambda x: np.log(x / (1 - x))
+        assert abs(odds(got[i].score) - (odds(e) + odds(post) - odds(every.mean()))) < 1e-6
+
+
+def test_labels_that_conflict_and_texts_that_repeat(spark):
+    from acreframe.llm._shared import labelled_sample
+
+    docs = spark.createDataFrame([(1, "b"), (1, "a"), (2, "c"), (3, None), (4, "x" * 300), (None, "n")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 0), (1, 1), (2, 0), (2, None), (3, 1), (4, 1), (None, 1), (9, 1)], "doc_id long, toxic int")
+    for parts in (1, 4):
+        found, share = labelled_sample(docs.repartition(parts), labels.repartition(parts), "doc_id", "text", "toxic", 100, 200)
+        assert found == [("a", 1), ("c", 0)] and share == {0: 1, 1: 4}
+
+
+def test_many_languages(spark):
+    rng = np.random.default_rng(4)
+    rows = []
+    for k in range(200):
+        words = ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 6)) for _ in range(12)]
+        rows += [(len(rows) + j, " ".join(rng.choice(words, 40)), f"l{k:03d}") for j in range(8)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language_id.fit_rows(df, per_language=6)
+    assert len(model.languages) == 200
+    got = language_id.identify(df, model).join(df, "doc_id").toPandas()
+    assert (got.lang_pred == got.lang).mean() > 50 / 200  # fifty times chance, from five texts of each
+
+
 def test_quality_model_defined_results(spark, hard, none):
     labels = spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int")
     model = quality_model.fit_rows(hard, labels)
