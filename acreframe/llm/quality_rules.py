@@ -2,10 +2,14 @@
 
 Base rules count words, repeated lines and repeated windows of three words. The method compares a document with the
 reference of its language: histograms of character classes and of common words, both gathered over all documents of the
-language, by Jensen-Shannon distance (base 2, from 0 to 1). Common words are the short words that make up at least
+language, by Jensen-Shannon distance (base 2, from 0 to 1). Common words are the words that make up at least
 ``COMMON_SHARE`` of a language's words, so there are 1 / COMMON_SHARE of them at most. A document is dropped if its distance in
 either histogram passes a limit; the histograms of short documents, and of languages with few words, are not judged.
 
+Words are counted by language first, in one aggregation. The common words of all languages then pick those of a document,
+so that only these are kept for the histogram; with more than ``MOST_LANGUAGES`` languages all words are kept instead, which
+gives the same distances.
+
 Defined results: a null text counts as empty; documents without a word fail the base rules; a null language is a language
 of its own. Nothing but the language's histograms is shared between documents, so repeated rows are treated alike.
 """
@@ -15,22 +19,36 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from acreframe.llm._shared import SALTS, written
+from acreframe.llm._shared import SALTS, discard, written
 
 BLANK = r"[\x20\x09-\x0D]"
 SYMBOLS = r"[#*$%&|<>]"
 COMMON_SHARE = 0.004
-COMMON_LENGTH = 5  # characters of a common word at most
 CHARS_LIMIT, WORDS_LIMIT = 0.30, 0.45
 CHARS_WORDS, WORDS_WORDS, REFERENCE_WORDS = 50, 100, 2000  # words that a histogram needs to be judged
-BROADCAST_ROWS = 2000  # languages whose references may be broadcast, each of 1 / COMMON_SHARE words at most
+MOST_LANGUAGES = 2000  # languages whose references may be broadcast, each of 1 / COMMON_SHARE words at most
+
+
+def words_of(text: Column) -> Column:
+    return F.filter(F.split(text, BLANK + "+"), lambda w: w != "")
+
+
+def common_words(rows: DataFrame, text: str, lang: str) -> DataFrame:
+    """(_of, _total, _word, count) of the words that make up ``COMMON_SHARE`` of a language's words; languages without one are left out."""
+    words = rows.select(F.col(lang).alias("_lang"), F.explode(words_of(F.col(text))).alias("_word"))
+    counts = written(words.groupBy("_lang", F.lower("_word").alias("_word")).agg(F.count("*").alias("count")), "words")
+    whole = counts.groupBy(F.col("_lang").alias("_of")).agg(F.sum("count").alias("_total"))
+    listed = counts.where(F.col("_word").rlike(r"^\p{L}+$")).join(whole, F.col("_lang").eqNullSafe(F.col("_of")))
+    found = written(listed.where(F.col("count") >= COMMON_SHARE * F.col("_total")).select("_of", "_total", "_word", "count"), "common")
+    discard(counts)
+    return found
 
 
-def counted(rows: DataFrame, key: str, text: str, lang: str) -> DataFrame:
-    """(key, lang, words, shorts, and the base counts) of each row; shorts are the words that may be common."""
+def counted(rows: DataFrame, key: str, text: str, lang: str, common: list[str] | None) -> DataFrame:
+    """(key, lang, the base counts, chars, listed) of each row; listed are the words of the list, or all words without one."""
     t = F.coalesce(F.col(text), F.lit(""))
     found = rows.select(F.col(key), F.col(lang).alias("_lang"), t.alias("_text"))
-    found = found.withColumn("_words", F.filter(F.split("_text", BLANK + "+"), lambda w: w != ""))
+    found = found.withColumn("_words", words_of(F.col("_text")))
     lines = F.filter(F.split("_text", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     found = found.withColumn("_lines", lines)
     found = found.withColumn("n_words", F.size("_words").cast("bigint"))
@@ -43,7 +61,9 @@ def counted(rows: DataFrame, key: str, text: str, lang: str) -> DataFrame:
     twice = F.filter("_ordered", lambda x, i: (F.get("_ordered", i - 1)["h"] == x["h"]) | (F.get("_ordered", i + 1)["h"] == x["h"]))
     found = found.withColumn("_twice", F.sort_array(F.transform(twice, lambda x: x["i"])))
     covered = F.aggregate(F.transform("_twice", lambda p, i: F.least(F.lit(3), F.coalesce(F.get("_twice", i + 1) - p, F.lit(3)))), F.lit(0), lambda a, b: a + b)
-    shorts = F.filter("_words", lambda w: F.length(w) <= COMMON_LENGTH)
+    listed = F.transform("_words", F.lower)
+    if common is not None:
+        listed = F.filter(listed, lambda w: w.isin(common))
     symbols = F.regexp_count("_text", F.lit(SYMBOLS)).cast("bigint")
     return found.select(
         key,
@@ -55,7 +75,7 @@ def counted(rows: DataFrame, key: str, text: str, lang: str) -> DataFrame:
         F.coalesce(covered, F.lit(0)).cast("bigint").alias("n_repeat_words"),
         F.array(*[c.cast("double") for c in _classes(F.col("_text"), F.col("_spaces"), symbols)]).alias("_chars"),
         # Words stand between blanks of their own, so each can be counted by taking it out.
-        F.concat(F.lit(" "), F.lower(F.array_join(shorts, "  ")), F.lit(" ")).alias("_shorts"),
+        F.concat(F.lit(" "), F.array_join(listed, "  "), F.lit(" ")).alias("_listed"),
     )
 
 
@@ -69,12 +89,10 @@ def _classes(text: Column, spaces: Column, symbols: Column) -> list[Column]:
     return [*some, rest]
 
 
-def references(found: DataFrame) -> DataFrame:
-    """(lang, words array, shares array, char shares array, words of the language) of each language."""
+def references(found: DataFrame, common: DataFrame) -> DataFrame:
+    """(lang, words and shares array, char shares array, words of the language) of each language."""
     n = len(_classes(F.lit(""), F.lit(0), F.lit(0)))
     whole = found.groupBy("_lang").agg(F.sum("n_words").alias("_total"), *[F.sum(F.element_at("_chars", i + 1)).alias(f"_c{i}") for i in range(n)])
-    counts = found.select("_lang", F.explode(F.split(F.trim("_shorts"), "  ")).alias("_word")).where(F.col("_word").rlike(r"^\p{L}+$")).groupBy("_lang", "_word").count()
-    common = counts.join(whole.select(F.col("_lang").alias("_of"), "_total"), F.col("_lang").eqNullSafe(F.col("_of"))).where(F.col("count") >= COMMON_SHARE * F.col("_total"))
     listed = common.groupBy("_of").agg(F.sort_array(F.collect_list(F.struct((F.col("count") / F.col("_total")).alias("share"), F.col("_word").alias("word")))).alias("_common"))
     joined = whole.withColumnRenamed("_lang", "_ref").join(listed, F.col("_ref").eqNullSafe(F.col("_of")), "left")
     total = F.greatest(sum((F.col(f"_c{i}") for i in range(n)), F.lit(0.0)), F.lit(1.0))
@@ -90,9 +108,12 @@ def distance(p: Column, q: Column) -> Column:
 
 def judged(rows: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
     """(key, the base counts, base_failed, char_distance, word_distance, kept) of each row."""
-    found = written(counted(rows, key, text, lang), "counted")  # texts are read once
-    known = written(references(found), "references")
-    if known.count() <= BROADCAST_ROWS:
+    common = common_words(rows, text, lang)
+    few = common.select("_of").distinct().count() <= MOST_LANGUAGES
+    words = [r[0] for r in common.select("_word").distinct().collect()] if few else None  # MOST_LANGUAGES / COMMON_SHARE at most
+    found = written(counted(rows, key, text, lang, words), "counted")
+    known = written(references(found, common), "references")
+    if known.count() <= MOST_LANGUAGES:
         joined = found.join(F.broadcast(known), F.col("_lang").eqNullSafe(F.col("_ref")), "left")
     else:
         salt = F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(SALTS))
@@ -100,7 +121,7 @@ def judged(rows: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
         joined = found.join(spread, F.col("_lang").eqNullSafe(F.col("_ref")) & (salt == F.col("_salt")), "left")
     letters = F.greatest(F.aggregate("_chars", F.lit(0.0), lambda a, b: a + b), F.lit(1.0))
     joined = joined.withColumn("_p", F.transform("_chars", lambda c: c / letters))
-    each = F.transform("_common", lambda w: (F.length("_shorts") - F.length(F.replace(F.col("_shorts"), F.concat(F.lit(" "), w["word"], F.lit(" ")), F.lit("")))) / (F.length(w["word"]) + 2) / F.greatest(F.col("n_words"), F.lit(1)))
+    each = F.transform("_common", lambda w: (F.length("_listed") - F.length(F.replace(F.col("_listed"), F.concat(F.lit(" "), w["word"], F.lit(" ")), F.lit("")))) / (F.length(w["word"]) + 2) / F.greatest(F.col("n_words"), F.lit(1)))
     joined = joined.withColumn("_w", each).withColumn("_v", F.transform("_common", lambda w: w["share"]))
     rest = lambda c: F.concat(F.col(c), F.array(F.greatest(1.0 - F.aggregate(c, F.lit(0.0), lambda a, b: a + b), F.lit(0.0))))
     joined = joined.withColumn("_w", rest("_w")).withColumn("_v", rest("_v"))

@@ -105,7 +105,7 @@ FROM d WINDOW w AS (PARTITION BY t ORDER BY n DESC, doc_id)"""
 
 
 def _rules_sql() -> str:
-    word, words, limits = r"[^\x20\x09-\x0D]", f"{quality_rules.COMMON_LENGTH}", (quality_rules.CHARS_LIMIT, quality_rules.WORDS_LIMIT)
+    word = r"[^\x20\x09-\x0D]"
     classes = ("[A-Z]", "[0-9]", "[.,;:!?''\"()\\-]", "[^\\x00-\\x7F]", "[#*$%&|<>]", r"[\x20\x09-\x0D]")
     count = [f"length(t) - length(regexp_replace(t, '{c}', '', 'g'))" for c in classes]
     names = [f"c{i}" for i in range(7)]
@@ -118,18 +118,18 @@ def _rules_sql() -> str:
  k AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, three) AS m FROM g) x WHERE m > 1),
  rep AS (SELECT doc_id, count(DISTINCT i + o) AS rep FROM k, (VALUES (0), (1), (2)) v(o) GROUP BY 1),
  dup AS (SELECT doc_id, count(*) - count(DISTINCT l) AS dup FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS l FROM d) x WHERE regexp_matches(l, '{word}') GROUP BY 1),
- s AS (SELECT doc_id, lang, lower(x) AS x FROM (SELECT doc_id, lang, unnest(w) AS x FROM d) y WHERE length(x) <= {words}),
+ s AS (SELECT doc_id, lang, lower(x) AS x FROM (SELECT doc_id, lang, unnest(w) AS x FROM d) y),
  r AS (SELECT lang, sum(n) AS total, sum(len) AS len, {", ".join(f"sum({c}) AS {c}" for c in names)} FROM d GROUP BY 1),
- q AS (SELECT s.lang, s.x, count(*) * 1e0 / any_value(r.total) AS share FROM s JOIN r ON r.lang IS NOT DISTINCT FROM s.lang WHERE regexp_matches(s.x, '^\\p{{L}}+$') GROUP BY 1, 2 HAVING count(*) >= {quality_rules.COMMON_SHARE} * any_value(r.total)),
+ q AS (SELECT s.lang, s.x, count(*) * 1e0 / any_value(r.total) AS share FROM s JOIN r ON r.lang IS NOT DISTINCT FROM s.lang WHERE regexp_matches(s.x, '^\\p{{L}}+$') GROUP BY 1, 2 HAVING count(*) >= 0.004 * any_value(r.total)),
  own AS (SELECT doc_id, x, count(*) AS m FROM s GROUP BY 1, 2),
  v AS (SELECT d.doc_id, coalesce(own.m, 0) * 1e0 / greatest(d.n, 1) AS p, q.share FROM d JOIN q ON q.lang IS NOT DISTINCT FROM d.lang LEFT JOIN own ON own.doc_id = d.doc_id AND own.x = q.x),
  u AS (SELECT doc_id, sum({part("p", "share")}) AS listed, greatest(1 - sum(p), 0) AS p, greatest(1 - sum(share), 0) AS share FROM v GROUP BY 1),
  z AS (SELECT d.*, coalesce(rep.rep, 0) AS rep, coalesce(dup.dup, 0) AS dup,
-  CASE WHEN r.total >= {quality_rules.REFERENCE_WORDS} AND n >= {quality_rules.CHARS_WORDS} THEN sqrt(greatest(({chars}) / 2, 0)) END AS cd,
-  CASE WHEN r.total >= {quality_rules.REFERENCE_WORDS} AND n >= {quality_rules.WORDS_WORDS} THEN sqrt(greatest((listed + {part("u.p", "u.share")}) / 2, 0)) END AS wd
+  CASE WHEN r.total >= 2000 AND n >= 50 THEN sqrt(greatest(({chars}) / 2, 0)) END AS cd,
+  CASE WHEN r.total >= 2000 AND n >= 100 THEN sqrt(greatest((listed + {part("u.p", "u.share")}) / 2, 0)) END AS wd
   FROM d JOIN r ON r.lang IS NOT DISTINCT FROM d.lang LEFT JOIN rep ON rep.doc_id = d.doc_id LEFT JOIN dup ON dup.doc_id = d.doc_id LEFT JOIN u ON u.doc_id = d.doc_id)
 SELECT doc_id, n AS n_words, word_chars, c4 AS n_symbols, dup AS n_dup_lines, rep AS n_repeat_words, n < 50 OR 100*rep > 50*n AS base_failed, round(cd, 6) AS char_distance, round(wd, 6) AS word_distance,
- NOT (n < 50 OR 100*rep > 50*n) AND coalesce(cd, 0) <= {limits[0]} AND coalesce(wd, 0) <= {limits[1]} AS kept FROM z"""
+ NOT (n < 50 OR 100*rep > 50*n) AND coalesce(cd, 0) <= 0.3 AND coalesce(wd, 0) <= 0.45 AS kept FROM z"""
 
 
 ORACLES["op9_quality_rules"] = _rules_sql()

@@ -329,6 +329,18 @@ def test_divergence_keeps_prose_and_drops_junk(spark):
     assert got.kept[got.quality == 1].mean() > 0.99 and got.kept[got.quality == 0].mean() < 0.7
 
 
+def test_many_languages_take_the_salted_way(spark, documents, monkeypatch):
+    few = {r.doc_id: r for r in quality_rules.judged(documents).collect()}
+    monkeypatch.setattr(quality_rules, "MOST_LANGUAGES", 0)
+    assert {r.doc_id: r for r in quality_rules.judged(documents).collect()} == few
+
+
+def test_common_words_may_be_long(spark):
+    rows = [(i, "communications and unquestionably the " * 40 + f"word{i}", "en") for i in range(20)]
+    common = quality_rules.common_words(spark.createDataFrame(rows, "doc_id long, text string, lang string"), "text", "lang")
+    assert {r._word for r in common.collect()} == {"communications", "and", "unquestionably", "the"}
+
+
 def test_distance(spark):
     p, q = F.array(F.lit(1.0), F.lit(0.0)), F.array(F.lit(0.0), F.lit(1.0))
     r = spark.range(1).select(quality_rules.distance(p, q).alias("far"), quality_rules.distance(p, p).alias("near")).first()
