@@ -1,17 +1,19 @@
 """Mixing sources to target weights by entropy balancing, in DataFrame operations alone.
 
 Each source has one token constraint: the sizes of its documents, times their rates, must add up to its target. Among all
-rates between 0 and ``CAP`` that meet the constraints, the ones of least (Fermi) relative entropy to rate 1 are exponentially
-tilted: the odds of a rate, r / (CAP - r), are those of rate 1 times exp(lambda * c), where c is the document's size class over
-the source's mean. The lambdas solve a convex dual without constraints that falls apart by source. Its gradient and curvature
-need only the tokens of each size class, so one distributed aggregation of the documents gathers at most ``CLASSES`` sums for
-a source, and safeguarded Newton iterations run over those sums, in parallel for all sources.
+rates between 0 and ``CAP`` that meet the constraints, the ones of least relative entropy to rate 1 are exponentially tilted,
+exp(tilt * size / mean) with the source's mean size, and ``CAP`` where that is more. The tilts solve a convex dual without
+constraints. Its gradient and curvature are sums over documents that depend on their sizes alone, so documents are counted
+by source and size once; each Newton step then is a distributed aggregation of those counts for all sources, and a bracket
+around every tilt keeps the steps safe. Sums are of decimals, so no order of summation shows.
 
 Rates are rounded to copies that add up: every document takes the whole part of its rate. The fractions are rounded from the
-largest size class to the smallest: of a class the documents first in a random order (a hash of the key) take one more copy,
-as many as bring the words taken nearest to what all classes so far should take. What a class of long documents misses is
-thus made up by shorter ones, and a source misses its target by about half of a short document. The order is summed over
-``BINS`` ranges of the hash for each class, so no task sees the documents of a source together.
+largest size class to the smallest: of a class the documents first in a random order (a hash of the key over the fraction,
+so that larger fractions come earlier) take one more copy, as many as bring the words taken nearest to what all classes so
+far should take. What a class of long documents misses is thus made up by shorter ones. The order is summed over ``BINS``
+ranges for each class, and whole ranges take a copy or not, so no task sees the documents of a source together; a source
+misses its target by about half of the words that a range of its smallest classes holds, which is one short document or
+less where a source has few documents, and a ten-thousandth of its words where it has many.
 
 Defined results: size is the number of words, 0 for a null or empty text; sources go by code point, a null one last; a
 source without words has target 0; documents of size 0 take no words. Reruns agree, whatever the partitioning; rows that
@@ -23,14 +25,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from acreframe.llm._shared import WORD, id_text, unused, written
+from acreframe.llm._shared import WORD, discard, id_text, unused, written
 
 WEIGHTS = (5.0, 2.0, 1.0)
 CAP = 3.0
 STEP = 8  # size classes for each doubling of the size
 CLASSES = STEP * 40
-BINS = 64
-NEWTON = 60
+BINS = 256
+NEWTON, CLOSE = 60, 1e-11  # most steps, and the share of a target that a tilt may miss
+_EXACT = "decimal(38,6)"
 
 
 def sizes(rows: DataFrame, key: str, text: str, source: str) -> DataFrame:
@@ -44,86 +47,105 @@ def sizes(rows: DataFrame, key: str, text: str, source: str) -> DataFrame:
 def targets(totals: DataFrame, source: str) -> DataFrame:
     """(source, source_size, target): shares by weight, none above CAP times its source, the excess dealt out anew.
 
-    A source is capped if the share for a unit of weight reaches ``CAP * size / weight``; in the order of that ratio the
-    capped ones come first, and running sums give the share of those that are left, which is largest at the first of them.
-    This is one ordered pass over the sources, not over documents.
+    Sources are numbered by a sort that many tasks share: numbers within a partition, and the partitions' counts before it.
+    The share for a unit of weight is raised, one aggregation at a time, until no source is above its cap.
     """
-    rank = Window.orderBy(F.col(source).isNull(), F.col(source))
-    weighed = totals.withColumn("_rank", F.row_number().over(rank) - 1)
-    weighed = weighed.withColumn("weight", F.element_at(F.array(*map(F.lit, WEIGHTS)), (F.col("_rank") % len(WEIGHTS) + 1).cast("int")))
-    weighed = weighed.withColumn("_limit", CAP * F.col("source_size") / F.col("weight"))
-    before = Window.orderBy("_limit", "_rank").rowsBetween(Window.unboundedPreceding, -1)
-    onward = Window.orderBy("_limit", "_rank").rowsBetween(0, Window.unboundedFollowing)
-    everything = Window.orderBy("_limit", "_rank").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    weighed = weighed.withColumn("_all", F.sum("source_size").over(everything))
-    weighed = weighed.withColumn("_level", (F.col("_all") - CAP * F.coalesce(F.sum("source_size").over(before), F.lit(0))) / F.sum("weight").over(onward))
-    weighed = weighed.withColumn("_share", F.max(F.when(F.col("_limit") > F.col("_level"), F.col("_level"))).over(everything))
-    capped = F.col("_share").isNull() | (F.col("_limit") <= F.col("_share"))
-    return weighed.select(source, "source_size", F.when(capped, CAP * F.col("source_size")).otherwise(F.col("weight") * F.col("_share")).cast("double").alias("target"))
-
-
-def rate(tilt: Column, size_class: Column, mean: Column) -> Column:
-    """Tilted rate of a document of a size class."""
-    z = tilt * F.pow(F.lit(2.0), size_class / F.lit(float(STEP))) / mean
-    return CAP / (1.0 + (CAP - 1.0) * F.exp(-F.least(F.greatest(z, F.lit(-700.0)), F.lit(700.0))))
-
-
-def solve(classes: DataFrame, goals: DataFrame, source: str) -> DataFrame:
-    """(source, source_size, target, mean, tilt): the dual's solution for each source."""
-    sums = classes.groupBy(F.col(source).alias("_source")).agg(F.sort_array(F.collect_list(F.struct("class", "tokens"))).alias("parts"), (F.sum("tokens") / F.greatest(F.sum("n"), F.lit(1))).alias("mean"))
-    joined = goals.join(sums, goals[source].eqNullSafe(F.col("_source")), "left")
-    target, mean = F.col("target"), F.greatest(F.coalesce(F.col("mean"), F.lit(1.0)), F.lit(1.0))
-
-    def step(state: Column, _: Column) -> Column:
-        tilt = state["tilt"]
-
-        def add(total: Column, part: Column) -> Column:
-            r = rate(tilt, part["class"], mean)
-            c = F.pow(F.lit(2.0), part["class"] / F.lit(float(STEP))) / mean
-            return F.struct((total["taken"] + part["tokens"] * r).alias("taken"), (total["slope"] + part["tokens"] * c * r * (1.0 - r / CAP)).alias("slope"))
-
-        found = F.aggregate(F.coalesce(F.col("parts"), F.array().cast("array<struct<class:int,tokens:bigint>>")), F.struct(F.lit(0.0).alias("taken"), F.lit(0.0).alias("slope")), add)
-        # The bracket shrinks from the side that the residual tells; Newton's step counts only inside it.
-        return F.transform(F.array(found), lambda f: _newton(state, f, target))[0]
-
-    start = F.struct(F.lit(-4000.0).alias("low"), F.lit(4000.0).alias("high"), F.lit(0.0).alias("tilt"))
-    solved = joined.withColumn("_state", F.aggregate(F.sequence(F.lit(1), F.lit(NEWTON)), start, step))
-    tilt = F.when(target >= CAP * F.col("source_size") * (1 - 1e-12), F.lit(1e300)).otherwise(F.col("_state.tilt"))
-    return solved.select(source, "source_size", "target", mean.alias("mean"), tilt.alias("tilt"))
-
-
-def _newton(state: Column, found: Column, target: Column) -> Column:
-    over = found["taken"] > target
-    low = F.when(over, state["low"]).otherwise(state["tilt"])
-    high = F.when(over, state["tilt"]).otherwise(state["high"])
-    jump = state["tilt"] - (found["taken"] - target) / F.greatest(found["slope"], F.lit(1e-300))
-    inside = (jump > low) & (jump < high) & (found["slope"] > 0)
-    return F.struct(low.alias("low"), high.alias("high"), F.when(found["taken"] == target, state["tilt"]).when(inside, jump).otherwise((low + high) / 2).alias("tilt"))
+    in_order = totals.select(source, "source_size").orderBy(F.col(source).isNull(), F.col(source)).withColumn("_part", F.spark_partition_id())
+    in_order = written(in_order, "sources")
+    before, starts = 0, {}
+    for part, n in sorted((r[0], r[1]) for r in in_order.groupBy("_part").count().collect()):  # a row for each partition
+        starts[part], before = before, before + n
+    within = Window.partitionBy("_part").orderBy(F.col(source).isNull(), F.col(source))
+    start = F.element_at(F.map_from_arrays(F.lit(list(starts) or [0]), F.lit(list(starts.values()) or [0])), F.col("_part"))
+    rank = start + F.row_number().over(within) - 1
+    weight = F.element_at(F.array(*map(F.lit, WEIGHTS)), (rank % len(WEIGHTS) + 1).cast("int"))
+    weighed = written(in_order.withColumn("weight", weight), "weights")
+    discard(in_order)
+    limit = CAP * F.col("source_size") / F.col("weight")
+    whole, level, capped = None, 0.0, -1
+    while True:
+        over = limit < level
+        got = weighed.agg(F.count_if(over).alias("capped"), F.sum(F.when(over, F.col("source_size")).otherwise(0)).alias("held"), F.sum(F.when(over, 0.0).otherwise(F.col("weight"))).alias("weight"), F.sum("source_size").alias("whole")).first()
+        whole = float(got["whole"] or 0)
+        if got["capped"] == capped or not got["weight"]:
+            break
+        capped, level = got["capped"], (whole - CAP * float(got["held"])) / got["weight"]
+    return weighed.select(source, "source_size", F.least(CAP * F.col("source_size"), F.col("weight") * level).cast("double").alias("target"))
+
+
+def rate(tilt: Column, size: Column, mean: Column) -> Column:
+    """Tilted rate of a document of a size."""
+    return F.least(F.exp(F.least(tilt * size / mean, F.lit(50.0))), F.lit(CAP))
+
+
+def solve(counts: DataFrame, goals: DataFrame, source: str) -> DataFrame:
+    """(source, source_size, target, mean, tilt): the dual's solution for each source, from its documents n of each size."""
+    size, n = F.col("size").cast("double"), F.col("n").cast("double")
+    exact = lambda c: F.sum(c.cast(_EXACT)).cast("double")
+    facts = counts.groupBy(F.col(source).alias("_source")).agg(F.sum("n").alias("_n"), exact(size * size * n).alias("_square"))
+    same = lambda other: goals[source].eqNullSafe(other)
+    begun = goals.join(facts, same(F.col("_source")), "left").drop("_source")
+    mean = F.greatest(F.coalesce(F.col("source_size") / F.col("_n"), F.lit(1.0)), F.lit(1.0))
+    full = F.col("target") >= CAP * F.col("source_size") * (1 - 1e-12)
+    ratio = F.greatest(F.col("target") / F.greatest("source_size", F.lit(1)), F.lit(1e-300))
+    # A first guess from the mean size of a word's document; sources that take all they may, or nothing, are solved.
+    guess = F.log(ratio) / F.greatest(F.col("_square") / F.greatest("source_size", F.lit(1)) / mean, F.lit(1e-300))
+    begun = begun.select(source, "source_size", "target", mean.alias("mean"), F.when(full, F.lit(1e300)).otherwise(guess).alias("tilt"), F.lit(float("-inf")).alias("low"), F.lit(float("inf")).alias("high"), full.alias("done"))
+    state = written(begun, "tilts")
+    for _ in range(NEWTON):
+        open_ = state.where("not done")
+        if open_.isEmpty():
+            break
+        at = counts.join(open_.withColumnRenamed(source, "_source"), counts[source].eqNullSafe(F.col("_source")))
+        r, x = rate(F.col("tilt"), size, F.col("mean")), size / F.col("mean")
+        sums = at.groupBy(F.col(source).alias("_source")).agg(exact(n * size * r).alias("taken"), exact(F.when(r < CAP, n * size * x * r).otherwise(0.0)).alias("slope"))
+        moved = state.join(sums, state[source].eqNullSafe(F.col("_source")), "left").withColumns(_newton())
+        before, state = state, written(moved.select(*state.columns), "tilts")
+        discard(before)
+    return state.select(source, "source_size", "target", "mean", "tilt")
+
+
+def _newton() -> dict[str, Column]:
+    """The next tilt: a Newton step on the logarithm of the words taken, inside the bracket that the residuals tell."""
+    tilt, taken, target = F.col("tilt"), F.col("taken"), F.col("target")
+    over = taken > target
+    low, high = F.when(over, F.col("low")).otherwise(tilt), F.when(over, tilt).otherwise(F.col("high"))
+    jump = tilt - F.log(taken / target) * taken / F.col("slope")
+    inside = (F.col("slope") > 0) & (taken > 0) & (jump > low) & (jump < high)
+    wide = F.when(over, tilt - 2 * F.greatest(F.abs(tilt), F.lit(1.0))).otherwise(tilt + 2 * F.greatest(F.abs(tilt), F.lit(1.0)))
+    middle = F.when((low > float("-inf")) & (high < float("inf")), (low + high) / 2).otherwise(wide)
+    close = (F.abs(taken - target) <= CLOSE * target) | (high - low <= 1e-15 * F.abs(tilt))
+    done = F.col("done") | F.coalesce(close, F.lit(True))  # a source without words has no sums
+    return {
+        "tilt": F.when(done, tilt).when(inside, jump).otherwise(middle),
+        "low": F.when(done, F.col("low")).otherwise(low),
+        "high": F.when(done, F.col("high")).otherwise(high),
+        "done": done,
+    }
 
 
 def mixture(rows: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """(key, size, source_size, target, rate, copies, taken) of each row."""
     base = written(sizes(rows, key, text, source), "sizes")
-    classes = base.groupBy(source, "class").agg(F.sum("size").alias("tokens"), F.count("*").alias("n"))
-    goals = targets(classes.groupBy(source).agg(F.sum("tokens").alias("source_size")), source)
-    solved = written(solve(classes.where("class >= 0"), goals, source), "tilts")
-    # One row for each source, salted over the source's documents.
-    known = base.join(_spread(base, solved, key, source), base[source].eqNullSafe(F.col("_source")) & (F.pmod(F.xxhash64(id_text(base[key])), F.lit(128)) == F.col("_salt")))
-    r = F.when(F.col("class") < 0, F.lit(1.0)).otherwise(rate(F.col("tilt"), F.col("class"), F.col("mean")))
-    known = known.select(base[key], base[source], "size", "class", "source_size", "target", "mark", r.alias("rate"))
+    counts = written(base.groupBy(source, "size").agg(F.count("*").alias("n")), "counts")
+    goals = written(targets(counts.groupBy(source).agg(F.sum(F.col("size") * F.col("n")).alias("source_size")), source), "goals")
+    solved = solve(counts.where("size > 0"), goals, source)
+    known = _attach(base, solved, key, source, ("source_size", "target", "mean", "tilt"))
+    r = F.when(F.col("size") == 0, F.lit(1.0)).otherwise(rate(F.col("tilt"), F.col("size"), F.col("mean")))
+    known = known.select(key, source, "size", "class", "source_size", "target", "mark", r.alias("rate"))
     known = known.withColumn("_whole", F.floor("rate")).withColumn("_part", F.col("rate") - F.col("_whole"))
-    # Documents of a class have one rate, so their marks order them; BINS ranges of the mark are summed up.
-    known = written(known.withColumn("_bin", F.floor(F.col("mark") * BINS).cast("int")), "rates")
-    bins = known.where((F.col("_part") > 1e-9) & (F.col("size") > 0)).groupBy(source, "class", "_bin").agg(F.sum("size").alias("tokens"), F.first("_part").alias("part"))
-    of_class = bins.groupBy(source, "class").agg(F.sum("tokens").alias("tokens"), F.first("part").alias("part"), F.sort_array(F.collect_list(F.struct("_bin", "tokens"))).alias("bins"))
-    of_source = of_class.groupBy(source).agg(F.sort_array(F.collect_list(F.struct((-F.col("class")).alias("order"), "class", "tokens", "part", "bins"))).alias("classes"))
+    order = F.col("mark") / F.greatest("_part", F.lit(1e-9))
+    known = written(known.withColumn("_bin", F.least(F.floor(BINS * order / (1 + order)), F.lit(BINS - 1)).cast("int")).drop("mark"), "rates")
+    # The words of a range if it takes one more copy, and those that it should take.
+    bins = known.where((F.col("_part") > 1e-9) & (F.col("size") > 0)).groupBy(source, "class", "_bin").agg(F.sum("size").alias("tokens"), F.sum((F.col("size") * F.col("_part")).cast(_EXACT)).alias("goal"))
+    of_class = bins.groupBy(source, "class").agg(F.sum("goal").cast("double").alias("goal"), F.sort_array(F.collect_list(F.struct("_bin", "tokens"))).alias("bins"))
+    of_source = of_class.groupBy(source).agg(F.sort_array(F.collect_list(F.struct((-F.col("class")).alias("order"), "class", "goal", "bins"))).alias("classes"))
     start = F.struct(F.lit(0).cast("bigint").alias("taken"), F.lit(0.0).alias("goal"), F.array().cast("array<struct<class:int,cut:int>>").alias("cuts"))
-    cuts = of_source.select(F.col(source).alias("_source"), F.explode(F.aggregate("classes", start, _cut)["cuts"]).alias("_cut")).where("_cut.cut >= 0")
-    more = cuts.select("_source", F.col("_cut.class").alias("_class"), F.explode(F.sequence(F.lit(0), F.col("_cut.cut"))).alias("_more"))
-    found = known.join(more, known[source].eqNullSafe(F.col("_source")) & (F.col("class") == F.col("_class")) & (F.col("_bin") == F.col("_more")), "left")
-    extra = (F.col("_more").isNotNull() & (F.col("_part") > 1e-9)).cast("int")
-    copies = (F.col("_whole") + extra).cast("bigint")
-    return found.select(known[key], "size", "source_size", "target", "rate", copies.alias("copies"), (F.col("size") * copies).alias("taken"))
+    cuts = of_source.select(source, F.map_from_entries(F.aggregate("classes", start, _cut)["cuts"]).alias("cuts"))
+    found = _attach(known, written(cuts, "cuts"), key, source, ("cuts",))
+    extra = (F.col("_part") > 1e-9) & (F.col("_bin") <= F.coalesce(F.try_element_at("cuts", F.col("class")), F.lit(-1)))
+    copies = (F.col("_whole") + extra.cast("int")).cast("bigint")
+    return found.select(key, "size", "source_size", "target", "rate", copies.alias("copies"), (F.col("size") * copies).alias("taken"))
 
 
 def _cut(state: Column, c: Column) -> Column:
@@ -131,7 +153,7 @@ def _cut(state: Column, c: Column) -> Column:
 
     The goal is what all classes so far should take; bins go in as long as each brings the words nearer to it.
     """
-    goal = state["goal"] + c["tokens"] * c["part"]
+    goal = state["goal"] + c["goal"]
 
     def take(s: Column, b: Column) -> Column:
         more = s["open"] & (F.abs(s["taken"] + b["tokens"] - goal) <= F.abs(s["taken"] - goal))
@@ -141,10 +163,12 @@ def _cut(state: Column, c: Column) -> Column:
     return F.transform(F.array(found), lambda f: F.struct(f["taken"].alias("taken"), goal.alias("goal"), F.array_append(state["cuts"], F.struct(c["class"].alias("class"), f["cut"].alias("cut"))).alias("cuts")))[0]
 
 
-def _spread(rows: DataFrame, facts: DataFrame, key: str, source: str) -> DataFrame:
-    """Facts of each source, once for each salt that its rows have."""
-    salts = rows.select(F.col(source).alias("_source"), F.pmod(F.xxhash64(id_text(F.col(key))), F.lit(128)).alias("_salt")).distinct()
-    return facts.join(salts, facts[source].eqNullSafe(F.col("_source")), "inner").drop(source)
+def _attach(rows: DataFrame, facts: DataFrame, key: str, source: str, columns: tuple[str, ...]) -> DataFrame:
+    """Rows with columns of their source: a source's facts go once to each salt that its rows have."""
+    salt = F.pmod(F.xxhash64(id_text(F.col(key))), F.lit(128))
+    salts = rows.select(F.col(source).alias("_source"), salt.alias("_salt")).distinct()
+    spread = salts.join(facts, facts[source].eqNullSafe(F.col("_source"))).select("_source", "_salt", *columns)
+    return rows.join(spread, rows[source].eqNullSafe(F.col("_source")) & (salt == F.col("_salt")), "left").select(*[rows[c] for c in rows.columns], *columns)
 
 
 def repeated(rows: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:

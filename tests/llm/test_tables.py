@@ -102,6 +102,47 @@ def test_mixture(spark, documents):
     assert (again.taken.tolist() == got.sort_values("doc_id").taken.tolist())
 
 
+def test_rates_solve_the_dual(spark, documents):
+    """Rates against bisection, source by source, and against other rates that meet the constraint."""
+    import numpy as np
+
+    got = mixing.mixture(documents).join(documents.select("doc_id", "source"), "doc_id").toPandas()
+    rng = np.random.default_rng(1)
+    for _, part in got[got["size"] > 0].groupby("source"):
+        size, target = part["size"].to_numpy(float), part.target.iloc[0]
+        mean = got[got.source == part.source.iloc[0]]["size"].mean()
+        low, high = -500.0, 500.0
+        for _ in range(200):
+            mid = (low + high) / 2
+            low, high = (mid, high) if (size * np.minimum(3, np.exp(np.minimum(50, mid * size / mean)))).sum() < target else (low, mid)
+        want = np.minimum(3, np.exp(np.minimum(50, low * size / mean)))
+        if target < 3 * size.sum() * (1 - 1e-9):
+            assert np.abs(part.rate - want).max() < 1e-6
+        # Moving words between documents raises the relative entropy to rate 1.
+        entropy = lambda r: (r * np.log(np.maximum(r, 1e-300)) - r + 1).sum()
+        for _ in range(20):
+            i, j = rng.choice(len(size), 2, replace=False)
+            other = part.rate.to_numpy().copy()
+            words = 1e-3 * size[[i, j]].min()
+            other[i], other[j] = other[i] + words / size[i], other[j] - words / size[j]
+            if 0 <= other.min() and other.max() <= 3:
+                assert entropy(other) > entropy(part.rate.to_numpy()) - 1e-9
+
+
+def test_sources_of_one_size_and_extreme_targets(spark):
+    rows = [(k, "w " * (5 if s == "b" else 1 + k % 700), s) for k, s in enumerate(["a"] * 30 + ["b"] * 900 + ["c"] * 4 + [None] * 60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    for parts in (1, 6):
+        got = mixing.mixture(df.repartition(parts)).join(df, "doc_id").toPandas().sort_values("doc_id")
+        whole = got.groupby("source", dropna=False)["size"].sum()
+        want = plain_targets({None if s != s else s: n for s, n in whole.items()})
+        for s, part in got.groupby("source", dropna=False):
+            goal = want[None if s != s else s]
+            assert abs((part["size"] * part.rate).sum() - goal) < 1e-6 * goal and abs(part.taken.sum() - goal) <= max(0.02 * goal, part["size"].min())
+        assert parts == 1 or got.taken.tolist() == first
+        first = got.taken.tolist()
+
+
 def test_targets_stop_at_three_times_the_source(spark):
     sizes = {"a": 10, "b": 1000, "c": 5, "d": 700, None: 300, "e": 0}
     df = spark.createDataFrame([(k, v) for k, v in sizes.items()], "source string, source_size long")
