@@ -4,13 +4,16 @@ The kernel of two words sums, over the subsequences of ``ORDER`` characters that
 stretches that the subsequence spans in both, so an insult keeps most of its kernel when characters are put into it or
 left between its letters. Landmarks are strings that tell labelled toxic sentences from clean ones, and clean words that come
 near them. The machine is linear in the Nystroem features of a word, that is, its decision is a weighted sum of the word's
-kernels with the landmarks. A sentence counts as its worst word, a document as its worst sentence.
+normalised kernels with the landmarks. In fitting, a sentence counts as its worst word, and a toxic document's label holds
+for its worst sentence and for others that come near the landmarks. A document's score is a logistic function of the decisions
+of its ``WORST`` worst words, so that several words that resemble insults a little count together.
+
+The kernel is an inner product of the words' subsequences, so the weighted landmarks add up to one weight for each
+subsequence that a landmark has: a few thousand. A word's decision is the sum of the weights of its own subsequences over its
+norm, which is the whole kernel machine, without a filter, at the cost of a table look-up for each three of its characters.
 
 A word is the letters and digits of a run of characters between white space. Neighbouring short words make up words too: three
 single characters or more in a row, two words of at most ``SHORT`` characters each, or three of at most ``SHORT`` - 1 each.
-The kernel is taken as zero where a word lacks a quarter of the letters of a landmark (any, of four letters at most), or has
-less than ``PAIRS`` of its neighbouring letter pairs in their order, whatever stands between. Letters are tested by bit masks
-for all words, pairs once for each word that passes.
 
 Defined results: null, empty and wordless texts score like a text of harmless words; without labelled rows of both
 classes every score is 0. Long texts are read whole, long words in overlapping windows.
@@ -22,24 +25,24 @@ import re
 import zlib
 from collections import Counter
 from dataclasses import dataclass, field
+from heapq import nlargest
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from acreframe.llm._shared import SAMPLE_CHARS, labelled_sample, mapped, slices
+from acreframe.llm._shared import SAMPLE_CHARS, WORD, labelled_sample, mapped, slices
 
 ORDER, DECAY = 3, 0.7
 WINDOW = 32
 SHORT = 4
-PAIRS = 0.6
 THRESHOLD = 0.3
-_SPACE = np.zeros(64, bool)
-_SPACE[[9, 10, 11, 12, 13, 32]] = True
-_CACHE = 100_000
-_tables: dict[str, np.ndarray] = {}
+WORST = 3  # words of a document that its score hangs on
+TURNS, RIDGE = 10, 1e-4
+_CACHE = 200_000  # words whose decisions a task remembers
 START, END = "\x02", "\x03"  # of a word, in landmarks and in the kernel
+_word = re.compile(WORD)
 
 
 def marked(word: str) -> str:
@@ -51,13 +54,6 @@ def _points(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
 
 
-def _alnum() -> np.ndarray:
-    """Of each code point whether it is a letter or digit."""
-    if "alnum" not in _tables:
-        _tables["alnum"] = np.array([chr(c).isalnum() for c in range(0x110000)])
-    return _tables["alnum"]
-
-
 def _lag(k: int) -> np.ndarray:
     d = np.arange(k)[:, None] - np.arange(k)[None, :] - 1
     return np.where(d >= 0, DECAY ** np.maximum(d, 0), 0.0)
@@ -95,134 +91,130 @@ class Landmark:
     text: str
     toxic: bool
     self_kernel: float = 0.0
-    letters: np.uint64 = field(default=np.uint64(0))
-    pairs: list[tuple[int, int]] = field(default_factory=list)
-    need_letters: int = 0
-    need_pairs: int = 0
 
     def __post_init__(self):
-        p = _points(self.text.strip(START + END))
         self.self_kernel = float(kernels([self.text], self.text)[0])
-        self.letters = np.bitwise_or.reduce(np.uint64(1) << (p & np.uint32(63)).astype(np.uint64))
-        self.pairs = sorted(set(zip(p[:-1].tolist(), p[1:].tolist(), strict=True)))
-        n, q = int(np.bitwise_count(self.letters)), len(self.pairs)
-        self.need_letters = n if n <= 4 else int(np.ceil(0.75 * n))
-        self.need_pairs = int(np.ceil(PAIRS * q))
-
-
-def masks(texts: list[str]) -> tuple[str, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(letters, digits and white space of all texts joined, and of each word start, end, text, letters)."""
-    p = _points("\n".join(texts) + "\n")
-    space = (p < 64) & _SPACE[p & np.uint32(63)]
-    keep = space | _alnum()[p]
-    bounds = np.cumsum(keep)[np.cumsum([len(t) + 1 for t in texts]) - 1] if texts else np.zeros(0, np.int64)
-    p, inside = p[keep], ~space[keep]
-    joined = p.tobytes().decode("utf-32-le", "surrogatepass")
-    edge = np.diff(np.concatenate([[False], inside]).astype(np.int8))
-    starts = np.flatnonzero(edge == 1)
-    ends = np.flatnonzero(edge == -1)
-    if not len(starts):
-        return joined, starts, starts, starts, np.zeros(0, np.uint64)
-    owner = np.searchsorted(bounds, starts, side="right")
-    bits = np.where(inside, np.uint64(1) << (p & np.uint32(63)).astype(np.uint64), np.uint64(0))
-    return joined, starts, ends, owner, np.bitwise_or.reduceat(bits, starts)
-
-
-def spelt(joined: str, starts: np.ndarray, ends: np.ndarray, owner: np.ndarray) -> list[tuple[int, str]]:
-    """Words spelt out as three single characters or more in a row: (text, word)."""
-    single = (ends - starts) == 1
-    if single.sum() < 3:
-        return []
-    follows = np.concatenate([[False], single[1:] & single[:-1] & (owner[1:] == owner[:-1])])
-    heads = np.flatnonzero(single & ~follows)
-    lasts = np.concatenate([heads[1:], [len(starts)]])
-    out = []
-    for a, b in zip(heads, lasts, strict=True):
-        n = 1
-        while a + n < b and follows[a + n]:
-            n += 1
-        if n >= 3:
-            out.append((int(owner[a]), "".join(joined[starts[a + k]] for k in range(n))))
-    return out
 
 
-def split_words(joined: str, starts: np.ndarray, ends: np.ndarray, owner: np.ndarray, letters: np.ndarray, landmarks: list[Landmark]) -> list[tuple[int, str]]:
-    """Words that two or three neighbouring short words make up and that pass the masks: (text, word)."""
-    size, out = ends - starts, []
-    for n in (2, 3):
-        count = len(starts) - n + 1
-        if count <= 0:
-            break
-        short = size <= SHORT + 2 - n
-        at = np.flatnonzero(np.logical_and.reduce([short[k : count + k] for k in range(n)]) & (owner[:count] == owner[n - 1 :]))
-        at = at[_passes(np.bitwise_or.reduce([letters[at + k] for k in range(n)]), landmarks)]
-        out += [(int(owner[i]), "".join(joined[starts[i + k] : ends[i + k]] for k in range(n))) for i in at]
-    return out
+class _Plain(dict):
+    """The letters and digits of words, remembered."""
+
+    def __missing__(self, word: str) -> str:
+        if len(self) >= _CACHE:
+            self.clear()
+        self[word] = found = word if word.isalnum() else "".join(filter(str.isalnum, word))
+        return found
+
+
+_plain = _Plain()
 
 
 def windows(word: str) -> list[str]:
     return [word] if len(word) <= WINDOW else [word[i : i + WINDOW] for i in range(0, len(word) - WINDOW // 2, WINDOW // 2)]
 
 
-def suspects(texts: list[str], landmarks: list[Landmark]) -> list[list[str]]:
-    """The words of each text that pass the masks of a toxic landmark, each once."""
-    joined, starts, ends, owner, letters = masks([t.lower() for t in texts])
-    found: list[dict[str, None]] = [{} for _ in texts]
-    for i, word in spelt(joined, starts, ends, owner) + split_words(joined, starts, ends, owner, letters, landmarks):
-        found[i][word] = None
-    for i in np.flatnonzero(_passes(letters, landmarks)):
-        found[owner[i]][joined[starts[i] : ends[i]]] = None
-    return [[x for w in f for x in windows(marked(w))] for f in found]
+def words_of(text: str) -> set[str]:
+    """The words of a text, and those that neighbouring short words make up."""
+    row = list(filter(None, map(_plain.__getitem__, _word.findall(text.lower()))))
+    out = set(row)
+    size = np.fromiter(map(len, row), np.int64, len(row))
+    for n in (2, 3):
+        short = size <= SHORT + 2 - n
+        if len(row) >= n:
+            for i in np.flatnonzero(np.logical_and.reduce([short[k : len(row) - n + 1 + k] for k in range(n)])).tolist():
+                out.add("".join(row[i : i + n]))
+    if (size == 1).sum() > 3:
+        edge = np.diff(np.concatenate([[False], size == 1, [False]]).astype(np.int8))
+        out.update("".join(row[a:b]) for a, b in zip(np.flatnonzero(edge == 1).tolist(), np.flatnonzero(edge == -1).tolist(), strict=True) if b - a > 3)
+    return out
 
 
-def _passes(letters: np.ndarray, landmarks: list[Landmark]) -> np.ndarray:
-    out = np.zeros(len(letters), bool)
-    for m in landmarks:
-        if m.toxic:
-            out |= np.bitwise_count(letters & m.letters) >= m.need_letters
-    return out
+def _triples(length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of a word's length: positions of pairs i < j, of each triple its pair and last position, and its decay."""
+    if length not in _places:
+        i, j = np.triu_indices(length, 1)
+        pair, last = np.nonzero(np.arange(length)[None, :] > j[:, None])
+        _places[length] = i, j, pair, last, DECAY ** (last - i[pair] + 1.0)
+    return _places[length]
+
+
+_places: dict[int, tuple] = {}
+
+
+class Subsequences:
+    """Values of the subsequences that some strings hold, to be summed over words."""
+
+    def __init__(self, strings: list[str]):
+        letters = sorted({c for x in strings for c in x})
+        self.code = {c: k + 1 for k, c in enumerate(letters)}  # 0 stands for all other characters
+        self.size = len(letters) + 1
+        points = np.array([ord(c) for c in letters], np.uint32)
+        self.points = points
+        pairs: dict[tuple[int, int], int] = {}
+        rows: dict[tuple[int, int], int] = {}
+        own: list[dict[int, float]] = []
+        for x in strings:
+            codes = np.array([self.code[c] for c in x])
+            held: dict[int, float] = {}
+            if len(x) >= ORDER:
+                i, j, pair, last, decay = _triples(len(x))
+                for p, k, d in zip(pair.tolist(), last.tolist(), decay.tolist(), strict=True):
+                    two = pairs.setdefault((int(codes[i[p]]), int(codes[j[p]])), len(pairs) + 1)
+                    row = rows.setdefault((two, int(codes[k])), len(rows) + 1)
+                    held[row] = held.get(row, 0.0) + d
+            own.append(held)
+        self.pairs = np.zeros(self.size * self.size, np.int32)
+        for (a, b), k in pairs.items():
+            self.pairs[a * self.size + b] = k
+        self.rows = np.zeros((len(pairs) + 1) * self.size, np.int32)
+        for (a, b), k in rows.items():
+            self.rows[a * self.size + b] = k
+        self.values = np.zeros((len(rows) + 1, len(strings)), np.float32)  # a column for each string, of norm 1
+        for k, held in enumerate(own):
+            norm = sum(v * v for v in held.values()) ** 0.5
+            for row, v in held.items():
+                self.values[row, k] = v / norm
+
+    def sums(self, words: list[str], values: np.ndarray) -> np.ndarray:
+        """Of each word (of WINDOW characters at most) the values of its subsequences, weighted by decay."""
+        out = np.zeros((len(words), *values.shape[1:]), np.float32)
+        order = sorted(range(len(words)), key=lambda k: len(words[k]))
+        size = np.array([len(words[k]) for k in order])
+        for length in np.unique(size[size >= ORDER]).tolist():
+            own = order[np.searchsorted(size, length) : np.searchsorted(size, length, side="right")]
+            i, j, pair, last, decay = _triples(length)
+            decay = decay.astype(np.float32)
+            step = max(1, 400_000 // (len(pair) * (1 if values.ndim == 1 else values.shape[1] // 8 + 1)))
+            for at in range(0, len(own), step):
+                part = own[at : at + step]
+                grid = np.frombuffer("".join([words[k] for k in part]).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(len(part), length)
+                where = np.minimum(np.searchsorted(self.points, grid), len(self.points) - 1)
+                codes = np.where(self.points[where] == grid, where + 1, 0)
+                two = self.pairs[codes[:, i] * self.size + codes[:, j]]
+                some = np.flatnonzero(two.any(1))  # words that share a pair of characters at least
+                if len(some):
+                    rows = self.rows[two[some][:, pair] * self.size + codes[some][:, last]]
+                    found = values[rows]
+                    out[np.array(part)[some]] = found @ decay if values.ndim == 1 else np.einsum("ijk,j->ik", found, decay)
+        return out
 
 
-def _ordered(grid: np.ndarray, pairs: list[tuple[int, int]]) -> np.ndarray:
-    """How many of the pairs each word has in order, with anything between."""
-    width, count = grid.shape[1], np.zeros(len(grid), int)
-    first, last = {}, {}
-    for c in {c for pair in pairs for c in pair}:
-        same = grid == c
-        some = same.any(1)
-        first[c] = np.where(some, same.argmax(1), width)
-        last[c] = np.where(some, width - 1 - same[:, ::-1].argmax(1), -1)
-    for a, b in pairs:
-        count += first[a] < last[b]
-    return count
+def norms(words: list[str]) -> np.ndarray:
+    """Square roots of the words' kernels with themselves."""
+    out = np.ones(len(words))
+    order = np.argsort([len(w) for w in words], kind="stable")
+    for at in range(0, len(order), 512):
+        part = order[at : at + 512]
+        out[part] = np.sqrt(np.maximum(self_kernels([words[k] for k in part]), 1e-12))
+    return out
 
 
 def similarities(words: list[str], landmarks: list[Landmark]) -> np.ndarray:
-    """Normalised kernel of each word with each landmark; zero where masks fail."""
-    out = np.zeros((len(words), len(landmarks)))
+    """Normalised kernel of each marked word with each landmark."""
     if not words:
-        return out
-    _, starts, _, owner, letters = masks(words)
-    if not len(starts):
-        return out
-    size = np.array([len(w) for w in words])
-    for low, high in ((0, 12), (12, 20), (20, WINDOW)):
-        own = np.flatnonzero((size[owner] > low) & (size[owner] <= high))
-        for at in range(0, len(own), 4096):
-            part = own[at : at + 4096]
-            grid = _grid([words[owner[i]] for i in part])
-            for k, m in enumerate(landmarks):
-                hit = np.flatnonzero(np.bitwise_count(letters[part] & m.letters) >= m.need_letters)
-                hit = hit[_ordered(grid[hit], m.pairs) >= m.need_pairs]
-                for first in range(0, len(hit), 512):
-                    some = hit[first : first + 512]
-                    same = grid[some][:, :, None] == _points(m.text)[None, None, :]
-                    out[owner[part[some]], k] = _common(same) / np.sqrt(m.self_kernel)
-    some = np.flatnonzero(out.any(1))
-    for at in range(0, len(some), 512):
-        part = some[at : at + 512]
-        out[part] /= np.sqrt(np.maximum(self_kernels([words[i] for i in part]), 1e-12))[:, None]
-    return out
+        return np.zeros((0, len(landmarks)))
+    known = Subsequences([m.text for m in landmarks])
+    return known.sums(words, known.values) / norms(words)[:, None]
 
 
 @dataclass
@@ -232,22 +224,49 @@ class ToxicityModel:
     bias: float
     slope: float = 1.0  # of the calibration
     offset: float = 0.0
+    mix: tuple[float, ...] = (1.0,) + (0.0,) * (WORST - 1)  # of the decisions of a document's worst words
     cache: dict[str, float] = field(default_factory=dict)
 
+    def __post_init__(self):
+        self.known = Subsequences([m.text for m in self.landmarks])
+        self.values = self.known.values @ np.asarray(self.weights, np.float32)
+
+    def marked(self, words: list[str]) -> np.ndarray:
+        """Decision of each word between its marks, less the bias; zero stands for all that is not above it."""
+        total = self.known.sums(words, self.values).astype(np.float64)
+        above = np.flatnonzero(total > 0)
+        out = np.zeros(len(words))
+        out[above] = total[above] / norms([words[k] for k in above])
+        return out
+
     def words(self, words: list[str]) -> list[float]:
-        """Decision of each word."""
+        """Decision of each word, the bias at least; long words count as their worst window."""
         new = list(dict.fromkeys(w for w in words if w not in self.cache))
         if len(self.cache) + len(new) > _CACHE:
             self.cache.clear()
             new = list(dict.fromkeys(words))
         if new:
-            self.cache.update(zip(new, (similarities(new, self.landmarks) @ self.weights + self.bias).tolist(), strict=True))
+            parts = [windows(START + w + END) for w in new]
+            found = self.marked([x for p in parts for x in p])
+            worst = np.maximum.reduceat(found, np.concatenate([[0], np.cumsum([len(p) for p in parts])[:-1]]))
+            self.cache.update(zip(new, (worst + self.bias).tolist(), strict=True))
         return [self.cache[w] for w in words]
 
+    def worst(self, texts: list[str]) -> np.ndarray:
+        """Decisions of the WORST worst words of each text, the bias where there are fewer."""
+        out, held = np.full((len(texts), WORST), self.bias), []
+        for i, t in enumerate(texts):
+            held.append((i, words_of(t)))
+            if len(held) == 64 or i == len(texts) - 1:
+                self.words(list(set().union(*(w for _, w in held))))
+                for k, own in held:
+                    found = nlargest(WORST, self.words(list(own)))
+                    out[k, : len(found)] = found
+                held = []
+        return out
+
     def decisions(self, texts: list[str]) -> np.ndarray:
-        found = suspects(texts, self.landmarks)
-        self.words([w for f in found for w in f]) if sum(map(len, found)) < _CACHE // 2 else None
-        return np.array([max([self.bias, *self.words(f)]) for f in found])
+        return self.worst(texts) @ np.array(self.mix)
 
     def scores(self, texts: list[str]) -> np.ndarray:
         if not self.landmarks:
@@ -328,52 +347,87 @@ def fit(texts: list[str], labels: list[int], most: int = 64) -> ToxicityModel:
     landmarks = [Landmark(g, True) for g in chosen]
     # Clean words that come nearest to the toxic landmarks become landmarks too.
     near: Counter = Counter()
-    for at in range(0, len(clean), 200):
-        words = list(dict.fromkeys(w for f in suspects(clean[at : at + 200], landmarks) for w in f))
-        for w, s in zip(words, similarities(words, landmarks).max(1, initial=0), strict=True):
-            near[w] = max(near[w], float(s))
+    seen = sorted({x for t in clean for w in words_of(t) for x in windows(START + w + END)})
+    for at in range(0, len(seen), 10_000):
+        near.update(dict(zip(seen[at : at + 10_000], similarities(seen[at : at + 10_000], landmarks).max(1, initial=0).tolist(), strict=True)))
     landmarks += [Landmark(w, False) for w, s in sorted(near.items(), key=lambda x: (-x[1], x[0]))[: len(chosen) // 2 + 1] if len(w) > ORDER + 2 and w not in chosen]
     own = np.array([m.self_kernel for m in landmarks])
     among = np.stack([kernels([m.text for m in landmarks], k.text) for k in landmarks]) / np.sqrt(own[:, None] * own[None, :])
     value, vector = np.linalg.eigh((among + among.T) / 2 + 1e-3 * np.eye(len(own)))
     root = vector @ np.diag(1 / np.sqrt(np.maximum(value, 1e-3))) @ vector.T
-    # A sentence is its word nearest to the toxic landmarks; a toxic document's label holds for its nearest sentence.
-    rows, signs = [np.zeros(len(landmarks))], [-1.0]
-    for text, y in zip(lowered, labels, strict=True):
-        parts = suspects(sentences(text), landmarks)
-        place = {w: i for i, w in enumerate(dict.fromkeys(w for f in parts for w in f))}
-        known = similarities(list(place), landmarks)
-        best = []
-        for f in parts:
-            s = known[[place[w] for w in f]]
-            if s.any():
-                best.append(s[s[:, : len(chosen)].max(1).argmax()])
-        best.sort(key=lambda s: -s[: len(chosen)].max())
-        for s in best[:3]:
-            if not y or s[: len(chosen)].max() >= (0.5 if s is not best[0] else 0.2):
-                rows.append(s)
-                signs.append(1.0 if y else -1.0)
-    x, y = np.array(rows) @ root, np.array(signs)
-    x = np.concatenate([x, np.ones((len(x), 1))], 1)
-    share = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y < 0).sum()))
-    flat = np.diag([1e-4] * (x.shape[1] - 1) + [1e-8])
+    # The label of a sentence holds for its worst word, that of a toxic document for its worst sentence; which ones those
+    # are is told first by the nearest toxic landmark, then by the machine itself, fitted anew.
+    parts = [[sorted({x for w in words_of(p) for x in windows(START + w + END)}) for p in sentences(text)] for text in lowered]
+    place = {w: i for i, w in enumerate(sorted({w for p in parts for f in p for w in f}))}
+    every = list(place)
+    known = np.concatenate([np.zeros((1, len(landmarks))), *(similarities(every[at : at + 10_000], landmarks) for at in range(0, len(every), 10_000))])
+    x = np.concatenate([known @ root, np.ones((len(known), 1))], 1)  # the last row, of position -1, is a word that resembles none
+    x = np.concatenate([x[1:], x[:1]])
+    told = np.concatenate([known[1:, : len(chosen)].max(1, initial=0), [0.0]])
+    bags = [[np.array([place[w] for w in f]) for f in own if f] for own in parts]
+    flat = np.diag([RIDGE] * (x.shape[1] - 1) + [1e-8])
+    documents = [np.array(sorted({int(k) for f in own for k in f}), int) for own in bags]
     w = np.zeros(x.shape[1])
-    for _ in range(50):  # Newton's steps on the squared hinge loss, both classes of equal weight
-        active = share * (y * (x @ w) < 1)
-        new = np.linalg.solve((x * active[:, None]).T @ x + flat, x.T @ (active * y))
-        if np.abs(new - w).max() < 1e-9:
+    best = (np.inf, 0, w)
+    for turn in range(TURNS):
+        held: dict[tuple[int, int], float] = {(-1, -1): -1.0}
+        for i, (own, y) in enumerate(zip(bags, labels, strict=True)):
+            worst = sorted((int(f[told[f].argmax()]) for f in own), key=lambda k: -told[k])
+            if y:
+                worst = [k for k in worst if k == worst[0] or told[k] > 0.5]
+            held.update({(i, k): 1.0 if y else -1.0 for k in worst})
+        rows, y = [k for _, k in held], np.array(list(held.values()))
+        share = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y < 0).sum()))
+        z = x[rows]
+        for step in range(50):  # Newton's steps on the squared hinge loss, both classes of equal weight
+            active = share * (y * (z @ w) < 1)
+            new = np.linalg.solve((z * active[:, None]).T @ z + flat, z.T @ (active * y))
+            if np.abs(new - w).max() < 1e-9:
+                break
+            w = (w + new) / 2 if step > 25 else new
+        before, told = told, x @ w
+        loss = mixed(np.array([worst_of(told[own], float(w[-1])) for own in documents]), np.array(labels))[1]
+        best = min(best, (loss, turn, w), key=lambda found: found[:2])
+        if turn and np.abs(told - before).max() < 1e-6:
             break
-        w = (w + new) / 2 if _ > 25 else new
+    w = best[2]  # turns need not settle; that counts which tells the sample's documents apart best
     w, b = w[:-1], w[-1]
     model = ToxicityModel(landmarks, root @ w, float(b))
     calibrate(model, lowered, labels)
     return model
 
 
+def worst_of(found: np.ndarray, bias: float) -> np.ndarray:
+    """The WORST largest decisions, the bias where there are fewer."""
+    out = np.full(WORST, bias)
+    top = np.sort(found)[::-1][:WORST]
+    out[: len(top)] = np.maximum(top, bias)
+    return out
+
+
+def mixed(worst: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, float]:
+    """(weights of documents' worst decisions, loss) of a logistic regression in which both classes count alike."""
+    x = np.concatenate([worst, np.ones((len(y), 1))], 1)
+    share = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y < 1).sum()))
+    u = np.zeros(x.shape[1])
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-np.clip(x @ u, -30, 30)))
+        step = np.linalg.solve((x * (share * np.maximum(p * (1 - p), 1e-6))[:, None]).T @ x + 1e-3 * np.eye(len(u)), x.T @ (share * (y - p)) - 1e-3 * u)
+        u += step
+        if np.abs(step).max() < 1e-8:
+            break
+    z = np.clip(x @ u, -30, 30)
+    return u, float((share * np.log1p(np.exp(np.where(y > 0, -z, z)))).sum())
+
+
 def calibrate(model: ToxicityModel, texts: list[str], labels: list[int]) -> None:
-    """Logistic scores of documents; the cut that errs least on the sample gets the score THRESHOLD."""
-    f = np.concatenate([model.decisions(texts[i : i + 200]) for i in range(0, len(texts), 200)])
+    """Mix the worst words' decisions by logistic regression; the cut that errs least on the sample gets the score THRESHOLD."""
+    worst = np.concatenate([model.worst(texts[i : i + 200]) for i in range(0, len(texts), 200)])
     y = np.array(labels)
+    mix = np.maximum(mixed(worst, y)[0][:-1], 0)
+    mix[0] = max(mix[0], 1e-3)
+    model.mix = tuple((mix / mix.sum()).tolist())
+    f = worst @ np.array(model.mix)
     order = np.argsort(f, kind="stable")
     f, y = f[order], y[order]
     # errors of a cut below position i: toxic ones under it and clean ones above
