@@ -119,46 +119,65 @@ def shingles(words: np.ndarray) -> np.ndarray:
 
 
 def gamma_quantiles() -> np.ndarray:
-    """2**16 quantiles of the gamma distribution of shape 2, by Newton's method."""
+    """2**16 quantiles of the gamma distribution of shape 2, by Newton's method; their logarithms stand beside them."""
     if "gamma" not in _tables:
         p = (np.arange(1 << 16) + 0.5) / (1 << 16)
         x = np.sqrt(2 * p) + p
         for _ in range(60):
             x = np.maximum(x - (1 - (1 + x) * np.exp(-x) - p) / (x * np.exp(-x)), x / 8)
-        _tables["gamma"], _tables["log_gamma"] = x, np.log(x)
+        _tables["gamma"], _tables["log_gamma"] = x.astype(np.float32), np.log(x).astype(np.float32)
     return _tables["gamma"]
 
 
 def draw(found: np.ndarray, weights: np.ndarray, samples: int) -> tuple[np.ndarray, np.ndarray]:
     """(shingle, quantised log weight) of each consistent sample of a weighted set."""
-    return draws(found, [weights], samples)[0]
+    return draws(found, weights, samples)[0]
 
 
-def draws(found: np.ndarray, weightings: list[np.ndarray], samples: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """``draw`` for several weightings of one set, from the same random numbers."""
+def draws(found: np.ndarray, weights: np.ndarray, samples: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """The samples of a weighted set, then, where weights other than 1 are among them, those with all weights 1.
+
+    Both come from the same random numbers. A weight of 1 has the quantised logarithm 0, so that both draws differ in the
+    other columns only.
+    """
     gamma = gamma_quantiles()
     log_gamma = _tables["log_gamma"]
     seeds = mix(np.arange(1, samples + 1, dtype=np.uint64) * _U(0x165667B19E3779F9)) | _U(1)
-    best = [(np.full(samples, np.inf), np.zeros(samples, np.uint64), np.zeros(samples, np.int64)) for _ in weightings]
-    for at in range(0, len(found), 1 << 12):  # long texts in parts
-        part = found[at : at + (1 << 12)]
+    uneven, each = np.flatnonzero(weights != 1), np.arange(samples)
+    best = [(np.full(samples, np.inf, np.float32), np.zeros(samples, np.uint64), np.zeros(samples, np.int64)) for _ in range(1 + bool(len(uneven)))]
+
+    def keep(to: tuple, a: np.ndarray, part: np.ndarray, near: np.ndarray, t: np.ndarray | None) -> None:
+        k = a.argmin(1)
+        least = a[each, k]
+        better = least < to[0]
+        to[0][better], to[1][better] = least[better], part[k[better]]
+        if t is None:
+            to[2][better] = 0
+        else:
+            at = np.minimum(np.searchsorted(near, k), len(near) - 1)
+            to[2][better] = np.where(near[at] == k, t[each, at], 0)[better]
+
+    for at in range(0, len(found), 512):  # parts that stay in a processor's cache
+        part = found[at : at + 512]
         h = part[None, :] * seeds[:, None]
         h ^= h >> _U(31)
         h *= _U(0xD6E8FEB86659FD93)
         h ^= h >> _U(32)
-        r = gamma[h & _U(0xFFFF)]
-        beta = ((h >> _U(16)) & _U(0xFFFF)) * (1 / 65536)
-        c = log_gamma[(h >> _U(32)) & _U(0xFFFF)]
-        for weights, (best_a, best_s, best_t) in zip(weightings, best, strict=True):
-            t = np.floor(np.log(weights[at : at + (1 << 12)])[None, :] / r + beta)
-            a = c - r * (t + 1 - beta)
-            k = a.argmin(1)
-            least = a[np.arange(samples), k]
-            better = least < best_a
-            best_a[better] = least[better]
-            best_s[better] = part[k[better]]
-            best_t[better] = t[np.arange(samples), k][better].astype(np.int64)
-    return [(best_s, best_t) for _, best_s, best_t in best]
+        bits = h.astype("<u8", copy=False).view("<u2").reshape(samples, -1, 4)
+        r = gamma.take(bits[:, :, 0], mode="clip")
+        left = np.float32(1) - bits[:, :, 1] * np.float32(1 / 65536)
+        c = log_gamma.take(bits[:, :, 2], mode="clip")
+        a = c - r * left
+        near = uneven[np.searchsorted(uneven, at) : np.searchsorted(uneven, at + 512)] - at
+        if len(best) > 1:
+            keep(best[1], a, part, near, None)
+        t = None
+        if len(near):
+            own, rest_ = r[:, near], left[:, near]
+            t = np.floor(np.log(weights[at + near]).astype(np.float32)[None, :] / own + (1 - rest_))
+            a[:, near] = c[:, near] - own * (t + rest_)
+        keep(best[0], a, part, near, t)
+    return [(s, t) for _, s, t in best]
 
 
 def slots(found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -202,7 +221,7 @@ def signature(found: np.ndarray, weights: np.ndarray, bands: int = BANDS, rows:
     With weights of 1 both draws are one, so texts without repeated or heavy shingles meet others by either rule.
     """
     out: list[int | None] = []
-    for s, t in draws(found, [weights] if (weights == 1).all() else [weights, np.ones(len(found))], bands * rows):
+    for s, t in draws(found, weights, bands * rows):
         each = mix(s + t.astype(np.uint64) * _U(_MULTIPLIER)).reshape(bands, rows)
         total = np.zeros(bands, np.uint64)
         for k in range(rows):
@@ -313,7 +332,7 @@ def verified(compared: DataFrame, stored: DataFrame, weights: Weights) -> DataFr
     The end of a pair that is in more pairs is its head. A head's text goes once to each task that holds some of its
     members, next to their texts, so nothing waits for a hub's pairs in one task.
     """
-    ends = compared.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("degree"))
+    ends = compared.select(F.col("a").alias("id")).unionByName(compared.select(F.col("b").alias("id"))).groupBy("id").agg(F.count("*").alias("degree"))
     of_a, of_b = (ends.select(F.col("id").alias(c), F.col("degree").alias(f"degree_{c}")) for c in "ab")
     both = compared.join(of_a, "a").join(of_b, "b")
     a_heads = (F.col("degree_a") > F.col("degree_b")) | ((F.col("degree_a") == F.col("degree_b")) & (F.col("a") < F.col("b")))
