@@ -21,10 +21,14 @@ def most_uncertain(predictions: DataFrame, order: Sequence[str], p: str = "p", n
 
 
 def round_candidates(predictions: DataFrame, order: Sequence[str], n: int = SETTINGS.candidates_per_round) -> DataFrame:
-    """The first n of the margin in scan order, or the n most uncertain rows where the margin holds fewer."""
-    inside = margin(predictions).orderBy(*order).limit(n).select(*predictions.columns)
-    enough = inside.count() >= n
-    return inside if enough else most_uncertain(predictions, order, n=n).select(*predictions.columns)
+    """The first n of the margin in scan order, or the n most uncertain rows where the margin holds fewer.
+
+    Both are top-n of one plan; which one counts is told by the number of the first, on 2 n rows.
+    """
+    inside = margin(predictions).orderBy(*order).limit(n).select(*predictions.columns, F.lit(0).alias("_list"))
+    near = most_uncertain(predictions, order, n=n).select(*predictions.columns, F.lit(1).alias("_list"))
+    both = inside.unionByName(near).withColumn("_inside", F.count_if(F.col("_list") == 0).over(Window.partitionBy(F.lit(1))))
+    return both.where(F.col("_list") == F.when(F.col("_inside") >= n, 0).otherwise(1)).select(*predictions.columns)
 
 
 def random_per_group(rows: DataFrame, by: str, key: Sequence[str], n: int = SETTINGS.random_per_tile) -> DataFrame:
@@ -53,17 +57,24 @@ def union_candidates(lists: Sequence[tuple[str, DataFrame]]) -> DataFrame:
     return first.select(F.concat_ws("_", F.col("_first.prefix"), F.col("tile"), number.cast("string")).alias("id"), "tile", "lat", "lon", F.lit("").alias("label"))
 
 
-def split(rows: DataFrame, key: Sequence[str], share: float = 0.8) -> DataFrame:
-    """``part`` train for the first floor(share * n) rows in hash order, else validation: an exact split.
+def shuffled(rows: DataFrame, key: Sequence[str]) -> DataFrame:
+    """Rows with ``_h``, their seeded hash, and ``place``, their rank by it from 1 on.
 
     Ranks come from counts of hash prefixes, at most 4096, and a rank within the prefix, so no task sorts all rows.
     """
     hashed = rows.withColumn("_h", hash_order(*[F.col(k) for k in key])).withColumn("_prefix", F.substring("_h", 1, 3))
     counts = hashed.groupBy("_prefix").agg(F.count("*").alias("_n"))
     running = Window.orderBy("_prefix").rowsBetween(Window.unboundedPreceding, -1)
-    before = counts.select("_prefix", F.coalesce(F.sum("_n").over(running), F.lit(0)).alias("_before"), F.sum("_n").over(Window.partitionBy(F.lit(1))).alias("_all"))
-    ranked = hashed.join(F.broadcast(before), "_prefix").withColumn("rank", F.col("_before") + F.row_number().over(Window.partitionBy("_prefix").orderBy("_h", *key)))
-    return ranked.withColumn("part", F.when(F.col("rank") <= F.floor(share * F.col("_all")), "train").otherwise("validation")).drop("_h", "_prefix", "_n", "_before", "_all")
+    before = counts.select("_prefix", F.coalesce(F.sum("_n").over(running), F.lit(0)).alias("_before"))
+    place = F.col("_before") + F.row_number().over(Window.partitionBy("_prefix").orderBy("_h", *key))
+    return hashed.join(F.broadcast(before), "_prefix").withColumn("place", place).drop("_prefix", "_before")
+
+
+def split(rows: DataFrame, key: Sequence[str], share: float = 0.8) -> DataFrame:
+    """``part`` train for the first floor(share * n) rows in hash order, else validation: an exact split."""
+    whole = rows.agg(F.count("*").alias("_all"))  # one row
+    ranked = shuffled(rows, key).withColumnRenamed("place", "rank").crossJoin(F.broadcast(whole))
+    return ranked.withColumn("part", F.when(F.col("rank") <= F.floor(share * F.col("_all")), "train").otherwise("validation")).drop("_h", "_all")
 
 
 def roi_points(boxes: DataFrame, n: int) -> DataFrame:

@@ -2,17 +2,14 @@
 
 from __future__ import annotations
 
-from acreframe.functions import geo
-from acreframe.operators.grid import ISLANDS
-
 ORACLES: dict[str, str] = {}
 
-_PIXEL = """pixel AS (SELECT l_suppkey % 10 AS tile, l_partkey % 40 AS r, l_orderkey % 40 AS c, count(*) AS n,
+_PIXEL = """pixel AS (SELECT l_suppkey // 4 AS tile, l_partkey % 40 AS r, l_orderkey % 40 AS c, count(*) AS n,
  sum(cast(round(l_discount*100) AS bigint)) / (10e0*count(*)) AS p,
  sum(cast(l_linenumber AS bigint)) / (1e0*count(*)) AS blue, sum(l_partkey % 100) / (1e0*count(*)) AS green,
  sum(cast(round(l_tax*100) AS bigint)) / (1e0*count(*)) AS red, sum(cast(round(l_quantity) AS bigint)) / (1e0*count(*)) AS nir,
  sum(l_suppkey % 50) / (1e0*count(*)) AS swir1, sum(l_orderkey % 70) / (1e0*count(*)) AS swir2 FROM lineitem GROUP BY 1, 2, 3)"""
-_SCENE = """scene AS (SELECT user_id % 10 AS tile, event_id % 4 AS r, cast(floor((event_id % 16) / 4e0) AS bigint) AS c, ts,
+_SCENE = """scene AS (SELECT user_id // 4 AS tile, event_id % 4 AS r, cast(floor((event_id % 16) / 4e0) AS bigint) AS c, ts,
  CASE WHEN ts < TIMESTAMP '2024-01-11' THEN 1 WHEN ts < TIMESTAMP '2024-01-21' THEN 2 ELSE 3 END AS season,
  event_id % 4096 AS qa, value / 5 AS cloud_pct, cast(cast(round(value*100) AS bigint) % 1000 AS double) AS B2,
  cast((event_id*7) % 1000 AS double) AS B3, cast((event_id*13) % 1000 AS double) AS B4, cast((event_id*17) % 1000 AS double) AS B8,
@@ -22,7 +19,13 @@ _LABEL = """point AS (SELECT 'rand_' || doc_id AS id, (16644662 + (doc_id*37) %
 _FEATURE = "feature AS (SELECT vec_id, CASE WHEN label < 3 THEN 1 ELSE 0 END AS y, " + ", ".join(f"CASE WHEN vec_id % 7 <> 0 THEN cast(embedding[{i + 1}] AS double) END AS f{i}" if i in (0, 3) else f"cast(embedding[{i + 1}] AS double) AS f{i}" for i in range(8)) + " FROM embeddings)"
 _PLACED = _LABEL + """, placed AS (SELECT id, k, label, k % 10 AS tile, cast(floor((16.652504e0 - lat) / 0.0002e0) AS bigint) AS r,
  cast(floor((lon + 24.400884e0) / 0.0002e0) AS bigint) AS c FROM point)"""
-_ISLAND = "island(name, x0, y0, x1, y1) AS (VALUES " + ", ".join("('{}', {}e0, {}e0, {}e0, {}e0)".format(*i) for i in ISLANDS) + ")"
+# Boxes of the regions, stated apart from the engine's (fixed values).
+_ISLAND = """island(name, x0, y0, x1, y1) AS (VALUES ('Testing', -24.400884e0, 16.644662e0, -24.392954e0, 16.652504e0),
+ ('Boa_Vista', -22.97435929e0, 15.9576494e0, -22.65365956e0, 16.24065102e0), ('Brava', -24.75129827e0, 14.800214e0, -24.66054963e0, 14.90404257e0),
+ ('Fogo', -24.50899065e0, 14.80591421e0, -24.27133253e0, 15.05926771e0), ('Maio', -23.23909088e0, 15.11019894e0, -23.07843073e0, 15.34264497e0),
+ ('Sal', -23.0023089e0, 16.58008001e0, -22.86710809e0, 16.85967724e0), ('Santiago', -23.78654553e0, 14.89451334e0, -23.42397171e0, 15.34549301e0),
+ ('Santo_Antao', -25.37237221e0, 16.89915026e0, -24.953279e0, 17.21441822e0), ('Sao_Nicolau', -24.4307613e0, 16.47636763e0, -24.00270139e0, 16.68656632e0),
+ ('Sao_Vicente', -25.09002776e0, 16.77184887e0, -24.85245664e0, 16.92850691e0))"""
 _SCORE = "scored AS (SELECT *, 1 / (1 + exp(-(-3.0e0 + coalesce((nir-red)/nullif(nir+red,0),0)*2.0e0 + nir*0.1e0 + red*(-0.25e0)))) AS prob FROM pixel)"
 _BANDS = ("B2", "B3", "B4", "B8", "B11", "B12")
 
@@ -76,7 +79,7 @@ sql("user_plus_model", _LABEL, _PIXEL, body="SELECT tile, k AS x, 'ag' AS predic
 sql("append_tiles", _PIXEL, body="SELECT tile, r, c, round(p, 6) AS p FROM pixel WHERE tile <> 0")
 sql("latest_round", "named AS (SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber <> 7 THEN l_linenumber*3 END AS round FROM lineitem)", body="SELECT * FROM named WHERE round = (SELECT max(round) FROM named)")
 sql("split_80_20", _LABEL, f"ranked AS (SELECT id, row_number() OVER (ORDER BY {_hash('id')}, id) AS rank, count(*) OVER () AS n FROM point)", body="SELECT id, rank, CASE WHEN rank <= floor(0.8e0*n) THEN 'train' ELSE 'validation' END AS part FROM ranked")
-sql("shuffled_order", _LABEL, body=f"SELECT id, {_hash('id')} AS h FROM point ORDER BY h LIMIT 20")
+sql("shuffled_order", _LABEL, body=f"SELECT id, {_hash('id')} AS h, row_number() OVER (ORDER BY {_hash('id')}, id) AS place FROM point")
 sql(
     "tile_grid",
     _ISLAND,
@@ -89,15 +92,16 @@ sql("tile_of_point", _LABEL, _QUARTER, body="SELECT id, coalesce((SELECT min(q.t
 sql("bbox_lookup", _LABEL, body="SELECT count(*) AS n, round(min(lon), 6) AS x0, round(min(lat), 6) AS y0, round(max(lon), 6) AS x1, round(max(lat), 6) AS y1 FROM point WHERE lon BETWEEN -24.400884e0 AND -24.396919e0 AND lat BETWEEN 16.644662e0 AND 16.648583e0")
 sql("affine_roundtrip", _PIXEL, body="SELECT tile, r, c, 200000e0 + (c+0.5e0)*10 AS x, 1840000e0 - (r+0.5e0)*10 AS y, cast(r AS int) AS row2, cast(c AS int) AS col2 FROM pixel")
 sql("ring_mean", _PIXEL, body="SELECT tile, r, c, round(200000e0 + (4*(c+1e0) + c+0.5e0)/5*10, 6) AS mean_x, round(1840000e0 - (4*(r+1e0) + r+0.5e0)/5*10, 6) AS mean_y, round(200000e0 + (c+0.5e0)*10, 6) AS center_x, round(1840000e0 - (r+0.5e0)*10, 6) AS center_y FROM pixel")
-_UTM = (
-    "g AS (SELECT id, radians(lat) AS phi, radians(lon + 21e0) AS lam FROM point), "
-    f"t AS (SELECT id, lam, sinh(atanh(sin(phi)) - {geo._E!r}e0 * atanh({geo._E!r}e0 * sin(phi))) AS t FROM g), "
-    "e AS (SELECT id, atan2(t, cos(lam)) AS xi, atanh(sin(lam) / sqrt(1 + t*t)) AS eta FROM t)"
-)
-_EAST = "eta" + "".join(f" + {a!r}e0*cos({2 * k}*xi)*sinh({2 * k}*eta)" if "e" not in repr(a) else f" + {a!r}*cos({2 * k}*xi)*sinh({2 * k}*eta)" for k, a in enumerate(geo.ALPHA, 1))
-_NORTH = "xi" + "".join(f" + {a!r}e0*sin({2 * k}*xi)*cosh({2 * k}*eta)" if "e" not in repr(a) else f" + {a!r}*sin({2 * k}*xi)*cosh({2 * k}*eta)" for k, a in enumerate(geo.ALPHA, 1))
-_K = f"{geo.SCALE * geo.RADIUS!r}e0"
-sql("utm_forward", _LABEL, _UTM, body=f"SELECT id, round(500000e0 + {_K}*({_EAST}), 3) AS x, round({_K}*({_NORTH}), 3) AS y FROM e")
+# Zone 27 north of WGS84 by the published series (n of the ellipsoid to the fourth power), from the ellipsoid's two numbers.
+_UTM = """q AS (SELECT 6378137e0 AS a, 1e0/298.257223563e0 AS fl), w AS (SELECT a, fl/(2-fl) AS n, sqrt(fl*(2-fl)) AS ec FROM q),
+ h AS (SELECT ec, a/(1+n)*(1 + n*n/4 + n*n*n*n/64)*0.9996e0 AS big, n/2 - 2*n*n/3 + 5*n*n*n/16 + 41*n*n*n*n/180 AS a1, 13*n*n/48 - 3*n*n*n/5 + 557*n*n*n*n/1440 AS a2,
+  61*n*n*n/240 - 103*n*n*n*n/140 AS a3, 49561*n*n*n*n/161280 AS a4 FROM w),
+ g AS (SELECT id, radians(lat) AS phi, radians(lon + 21e0) AS lam FROM point),
+ t AS (SELECT h.*, id, lam, sinh(atanh(sin(phi)) - ec * atanh(ec * sin(phi))) AS t FROM g, h),
+ e AS (SELECT *, atan2(t, cos(lam)) AS xi, atanh(sin(lam) / sqrt(1 + t*t)) AS eta FROM t)"""
+_EAST = "eta" + "".join(f" + a{k}*cos({2 * k}*xi)*sinh({2 * k}*eta)" for k in (1, 2, 3, 4))
+_NORTH = "xi" + "".join(f" + a{k}*sin({2 * k}*xi)*cosh({2 * k}*eta)" for k in (1, 2, 3, 4))
+sql("utm_forward", _LABEL, _UTM, body=f"SELECT id, round(500000e0 + big*({_EAST}), 3) AS x, round(big*({_NORTH}), 3) AS y FROM e")
 sql("utm_roundtrip", _LABEL, body="SELECT id, true AS close FROM point")
 sql("pixel_at_label", _PLACED, _PIXEL, body="SELECT id, placed.tile, placed.r, placed.c, round(nir, 6) AS nir, round(red, 6) AS red FROM placed LEFT JOIN pixel ON placed.tile = pixel.tile AND placed.r = pixel.r AND placed.c = pixel.c")
 sql("label_features", _PLACED, _PIXEL, body="SELECT id, CASE WHEN lower(label) = 'agricultural' THEN 1 ELSE 0 END AS y, " + ", ".join(f"round({b}, 6) AS f{i}" for i, b in enumerate(("blue", "green", "red", "nir", "swir1", "swir2"))) + " FROM placed JOIN pixel ON placed.tile = pixel.tile AND placed.r = pixel.r AND placed.c = pixel.c")
@@ -114,7 +118,7 @@ def _patch(side: int) -> str:
 sql("patch_minmax", _PIXEL, _patch(16), "z AS (SELECT tile, pr, pc, (nir - min(nir) OVER w) / (max(nir) OVER w - min(nir) OVER w + 1e-5) AS z FROM full_ WINDOW w AS (PARTITION BY tile, pr, pc))", body="SELECT tile, pr, pc, count(*) AS n, round(sum(z), 4) AS total, round(max(z), 6) AS top FROM z GROUP BY 1, 2, 3")
 sql("patch_counts", "size_ AS (SELECT p_partkey AS tile, cast(p_size*20 AS bigint) AS h, (p_partkey*7) % 900 AS w FROM part)", body="SELECT tile, cast(CASE WHEN h >= 64 AND w >= 64 THEN (floor((h-64)/64e0)+1) * (floor((w-64)/64e0)+1) ELSE 0 END AS bigint) AS sliding, cast(floor(h/64e0)*floor(w/64e0) AS bigint) AS full FROM size_")
 _PATCHP = "patchp AS (SELECT tile, pr, pc, avg(p) AS p FROM full_ GROUP BY 1, 2, 3)"
-sql("patch_inference", _PIXEL, _patch(8), _PATCHP, body="SELECT tile, pr, pc, round(p, 6) AS p, CASE WHEN round(p, 9) > round(1-p, 9) THEN 'ag' ELSE 'non-ag' END AS predicted FROM patchp")
+sql("patch_inference", _PIXEL, _patch(8), _PATCHP, body="SELECT tile, pr, pc, round(p, 9) AS p, CASE WHEN round(p, 9) > round(1-p, 9) THEN 'ag' ELSE 'non-ag' END AS predicted FROM patchp")
 sql("patch_to_pixel_mask", _PIXEL, _patch(8), _PATCHP, body="SELECT f.tile, r, c, CASE WHEN round(q.p, 9) >= 0.5 THEN 255 ELSE 0 END AS mask FROM full_ f JOIN patchp q ON f.tile = q.tile AND f.pr = q.pr AND f.pc = q.pc")
 sql("per_band_minmax", _PIXEL, body="SELECT tile, r, c, round((nir - min(nir) OVER w) / (max(nir) OVER w - min(nir) OVER w + 1e-5), 6) AS nir, round((red - min(red) OVER w) / (max(red) OVER w - min(red) OVER w + 1e-5), 6) AS red FROM pixel WINDOW w AS (PARTITION BY tile)")
 _STRETCH = "ends AS (SELECT tile, min(least(red, green, blue)) AS lo, max(greatest(red, green, blue)) AS hi FROM pixel GROUP BY 1)"
@@ -141,15 +145,15 @@ _GRAD = "grad AS (SELECT tile, r, c, ((z02+2*z12+z22)-(z00+2*z10+z20))/8 AS dx,
 sql("terrain_slope_aspect", _PIXEL, _HORN, _GRAD, body="SELECT tile, r, c, round(slope, 5) AS slope, round(CASE WHEN slope > 1e-9 THEN CASE WHEN t > 90 THEN 450 - t ELSE 90 - t END END, 5) AS aspect FROM turn")
 
 
-def _reach(steps: str, where: str = "") -> str:
-    """Cells that a cell reaches, without a bound on steps."""
-    return f"one AS (SELECT tile, r*40 + c AS k, r, c FROM pixel WHERE p >= 0.5 {where}), step(dr, dc) AS (VALUES {steps}), edge AS (SELECT a.tile, a.k, b.k AS k2 FROM one a, step s, one b WHERE b.tile = a.tile AND b.r = a.r + s.dr AND b.c = a.c + s.dc), reach(tile, k, root) AS (SELECT tile, k, k FROM one UNION SELECT e.tile, e.k2, reach.root FROM reach JOIN edge e ON e.tile = reach.tile AND e.k = reach.k WHERE e.k2 > reach.root), comp AS (SELECT tile, k, min(root) AS root FROM reach GROUP BY 1, 2)"
+def _reach(steps: str) -> str:
+    """Cells that a cell without a smaller neighbour reaches, without a bound on steps: the first cell of a component is one."""
+    return f"one AS (SELECT tile, r*40 + c AS k, r, c FROM pixel WHERE p >= 0.5), step(dr, dc) AS (VALUES {steps}), edge AS (SELECT a.tile, a.k, b.k AS k2 FROM one a, step s, one b WHERE b.tile = a.tile AND b.r = a.r + s.dr AND b.c = a.c + s.dc), reach(tile, k, root) AS (SELECT tile, k, k FROM one WHERE NOT EXISTS (SELECT 1 FROM edge WHERE edge.tile = one.tile AND edge.k = one.k AND edge.k2 < one.k) UNION SELECT e.tile, e.k2, reach.root FROM reach JOIN edge e ON e.tile = reach.tile AND e.k = reach.k WHERE e.k2 > reach.root), comp AS (SELECT tile, k, min(root) AS root FROM reach GROUP BY 1, 2)"
 
 
 _FOUR = "(0,1),(1,0),(0,-1),(-1,0)"
 _ALL = "(0,1),(1,0),(0,-1),(-1,0),(1,1),(1,-1),(-1,1),(-1,-1)"
 sql("components4", _PIXEL, _reach(_FOUR), body="SELECT tile, cast(floor(k/40e0) AS bigint) AS r, k % 40 AS c, root FROM comp", recursive=True)
-sql("components8", _PIXEL, _reach(_ALL, "AND l_tile < 2").replace("l_tile", "tile"), body="SELECT tile, root, count(*) AS n FROM comp GROUP BY 1, 2", recursive=True)
+sql("components8", _PIXEL, _reach(_ALL), body="SELECT tile, root, count(*) AS n FROM comp GROUP BY 1, 2", recursive=True)
 sql("field_sizes", _PIXEL, _reach(_FOUR), "sizes AS (SELECT tile, root, count(*) AS n FROM comp GROUP BY 1, 2)", body="SELECT tile, count(*) AS fields, cast(sum(n) AS bigint) AS pixels, max(n) AS largest, round(avg(n), 6) AS mean FROM sizes GROUP BY 1", recursive=True)
 sql("polygon_count", _PIXEL, _reach(_FOUR), body="SELECT tile, count(DISTINCT root) AS polygons, count(*) AS pixels FROM comp GROUP BY 1", recursive=True)
 sql("auto_tune_params", _PIXEL, _reach(_FOUR), "sizes AS (SELECT tile, root, count(*) AS n FROM comp GROUP BY 1, 2)", body="SELECT cast(floor((SELECT quantile_cont(n, 0.1) FROM sizes)) AS int) AS min_field, round((SELECT quantile_cont(abs(p-0.5e0), 0.4) FROM pixel), 6) AS uncertainty_low, round((SELECT quantile_cont(abs(p-0.5e0), 0.6) FROM pixel), 6) AS uncertainty_high", recursive=True)
@@ -191,9 +195,8 @@ sql("block_mean", _PIXEL, body="SELECT tile, cast(floor(r/4e0) AS bigint) AS br,
 sql("nearest_resize", _PIXEL, "small AS (SELECT tile, cast(floor(r/4e0) AS bigint) AS br, cast(floor(c/4e0) AS bigint) AS bc, CASE WHEN round(avg(p), 9) >= 0.5 THEN 1 ELSE 0 END AS v FROM pixel GROUP BY 1, 2, 3)", "k AS (SELECT cast(unnest(range(0, 40)) AS bigint) AS k)", body="SELECT tile, a.k AS r, b.k AS c, v FROM small JOIN k a ON floor((a.k+0.5e0)/4) = br JOIN k b ON floor((b.k+0.5e0)/4) = bc")
 sql("postprocess_summary", _PIXEL, "s AS (SELECT tile, 1/(1+exp(-(0.1e0 + (nir-25)/(10+1e-6) - 0.5e0*((red-4)/(2+1e-6))))) AS p FROM pixel)", body="SELECT 'tile' || tile AS tile, round_even(round(avg(CASE WHEN p >= 0.5 THEN 1 ELSE 0 END)*100, 6), 2) AS pct_agricultural FROM s GROUP BY 1")
 
-_SMALL = _PIXEL.replace("pixel AS (", "pixel AS (SELECT * FROM (", 1) + " x WHERE r < 8 AND c < 8)"
 sql(
-    "stack_with_terrain", _SCENE, _SMALL, f"m AS (SELECT tile, r, c, {_MEDIANS} FROM scene GROUP BY 1, 2, 3)", _HORN, _GRAD,
+    "stack_with_terrain", _SCENE, _PIXEL, f"m AS (SELECT tile, r, c, {_MEDIANS} FROM scene GROUP BY 1, 2, 3)", _HORN, _GRAD,
     body=f"SELECT m.tile, m.r, m.c, round(B2_s1, 6) AS b2_s1, round(B8_s2, 6) AS b8_s2, round({_ndi('B8_s3', 'B4_s3')}, 6) AS ndvi_s3, round({_ndi('B8_s1', 'B12_s1')}, 6) AS nbr_s1, round(p.nir, 6) AS elevation, round(slope, 5) AS slope, round(CASE WHEN slope > 1e-9 THEN CASE WHEN t > 90 THEN 450 - t ELSE 90 - t END END, 5) AS aspect, 36 AS bands FROM m JOIN pixel p ON m.tile = p.tile AND m.r = p.r AND m.c = p.c LEFT JOIN turn u ON u.tile = m.tile AND u.r = m.r AND u.c = m.c",
 )
 sql("scene_bounds", _SCENE, body="SELECT tile, r, c, count(*) AS n FROM scene WHERE season = 2 AND ts >= TIMESTAMP '2024-01-11' AND cloud_pct < 60 AND r <= 2 AND r + 1 >= 1.5 AND c <= 1 AND c + 1 >= 0.5 GROUP BY 1, 2, 3")

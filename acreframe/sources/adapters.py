@@ -1,4 +1,8 @@
-"""Rasters, scenes, labels and features from generic tables, by integer arithmetic so that any engine agrees on them."""
+"""Rasters, scenes, labels and features from generic tables, by integer arithmetic so that any engine agrees on them.
+
+A tile is made up of four suppliers' order lines, or of four users' events, so the number of tiles grows with the tables
+while that of a tile's cells stays.
+"""
 
 from __future__ import annotations
 
@@ -21,7 +25,7 @@ def pixels(spark: SparkSession, folder: str) -> DataFrame:
         return F.sum(of.cast("bigint")) / (F.lit(scale) * n)
 
     col = F.col
-    keyed = read(spark, folder, "lineitem").withColumns({"tile": col("l_suppkey") % 10, "r": col("l_partkey") % 40, "c": col("l_orderkey") % 40})
+    keyed = read(spark, folder, "lineitem").withColumns({"tile": F.expr("l_suppkey div 4"), "r": col("l_partkey") % 40, "c": col("l_orderkey") % 40})
     return keyed.groupBy("tile", "r", "c").agg(
         n.alias("n"),
         mean(F.round(col("l_discount") * 100), 10e0).alias("p"),
@@ -41,7 +45,7 @@ def scenes(spark: SparkSession, folder: str) -> DataFrame:
     season = F.when(col("ts") < F.lit("2024-01-11").cast("timestamp"), 1).when(col("ts") < F.lit("2024-01-21").cast("timestamp"), 2).otherwise(3)
     bands = {b: ((col("event_id") * k) % 1000).cast("double") for b, k in (("B3", 7), ("B4", 13), ("B8", 17), ("B11", 19), ("B12", 23))}
     return e.select(
-        (col("user_id") % 10).alias("tile"),
+        F.expr("user_id div 4").alias("tile"),
         (col("event_id") % 4).alias("r"),
         F.floor((col("event_id") % 16) / 4).cast("bigint").alias("c"),
         col("ts"),
