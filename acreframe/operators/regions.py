@@ -16,29 +16,45 @@ from acreframe.config import SETTINGS
 AROUND = {4: ((0, 1), (1, 0)), 8: ((0, 1), (1, 0), (1, 1), (1, -1))}
 
 
+def touching(r: np.ndarray, c: np.ndarray, connectivity: int) -> tuple[np.ndarray, np.ndarray]:
+    """Positions (i, j) of all pairs of cells that touch, each once; cells are in scan order."""
+    width = int(c.max() - c.min()) + 3  # a column to spare on either side, so that no row runs into the next
+    key = (r - r.min()).astype(np.int64) * width + (c - c.min()) + 1
+    left, right = [], []
+    for dr, dc in AROUND[connectivity]:
+        at = np.searchsorted(key, key + dr * width + dc)
+        found = np.flatnonzero(key[np.minimum(at, len(key) - 1)] == key + dr * width + dc)
+        left.append(found)
+        right.append(at[found])
+    return np.concatenate(left), np.concatenate(right)
+
+
+def united(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """For each of n nodes the least node of its component under the edges (i, j): hooking and pointer jumping on arrays."""
+    parent = np.arange(n)
+    while True:
+        a, b = parent[i], parent[j]
+        apart = a != b
+        if not apart.any():
+            return parent
+        i, j, a, b = i[apart], j[apart], a[apart], b[apart]
+        np.minimum.at(parent, np.maximum(a, b), np.minimum(a, b))
+        while True:
+            above = parent[parent]
+            if (above == parent).all():
+                break
+            parent = above
+
+
 def label_cells(r: np.ndarray, c: np.ndarray, v: np.ndarray, connectivity: int) -> np.ndarray:
     """For each cell, the position of the first cell, in scan order, of its component of equal values."""
+    if not len(r):
+        return np.zeros(0, int)
     order = np.lexsort((c, r))
-    place = {(a, b): i for i, (a, b) in enumerate(zip(r[order].tolist(), c[order].tolist(), strict=True))}
-    values = v[order].tolist()
-    parent = list(range(len(order)))
-
-    def find(i: int) -> int:
-        while parent[i] != i:
-            parent[i] = parent[parent[i]]
-            i = parent[i]
-        return i
-
-    for (a, b), i in place.items():
-        for da, db in AROUND[connectivity]:
-            j = place.get((a + da, b + db))
-            if j is not None and values[i] == values[j]:
-                x, y = find(i), find(j)
-                if x != y:
-                    parent[max(x, y)] = min(x, y)
-    roots = np.array([order[find(i)] for i in range(len(order))], int)
+    i, j = touching(r[order], c[order], connectivity)
+    same = v[order][i] == v[order][j]
     out = np.empty(len(order), int)
-    out[order] = roots
+    out[order] = order[united(len(order), i[same], j[same])]
     return out
 
 
@@ -64,23 +80,26 @@ def sieve_cells(r: np.ndarray, c: np.ndarray, v: np.ndarray, least: int, connect
     A component whose largest neighbour is below ``least`` too stays as it is; of neighbours of one size the first in scan
     order counts.
     """
-    root = label_cells(r, c, v, connectivity)
-    size = pd.Series(root).value_counts()
-    place = {(a, b): i for i, (a, b) in enumerate(zip(r.tolist(), c.tolist(), strict=True))}
-    scan = np.lexsort((c, r)).argsort()
-    best: dict[int, tuple[int, int, int]] = {}
-    for (a, b), i in place.items():
-        for da, db in AROUND[connectivity]:
-            j = place.get((a + da, b + db))
-            if j is not None and root[i] != root[j]:
-                for x, y in ((root[i], root[j]), (root[j], root[i])):
-                    if size[x] < least:
-                        key = (-int(size[y]), int(scan[y]), int(y))
-                        best[x] = min(best.get(x, key), key)
-    out = v.copy()
-    for x, (negative, _, y) in best.items():
-        if -negative >= least:
-            out[root == x] = v[y]
+    if not len(r):
+        return v.copy()
+    order = np.lexsort((c, r))
+    values = v[order]
+    i, j = touching(r[order], c[order], connectivity)
+    same = values[i] == values[j]
+    root = united(len(order), i[same], j[same])
+    size = np.bincount(root, minlength=len(order))
+    # Pairs of neighbouring components with the small one first, the best neighbour of each in front.
+    x, y = np.concatenate([root[i[~same]], root[j[~same]]]), np.concatenate([root[j[~same]], root[i[~same]]])
+    small = size[x] < least
+    x, y = x[small], y[small]
+    best = np.lexsort((y, -size[y], x))
+    x, y = x[best], y[best]
+    first = np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]])) if len(x) else np.zeros(0, int)
+    x, y = x[first], y[first]
+    becomes = np.arange(len(order))
+    becomes[x[size[y] >= least]] = y[size[y] >= least]
+    out = np.empty_like(v)
+    out[order] = values[becomes[root]]
     return out
 
 
@@ -113,36 +132,62 @@ def boundary_edges(mask: DataFrame) -> DataFrame:
     return all_.groupBy("tile", F.least(low, high).alias("p"), F.greatest(low, high).alias("q")).agg(F.count("*").alias("n"), F.first(low).alias("from"), F.first(high).alias("to")).where("n = 1").select("tile", F.col("from.r").alias("r1"), F.col("from.c").alias("c1"), F.col("to.r").alias("r2"), F.col("to.c").alias("c2"))
 
 
+def ring_places(r1: np.ndarray, c1: np.ndarray, r2: np.ndarray, c2: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(the first edge of its ring, the place in the ring) of each directed edge; edges are sorted by where they start.
+
+    Where two rings touch at a corner a ring turns right, so that it keeps to its own cells. Rings are the cycles of the
+    edges' successors; they are numbered and measured by pointer doubling, in a number of steps that grows with the
+    logarithm of the longest ring.
+    """
+    n = len(r1)
+    width = int(max(c1.max(), c2.max())) + 2
+    start, end = r1 * width + c1, r2 * width + c2
+    low, high = np.searchsorted(start, end), np.searchsorted(start, end, side="right")
+    dr, dc = r2 - r1, c2 - c1
+    right = (r2 + dc) * width + (c2 - dr)  # where a right turn leads
+    after = np.where((high - low > 1) & (end[np.minimum(low + 1, n - 1)] == right), low + 1, low)
+    after = np.where((high - low > 1) & (end[low] == right), low, after)
+    first, jump = np.arange(n), after.copy()
+    while True:  # the least edge of each ring
+        found = np.minimum(first, first[jump])
+        if (found == first).all():
+            break
+        first, jump = found, jump[jump]
+    # Steps from each edge on to the least one, which stays where it is.
+    steps = (np.arange(n) != first).astype(np.int64)
+    jump = np.where(np.arange(n) == first, np.arange(n), after)
+    while True:
+        more = steps[jump]
+        if not more.any():
+            break
+        steps, jump = steps + more, jump[jump]
+    length = np.bincount(first, minlength=n)
+    return first, (length[first] - steps) % length[first]
+
+
+def rings_of(r1: np.ndarray, c1: np.ndarray, r2: np.ndarray, c2: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(ring, row, col) of the corners of closed rings, ring by ring in order, each from its least corner back to it."""
+    first, place = ring_places(r1, c1, r2, c2)
+    order = np.lexsort((place, first))
+    ring, r, c, dr, dc = first[order], r1[order], c1[order], (r2 - r1)[order], (c2 - c1)[order]
+    head = np.concatenate([[True], ring[1:] != ring[:-1]])
+    corner = head | np.concatenate([[True], (dr[1:] != dr[:-1]) | (dc[1:] != dc[:-1])])
+    tail = np.flatnonzero(np.concatenate([head[1:], [True]]))
+    # The first corner once more behind each ring.
+    place_of = np.concatenate([np.flatnonzero(corner), tail + 0.5])
+    again = np.concatenate([np.flatnonzero(corner), np.flatnonzero(head)])
+    at = again[np.argsort(place_of, kind="stable")]
+    return ring[at], r[at], c[at]
+
+
 def trace_rings(edges: list[tuple[int, int, int, int]]) -> list[list[tuple[int, int]]]:
     """Closed rings of (row, col) corners from directed edges; where two touch at a corner a ring turns right, so that it
     keeps to its own cells."""
-    leaving: dict[tuple[int, int], list[tuple[int, int]]] = {}
-    for r1, c1, r2, c2 in sorted(edges):
-        leaving.setdefault((r1, c1), []).append((r2, c2))
-    rings = []
-    while leaving:
-        start = at = min(leaving)
-        ring, come = [at], None
-        while True:
-            ways = leaving[at]
-            if len(ways) > 1 and come is not None:
-                dr, dc = at[0] - come[0], at[1] - come[1]
-                right = (at[0] + dc, at[1] - dr)
-                to = right if right in ways else ways[0]
-            else:
-                to = ways[0]
-            ways.remove(to)
-            if not ways:
-                del leaving[at]
-            come, at = at, to
-            if len(ring) > 1 and (ring[-1][0] - ring[-2][0], ring[-1][1] - ring[-2][1]) == (at[0] - ring[-1][0], at[1] - ring[-1][1]):
-                ring[-1] = at
-            else:
-                ring.append(at)
-            if at == start:
-                break
-        rings.append(ring)
-    return rings
+    if not edges:
+        return []
+    ring, r, c = rings_of(*(np.array(x) for x in zip(*sorted(edges), strict=True)))
+    cuts = np.flatnonzero(ring[1:] != ring[:-1]) + 1
+    return [list(zip(a.tolist(), b.tolist(), strict=True)) for a, b in zip(np.split(r, cuts), np.split(c, cuts), strict=True)]
 
 
 def area(ring: list[tuple[int, int]]) -> float:
@@ -152,18 +197,34 @@ def area(ring: list[tuple[int, int]]) -> float:
 
 def polygons(mask: DataFrame) -> DataFrame:
     """(tile, root_r, root_c, rings, outer_area, net_area, holes) of the 4-connected regions of value 1."""
-    labelled = components(mask.where("v = 1"), 4)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["r", "c"])
+        r, c = pdf.r.to_numpy(), pdf.c.to_numpy()
+        root = label_cells(r, c, np.ones(len(r), int), 4)
+        width = int(c.max()) + 3
+        key = (r + 1) * width + c + 1
+        sides = []
+        for dr, dc, a, b, x, y in ((-1, 0, 0, 0, 0, 1), (0, 1, 0, 1, 1, 1), (1, 0, 1, 1, 1, 0), (0, -1, 1, 0, 0, 0)):
+            open_ = np.flatnonzero(~np.isin(key + dr * width + dc, key))
+            sides.append((r[open_] + a, c[open_] + b, r[open_] + x, c[open_] + y, root[open_]))
+        r1, c1, r2, c2, of = (np.concatenate(x) for x in zip(*sides, strict=True))
+        order = np.lexsort((c2, r2, c1, r1))
+        r1, c1, r2, c2, of = r1[order], c1[order], r2[order], c2[order], of[order]
+        ring, rows, cols = rings_of(r1, c1, r2, c2)
+        cuts = np.flatnonzero(ring[1:] != ring[:-1]) + 1
+        starts = np.concatenate([[0], cuts])
+        cross = np.where(np.concatenate([ring[1:] == ring[:-1], [False]]), cols * np.concatenate([rows[1:], [0]]) - np.concatenate([cols[1:], [0]]) * rows, 0)
+        areas = np.add.reduceat(cross, starts) / 2
+        owner = of[ring[starts]]
+        parts = [[{"r": a, "c": b} for a, b in zip(x.tolist(), y.tolist(), strict=True)] for x, y in zip(np.split(rows, cuts), np.split(cols, cuts), strict=True)]
+        ranked = np.lexsort((-areas, owner))
         out = []
-        for (a, b), part in pdf.groupby(["root_r", "root_c"]):
-            cells = set(zip(part.r.tolist(), part.c.tolist(), strict=True))
-            edges = []
-            for r, c in cells:
-                edges += [e for e, n in (((r, c, r, c + 1), (r - 1, c)), ((r, c + 1, r + 1, c + 1), (r, c + 1)), ((r + 1, c + 1, r + 1, c), (r + 1, c)), ((r + 1, c, r, c), (r, c - 1))) if n not in cells]
-            rings = sorted(trace_rings(edges), key=lambda x: -area(x))
-            out.append((pdf.tile.iloc[0], a, b, [[{"r": r, "c": c} for r, c in ring] for ring in rings], area(rings[0]), sum(map(area, rings)), len(rings) - 1))
+        for own in np.split(ranked, np.flatnonzero(owner[ranked][1:] != owner[ranked][:-1]) + 1):
+            k = owner[own[0]]
+            out.append((pdf.tile.iloc[0], r[k], c[k], [parts[i] for i in own], float(areas[own[0]]), float(areas[own].sum()), len(own) - 1))
         return pd.DataFrame(out, columns=["tile", "root_r", "root_c", "rings", "outer_area", "net_area", "holes"])
 
     kind = mask.schema["tile"].dataType.simpleString()
-    return labelled.groupBy("tile").applyInPandas(run, f"tile {kind}, root_r bigint, root_c bigint, rings array<array<struct<r:bigint,c:bigint>>>, outer_area double, net_area double, holes int")
+    ones = mask.where("v = 1").select("tile", F.col("r").cast("bigint").alias("r"), F.col("c").cast("bigint").alias("c"))
+    return ones.groupBy("tile").applyInPandas(run, f"tile {kind}, root_r bigint, root_c bigint, rings array<array<struct<r:bigint,c:bigint>>>, outer_area double, net_area double, holes int")

@@ -47,6 +47,54 @@ def test_sieve_prefers_the_largest_neighbour_and_leaves_small_ones_among_small_o
     assert regions.sieve_cells(r, c, np.array([0, 1, 0, 1, 0, 1]), 3, 8).tolist() == [0, 1, 0, 1, 0, 1]
 
 
+def flooded(cells, connectivity):
+    """Components by flooding from each cell in scan order."""
+    root = {}
+    for start in sorted(cells):
+        todo = [start] if start not in root else []
+        while todo:
+            at = todo.pop()
+            if at in root:
+                continue
+            root[at] = start
+            steps = [(a, b) for a in (-1, 0, 1) for b in (-1, 0, 1) if (a or b) and (connectivity == 8 or not a * b)]
+            todo += [n for a, b in steps if (n := (at[0] + a, at[1] + b)) in cells and cells[n] == cells[at]]
+    return root
+
+
+@pytest.mark.parametrize("connectivity", [4, 8])
+def test_region_kernels_by_flooding(connectivity):
+    rng = np.random.default_rng(connectivity)
+    for _ in range(60):
+        h, w = rng.integers(1, 14, 2)
+        r, c = np.nonzero(rng.random((h, w)) < 0.9)
+        v = (rng.random(len(r)) < rng.random()).astype(int)
+        order = rng.permutation(len(r))
+        r, c, v = r[order] - 3, c[order] + 5, v[order]
+        cells = dict(zip(zip(r.tolist(), c.tolist(), strict=True), v.tolist(), strict=True))
+        root = flooded(cells, connectivity)
+        got = regions.label_cells(r, c, v, connectivity)
+        assert [(r[k], c[k]) for k in got] == [root[x, y] for x, y in zip(r.tolist(), c.tolist(), strict=True)]
+        size = {k: sum(x == k for x in root.values()) for k in set(root.values())}
+        near = {}
+        for (a, b), k in root.items():
+            for da, db in [(x, y) for x in (-1, 0, 1) for y in (-1, 0, 1) if (x or y) and (connectivity == 8 or not x * y)]:
+                other = root.get((a + da, b + db), k)
+                if other != k:
+                    near.setdefault(k, set()).add(other)
+        want = dict(cells)
+        for k, others in near.items():
+            best = min(others, key=lambda x: (-size[x], x))
+            if size[k] < 4 <= size[best]:
+                want |= {x: cells[best] for x, y in root.items() if y == k}
+        assert regions.sieve_cells(r, c, v, 4, connectivity).tolist() == [want[x, y] for x, y in zip(r.tolist(), c.tolist(), strict=True)]
+
+
+def test_corners_are_turns():
+    ring = regions.trace_rings([e for r, c in ((0, 0), (0, 1), (0, 2), (1, 0)) for e in ((r, c, r, c + 1), (r, c + 1, r + 1, c + 1), (r + 1, c + 1, r + 1, c), (r + 1, c, r, c)) if e not in (((0, 1, 1, 1)), (1, 1, 0, 1), (0, 2, 1, 2), (1, 2, 0, 2), (1, 1, 1, 0), (1, 0, 1, 1))])
+    assert ring == [[(0, 0), (0, 3), (1, 3), (1, 1), (2, 1), (2, 0), (0, 0)]]
+
+
 def test_diagonal_cells_give_two_rings():
     edges = [e for r, c in ((0, 0), (1, 1)) for e in ((r, c, r, c + 1), (r, c + 1, r + 1, c + 1), (r + 1, c + 1, r + 1, c), (r + 1, c, r, c))]
     assert sorted(len(x) for x in regions.trace_rings(edges)) == [5, 5]
