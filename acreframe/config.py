@@ -11,6 +11,7 @@ class Settings:
 
     tile_degrees: float = 0.05
     scale_metres: int = 10
+    epsg: int = 32627
     seasons: tuple[tuple[str, str], ...] = (("2019-01-01", "2019-04-30"), ("2019-05-01", "2019-08-31"), ("2019-09-01", "2019-12-31"))
     bands: tuple[str, ...] = ("B2", "B3", "B4", "B8", "B11", "B12")
     indices: tuple[str, ...] = ("NDVI", "EVI", "EVI2", "NBR", "NDMI")

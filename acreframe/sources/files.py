@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -59,3 +63,26 @@ def tile_of(path):
 def round_of(name):
     """Number of a round's folder, null for names of another form."""
     return F.regexp_extract(name, r"^round_([0-9]+)$", 1).try_cast("int")
+
+
+def shared_folder(spark: SparkSession, label: str) -> str:
+    """A new path that driver and executors share: below ``spark.checkpoint.dir``, or on one machine a folder of its own where that is unset."""
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not base:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        base = tempfile.mkdtemp(prefix="acreframe-")
+    return f"{base.rstrip('/')}/acreframe-{label}-{uuid.uuid4().hex}"
+
+
+def put_file(folder: str, name: str, data: bytes) -> str:
+    """Write a file of a task to a folder of any file system, whole or not at all; a repeated task replaces it."""
+    from pyarrow import fs
+
+    system, path = fs.FileSystem.from_uri(folder if "://" in folder else "file://" + folder.removeprefix("file:")) if ":" in folder else (fs.LocalFileSystem(), folder)
+    system.create_dir(path, recursive=True)
+    part = f"{path}/.{name}.{uuid.uuid4().hex}"
+    with system.open_output_stream(part) as out:
+        out.write(data)
+    system.move(part, f"{path}/{name}")
+    return f"{folder.rstrip('/')}/{name}"

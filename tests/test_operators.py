@@ -210,6 +210,75 @@ def test_geotiff_round_trip(spark, tmp_path):
     assert files.list_tiles(spark, str(tmp_path)).count() == 1
 
 
+@pytest.mark.parametrize("compression", ["none", "lzw", "deflate"])
+@pytest.mark.parametrize(("kind", "predictor"), [("uint8", 1), ("uint8", 2), ("int16", 2), ("uint32", 2), ("float32", 1), ("float32", 3), ("float64", 3)])
+def test_geotiff_kinds(compression, kind, predictor):
+    rng = np.random.default_rng(1)
+    image = (rng.normal(size=(3, 37, 29)) * 1000).astype(kind) if kind[0] == "f" else rng.integers(0, 250, (3, 37, 29)).astype(kind)
+    data = geotiff.encode(image, (2.5, 0.0, 10.0, 0.0, -2.5, 90.0), compression, predictor, -9999.0, 32627, ["B2", None, "B4"], strip_rows=16)
+    back, transform = geotiff.decode(data)
+    assert back.dtype == image.dtype and (back == image).all() and transform == (2.5, 0.0, 10.0, 0.0, -2.5, 90.0)
+    assert (geotiff.decode(data, [2, 0])[0] == image[[2, 0]]).all()
+    m = geotiff.metadata(data)
+    assert (m.width, m.height, m.bands, m.dtype, m.nodata, m.epsg, m.descriptions) == (29, 37, 3, kind, -9999.0, 32627, ["B2", None, "B4"]) and m.bounds == (10.0, 90.0 - 37 * 2.5, 10.0 + 29 * 2.5, 90.0)
+
+
+def big_tiled(image: np.ndarray, predictor: int) -> bytes:
+    """A big-endian BigTIFF of 16 by 16 tiles, all bands of a pixel together."""
+    import struct
+    import zlib
+
+    bands, h, w = image.shape
+    blocks = []
+    for r in range(0, h, 16):
+        for c in range(0, w, 16):
+            block = np.zeros((16, 16, bands), image.dtype)
+            part = image[:, r : r + 16, c : c + 16].transpose(1, 2, 0)
+            block[: part.shape[0], : part.shape[1]] = part
+            if predictor == 2:
+                block[:, 1:] = block[:, 1:] - block[:, :-1]
+            blocks.append(zlib.compress(block.astype(block.dtype.newbyteorder(">")).tobytes()))
+    at = 16
+    places = []
+    for b in blocks:
+        places.append(at)
+        at += len(b)
+    entries = [(256, 3, [w]), (257, 3, [h]), (258, 3, [8 * image.itemsize] * bands), (259, 3, [8]), (277, 3, [bands]), (284, 3, [1]), (317, 3, [predictor]), (322, 3, [16]), (323, 3, [16]), (324, 16, places), (325, 16, [len(b) for b in blocks]), (339, 3, [{"u": 1, "i": 2, "f": 3}[image.dtype.kind]] * bands), (34264, 12, [5.0, 0, 0, 100.0, 0, -5.0, 0, 200.0, 0, 0, 0, 0, 0, 0, 0, 1])]
+    extra_at, table, extra = at + 8 + 20 * len(entries) + 8, b"", b""
+    for tag, kind, values in entries:
+        raw = struct.pack(">" + {3: "H", 16: "Q", 12: "d"}[kind] * len(values), *values)
+        table += struct.pack(">HHQ", tag, kind, len(values))
+        if len(raw) <= 8:
+            table += raw.ljust(8, b"\0")
+        else:
+            table += struct.pack(">Q", extra_at + len(extra))
+            extra += raw
+    return struct.pack(">2sHHHQ", b"MM", 43, 8, 0, at) + b"".join(blocks) + struct.pack(">Q", len(entries)) + table + struct.pack(">Q", 0) + extra
+
+
+@pytest.mark.parametrize(("kind", "predictor"), [("uint16", 2), ("float64", 1)])
+def test_big_tiled_files_in_the_other_byte_order(kind, predictor):
+    image = np.random.default_rng(2).integers(0, 60_000, (2, 21, 35)).astype(kind)
+    back, transform = geotiff.decode(big_tiled(image, predictor))
+    assert (back == image).all() and transform == (5.0, 0, 100.0, 0, -5.0, 200.0)
+
+
+def test_files_that_are_not_supported():
+    good = geotiff.encode(np.zeros((1, 2, 2), "uint8"), (1.0, 0.0, 0.0, 0.0, -1.0, 0.0))
+    for bad in (b"II" + b"\x2b\x01" + good[4:], b"nothing here", good.replace(b"\x03\x01\x03\x00\x01\x00\x00\x00\x01\x00", b"\x03\x01\x03\x00\x01\x00\x00\x00\x07\x00"), good.replace(b"\x3d\x01\x03\x00\x01\x00\x00\x00\x01\x00", b"\x3d\x01\x03\x00\x01\x00\x00\x00\x03\x00")):
+        assert bad != good
+        with pytest.raises(ValueError):
+            geotiff.decode(bad)
+    assert geotiff.unpack_bits(bytes([2, 65, 66, 67, 254, 68, 128, 0, 69])) == b"ABCDDDE"
+
+
+@pytest.mark.parametrize("n", [0, 1, 300, 70_000])
+def test_lzw_there_and_back(n):
+    rng = np.random.default_rng(n)
+    for data in (rng.integers(0, 256, n).astype("uint8").tobytes(), rng.integers(0, 2, n).astype("uint8").tobytes(), bytes(n)):
+        assert geotiff.unpack_lzw(geotiff.pack_lzw(data)) == data
+
+
 def test_lzw():
     codes, bits = [256, 65, 66, 258, 260, 257], 0
     value = 0
