@@ -8,11 +8,11 @@ from __future__ import annotations
 
 import json
 from collections.abc import Sequence
-from dataclasses import asdict, dataclass
+from dataclasses import dataclass, field, fields
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from acreframe.config import SETTINGS
@@ -34,27 +34,35 @@ class LinearScorer:
         return rows.withColumn("p", stats.logistic(stats.dot(z, self.weights, self.bias)))
 
 
+BN_EPS, BN_MOMENTUM = 1e-5, 0.1
+
+
 @dataclass
 class NetworkScorer:
-    """A residual network on features: linear and ReLU to ``width``, two residual blocks, linear to two logits."""
+    """A residual network on z-scored features: linear, normalised and ReLU to ``width``; two blocks of the same that are added to
+    their input; linear to two logits."""
 
     features: list[str]
     mean: list[float]
     std: list[float]
-    layers: list[list]  # pairs of weights and bias
+    layers: list[list]  # four pairs of weights and bias
+    norms: list[list]  # three of scale, shift, running mean and running variance
+    history: list[dict] = field(default_factory=list)  # losses of the epochs
 
     def forward(self, x: np.ndarray) -> np.ndarray:
         """Probability of the positive class of rows of raw features."""
         x = (np.where(np.isnan(x), self.mean, x) - self.mean) / (np.array(self.std) + 1e-6)
-        w = [(np.array(a), np.array(b)) for a, b in self.layers]
-        h = np.maximum(x @ w[0][0] + w[0][1], 0)
-        for k in (1, 3):
-            inner = np.maximum(h @ w[k][0] + w[k][1], 0)
-            h = np.maximum(h + inner @ w[k + 1][0] + w[k + 1][1], 0)
-        z = h @ w[5][0] + w[5][1]
-        e = np.exp(z - z.max(1, keepdims=True))
+        e = self.logits(x)
+        e = np.exp(e - e.max(1, keepdims=True))
         return e[:, 1] / e.sum(1)
 
+    def logits(self, x: np.ndarray) -> np.ndarray:
+        h = None
+        for (w, b), (scale, shift, mean, var) in zip(self.layers[:3], self.norms, strict=True):
+            u = ((x if h is None else h) @ np.array(w) + np.array(b) - np.array(mean)) / np.sqrt(np.array(var) + BN_EPS) * np.array(scale) + np.array(shift)
+            h = np.maximum(u, 0) + (0 if h is None else h)
+        return h @ np.array(self.layers[3][0]) + np.array(self.layers[3][1])
+
     def score(self, rows: DataFrame) -> DataFrame:
         forward, n = self.forward, len(self.features)
 
@@ -122,9 +130,16 @@ class Ensemble:
         return out.withColumn("p", sum((F.col(n) for n in names), F.lit(0.0)) / len(names)).drop(*names)
 
 
-def matrix(rows: DataFrame, features: Sequence[str], y: str, order: Sequence[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(X imputed, y, means, population stds) of labelled rows, in a fixed order: label sets only, never pixels."""
-    pdf = rows.select(*order, *features, y).toPandas().sort_values(list(order))
+def matrix(rows: DataFrame, features: Sequence[str], y: str, order: Sequence[str], most: int = SETTINGS.fit_rows) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(X imputed, y, means, population stds) of labelled rows, in a fixed order: label sets only, never pixels.
+
+    Of more than ``most`` rows a sample of about that many is taken, by a hash of the order's columns.
+    """
+    known = rows.where(F.col(y).isNotNull()).select(*order, *features, y)
+    n = known.count()
+    if n > most:
+        known = known.where(F.pmod(F.xxhash64(*order), F.lit(1 << 24)) < most * (1 << 24) // n)
+    pdf = known.toPandas().sort_values(list(order))
     x = pdf[list(features)].to_numpy(float)
     mean = np.array([np.nanmean(c) if not np.isnan(c).all() else 0.0 for c in x.T])
     x = np.where(np.isnan(x), mean, x)
@@ -188,56 +203,80 @@ def fit_svm(x: np.ndarray, y: np.ndarray, features: Sequence[str], mean: np.ndar
     return KernelScorer(list(features), mean.tolist(), std.tolist(), z[keep], (a * s)[keep], float((a * s).sum()), float(gamma), float(slope), float(offset))
 
 
-def initial_layers(d: int, width: int, rng: np.random.Generator) -> list[list]:
-    sizes = [(d, width)] + [(width, width)] * 4 + [(width, 2)]
-    return [[rng.uniform(-1, 1, s) / np.sqrt(s[0]), np.zeros(s[1])] for s in sizes]
+def initial_network(d: int, width: int, rng: np.random.Generator) -> tuple[list[list], list[list]]:
+    """(layers, norms): uniform within 1 / sqrt(inputs), as linear layers usually begin."""
+    layers = [[rng.uniform(-1, 1, (a, b)) / np.sqrt(a), rng.uniform(-1, 1, b) / np.sqrt(a)] for a, b in ((d, width), (width, width), (width, width), (width, 2))]
+    return layers, [[np.ones(width), np.zeros(width), np.zeros(width), np.ones(width)] for _ in range(3)]
 
 
-def fit_network(x: np.ndarray, y: np.ndarray, features: Sequence[str], mean: np.ndarray, std: np.ndarray, width: int = 64, seed: int = 42) -> NetworkScorer:
-    """Adam on cross-entropy, in shuffled batches; normalisation is by the features' z-scores."""
+def fit_network(x: np.ndarray, y: np.ndarray, features: Sequence[str], mean: np.ndarray, std: np.ndarray, width: int = 64, seed: int = 42, epochs: int = SETTINGS.epochs, validation: tuple[np.ndarray, np.ndarray] | None = None) -> NetworkScorer:
+    """Adam on cross-entropy, in shuffled batches, with batch normalisation.
+
+    ``history`` has each epoch's mean loss of its batches and, where rows for validation are given, their loss and the
+    percentage that is told right.
+    """
     rng = np.random.default_rng(seed)
     z = (x - mean) / (std + 1e-6)
-    layers = initial_layers(z.shape[1], width, rng)
-    first = [[np.zeros_like(p) for p in layer] for layer in layers]
-    second = [[np.zeros_like(p) for p in layer] for layer in layers]
+    layers, norms = initial_network(z.shape[1], width, rng)
+    learnt = [p for layer in layers for p in layer] + [p for n in norms for p in n[:2]]
+    first, second = [np.zeros_like(p) for p in learnt], [np.zeros_like(p) for p in learnt]
+    scorer = NetworkScorer(list(features), np.asarray(mean).tolist(), np.asarray(std).tolist(), layers, norms)
     t = 0
-    for _ in range(SETTINGS.epochs):
+    for epoch in range(1, epochs + 1):
+        losses = []
         for at in np.array_split(rng.permutation(len(z)), max(1, -(-len(z) // SETTINGS.batch))):
-            grads = gradients(layers, z[at], y[at])
+            loss, grads, stats_ = gradients(layers, norms, z[at], y[at])
+            losses.append(loss)
+            for n, (m, v) in zip(norms, stats_, strict=True):
+                n[2] += BN_MOMENTUM * (m - n[2])
+                n[3] += BN_MOMENTUM * (v * len(at) / max(1, len(at) - 1) - n[3])
             t += 1
-            for layer, grad, m, v in zip(layers, grads, first, second, strict=True):
-                for k in range(2):
-                    m[k] = 0.9 * m[k] + 0.1 * grad[k]
-                    v[k] = 0.999 * v[k] + 0.001 * grad[k] ** 2
-                    layer[k] -= SETTINGS.learning_rate * (m[k] / (1 - 0.9**t)) / (np.sqrt(v[k] / (1 - 0.999**t)) + 1e-8)
-    return NetworkScorer(list(features), mean.tolist(), std.tolist(), [[a.tolist(), b.tolist()] for a, b in layers])
-
-
-def gradients(layers: list[list], x: np.ndarray, y: np.ndarray) -> list[list[np.ndarray]]:
-    """Gradients of the mean cross-entropy of a batch."""
-    h = [np.maximum(x @ layers[0][0] + layers[0][1], 0)]
-    inner = []
-    for k in (1, 3):
-        u = np.maximum(h[-1] @ layers[k][0] + layers[k][1], 0)
-        inner.append(u)
-        h.append(np.maximum(h[-1] + u @ layers[k + 1][0] + layers[k + 1][1], 0))
-    logits = h[-1] @ layers[5][0] + layers[5][1]
+            for p, g, m, v in zip(learnt, grads, first, second, strict=True):
+                m += 0.1 * (g - m)
+                v += 0.001 * (g**2 - v)
+                p -= SETTINGS.learning_rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
+        scorer.history.append({"epoch": epoch, "loss": float(np.mean(losses))})
+        if validation is not None:
+            p, truth = scorer.forward(validation[0]), validation[1]
+            told = np.clip(np.where(truth == 1, p, 1 - p), 1e-12, 1)
+            scorer.history[-1] |= {"val_loss": float(-np.log(told).mean()), "val_accuracy": float(100 * ((p > 0.5) == (truth == 1)).mean())}
+    scorer.layers = [[a.tolist(), b.tolist()] for a, b in layers]
+    scorer.norms = [[p.tolist() for p in n] for n in norms]
+    return scorer
+
+
+def gradients(layers: list[list], norms: list[list], x: np.ndarray, y: np.ndarray) -> tuple[float, list[np.ndarray], list[tuple[np.ndarray, np.ndarray]]]:
+    """(mean cross-entropy of a batch, its gradients by layers then norms, the batch's mean and variance of each norm)."""
+    inputs, normal, spread, live, stats_ = [], [], [], [], []
+    h = x
+    for k, ((w, b), (scale, shift, _, _)) in enumerate(zip(layers[:3], norms, strict=True)):
+        inputs.append(h)
+        u = h @ w + b
+        m, v = u.mean(0), u.var(0)
+        stats_.append((m, v))
+        spread.append(np.sqrt(v + BN_EPS))
+        normal.append((u - m) / spread[-1])
+        a = normal[-1] * scale + shift
+        live.append(a > 0)
+        h = np.maximum(a, 0) + (h if k else 0)
+    logits = h @ layers[3][0] + layers[3][1]
     e = np.exp(logits - logits.max(1, keepdims=True))
     d = e / e.sum(1, keepdims=True)
+    loss = float(-np.log(np.maximum(d[np.arange(len(y)), y], 1e-300)).mean())
     d[np.arange(len(y)), y] -= 1
     d /= len(y)
-    grads: list = [None] * 6
-    grads[5] = [h[-1].T @ d, d.sum(0)]
-    back = d @ layers[5][0].T
-    for b, k in ((1, 3), (0, 1)):
-        back = back * (h[b + 1] > 0)
-        grads[k + 1] = [inner[b].T @ back, back.sum(0)]
-        hidden = (back @ layers[k + 1][0].T) * (inner[b] > 0)
-        grads[k] = [h[b].T @ hidden, hidden.sum(0)]
-        back = back + hidden @ layers[k][0].T
-    back = back * (h[0] > 0)
-    grads[0] = [x.T @ back, back.sum(0)]
-    return grads
+    of_layers: list = [None] * 4
+    of_norms: list = [None] * 3
+    of_layers[3] = [h.T @ d, d.sum(0)]
+    back = d @ layers[3][0].T
+    for k in (2, 1, 0):
+        a = back * live[k]
+        of_norms[k] = [(a * normal[k]).sum(0), a.sum(0)]
+        n = a * norms[k][0]
+        u = (n - n.mean(0) - normal[k] * (n * normal[k]).mean(0)) / spread[k]
+        of_layers[k] = [inputs[k].T @ u, u.sum(0)]
+        back = u @ layers[k][0].T + (back if k else 0)
+    return loss, [p for layer in of_layers for p in layer] + [p for n in of_norms for p in n], stats_
 
 
 def f1(y: np.ndarray, predicted: np.ndarray) -> float:
@@ -272,21 +311,64 @@ def train(choice: str, rows: DataFrame, features: Sequence[str], y: str, order:
     return fits[choice](x, target, features, mean, std)
 
 
+def tune(rows: DataFrame, features: Sequence[str], y: str, order: Sequence[str], svm: Sequence[dict] | None = None, trees: Sequence[int] = (100, 200), depths: Sequence[int] = (6, 8, 10)) -> dict[str, dict]:
+    """The best settings of the kernel machine and of the forest by mean F1 over three folds."""
+    from pyspark.ml.classification import RandomForestClassifier
+    from pyspark.ml.evaluation import MulticlassClassificationEvaluator
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
+
+    x, target, mean, std = matrix(rows, features, y, order)
+
+    def machine(a: np.ndarray, b: np.ndarray, c: float, gamma: str):
+        m, s = a.mean(0), np.where(a.std(0) == 0, 1.0, a.std(0))
+        found = fit_svm(a, b, features, m, s, c, None if gamma == "scale" else 1.0 / a.shape[1])
+        return lambda z: (found.forward(z) >= 0.5).astype(int)
+
+    grid = svm or [{"c": c, "gamma": g} for c in (0.1, 1.0, 10.0) for g in ("scale", "auto")]
+    best, score = grid_search(x, target, machine, grid)
+    full = stats.impute(rows, features, stats.means(rows, features)).fillna(0.0, list(features))
+    ready = VectorAssembler(inputCols=list(features), outputCol="_x").transform(full).withColumn(y, F.col(y).cast("double"))
+    forest = RandomForestClassifier(featuresCol="_x", labelCol=y, seed=42)
+    params = ParamGridBuilder().addGrid(forest.numTrees, list(trees)).addGrid(forest.maxDepth, list(depths)).build()
+    judge = MulticlassClassificationEvaluator(labelCol=y, metricName="fMeasureByLabel", metricLabel=1.0)
+    found = CrossValidator(estimator=forest, estimatorParamMaps=params, evaluator=judge, numFolds=3, seed=42, parallelism=4).fit(ready)
+    k = int(np.argmax(found.avgMetrics))
+    return {"SVM": best | {"f1": score}, "RandomForest": {"numTrees": params[k][forest.numTrees], "maxDepth": params[k][forest.maxDepth], "f1": float(found.avgMetrics[k])}}
+
+
+def _plain(value):
+    if isinstance(value, np.ndarray):
+        return value.tolist()
+    return [_plain(v) for v in value] if isinstance(value, (list, tuple)) else value
+
+
 def save(scorer, path: str) -> None:
-    """Scorers of plain numbers as JSON; forests by pyspark.ml's own writer."""
-    if isinstance(scorer, ForestScorer):
-        scorer.model.write().overwrite().save(path)
-        return
-    plain = {k: v.tolist() if isinstance(v, np.ndarray) else v for k, v in asdict(scorer).items()}
-    with open(path, "w") as f:
-        json.dump({"kind": type(scorer).__name__, "fields": plain}, f)
+    """A scorer in a folder of any file system: its numbers as JSON, a forest by pyspark.ml's own writer, members in folders of theirs."""
+    spark = SparkSession.getActiveSession()
+    held: dict = {}
+    if isinstance(scorer, Ensemble):
+        for k, one in enumerate(scorer.scorers):
+            save(one, f"{path}/member-{k}")
+        held = {"members": len(scorer.scorers)}
+    else:
+        held = {f.name: _plain(getattr(scorer, f.name)) for f in fields(scorer) if f.name != "model"}
+        if isinstance(scorer, ForestScorer):
+            scorer.model.write().overwrite().save(f"{path}/forest")
+    text = json.dumps({"kind": type(scorer).__name__, "fields": held})
+    spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/scorer")
 
 
 def load(path: str):
-    with open(path) as f:
-        found = json.load(f)
-    kinds = {c.__name__: c for c in (LinearScorer, NetworkScorer, KernelScorer)}
-    fields = found["fields"]
+    """The scorer that ``save`` left."""
+    found = json.loads(SparkSession.getActiveSession().read.option("wholetext", True).text(f"{path}/scorer").first()[0])
+    held = found["fields"]
+    if found["kind"] == "Ensemble":
+        return Ensemble([load(f"{path}/member-{k}") for k in range(held["members"])])
+    if found["kind"] == "ForestScorer":
+        from pyspark.ml.classification import RandomForestClassificationModel
+
+        return ForestScorer(**held, model=RandomForestClassificationModel.load(f"{path}/forest"))
     if found["kind"] == "KernelScorer":
-        fields |= {k: np.array(fields[k]) for k in ("support", "alpha")}
-    return kinds[found["kind"]](**fields)
+        held |= {k: np.array(held[k]) for k in ("support", "alpha")}
+    return {c.__name__: c for c in (LinearScorer, NetworkScorer, KernelScorer)}[found["kind"]](**held)

@@ -206,3 +206,81 @@ sql("answered_candidates", _LABEL, body="SELECT id, tile, CASE WHEN k % 2 = 1 TH
 sql("label_batch", _LABEL, body="SELECT id, label FROM point a WHERE a.k % 2 = 1 OR NOT EXISTS (SELECT 1 FROM point b WHERE b.k % 2 = 1 AND abs(a.lat-b.lat) < 0.0002 AND abs(a.lon-b.lon) < 0.0002 AND sqrt((a.lat-b.lat)*(a.lat-b.lat) + (a.lon-b.lon)*(a.lon-b.lon)) < 0.0001e0)")
 sql("legacy_candidates", _PIXEL, "e AS (SELECT tile, max(r)+1 AS h, max(c)+1 AS w FROM pixel GROUP BY 1)", "k AS (SELECT cast(unnest(range(0, 40)) AS int) AS k)", f"q AS (SELECT tile, k, {_CELL.format('r')} % h AS r, {_CELL.format('c')} % w AS c FROM e, k)", body="SELECT tile, r, c, k, 1e0 AS uncertainty FROM q WHERE NOT EXISTS (SELECT 1 FROM labels WHERE doc_id % 10 = q.tile AND doc_id % 40 = q.r AND (doc_id*3) % 40 = q.c)")
 sql("check_results_report", _LABEL, _COUNTS, _PIXEL, _patch(8), _PATCHP, body=f"SELECT 'user' AS source, total AS rows, agri AS ag, round({_RATIO}, 6) AS ratio FROM counts UNION ALL SELECT 'model', count(*), count(*) FILTER (WHERE round(p, 9) > round(1-p, 9)), round(count(*) FILTER (WHERE round(p, 9) > round(1-p, 9)) * 1e0 / nullif(count(*), 0), 6) FROM patchp")
+
+
+def _dense(layer: int, of: str, rows: int, cols: int) -> str:
+    """A linear layer of the fixed network over a list."""
+    total = f"list_sum(list_transform(range({rows}), lambda i: {of}[i+1] * (((i*37 + j*101 + {layer * 53 + 11}) % 199 - 99) / (99e0*sqrt({rows}e0)))))"
+    return f"list_transform(range({cols}), lambda j: {total} + ((j*29 + {layer * 7}) % 13 - 6)/60e0)"
+
+
+def _normed(layer: int, of: str) -> str:
+    """Normalisation and ReLU of the fixed network over a list."""
+    return f"list_transform(range(64), lambda j: greatest(0e0, ({of}[j+1] - ((j*11 + {layer}) % 9 - 4)/50e0) / sqrt(0.5e0 + ((j*13 + {layer}) % 8)/10e0 + 1e-5) * (1 + ((j*5 + {layer}) % 7 - 3)/20e0) + ((j*3 + {layer}) % 5 - 2)/10e0))"
+
+
+sql(
+    "resnet_forward",
+    _FEATURE,
+    "x0 AS (SELECT vec_id, [" + ", ".join(f"coalesce(f{i}, 0)/(0.125e0+1e-6)" for i in range(8)) + "] AS x FROM feature)",
+    f"x1 AS (SELECT vec_id, {_dense(0, 'x', 8, 64)} AS u FROM x0)",
+    f"x2 AS (SELECT vec_id, {_normed(0, 'u')} AS h FROM x1)",
+    f"x3 AS (SELECT vec_id, h, {_dense(1, 'h', 64, 64)} AS u FROM x2)",
+    f"x4 AS (SELECT vec_id, h, {_normed(1, 'u')} AS g FROM x3)",
+    "x5 AS (SELECT vec_id, list_transform(range(64), lambda j: h[j+1] + g[j+1]) AS h FROM x4)",
+    f"x6 AS (SELECT vec_id, h, {_dense(2, 'h', 64, 64)} AS u FROM x5)",
+    f"x7 AS (SELECT vec_id, h, {_normed(2, 'u')} AS g FROM x6)",
+    "x8 AS (SELECT vec_id, list_transform(range(64), lambda j: h[j+1] + g[j+1]) AS h FROM x7)",
+    f"x9 AS (SELECT vec_id, {_dense(3, 'h', 64, 2)} AS z FROM x8)",
+    body="SELECT vec_id, round(1/(1 + exp(z[1] - z[2])), 6) AS p FROM x9",
+)
+# The legacy loop, a label at a time.
+sql(
+    "label_refusal",
+    _LABEL,
+    "queue AS (SELECT tile, k, lower(label) = 'agricultural' AS pos, row_number() OVER (PARTITION BY tile ORDER BY k) AS turn FROM point)",
+    "walk(tile, turn, k, taken, p, n) AS (SELECT tile, cast(0 AS bigint), cast(0 AS bigint), false, cast(0 AS bigint), cast(0 AS bigint) FROM queue GROUP BY 1 UNION ALL SELECT * FROM (SELECT tile, turn, k, take, p + CASE WHEN take AND pos THEN 1 ELSE 0 END, n + CASE WHEN take AND NOT pos THEN 1 ELSE 0 END FROM (SELECT w.tile, q.turn, q.k, q.pos, w.p, w.n, q.pos OR (w.p + w.n > 0 AND w.p*1e0/nullif(w.p + w.n, 0) >= 0.25e0) AS take FROM walk w JOIN queue q ON q.tile = w.tile AND q.turn = w.turn + 1) x) y)",
+    body="SELECT tile, k FROM walk WHERE taken",
+    recursive=True,
+)
+
+
+def _sieved(value: str, least: int) -> tuple[str, ...]:
+    """Eight-connected regions of both values; small ones take the value of their largest neighbour if that is not small."""
+    return (
+        f"cell AS (SELECT tile, r*40 + c AS k, r, c, {value} AS v FROM {'scored' if 'prob' in value else 'pixel'})",
+        f"step(dr, dc) AS (VALUES {_ALL})",
+        "near AS (SELECT a.tile, a.k, b.k AS k2, a.v = b.v AS same FROM cell a, step s, cell b WHERE b.tile = a.tile AND b.r = a.r + s.dr AND b.c = a.c + s.dc)",
+        "edge AS (SELECT * FROM near WHERE same)",
+        "reach(tile, k, root) AS (SELECT tile, k, k FROM cell WHERE NOT EXISTS (SELECT 1 FROM edge WHERE edge.tile = cell.tile AND edge.k = cell.k AND edge.k2 < cell.k) UNION SELECT e.tile, e.k2, reach.root FROM reach JOIN edge e ON e.tile = reach.tile AND e.k = reach.k WHERE e.k2 > reach.root)",
+        "comp AS (SELECT tile, k, min(root) AS root FROM reach GROUP BY 1, 2)",
+        "size_ AS (SELECT tile, root, count(*) AS n FROM comp GROUP BY 1, 2)",
+        "pair AS (SELECT DISTINCT n.tile, a.root AS x, b.root AS y FROM near n JOIN comp a ON a.tile = n.tile AND a.k = n.k JOIN comp b ON b.tile = n.tile AND b.k = n.k2 WHERE NOT n.same)",
+        f"best AS (SELECT p.tile, p.x, p.y, s.n AS big, row_number() OVER (PARTITION BY p.tile, p.x ORDER BY s.n DESC, p.y) AS rk FROM pair p JOIN size_ s ON s.tile = p.tile AND s.root = p.y JOIN size_ o ON o.tile = p.tile AND o.root = p.x WHERE o.n < {least})",
+        f"after AS (SELECT c.tile, c.k, coalesce(o.v, c.v) AS v FROM cell c JOIN comp m ON m.tile = c.tile AND m.k = c.k LEFT JOIN best b ON b.tile = c.tile AND b.x = m.root AND b.rk = 1 AND b.big >= {least} LEFT JOIN cell o ON o.tile = b.tile AND o.k = b.y)",
+    )
+
+
+sql("sieve50", _PIXEL, *_sieved("CASE WHEN p >= 0.5 THEN 1 ELSE 0 END", 50), body="SELECT tile, count(*) AS pixels, cast(sum(v) AS bigint) AS agri, round(avg(v)*100, 6) AS pct_agricultural FROM after GROUP BY 1", recursive=True)
+sql("classify_and_sieve", _PIXEL, _SCORE, *_sieved("CASE WHEN prob >= 0.5 THEN 1 ELSE 0 END", 20), body="SELECT tile, cast(sum(v) AS bigint) AS agri, round(avg(v)*100, 6) AS pct_agricultural FROM after GROUP BY 1", recursive=True)
+# Rings: every side of a region's border, directed with the region on its right, leads to the next one; at a corner where two
+# rings touch it turns right. A ring is walked from each of its sides that begins at a corner none of its neighbours begins before.
+_SIDES = " UNION ALL ".join(
+    f"SELECT o.tile, o.root, o.r + {a} AS r1, o.c + {b} AS c1, o.r + {x} AS r2, o.c + {y} AS c2 FROM spot o WHERE NOT EXISTS (SELECT 1 FROM spot n WHERE n.tile = o.tile AND n.r = o.r + {dr} AND n.c = o.c + {dc})"
+    for dr, dc, a, b, x, y in ((-1, 0, 0, 0, 0, 1), (0, 1, 0, 1, 1, 1), (1, 0, 1, 1, 1, 0), (0, -1, 1, 0, 0, 0))
+)
+sql(
+    "exterior_ring",
+    _PIXEL,
+    _reach(_FOUR),
+    "spot AS (SELECT tile, root, cast(floor(k/40e0) AS bigint) AS r, k % 40 AS c FROM comp)",
+    f"side AS (SELECT *, row_number() OVER (PARTITION BY tile ORDER BY r1, c1, r2, c2) AS id FROM ({_SIDES}) x)",
+    "follow AS (SELECT a.tile, a.root, a.id, a.r1, a.c1, a.r2, a.c2, b.id AS after, row_number() OVER (PARTITION BY a.tile, a.id ORDER BY CASE WHEN b.r2 = a.r2 + (a.c2-a.c1) AND b.c2 = a.c2 - (a.r2-a.r1) THEN 0 ELSE 1 END) AS rk, b.r2-b.r1 AS dr, b.c2-b.c1 AS dc FROM side a JOIN side b ON b.tile = a.tile AND b.r1 = a.r2 AND b.c1 = a.c2)",
+    "link AS (SELECT * FROM follow WHERE rk = 1)",
+    "walk(tile, start, id) AS (SELECT l.tile, l.id, l.id FROM link l JOIN link b ON b.tile = l.tile AND b.after = l.id WHERE l.id < b.id AND l.id < l.after UNION SELECT w.tile, w.start, l.after FROM walk w JOIN link l ON l.tile = w.tile AND l.id = w.id)",
+    "ringed AS (SELECT tile, id, min(start) AS ring FROM walk GROUP BY 1, 2)",
+    "ring AS (SELECT l.tile, l.root, g.ring, sum(l.c1*l.r2 - l.c2*l.r1)/2e0 AS area, count(*) FILTER (WHERE l.r2-l.r1 <> l.dr OR l.c2-l.c1 <> l.dc) + 1 AS corners FROM link l JOIN ringed g ON g.tile = l.tile AND g.id = l.id GROUP BY 1, 2, 3)",
+    "ranked AS (SELECT *, row_number() OVER (PARTITION BY tile, root ORDER BY area DESC) AS rk, count(*) OVER (PARTITION BY tile, root) AS n FROM ring)",
+    body="SELECT tile, cast(floor(root/40e0) AS bigint) AS root_r, root % 40 AS root_c, cast(corners AS int) AS corners, round(area, 1) AS outer_area, cast(n - 1 AS int) AS holes, 'EPSG:32627' AS crs FROM ranked WHERE rk = 1",
+    recursive=True,
+)

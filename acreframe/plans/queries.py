@@ -508,10 +508,14 @@ def softmax_score(spark, d):
 
 
 def fixed_network() -> models.NetworkScorer:
-    import numpy as np
+    """A network whose numbers are whole-number arithmetic, so that any engine can write them down."""
 
-    layers = models.initial_layers(8, 64, np.random.default_rng(7))
-    return models.NetworkScorer(A.FEATURES, [0.0] * 8, [0.125] * 8, [[a.tolist(), b.tolist()] for a, b in layers])
+    def weights(layer: int, rows: int, cols: int) -> list:
+        return [[((i * 37 + j * 101 + layer * 53 + 11) % 199 - 99) / (99.0 * rows**0.5) for j in range(cols)] for i in range(rows)]
+
+    layers = [[weights(k, a, b), [((j * 29 + k * 7) % 13 - 6) / 60.0 for j in range(b)]] for k, (a, b) in enumerate(((8, 64), (64, 64), (64, 64), (64, 2)))]
+    norms = [[[1 + ((j * 5 + k) % 7 - 3) / 20.0 for j in range(64)], [((j * 3 + k) % 5 - 2) / 10.0 for j in range(64)], [((j * 11 + k) % 9 - 4) / 50.0 for j in range(64)], [0.5 + (j * 13 + k) % 8 / 10.0 for j in range(64)]] for k in range(3)]
+    return models.NetworkScorer(A.FEATURES, [0.0] * 8, [0.125] * 8, layers, norms)
 
 
 @query

@@ -288,7 +288,7 @@ def test_lzw():
     assert geotiff.unpack_lzw((value << pad).to_bytes((bits + pad) // 8, "big")) == b"ABABABA"
 
 
-@pytest.mark.parametrize("choice", ["Logistic", "SVM", "ResNet"])
+@pytest.mark.parametrize("choice", ["Logistic", "SVM", "ResNet", "RandomForest", "Ensemble"])
 def test_models_learn_a_plain_rule(spark, choice, tmp_path):
     rng = np.random.default_rng(0)
     x = rng.normal(size=(300, 3))
@@ -296,29 +296,53 @@ def test_models_learn_a_plain_rule(spark, choice, tmp_path):
     scorer = models.train(choice, df, ["a", "b", "d"], "y", ["k"])
     got = scorer.score(df).toPandas()
     assert ((got.p >= 0.5) == (got.y == 1)).mean() > 0.85
-    models.save(scorer, str(tmp_path / "m.json"))
-    again = models.load(str(tmp_path / "m.json")).score(df).toPandas()
-    assert np.allclose(again.p, got.p)
+    models.save(scorer, f"file://{tmp_path}/model")
+    again = models.load(f"file://{tmp_path}/model").score(df).toPandas()
+    assert np.allclose(again.sort_values("k").p, got.sort_values("k").p)
+    models.save(scorer, f"file://{tmp_path}/model")  # again, over what is there
 
 
 def test_gradients_by_differences():
     rng = np.random.default_rng(1)
-    layers = models.initial_layers(3, 4, rng)
-    x, y = rng.normal(size=(6, 3)), rng.integers(0, 2, 6)
-
-    def loss():
-        p = models.NetworkScorer(["a"] * 3, [0.0] * 3, [1 - 1e-6] * 3, layers).forward(x)
-        return -np.log(np.where(y == 1, p, 1 - p)).mean()
-
-    grads = models.gradients(layers, x, y)
-    for k in (0, 2, 5):
-        w = layers[k][0]
-        w[0, 0] += 1e-6
-        up = loss()
-        w[0, 0] -= 2e-6
-        down = loss()
-        w[0, 0] += 1e-6
-        assert abs((up - down) / 2e-6 - grads[k][0][0, 0]) < 1e-4
+    layers, norms = models.initial_network(3, 4, rng)
+    for n in norms:
+        n[0] += rng.normal(size=4) / 5
+        n[1] += rng.normal(size=4) / 5
+    x, y = rng.normal(size=(9, 3)), rng.integers(0, 2, 9)
+    grads = models.gradients(layers, norms, x, y)[1]
+    learnt = [p for layer in layers for p in layer] + [p for n in norms for p in n[:2]]
+    for p, g in zip(learnt, grads, strict=True):
+        for at in [tuple(rng.integers(0, p.shape)) for _ in range(3)]:
+            p[at] += 1e-6
+            up = models.gradients(layers, norms, x, y)[0]
+            p[at] -= 2e-6
+            down = models.gradients(layers, norms, x, y)[0]
+            p[at] += 1e-6
+            assert abs((up - down) / 2e-6 - g[at]) < 1e-4
+
+
+def test_losses_of_epochs():
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(400, 3))
+    y = (x[:, 0] > 0).astype(int)
+    scorer = models.fit_network(x[:300], y[:300], ["a", "b", "c"], x[:300].mean(0), x[:300].std(0), validation=(x[300:], y[300:]))
+    h = scorer.history
+    assert [e["epoch"] for e in h] == list(range(1, 11)) and h[-1]["loss"] < h[0]["loss"] and h[-1]["val_loss"] < h[0]["val_loss"] and h[-1]["val_accuracy"] > 85
+    p = scorer.forward(x[300:])
+    assert abs(h[-1]["val_loss"] + np.log(np.where(y[300:] == 1, p, 1 - p)).mean()) < 1e-9
+
+
+def test_settings_are_searched(spark):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(120, 2))
+    df = spark.createDataFrame(pd.DataFrame(x, columns=["a", "b"]).assign(k=range(120), y=(x[:, 0] * x[:, 1] > 0).astype(int)))
+    found = models.tune(df, ["a", "b"], "y", ["k"], trees=(5, 10), depths=(1, 6))
+    assert found["RandomForest"]["maxDepth"] == 6 and found["RandomForest"]["f1"] > 0.7 and found["SVM"]["f1"] > 0.7 and found["SVM"]["c"] in (0.1, 1.0, 10.0)
+
+
+def test_fits_take_a_bounded_sample(spark):
+    df = spark.range(4000).select(F.col("id").alias("k"), (F.col("id") % 7).cast("double").alias("a"), (F.col("id") % 2).cast("int").alias("y"))
+    assert 300 < len(models.matrix(df, ["a"], "y", ["k"], most=500)[0]) < 700 and len(models.matrix(df, ["a"], "y", ["k"])[0]) == 4000
 
 
 def test_grid_search_and_unknown_models(spark):
@@ -341,6 +365,23 @@ def test_rounds(spark, tmp_path):
     assert len(summary) == tiles and all(0 <= s.pct_agricultural <= 100 for s in summary)
 
 
+def test_a_loop_that_was_stopped(spark, tmp_path):
+    p = pixels(spark, f"{DATA}/sf0.001").withColumn("truth", (F.col("nir") > 25).cast("int")).drop("p", "n").cache()
+    truth = p.select("tile", "r", "c", F.when(F.col("truth") == 1, "Agricultural").otherwise("Non-Agricultural").alias("label")).cache()
+    seed = sampling.random_per_group(truth, "tile", ["tile", "r", "c"], 6).drop("rank").cache()
+    run = lambda name, n, choice="Logistic": rounds.run_loop(spark, f"file://{tmp_path}/{name}", p, seed, truth, ["nir", "red", "blue"], rounds=n, choice=choice)
+    one, whole = run("whole", 3)
+    run("parts", 1)
+    (tmp_path / "parts" / "predictions" / "round=2").mkdir(parents=True)  # a round that broke off
+    run("parts", 1)
+    two, joined = run("parts", 1)
+    assert [r.number for r in two] == [3] and sorted(map(tuple, joined.collect())) == sorted(map(tuple, whole.collect()))
+    assert sorted(map(tuple, spark.read.parquet(two[-1].predictions).collect())) == sorted(map(tuple, spark.read.parquet(one[-1].predictions).collect()))
+    final = rounds.final_model(spark, f"file://{tmp_path}/whole")
+    assert np.allclose([r.p for r in final.score(p).orderBy("tile", "r", "c").collect()], [r.p for r in spark.read.parquet(one[-1].predictions).orderBy("tile", "r", "c").collect()])
+    assert rounds.final_model(spark, f"file://{tmp_path}/none") is None
+
+
 def test_split_is_exact(spark):
     df = spark.range(103)
     assert sampling.split(df, ["id"]).where("part = 'train'").count() == 82
