@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from acreframe.config import NEGATIVE, POSITIVE, SETTINGS
+from acreframe.sources.files import kept
 
 
 def is_positive(label: Column) -> Column:
@@ -85,27 +86,53 @@ def appended(master: DataFrame, more: DataFrame) -> DataFrame:
     return master.unionByName(more.select(*master.columns))
 
 
+def in_order(labels: DataFrame, order: str, by: str) -> tuple[DataFrame, DataFrame]:
+    """(labels with running counts, the counts that stand before each part of a group).
+
+    Labels are dealt out by ranges of (group, order), so a group of any size is shared by many tasks. ``_p`` and ``_n`` count
+    the positives and negatives of a label's part up to itself; ``_p0`` and ``_n0`` those of the group's earlier parts.
+    """
+    marked = labels.withColumn("_pos", is_positive(F.col("label")))
+    dealt = kept(marked.repartitionByRange(by, order).withColumn("_part", F.spark_partition_id()), "labels")
+    window = Window.partitionBy(by, "_part").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    counted = dealt.withColumns({"_p": F.count_if("_pos").over(window), "_n": F.count_if(~F.col("_pos")).over(window)})
+    before = Window.partitionBy(by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each part
+    sums = dealt.groupBy(by, "_part").agg(F.count_if("_pos").alias("_ps"), F.count_if(~F.col("_pos")).alias("_ns"))
+    sums = sums.select(by, "_part", F.coalesce(F.sum("_ps").over(before), F.lit(0)).alias("_p0"), F.coalesce(F.sum("_ns").over(before), F.lit(0)).alias("_n0"))
+    return counted, sums
+
+
 def running_ratio(labels: DataFrame, order: str, by: str) -> DataFrame:
     """Share of positives among the labels before each one, within a group."""
-    before = Window.partitionBy(by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    positive = is_positive(F.col("label")).cast("int")
-    return labels.withColumn("ag_ratio", F.coalesce(F.try_divide(F.sum(positive).over(before).cast("double"), F.count("*").over(before)), F.lit(0.0)))
+    counted, sums = in_order(labels, order, by)
+    positive = F.col("_p0") + F.col("_p") - F.col("_pos").cast("int")
+    all_ = F.col("_p0") + F.col("_n0") + F.col("_p") + F.col("_n") - 1
+    ratio = F.coalesce(F.try_divide(positive.cast("double"), all_), F.lit(0.0))
+    return counted.join(sums, [by, "_part"]).select(*labels.columns, ratio.alias("ag_ratio"))
 
 
 def refused(labels: DataFrame, order: str, by: str) -> DataFrame:
     """Labels that the legacy loop takes, in order: a negative is refused while the share of positives taken is below 0.25.
 
-    Each decision hangs on those before it, so a group is folded in order; the fold keeps two counts and the numbers taken.
+    All positives are taken, so p of them allow 3 p + 1 negatives, and none where p is 0: the number of negatives taken goes up
+    by one with each negative, but not above that. Such a count is the number of negatives so far, less the most by which
+    that has been above what was allowed; so a running minimum of (allowed - negatives) tells every decision, without a loop.
     """
-    item = F.struct(F.col(order).alias("o"), is_positive(F.col("label")).alias("pos"))
-    start = F.struct(F.lit(0).alias("p"), F.lit(0).alias("n"), F.array().cast("array<bigint>").alias("taken"))
-
-    def step(s: Column, x: Column) -> Column:
-        low = F.when(s["p"] + s["n"] > 0, s["p"] / (s["p"] + s["n"]) < SETTINGS.legacy_balance_ratio).otherwise(F.lit(True))
-        take = x["pos"] | ~low
-        return F.struct((s["p"] + (take & x["pos"]).cast("int")).alias("p"), (s["n"] + (take & ~x["pos"]).cast("int")).alias("n"), F.when(take, F.array_append(s["taken"], x["o"].cast("bigint"))).otherwise(s["taken"]).alias("taken"))
-
-    return labels.groupBy(by).agg(F.sort_array(F.collect_list(item)).alias("items")).select(by, F.explode(F.aggregate("items", start, step)["taken"]).alias(order))
+    each = round(1 / SETTINGS.legacy_balance_ratio) - 1
+    counted, sums = in_order(labels, order, by)
+    slack = F.when(~F.col("_pos"), each * F.col("_p") + 1 - F.col("_n"))
+    earlier = Window.partitionBy(by, "_part").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    counted = counted.withColumn("_slack", slack).withColumn("_before", F.min("_slack").over(earlier))
+    least = counted.groupBy(by, "_part").agg(F.min("_slack").alias("_least")).join(sums, [by, "_part"])
+    parts = Window.partitionBy(by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    known = least.withColumn("_m0", F.min(each * F.col("_p0") - F.col("_n0") + F.col("_least")).over(parts)).drop("_least")
+    joined = counted.join(known, [by, "_part"])
+    p, n = F.col("_p0") + F.col("_p"), F.col("_n0") + F.col("_n")
+    # Negatives before the first positive are all refused: one more than the slack of the last of them says.
+    head = joined.where("_pos").groupBy(F.col(by).alias("_by")).agg(F.min(n).alias("_head"))
+    joined = joined.join(head, joined[by].eqNullSafe(F.col("_by")), "left")
+    taken = n - 1 + F.least(F.lit(0), -F.col("_head"), F.coalesce("_m0", F.lit(0)), F.coalesce(each * F.col("_p0") - F.col("_n0") + F.col("_before"), F.lit(0)))
+    return joined.where(F.col("_pos") | ((p > 0) & (taken <= each * p))).select(by, order)
 
 
 def answered(candidates: DataFrame, answers: DataFrame, key: str = "id") -> DataFrame:

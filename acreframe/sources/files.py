@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import re
 import tempfile
 import uuid
@@ -65,14 +66,37 @@ def round_of(name):
     return F.regexp_extract(name, r"^round_([0-9]+)$", 1).try_cast("int")
 
 
+_roots: set[str] = set()
+
+
 def shared_folder(spark: SparkSession, label: str) -> str:
-    """A new path that driver and executors share: below ``spark.checkpoint.dir``, or on one machine a folder of its own where that is unset."""
+    """A new path that driver and executors share, gone when the driver ends: below ``spark.checkpoint.dir``, or on one machine
+    below a folder of its own where that is unset."""
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
         if not re.match(r"local(\[|$)", spark.sparkContext.master):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        base = tempfile.mkdtemp(prefix="acreframe-")
-    return f"{base.rstrip('/')}/acreframe-{label}-{uuid.uuid4().hex}"
+        base = tempfile.gettempdir()
+    root = f"{base.rstrip('/')}/acreframe-core-{spark.sparkContext.applicationId}"
+    if root not in _roots:
+        _roots.add(root)
+        atexit.register(_at_exit, spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration(), root)
+    return f"{root}/{label}-{uuid.uuid4().hex}"
+
+
+def _at_exit(jvm, conf, root: str) -> None:
+    try:
+        path = jvm.org.apache.hadoop.fs.Path(root)
+        path.getFileSystem(conf).delete(path, True)
+    except Exception:  # the JVM may have gone first; nothing is left to tell then
+        pass
+
+
+def kept(rows: DataFrame, label: str) -> DataFrame:
+    """Rows as a table in the shared folder: what is read from it stays the same however often, and outlives executors."""
+    path = shared_folder(rows.sparkSession, label)
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
 
 
 def put_file(folder: str, name: str, data: bytes) -> str:

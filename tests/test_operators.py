@@ -147,6 +147,33 @@ def test_refusal_while_positives_are_few(spark):
     assert sorted(r.k for r in labels.refused(df, "k", "g").collect()) == [1, 2, 3, 4, 5]
 
 
+def test_refusals_and_ratios_by_a_plain_loop(spark):
+    rng = np.random.default_rng(6)
+    rows, want, ratios = [], [], {}
+    for g in range(12):
+        p = n = 0
+        share = rng.random()
+        for k in range(int(rng.integers(1, 200))):
+            pos = bool(rng.random() < share * (k > 5 * (g % 3)))
+            key = k * 12 + g
+            rows.append((key, f"g{g}", "Agricultural" if pos else "no"))
+            ratios[key] = (sum(r[2] != "no" for r in rows if r[1] == f"g{g}" and r[0] < key), k)
+            if pos or (p + n and p / (p + n) >= 0.25):
+                want.append(key)
+                p, n = p + pos, n + (not pos)
+    df = spark.createDataFrame(rows, "k long, g string, label string").repartition(7)
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for parts in (1, 9):
+            spark.conf.set("spark.sql.shuffle.partitions", parts)
+            assert sorted(r.k for r in labels.refused(df, "k", "g").collect()) == sorted(want)
+            got = {r.k: r.ag_ratio for r in labels.running_ratio(df, "k", "g").collect()}
+            assert all(abs(got[k] - (a / b if b else 0)) < 1e-12 for k, (a, b) in ratios.items())
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+    assert labels.refused(df.limit(0), "k", "g").count() == 0
+
+
 def test_tile_counts_of_the_regions(spark):
     want = {"Testing": 1, "Boa_Vista": 42, "Brava": 6, "Fogo": 30, "Maio": 20, "Sal": 18, "Santiago": 80, "Santo_Antao": 63, "Sao_Nicolau": 45, "Sao_Vicente": 20}
     assert {r.island: r["count"] for r in grid.tile_grid(grid.islands(spark)).groupBy("island").count().collect()} == want
