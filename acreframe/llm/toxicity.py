@@ -25,7 +25,8 @@ import re
 import zlib
 from collections import Counter
 from dataclasses import dataclass, field
-from heapq import nlargest
+from itertools import compress
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -40,7 +41,7 @@ SHORT = 4
 THRESHOLD = 0.3
 WORST = 3  # words of a document that its score hangs on
 TURNS, RIDGE = 10, 1e-4
-_CACHE = 200_000  # words whose decisions a task remembers
+_CACHE = 600_000  # words whose decisions a task remembers
 START, END = "\x02", "\x03"  # of a word, in landmarks and in the kernel
 _word = re.compile(WORD)
 
@@ -100,7 +101,7 @@ class _Plain(dict):
     """The letters and digits of words, remembered."""
 
     def __missing__(self, word: str) -> str:
-        if len(self) >= _CACHE:
+        if len(self) >= _CACHE // 3:
             self.clear()
         self[word] = found = word if word.isalnum() else "".join(filter(str.isalnum, word))
         return found
@@ -118,11 +119,11 @@ def words_of(text: str) -> set[str]:
     row = list(filter(None, map(_plain.__getitem__, _word.findall(text.lower()))))
     out = set(row)
     size = np.fromiter(map(len, row), np.int64, len(row))
-    for n in (2, 3):
-        short = size <= SHORT + 2 - n
-        if len(row) >= n:
-            for i in np.flatnonzero(np.logical_and.reduce([short[k : len(row) - n + 1 + k] for k in range(n)])).tolist():
-                out.add("".join(row[i : i + n]))
+    both = ((size[:-1] <= SHORT) & (size[1:] <= SHORT)).tolist()
+    out.update(map(add, compress(row, both), compress(row[1:], both)))
+    short = size < SHORT
+    three = (short[:-2] & short[1:-1] & short[2:]).tolist()
+    out.update(map(add, map(add, compress(row, three), compress(row[1:], three)), compress(row[2:], three)))
     if (size == 1).sum() > 3:
         edge = np.diff(np.concatenate([[False], size == 1, [False]]).astype(np.int8))
         out.update("".join(row[a:b]) for a, b in zip(np.flatnonzero(edge == 1).tolist(), np.flatnonzero(edge == -1).tolist(), strict=True) if b - a > 3)
@@ -178,34 +179,49 @@ class Subsequences:
     def sums(self, words: list[str], values: np.ndarray) -> np.ndarray:
         """Of each word (of WINDOW characters at most) the values of its subsequences, weighted by decay."""
         out = np.zeros((len(words), *values.shape[1:]), np.float32)
-        order = sorted(range(len(words)), key=lambda k: len(words[k]))
-        size = np.array([len(words[k]) for k in order])
-        for length in np.unique(size[size >= ORDER]).tolist():
-            own = order[np.searchsorted(size, length) : np.searchsorted(size, length, side="right")]
+        for part, grid in by_length(words, 16_384 // (1 if values.ndim == 1 else values.shape[1] // 8 + 1)):
+            length = grid.shape[1]
+            if length < ORDER:
+                continue
             i, j, pair, last, decay = _triples(length)
             decay = decay.astype(np.float32)
-            step = max(1, 400_000 // (len(pair) * (1 if values.ndim == 1 else values.shape[1] // 8 + 1)))
-            for at in range(0, len(own), step):
-                part = own[at : at + step]
-                grid = np.frombuffer("".join([words[k] for k in part]).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(len(part), length)
-                where = np.minimum(np.searchsorted(self.points, grid), len(self.points) - 1)
-                codes = np.where(self.points[where] == grid, where + 1, 0)
-                two = self.pairs[codes[:, i] * self.size + codes[:, j]]
-                some = np.flatnonzero(two.any(1))  # words that share a pair of characters at least
-                if len(some):
-                    rows = self.rows[two[some][:, pair] * self.size + codes[some][:, last]]
-                    found = values[rows]
-                    out[np.array(part)[some]] = found @ decay if values.ndim == 1 else np.einsum("ijk,j->ik", found, decay)
+            where = np.minimum(np.searchsorted(self.points, grid), len(self.points) - 1)
+            codes = np.where(self.points[where] == grid, where + 1, 0)
+            two = self.pairs[codes[:, i] * self.size + codes[:, j]]
+            some = np.flatnonzero(two.any(1))  # words that share a pair of characters at least
+            step = max(1, 400_000 // (len(pair) * (1 if values.ndim == 1 else values.shape[1])))
+            for at in range(0, len(some), step):
+                own = some[at : at + step]
+                found = values[self.rows[two[own][:, pair] * self.size + codes[own][:, last]]]
+                out[part[own]] = found @ decay if values.ndim == 1 else np.einsum("ijk,j->ik", found, decay)
         return out
 
 
+def by_length(words: list[str], step: int):
+    """(positions, code points) of words of one length, ``step`` characters of them at most or one word."""
+    order = sorted(range(len(words)), key=lambda k: len(words[k]))
+    size = np.array([len(words[k]) for k in order])
+    for length in np.unique(size).tolist():
+        own = order[np.searchsorted(size, length) : np.searchsorted(size, length, side="right")]
+        for at in range(0, len(own), max(1, step // max(1, length))):
+            part = own[at : at + max(1, step // max(1, length))]
+            yield np.array(part), np.frombuffer("".join([words[k] for k in part]).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(len(part), length)
+
+
 def norms(words: list[str]) -> np.ndarray:
     """Square roots of the words' kernels with themselves."""
     out = np.ones(len(words))
-    order = np.argsort([len(w) for w in words], kind="stable")
-    for at in range(0, len(order), 512):
-        part = order[at : at + 512]
-        out[part] = np.sqrt(np.maximum(self_kernels([words[k] for k in part]), 1e-12))
+    for part, grid in by_length(words, 8192):
+        if grid.shape[1] >= ORDER:
+            # Where no character comes twice, each subsequence does once, and the length tells the kernel.
+            length = grid.shape[1]
+            twice = (np.diff(np.sort(grid, 1), axis=1) == 0).any(1)
+            out[part] = np.sqrt((_triples(length)[4] ** 2).sum())
+            if twice.any():
+                some = grid[twice]
+                out[part[twice]] = np.sqrt(np.maximum(_common((some[:, :, None] == some[:, None, :]).astype(np.float32)), 1e-12))
+        else:
+            out[part] = 1e-6  # without a subsequence of ORDER characters
     return out
 
 
@@ -239,18 +255,17 @@ class ToxicityModel:
         out[above] = total[above] / norms([words[k] for k in above])
         return out
 
-    def words(self, words: list[str]) -> list[float]:
-        """Decision of each word, the bias at least; long words count as their worst window."""
-        new = list(dict.fromkeys(w for w in words if w not in self.cache))
+    def learn(self, words: set[str]) -> None:
+        """Put the words' decisions into the cache, the bias at least; long words count as their worst window."""
+        new = list(words.difference(self.cache))
         if len(self.cache) + len(new) > _CACHE:
             self.cache.clear()
-            new = list(dict.fromkeys(words))
+            new = list(words)
         if new:
             parts = [windows(START + w + END) for w in new]
             found = self.marked([x for p in parts for x in p])
             worst = np.maximum.reduceat(found, np.concatenate([[0], np.cumsum([len(p) for p in parts])[:-1]]))
             self.cache.update(zip(new, (worst + self.bias).tolist(), strict=True))
-        return [self.cache[w] for w in words]
 
     def worst(self, texts: list[str]) -> np.ndarray:
         """Decisions of the WORST worst words of each text, the bias where there are fewer."""
@@ -258,10 +273,9 @@ class ToxicityModel:
         for i, t in enumerate(texts):
             held.append((i, words_of(t)))
             if len(held) == 64 or i == len(texts) - 1:
-                self.words(list(set().union(*(w for _, w in held))))
+                self.learn(set().union(*(w for _, w in held)))
                 for k, own in held:
-                    found = nlargest(WORST, self.words(list(own)))
-                    out[k, : len(found)] = found
+                    out[k] = worst_of(np.fromiter(map(self.cache.__getitem__, own), float, len(own)), self.bias)
                 held = []
         return out
 
@@ -400,7 +414,7 @@ def fit(texts: list[str], labels: list[int], most: int = 64) -> ToxicityModel:
 def worst_of(found: np.ndarray, bias: float) -> np.ndarray:
     """The WORST largest decisions, the bias where there are fewer."""
     out = np.full(WORST, bias)
-    top = np.sort(found)[::-1][:WORST]
+    top = np.sort(np.partition(found, -WORST)[-WORST:] if len(found) > WORST else found)[::-1]
     out[: len(top)] = np.maximum(top, bias)
     return out
 
