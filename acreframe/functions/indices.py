@@ -65,3 +65,20 @@ def rgb_bands(descriptions: list[str | None], strict: bool = True) -> list[int]:
     if len(found) == 3:
         return found
     return [1, 2, 3] if strict or len(descriptions) >= 3 else [1, 1, 1]
+
+
+def rgb_band_numbers(descriptions: Column, strict: bool = True) -> Column:
+    """``rgb_bands`` of a column of arrays."""
+    named = lambda wanted: F.array_position(F.transform(descriptions, lambda d: F.coalesce(F.lower(d).contains(wanted), F.lit(False))), True)
+    found = F.array(*[named(w).cast("int") for w in ("b4", "b3", "b2")])
+    first = F.array(F.lit(1), F.lit(2), F.lit(3))
+    rest = first if strict else F.when(F.size(descriptions) >= 3, first).otherwise(F.array(F.lit(1), F.lit(1), F.lit(1)))
+    return F.when(F.array_min(found) > 0, found).otherwise(rest)
+
+
+def elapsed(seconds: Column) -> Column:
+    """Whole seconds as ``h:mm:ss``, with days in front of a day or more."""
+    s = F.floor(seconds).cast("bigint")
+    days = F.floor(s / 86400).cast("bigint")
+    clock = F.format_string("%d:%02d:%02d", F.floor(s % 86400 / 3600).cast("bigint"), F.floor(s % 3600 / 60).cast("bigint"), s % 60)
+    return F.concat(F.when(days == 1, "1 day, ").when(days > 1, F.concat(days.cast("string"), F.lit(" days, "))).otherwise(""), clock)

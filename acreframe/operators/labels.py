@@ -146,3 +146,14 @@ def answered(candidates: DataFrame, answers: DataFrame, key: str = "id") -> Data
 def add_batch(master: DataFrame, new: DataFrame, key: str = "id") -> DataFrame:
     """Labels and a batch of new ones, less those that are near a label already there."""
     return appended(master, near_duplicates(new, master, key, keep_duplicates=False))
+
+
+def manual(points: DataFrame, tiles: DataFrame, key: str, cell: float, a: float) -> DataFrame:
+    """(key, tile, x, y, lat, lon, label) of points given by hand: the first tile whose box holds them, and the column and row
+    of its grid of ``a`` degrees; points outside all tiles are left out."""
+    from acreframe.operators.grid import tile_of_point
+
+    placed = tile_of_point(points, tiles, key, cell).where("tile is not null")
+    box = tiles.select(F.col("tile").alias("_tile"), "x0", "y1")
+    found = placed.join(box, placed["tile"] == F.col("_tile"))
+    return found.select(key, "tile", F.floor((F.col("lon") - F.col("x0")) / a).cast("int").alias("x"), F.floor((F.col("y1") - F.col("lat")) / a).cast("int").alias("y"), "lat", "lon", "label")

@@ -284,3 +284,28 @@ sql(
     body="SELECT tile, cast(floor(root/40e0) AS bigint) AS root_r, root % 40 AS root_c, cast(corners AS int) AS corners, round(area, 1) AS outer_area, cast(n - 1 AS int) AS holes, 'EPSG:32627' AS crs FROM ranked WHERE rk = 1",
     recursive=True,
 )
+
+_XY = "200000e0 + (c+0.5e0)*10 AS x, 1840000e0 - (r+0.5e0)*10 AS y"
+sql("geotiff_pixels", _PIXEL, body=f"SELECT tile, r, c, {_XY}, round(nir, 6) AS nir, round(red, 6) AS red FROM pixel")
+sql("geotiff_bands", _PIXEL, body="SELECT tile, r, c, 2 AS bands, round(red, 6) AS red, round(blue, 6) AS blue FROM pixel")
+sql("geotiff_metadata", _PIXEL, body="SELECT DISTINCT tile, 40 AS width, 40 AS height, 2 AS bands, 'float64' AS dtype, -9999e0 AS nodata, 32627 AS epsg, 200000e0 AS \"left\", 1839600e0 AS bottom, 200400e0 AS \"right\", 1840000e0 AS top, 'nir,red' AS names FROM pixel")
+sql("mask_files", _PIXEL, body="SELECT tile, count(*) AS pixels, max(r) AS last_row, (SELECT count(*) FROM pixel WHERE p >= 0.5) AS all_tiles FROM pixel WHERE p >= 0.5 GROUP BY 1")
+sql("export_tiles", _PIXEL, body="SELECT tile, count(*) AS pixels, round(sum(nir), 6) AS nir, 'COMPLETED,COMPLETED' AS states FROM pixel WHERE tile < 5 GROUP BY 1")
+sql("working_labels", _LABEL, body="SELECT id, lat, lon, tile, label FROM point")
+sql("training_gate", _LABEL, body="SELECT tile, count(*) AS rows, count(*) > 1 AS enough FROM point GROUP BY 1")
+sql("training_statistics", _FEATURE, _FULL, body=" UNION ALL ".join(f"SELECT 'f{i}' AS feature, round(avg(f{i}), 6) AS mean, round(stddev_pop(f{i}), 6) AS std, count(*) AS rows FROM full_" for i in range(8)))
+_LINEAR = "1/(1+exp(-(0.1e0 + (nir-25)/(10+1e-6) - 0.5e0*((red-4)/(2+1e-6)))))"
+sql("score_tile", _PIXEL, f"s AS (SELECT tile, r, c, {_LINEAR} AS p FROM pixel)", body="SELECT tile, r, c, round(p, 6) AS p, CASE WHEN p >= 0.5 THEN 1 ELSE 0 END AS predicted FROM s")
+sql("saved_ensemble", _FEATURE, body="SELECT vec_id, round((1/(1+exp(-(0.1e0 + 0.5e0*f1/(0.125e0+1e-6) - 0.25e0*f2/(0.125e0+1e-6)))) + 1/(1+exp(-(-0.2e0 + f4/(0.25e0+1e-6)))))/2, 6) AS p FROM feature")
+sql("validation_metrics", _PIXEL, f"s AS (SELECT CASE WHEN (r+c) % 5 = 0 THEN 'validation' ELSE 'train' END AS part, {_LINEAR} AS q, CASE WHEN p >= 0.5 THEN 1 ELSE 0 END AS y FROM pixel)", body="SELECT part, count(*) AS rows, round(avg(-ln(CASE WHEN y = 1 THEN q ELSE 1-q END)), 6) AS loss, round(100*avg(CASE WHEN (q >= 0.5) = (y = 1) THEN 1e0 ELSE 0 END), 6) AS accuracy FROM s GROUP BY 1")
+sql("window_with_extras", _PLACED, _PIXEL, _WINDOW, "flat AS (SELECT id, sum(nir + red) AS total FROM got GROUP BY 1)", body="SELECT id AS key, 23 AS n, round(total, 6) AS total, round(((nir-red)/(nir+red+1e-6)-0.5e0)/0.25e0, 6) AS ndvi, round((2.5e0*(nir-red)/(nir+6e0*red-7.5e0*blue+1e0+1e-6)-1e0)/0.5e0, 6) AS evi, round((2.5e0*(nir-red)/(nir+2.4e0*red+1e0+1e-6)-0.75e0)/0.25e0, 6) AS evi2, round((green-nir)/(green+nir+1e-6)-0.1e0, 6) AS ndwi, round(((nir-swir1)/(nir+swir1+1e-6)-0.2e0)/0.5e0, 6) AS nbr_s FROM placed JOIN pixel ON placed.tile = pixel.tile AND placed.r = pixel.r AND placed.c = pixel.c JOIN flat USING (id)")
+sql("rgb_band_numbers", body="SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 3 WHEN 1 THEN 2 ELSE 1 END AS red, CASE p_partkey % 4 WHEN 0 THEN 2 WHEN 1 THEN 3 WHEN 2 THEN 1 ELSE 2 END AS green, CASE p_partkey % 4 WHEN 0 THEN 1 WHEN 1 THEN 4 WHEN 2 THEN 1 ELSE 3 END AS blue FROM part")
+sql("settings", body="SELECT * FROM (VALUES ('tile_degrees', 0.05e0), ('scale_metres', 10e0), ('epsg', 32627e0), ('seasons', 3e0), ('bands', 6e0), ('min_positives', 10e0), ('ratio_low', 0.2e0), ('ratio_high', 0.3e0), ('margin_low', 0.4e0), ('margin_high', 0.6e0), ('duplicate_degrees', 0.0001e0), ('candidates_per_round', 5e0), ('sieve_pixels', 50e0), ('patch', 64e0), ('inference_patch', 256e0), ('epochs', 10e0), ('batch', 32e0), ('learning_rate', 0.001e0), ('trees', 100e0), ('depth', 8e0)) v(name, value)")
+sql("elapsed_text", "g AS (SELECT event_id, 7*(cast(floor(epoch(lead(ts) OVER w)) AS bigint) - cast(floor(epoch(ts)) AS bigint)) AS s FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))", body="SELECT event_id, CASE WHEN s // 86400 = 1 THEN '1 day, ' WHEN s // 86400 > 1 THEN (s // 86400) || ' days, ' ELSE '' END || ((s % 86400) // 3600) || ':' || lpad(cast((s % 3600) // 60 AS varchar), 2, '0') || ':' || lpad(cast(s % 60 AS varchar), 2, '0') AS elapsed FROM g WHERE s IS NOT NULL")
+_STATES = "told AS (SELECT user_id AS task, CASE event_id % 4 WHEN 0 THEN 'READY' WHEN 1 THEN 'RUNNING' WHEN 2 THEN 'COMPLETED' ELSE 'FAILED' END AS state, ts FROM events), last_ AS (SELECT task, state, row_number() OVER (PARTITION BY task ORDER BY ts DESC, state DESC) AS rk FROM told)"
+sql("export_states", _STATES, body="SELECT task, state FROM last_ WHERE rk = 1")
+sql("exports_done", _STATES, body="SELECT count(*) AS tasks, count(*) FILTER (WHERE state IN ('COMPLETED', 'FAILED')) AS final, count(*) = count(*) FILTER (WHERE state IN ('COMPLETED', 'FAILED')) AS done FROM last_ WHERE rk = 1")
+sql("setup_check", body="SELECT * FROM (VALUES ('lineitem.parquet', true), ('events.parquet', true), ('labels.parquet', true), ('none.parquet', false)) v(name, ok)")
+sql("manual_labels", _LABEL, _QUARTER, "put AS (SELECT id, lat, lon, label, (SELECT min(q.tile) FROM quarter q WHERE lon BETWEEN x0 AND x1 AND lat BETWEEN y0 AND y1) AS tile FROM point)", body="SELECT id, put.tile, cast(floor((lon-x0)/0.0001e0) AS int) AS x, cast(floor((y1-lat)/0.0001e0) AS int) AS y, label FROM put JOIN quarter q ON q.tile = put.tile")
+sql("postprocess_rounds", _PIXEL, *_sieved("CASE WHEN p >= 0.5 THEN 1 ELSE 0 END", 50), body="SELECT tile, round_even(avg(v)*100, 2) AS pct_agricultural FROM after GROUP BY 1", recursive=True)
+ORACLES["picture_files"] = ORACLES["red_overlay"]

@@ -6,11 +6,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from acreframe.config import SETTINGS
-from acreframe.functions import geo, stats
+from acreframe.functions import geo, images, stats
 from acreframe.functions import indices as X
 from acreframe.operators import composite, grid, labels, models, patches, regions, sampling
+from acreframe.plans import exports, rounds
 from acreframe.sources import adapters as A
-from acreframe.sources import files, sinks
+from acreframe.sources import files, geotiff, sinks
 
 QUERIES = {}
 SIDE = 40  # rows and columns of the adapter's tiles
@@ -712,3 +713,210 @@ def check_results_report(spark, d):
 
 def fixed_linear() -> models.LinearScorer:
     return models.LinearScorer(["nir", "red"], [25.0, 4.0], [10.0, 2.0], [1.0, -0.5], 0.1)
+
+
+TRANSFORM = (10.0, 0.0, 200000.0, 0.0, -10.0, 1840000.0)
+
+
+def rasters(spark, d, bands: list[str]) -> str:
+    """A folder of GeoTIFF files, one for each tile."""
+    folder = files.shared_folder(spark, "rasters")
+    sinks.write_rasters(A.pixels(spark, d), bands, folder, SIDE, SIDE, TRANSFORM).agg(F.sum("pixels")).first()
+    return folder
+
+
+def tile_number(column: str = "tile"):
+    return F.regexp_extract(column, "([0-9]+)", 1).cast("bigint").alias("tile")
+
+
+@query
+def geotiff_pixels(spark, d):
+    """Pixels written to GeoTIFF files and read back, with the centres of their cells; missing ones are left out."""
+    p = geotiff.read_pixels(spark, rasters(spark, d, ["nir", "red"])).where("features[0] is not null and not isnan(features[0])")
+    return p.select(tile_number(), C("row").cast("bigint").alias("r"), C("col").cast("bigint").alias("c"), "x", "y", r6(C("features")[0], "nir"), r6(C("features")[1], "red"))
+
+
+@query
+def geotiff_bands(spark, d):
+    """The second and the third band of files of three."""
+    p = geotiff.read_pixels(spark, rasters(spark, d, ["nir", "red", "blue"]), [1, 2]).where("features[0] is not null and not isnan(features[0])")
+    return p.select(tile_number(), C("row").cast("bigint").alias("r"), C("col").cast("bigint").alias("c"), F.size("features").alias("bands"), r6(C("features")[0], "red"), r6(C("features")[1], "blue"))
+
+
+@query
+def geotiff_metadata(spark, d):
+    m = geotiff.read_metadata(spark, rasters(spark, d, ["nir", "red"]))
+    return m.select(tile_number(), "width", "height", "bands", "dtype", "nodata", "epsg", "left", "bottom", "right", "top", F.array_join("descriptions", ",").alias("names"))
+
+
+@query
+def mask_files(spark, d):
+    """Masks of 255 written as files and read back: their set pixels."""
+    folder = files.shared_folder(spark, "masks")
+    done = sinks.write_masks(mask(spark, d), folder, SIDE, SIDE, TRANSFORM, 255).agg(F.sum("pixels")).first()[0]
+    p = geotiff.read_pixels(spark, folder).where(C("features")[0] == 255.0)
+    return p.groupBy(tile_number()).agg(F.count("*").alias("pixels"), F.max("row").cast("bigint").alias("last_row")).withColumn("all_tiles", F.lit(done).cast("bigint"))
+
+
+@query
+def picture_files(spark, d):
+    """The red overlay written as pictures and read back by the image source, at their own size."""
+    folder = files.shared_folder(spark, "pictures")
+    over = red_overlay(spark, d)
+    sinks.write_pictures(over, folder, SIDE, SIDE).agg(F.count("*")).first()
+    read = images.read_images(spark, folder, SIDE).select(tile_number("name"), F.posexplode("values").alias("k", "v"))
+    cell = read.groupBy("tile", F.floor(C("k") / (3 * SIDE)).alias("r"), (F.floor(C("k") / 3) % SIDE).alias("c")).agg(*[F.max(F.when(C("k") % 3 == i, C("v"))).cast("int").alias(b) for i, b in enumerate(("red", "green", "blue"))])
+    return cell.join(over.select(*ORDER), ORDER, "left_semi")
+
+
+@query
+def export_tiles(spark, d):
+    """Tiles written to folders of their own by tasks; a second export finds them there, and readers of a tile skip the others."""
+    folder = files.shared_folder(spark, "export")
+    write = lambda name, path: sinks.write_tiles(A.pixels(spark, d).select(*ORDER, "nir"), path)
+    states = exports.export_regions(spark, ["all"], write, folder) + exports.export_regions(spark, ["all"], write, folder)
+    told = ",".join(s for _, s in states)
+    return spark.read.parquet(f"{folder}/all").where("tile < 5").groupBy(C("tile").cast("bigint").alias("tile")).agg(F.count("*").alias("pixels"), r6(F.sum("nir"), "nir")).withColumn("states", F.lit(told))
+
+
+@query
+def working_labels(spark, d):
+    """Working labels begin as a copy of the master ones, and are not copied again."""
+    folder = files.shared_folder(spark, "working")
+    p = A.label_points(spark, d).select("id", "lat", "lon", "tile", "label")
+    sinks.write_once(p, folder)
+    sinks.write_once(p.limit(0), folder)
+    return spark.read.parquet(folder)
+
+
+@query
+def training_gate(spark, d):
+    """Tiles with labels enough to fit on: more than one."""
+    return A.label_points(spark, d).groupBy("tile").agg(F.count("*").alias("rows")).withColumn("enough", C("rows") > 1)
+
+
+@query
+def training_statistics(spark, d):
+    """Means and population deviations that a fit keeps, of imputed features."""
+    f = A.features(spark, d)
+    x, y, mean, std = models.matrix(f, A.FEATURES, "y", ["vec_id"])
+    return spark.createDataFrame([(n, float(m), float(s), len(y)) for n, m, s in zip(A.FEATURES, mean, std, strict=True)], "feature string, mean double, std double, rows long").select("feature", r6(C("mean"), "mean"), r6(C("std"), "std"), "rows")
+
+
+@query
+def score_tile(spark, d):
+    """Probability and class of every pixel by a model that was saved and read back."""
+    folder = files.shared_folder(spark, "model")
+    models.save(fixed_linear(), folder)
+    scored = models.load(folder).score(A.pixels(spark, d))
+    return scored.select(*ORDER, r6(C("p"), "p"), (C("p") >= SETTINGS.positive_probability).cast("int").alias("predicted"))
+
+
+@query
+def saved_ensemble(spark, d):
+    """Scores of an ensemble that was saved and read back, of two fixed members."""
+    folder = files.shared_folder(spark, "model")
+    f = A.features(spark, d)
+    one = models.LinearScorer(["f1", "f2"], [0.0, 0.0], [0.125, 0.125], [0.5, -0.25], 0.1)
+    two = models.LinearScorer(["f4"], [0.0], [0.25], [1.0], -0.2)
+    models.save(models.Ensemble([one, two]), folder)
+    return models.load(folder).score(f).select("vec_id", r6(C("p"), "p"))
+
+
+@query
+def validation_metrics(spark, d):
+    """Mean cross-entropy and percent right of training and validation pixels."""
+    scored = fixed_linear().score(A.pixels(spark, d).withColumnRenamed("p", "q")).withColumn("y", (C("q") >= 0.5).cast("int"))
+    part = F.when((C("r") + C("c")) % 5 == 0, "validation").otherwise("train")
+    told = F.when(C("y") == 1, C("p")).otherwise(1 - C("p"))
+    return scored.groupBy(part.alias("part")).agg(F.count("*").alias("rows"), r6(F.avg(-F.log(told)), "loss"), r6(100 * F.avg(((C("p") >= 0.5).cast("int") == C("y")).cast("double")), "accuracy"))
+
+
+@query
+def window_with_extras(spark, d):
+    """Windows of three by three cells around labels, with five indices of the label's own cell z-scored by their normalizers."""
+    norms = spark.createDataFrame([("ndvi", 0.5, 0.25), ("evi", 1.0, 0.5), ("evi2", 0.75, 0.25), ("ndwi", 0.1, 0.0), ("nbr_s", 0.2, 0.5)], "feature string, mean double, stdDev double")
+    points = placed_labels(spark, d).select(C("id").alias("key"), "tile", "r", "c")
+    p = A.pixels(spark, d)
+    windows = patches.window_features(points, p.select(*ORDER, F.round("nir", 6).alias("nir"), F.round("red", 6).alias("red")), ["nir", "red"], SIDE, SIDE)
+    own = points.join(p, ORDER).select("key", F.explode(F.array(*[F.struct(F.lit(k).alias("feature"), v.alias("x")) for k, v in X.eps_indices(C("blue"), C("green"), C("red"), C("nir"), C("swir1")).items()])).alias("s")).select("key", "s.*")
+    scored = own.join(F.broadcast(norms), "feature").select("key", "feature", stats.zscore_named(C("x"), C("mean"), C("stdDev")).alias("z"))
+    extras = scored.groupBy("key").agg(*[F.max(F.when(C("feature") == f, C("z"))).alias(f) for f in ("ndvi", "evi", "evi2", "ndwi", "nbr_s")])
+    joined = windows.join(extras, "key")
+    whole = F.concat("features", F.array("ndvi", "evi", "evi2", "ndwi", "nbr_s"))
+    return joined.select("key", F.size(whole).alias("n"), r6(F.aggregate("features", F.lit(0.0), lambda a, b: a + b), "total"), *[r6(whole[18 + k], f) for k, f in enumerate(("ndvi", "evi", "evi2", "ndwi", "nbr_s"))])
+
+
+@query
+def rgb_band_numbers(spark, d):
+    """Red, green and blue by the bands' names, else the first three."""
+    k = C("p_partkey")
+    names = F.when(k % 4 == 0, F.array(*map(F.lit, ("B2_s1", "B3_s1", "B4_s1")))).when(k % 4 == 1, F.array(*map(F.lit, ("x", "b4", "B3", "B2")))).when(k % 4 == 2, F.array(F.lit("B4"), F.lit(None).cast("string"))).otherwise(F.array(F.lit("a"), F.lit("b"), F.lit("c")))
+    found = X.rgb_band_numbers(names, strict=False)
+    return A.read(spark, d, "part").select("p_partkey", found[0].alias("red"), found[1].alias("green"), found[2].alias("blue"))
+
+
+@query
+def settings(spark, d):
+    """The settings that results depend on."""
+    s = SETTINGS
+    rows = {"tile_degrees": s.tile_degrees, "scale_metres": s.scale_metres, "epsg": s.epsg, "seasons": len(s.seasons), "bands": len(s.bands), "min_positives": s.min_positives, "ratio_low": s.ratio_range[0], "ratio_high": s.ratio_range[1], "margin_low": s.margin[0], "margin_high": s.margin[1], "duplicate_degrees": s.duplicate_degrees, "candidates_per_round": s.candidates_per_round, "sieve_pixels": s.sieve_pixels, "patch": s.patch, "inference_patch": s.inference_patch, "epochs": s.epochs, "batch": s.batch, "learning_rate": s.learning_rate, "trees": s.forest["numTrees"], "depth": s.forest["maxDepth"]}
+    return spark.createDataFrame([(k, float(v)) for k, v in rows.items()], "name string, value double")
+
+
+@query
+def elapsed_text(spark, d):
+    """Durations from an event to the next of its user, as text."""
+    e = A.read(spark, d, "events")
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    gone = F.unix_timestamp(F.lead("ts").over(w)) - F.unix_timestamp("ts")
+    return e.select("event_id", gone.alias("_s")).where("_s is not null").select("event_id", X.elapsed(C("_s") * 7).alias("elapsed"))
+
+
+def status_events(spark, d) -> DataFrame:
+    state = F.element_at(F.array(*map(F.lit, ("READY", "RUNNING", "COMPLETED", "FAILED"))), (C("event_id") % 4 + 1).cast("int"))
+    return A.read(spark, d, "events").select(C("user_id").alias("task"), state.alias("state"), "ts")
+
+
+@query
+def export_states(spark, d):
+    """The last state of every export task."""
+    return exports.task_states(status_events(spark, d))
+
+
+@query
+def exports_done(spark, d):
+    """How many tasks are in a final state, and whether all are."""
+    return exports.all_done(exports.task_states(status_events(spark, d)))
+
+
+@query
+def setup_check(spark, d):
+    """Inputs that are there before a run, and one that is not."""
+    found = exports.check_setup(spark, [f"{d}/{t}.parquet" for t in ("lineitem", "events", "labels", "none")])
+    return found.select(F.element_at(F.split("path", "/"), -1).alias("name"), "ok")
+
+
+@query
+def manual_labels(spark, d):
+    """Points given by hand, put into the first tile that holds them."""
+    p = A.label_points(spark, d).select("id", "lat", "lon", "label")
+    return labels.manual(p, named_tiles(spark), "id", 0.002, 0.0001).select("id", "tile", "x", "y", "label")
+
+
+@query
+def postprocess_rounds(spark, d):
+    """The latest round of versioned predictions, by threshold and sieve: percent of every tile."""
+    folder = files.shared_folder(spark, "predictions")
+    p = A.pixels(spark, d).select(*ORDER, "p")
+    p.withColumn("p", 1 - C("p")).withColumn("round", F.lit(1)).unionByName(p.withColumn("round", F.lit(2))).write.partitionBy("round").parquet(folder)
+    return rounds.postprocess(sampling.latest_round(spark.read.parquet(folder)))
+
+
+@query
+def loop_labels(spark, d):
+    """Labels after two rounds of the loop from a seed of each tile, the oracle being the pixel's own truth."""
+    p = A.pixels(spark, d).withColumn("truth", C("nir") > 25).drop("p", "n")
+    truth = p.select(*ORDER, F.when(C("truth"), "Agricultural").otherwise("Non-Agricultural").alias("label"))
+    seed = sampling.random_per_group(truth, "tile", ORDER, 6).drop("rank")
+    return rounds.run_loop(spark, files.shared_folder(spark, "loop"), p, seed, truth, ["nir", "red", "blue"], rounds=2, choice="Logistic")[1]

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from acreframe.config import SETTINGS
-from acreframe.functions import geo
+from acreframe.functions import geo, images
 from acreframe.sources import geotiff
 from acreframe.sources.files import put_file
 
@@ -62,6 +62,19 @@ def write_rasters(pixels: DataFrame, bands: Sequence[str], folder: str, height:
     return pixels.select("tile", "r", "c", *bands).groupBy("tile").applyInPandas(run, f"tile {kind}, path string, pixels bigint")
 
 
+def write_pictures(pixels: DataFrame, folder: str, height: int, width: int) -> DataFrame:
+    """(tile, path) of a PNG file for each tile of pixels (tile, r, c, red, green, blue), black where there is no pixel."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        image = np.zeros((height, width, 3), "uint8")
+        image[pdf.r.to_numpy(), pdf.c.to_numpy()] = pdf[["red", "green", "blue"]].to_numpy()
+        path = put_file(folder, f"tile_{pdf.tile.iloc[0]}.png", images.encode_png(image))
+        return pd.DataFrame({"tile": [pdf.tile.iloc[0]], "path": [path]})
+
+    kind = pixels.schema["tile"].dataType.simpleString()
+    return pixels.select("tile", "r", "c", "red", "green", "blue").groupBy("tile").applyInPandas(run, f"tile {kind}, path string")
+
+
 def write_kml(marks: DataFrame, path: str) -> None:
     """A KML text file for each tile of placemarks (tile, kml), below a folder for the tile."""
     whole = marks.groupBy("tile").agg(geo.document(F.array_join(F.sort_array(F.collect_list("kml")), "")).alias("value"))

@@ -6,10 +6,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from acreframe.config import SETTINGS
-from acreframe.functions import geo, stats
+from acreframe.functions import geo, images, stats
 from acreframe.functions import indices as X
 from acreframe.operators import composite, grid, labels, models, patches, regions, sampling
-from acreframe.plans import rounds
+from acreframe.plans import exports, rounds
 from acreframe.sources import files, geotiff, sinks
 from acreframe.sources.adapters import FEATURES, features, pixels
 from acreframe import schema
@@ -434,6 +434,45 @@ def test_sinks(spark, tmp_path):
     assert spark.read.text(str(tmp_path / "kml")).first().value.count("<Placemark/>") == 2
 
 
+def test_pictures_of_one_size(spark, tmp_path):
+    rng = np.random.default_rng(1)
+    one = rng.integers(0, 256, (8, 8, 3)).astype("uint8")
+    flat = np.full((5, 9, 3), (10, 20, 30), "uint8")
+    for folder in ("images", "masks"):
+        (tmp_path / folder).mkdir()
+    (tmp_path / "images" / "one.png").write_bytes(images.encode_png(one))
+    (tmp_path / "images" / "flat.PNG").write_bytes(images.encode_png(flat))
+    (tmp_path / "images" / "broken.png").write_bytes(b"no picture")
+    (tmp_path / "masks" / "one.png").write_bytes(images.encode_png((one[:, :, :1] > 127).astype("uint8")))
+    same = {r.name: r for r in images.read_images(spark, str(tmp_path / "images"), 8).collect()}
+    assert set(same) == {"one", "flat"} and (np.array(same["one"]["values"]).reshape(8, 8, 3) == one).all()
+    assert set(map(tuple, np.array(same["flat"]["values"]).reshape(-1, 3).tolist())) == {(10, 20, 30)}
+    masks = images.read_images(spark, str(tmp_path / "masks"), 8, "L")
+    joined = images.pairs(images.read_images(spark, str(tmp_path / "images"), 8), masks).collect()
+    assert [r.name for r in joined] == ["one"] and np.allclose(joined[0].image, one.ravel() / 255) and joined[0]["mask"] == (one[:, :, 0] > 127).astype(int).ravel().tolist()
+    # Halving averages about the blocks, and weights add up to 1.
+    ramp = np.repeat(np.arange(0, 160, 10, dtype="uint8")[None, :, None], 4, 0)
+    half = images.resize(ramp, 4, 8)[0, :, 0].astype(int)
+    assert (np.abs(half[1:-1] - (np.arange(1, 7) * 20 + 5)) <= 1).all() and np.allclose(images.coefficients(37, 11).sum(1), 1)
+    assert images.grey(np.array([[[255, 255, 255], [255, 0, 0]]], "uint8")).ravel().tolist() == [255, 76]
+
+
+def test_exports_go_on_where_they_failed(spark, tmp_path):
+    calls = []
+
+    def write(name, path):
+        calls.append(name)
+        if name == "b" and len(calls) < 4:
+            raise RuntimeError("no room")
+        spark.range(3).write.parquet(path)
+
+    assert exports.export_regions(spark, ["a", "b", "c"], write, str(tmp_path)) == [("a", "COMPLETED"), ("b", "FAILED: RuntimeError"), ("c", "COMPLETED")]
+    assert exports.export_regions(spark, ["a", "b", "c"], write, str(tmp_path))[1] == ("b", "COMPLETED") and calls == ["a", "b", "c", "b"]
+    states = exports.task_states(spark.createDataFrame([(1, "READY", 1), (1, "FAILED", 3), (2, "RUNNING", 2), (1, "RUNNING", 2)], "task int, state string, ts int"))
+    assert {r.task: r.state for r in states.collect()} == {1: "FAILED", 2: "RUNNING"} and not exports.all_done(states).first().done
+    assert exports.all_done(states.where("task = 1")).first().done
+
+
 def test_formula_of_named_operands(spark):
     got = X.with_formula(spark.range(1), "v", "2 * (A - B)", A=F.lit(3), B=F.lit(1))
     assert got.columns == ["id", "v"] and got.first().v == 4.0
