@@ -57,6 +57,34 @@ def test_payloads_and_dictionary(spark):
     assert head[:4] == bytes([0x5D, 0x2A, 0x4D, 0x18]) and int.from_bytes(head[4:], "little") > 1000
 
 
+def test_what_a_lost_task_left_is_not_read(spark):
+    """Archives and heap files of attempts that broke off stand beside those that tables name."""
+    pages = spark.read.parquet(f"{DATA}/sf0.001/pages.parquet")
+    archives, folder = warc.archive(pages)
+    fs, root = warc.file_system(folder)
+    for name in ("lost.warc.zst", "empty.warc.zst"):
+        with fs.open_output_stream(f"{root}/{name}") as f:
+            f.write(b"half a frame"[: 12 if name[0] == "l" else 0])
+    assert warc.read_archives(archives, folder).count() == pages.count()
+    docs = spark.read.parquet(f"{DATA}/sf0.001/documents.parquet")
+    heaps = exact_dedup.scratch(spark, "exact")
+    first = exact_dedup.hashed(docs, "doc_id", "text", heaps).collect()  # an attempt whose rows are lost
+    table = exact_dedup.written(exact_dedup.hashed(docs, "doc_id", "text", heaps), "hashes")
+    assert {r.heap for r in first}.isdisjoint({r.heap for r in table.select("heap").distinct().collect()})
+    found = exact_dedup.resolve(table, "doc_id", heaps).agg(F.sum("group_size")).first()
+    assert found[0] >= len(first) and exact_dedup.groups(docs).where("kept").count() == len({re.sub(r"[\x20\x09-\x0D]", "", r.text or "") for r in docs.collect()})
+
+
+def test_intermediate_tables_go(spark):
+    from acreframe.llm._shared import discard, scratch, written
+
+    one, two = written(spark.range(3), "a"), written(spark.range(4), "b")
+    discard(one)
+    assert two.count() == 4 and f"acreframe-{spark.sparkContext.applicationId}/" in scratch(spark, "c")
+    with pytest.raises(Exception):
+        spark.read.parquet(one._scratch)
+
+
 def test_reader_refuses_damage():
     good = warc.record(1, "u", b"body", warc.payload_digest(b"body"), None, False)
     assert warc.parse(good)["payload"] == b"body"

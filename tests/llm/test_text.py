@@ -55,6 +55,32 @@ def test_language_defined_results(hard, none):
     assert {r.lang_pred for r in language_id.identify(hard, language_id.fit_rows(hard)).collect()} == {"und"}
 
 
+def test_language_scores_by_plain_arithmetic():
+    """Probabilities from the subwords of each word, one by one."""
+    model = language_id.fit(["the cat of the dog and the"] * 10 + ["der hund und die katze das"] * 10 + ["le chat et le chien été"] * 10, ["en"] * 10 + ["de"] * 10 + ["fr"] * 10)
+    whole = 1 << 64
+    a, b, c, d = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93
+
+    def buckets(text):
+        points = [0] + [ord(x) if x.isalpha() else 0 for x in text.lower()] + [0, 0]
+        for k in range(1, len(points) - 2):
+            if points[k]:
+                two = (points[k - 1] * a + points[k] * b) % whole
+                three = (two + (points[k + 1] + 1) * c) % whole
+                yield ((two ^ (two >> 29)) * a % whole) >> (64 - model.bits)
+                yield ((three ^ (three >> 31)) * a % whole) >> (64 - model.bits)
+                if points[k + 1]:
+                    four = (three + (points[k + 2] + 1) * d) % whole
+                    yield ((four ^ (four >> 30)) * a % whole) >> (64 - model.bits)
+
+    texts = ["the dog", "Katze, der Hund!", "été 2024 le chien", "x", "a b-c  d", "ÉTÉ"]
+    for text, (lang, score, _) in zip(texts, model.predict(texts), strict=True):
+        found = list(buckets(text))
+        z = (np.mean([model.table[k].astype(float) for k in found], axis=0) + model.bias) / model.temperature
+        p = np.exp(z - z.max()) / np.exp(z - z.max()).sum()
+        assert lang == model.languages[int(p.argmax())] and abs(score - p.max()) < 1e-6
+
+
 def test_language_pieces_add_up(monkeypatch):
     model = language_id.fit(["the cat of the dog and the"] * 10 + ["der hund und die katze das"] * 10, ["en"] * 10 + ["de"] * 10)
     long = " ".join(["the dog und die"] * 500)
@@ -162,6 +188,57 @@ def test_kernel_by_brute_force():
     assert np.allclose(toxicity.self_kernels(words), [slow(w, w) for w in words])
 
 
+def test_scores_are_those_of_the_whole_kernel():
+    """A model's scores against kernels of every word with every landmark, subsequence by subsequence."""
+    from itertools import combinations
+
+    def kernel(s, t):
+        total = 0.0
+        for i in combinations(range(len(s)), 3):
+            for j in combinations(range(len(t)), 3):
+                if all(s[x] == t[y] for x, y in zip(i, j, strict=True)):
+                    total += 0.7 ** (i[-1] - i[0] + 1 + j[-1] - j[0] + 1)
+        return total
+
+    def words(text):
+        row = ["".join(c for c in w if c.isalnum()) for w in re.split(r"[\x20\x09-\x0D]+", text.lower())]
+        row = [w for w in row if w]
+        out = set(row)
+        for k in range(len(row)):
+            for n, most in ((2, 4), (3, 3)):
+                part = row[k : k + n]
+                if len(part) == n and all(len(w) <= most for w in part):
+                    out.add("".join(part))
+            n = 0
+            while k + n < len(row) and len(row[k + n]) == 1:
+                n += 1
+            if n > 3 and (k == 0 or len(row[k - 1]) > 1):
+                out.add("".join(row[k : k + n]))
+        return out
+
+    marks = [toxicity.Landmark(t, k < 2) for k, t in enumerate(("\x02idiot\x03", "scum\x03", "\x02idly", "éta"))]
+    model = toxicity.ToxicityModel(marks, np.array([1.2, 0.8, -0.9, -0.3]), -0.4, 3.0, 0.5, (0.6, 0.3, 0.1))
+    texts = ["", "you idiot!", "i d i o t", "sc um of the idly", "id-iot scxum x", "étage idlyot", "a", "no harm at all", "S.C.U.M idiidiot"]
+    for text, got in zip(texts, model.scores(texts), strict=True):
+        found = []
+        for w in words(text):
+            w = "\x02" + w + "\x03"
+            own = kernel(w, w)
+            z = sum(b * kernel(w, m.text) / (own * kernel(m.text, m.text)) ** 0.5 for b, m in zip(model.weights, marks, strict=True)) if own else 0.0
+            found.append(max(z, 0.0) + model.bias)
+        top = (sorted(found, reverse=True) + [model.bias] * 3)[:3]
+        assert abs(got - 1 / (1 + np.exp(-(3.0 * np.dot(top, (0.6, 0.3, 0.1)) + 0.5)))) < 1e-4, text
+
+
+def test_long_words_count_as_their_worst_window():
+    marks = [toxicity.Landmark("\x02idiot\x03", True)]
+    model = toxicity.ToxicityModel(marks, np.array([1.0]), 0.0)
+    word = "q" * 45 + "idiot" + "q" * 45
+    parts = toxicity.windows("\x02" + word + "\x03")
+    assert "".join([p[:16] for p in parts[:-1]] + parts[-1:]) == "\x02" + word + "\x03" and max(map(len, parts)) == toxicity.WINDOW
+    assert np.isclose(model.decisions([word])[0], max(toxicity.similarities(parts, marks)[:, 0])) and model.decisions([word])[0] > 0
+
+
 def test_insults_with_gaps():
     rng = np.random.default_rng(0)
     syllables = ["the", "on", "ing", "ar", "en", "th", "es", "at", "or", "ly", "un", "mi"]
