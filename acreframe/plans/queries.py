@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from acreframe.config import SETTINGS
 from acreframe.functions import geo, images, stats
 from acreframe.functions import indices as X
-from acreframe.operators import composite, grid, labels, models, patches, regions, sampling
+from acreframe.operators import composite, grid, labels, models, patches, patchnet, regions, sampling
 from acreframe.plans import exports, rounds
 from acreframe.sources import adapters as A
 from acreframe.sources import files, geotiff, sinks
@@ -920,3 +920,14 @@ def loop_labels(spark, d):
     truth = p.select(*ORDER, F.when(C("truth"), "Agricultural").otherwise("Non-Agricultural").alias("label"))
     seed = sampling.random_per_group(truth, "tile", ORDER, 6).drop("rank")
     return rounds.run_loop(spark, files.shared_folder(spark, "loop"), p, seed, truth, ["nir", "red", "blue"], rounds=2, choice="Logistic")[1]
+
+
+@query
+def patch_network(spark, d):
+    """Scores of patches of 5 by 5 blocks by a residual convolution network, fitted on the patches' own classes."""
+    block = A.pixels(spark, d).groupBy("tile", F.floor(C("r") / 4).alias("r"), F.floor(C("c") / 4).alias("c")).agg(F.avg("nir").alias("nir"), F.avg("red").alias("red"), F.avg("p").alias("p"))
+    cells = patches.tumbling(block, 5, SIDE // 4, SIDE // 4)
+    y = cells.groupBy("tile", "pr", "pc").agg((F.round(F.avg("p"), 9) >= 0.5).cast("int").alias("y"))
+    known = patchnet.as_arrays(cells, ["nir", "red"], 5).join(y, ["tile", "pr", "pc"])
+    net = patchnet.fit_rows(known, 2, 5, "y", ["tile", "pr", "pc"], width=4, epochs=2)
+    return net.score(known).select("tile", "pr", "pc", "y", F.round("p", 6).alias("p"))

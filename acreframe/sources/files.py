@@ -108,5 +108,7 @@ def put_file(folder: str, name: str, data: bytes) -> str:
     part = f"{path}/.{name}.{uuid.uuid4().hex}"
     with system.open_output_stream(part) as out:
         out.write(data)
+    if system.get_file_info(f"{path}/{name}").type != fs.FileType.NotFound:
+        system.delete_file(f"{path}/{name}")  # some file systems do not move onto a file
     system.move(part, f"{path}/{name}")
     return f"{folder.rstrip('/')}/{name}"

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from acreframe.config import SETTINGS
 from acreframe.functions import geo, images, stats
 from acreframe.functions import indices as X
-from acreframe.operators import composite, grid, labels, models, patches, regions, sampling
+from acreframe.operators import composite, grid, labels, models, patches, patchnet, regions, sampling
 from acreframe.plans import exports, rounds
 from acreframe.sources import files, geotiff, sinks
 from acreframe.sources.adapters import FEATURES, features, pixels
@@ -348,6 +348,50 @@ def test_gradients_by_differences():
             assert abs((up - down) / 2e-6 - g[at]) < 1e-4
 
 
+def test_patch_gradients_by_differences():
+    rng = np.random.default_rng(2)
+    net = patchnet.initial(2, 5, 3, rng)
+    x, y = rng.normal(size=(4, 2, 5, 5)), np.array([0, 1, 1, 0])
+    grads = patchnet.gradients(net, x, y)[1]
+    for layer, of in zip(net.layers, grads, strict=True):
+        for p, g in zip(layer, of, strict=True):
+            assert p.shape == g.shape
+            for at in [tuple(rng.integers(0, p.shape)) for _ in range(4)]:
+                p[at] += 1e-6
+                up = patchnet.gradients(net, x, y)[0]
+                p[at] -= 2e-6
+                down = patchnet.gradients(net, x, y)[0]
+                p[at] += 1e-6
+                assert abs((up - down) / 2e-6 - g[at]) < 1e-5
+
+
+def test_convolution_by_loops():
+    rng = np.random.default_rng(3)
+    x, w, b = rng.normal(size=(2, 3, 4, 5)), rng.normal(size=(27, 2)), rng.normal(size=2)
+    got, _ = patchnet.convolve(x, w, b)
+    padded = np.pad(x, ((0, 0), (0, 0), (1, 1), (1, 1)))
+    for n, o, r, c in [(0, 0, 0, 0), (1, 1, 3, 4), (0, 1, 2, 2)]:
+        assert np.isclose(got[n, o, r, c], b[o] + (padded[n, :, r : r + 3, c : c + 3].ravel() * w[:, o]).sum())
+
+
+def test_patch_network_learns(spark):
+    rng = np.random.default_rng(4)
+    rows = []
+    for k in range(160):
+        field = k % 2
+        for r in range(8):
+            for c in range(8):
+                rows.append((k, r, c, float(rng.normal() + 3 * field * (r // 2 + c // 2) % 2), float(rng.normal())))
+    pixels_ = spark.createDataFrame(rows, "tile int, r long, c long, a double, b double")
+    patches_ = patchnet.as_arrays(patches.tumbling(pixels_, 8, 8, 8), ["a", "b"], 8).withColumn("y", F.col("tile") % 2)
+    one = patches_.where("tile = 0").first()["values"]
+    assert len(one) == 128 and min(one) == 0 and 0.999 < max(one) <= 1
+    net = patchnet.fit_rows(patches_, 2, 8, "y", ["tile", "pr", "pc"], width=8, epochs=12, rate=3e-3)
+    assert net.history[-1]["loss"] < net.history[0]["loss"] and net.history[-1]["val_accuracy"] > 80
+    got = net.score(patches_).select("y", "p").toPandas()
+    assert ((got.p > 0.5) == (got.y == 1)).mean() > 0.85
+
+
 def test_losses_of_epochs():
     rng = np.random.default_rng(3)
     x = rng.normal(size=(400, 3))
