@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import gc
 import os
 import re
 import tempfile
@@ -76,6 +78,14 @@ def discard(*tables: DataFrame) -> None:
             _delete(context._jvm, context._jsc.hadoopConfiguration(), path)
 
 
+def trim() -> None:
+    """Give memory that was freed back to the system: a driver or worker that has done a large step goes on for long."""
+    gc.collect()
+    give = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if give is not None:
+        give(0)
+
+
 def unused(rows: DataFrame, *stems: str) -> list[str]:
     """Column names that no column of ``rows`` has, whatever its case."""
     taken = {c.lower() for c in rows.columns}

@@ -31,10 +31,11 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from acreframe.llm._shared import SPACES, discard, group_attach, group_whole, mapped, slices, unused, whole_attach, written
+from acreframe.llm._shared import SPACES, discard, group_attach, group_whole, mapped, slices, trim, unused, whole_attach, written
 from acreframe.llm.language_id import pieces
 
 BANDS, ROWS = 14, 3
@@ -275,12 +276,13 @@ def document_frequencies(rows: DataFrame, text: str) -> Weights:
             docs = int(np.frombuffer(data, np.int64)[0])
         else:
             counts[k] = np.frombuffer(data, np.int64)
+    del summed
+    trim()
     return Weights(counts.reshape(2, SLOTS), docs)
 
 
-def signed(rows: DataFrame, key: str, text: str, weights: Weights) -> DataFrame:
+def signed(rows: DataFrame, key: str, text: str, shipped: Broadcast) -> DataFrame:
     """(key, one, two, bands) of each row: two hashes of the sequence of words, and a code for each band."""
-    shipped = rows.sparkSession.sparkContext.broadcast(weights)
 
     def run(batches):
         import xxhash
@@ -326,7 +328,7 @@ def pairs(full: DataFrame) -> DataFrame:
     return star.unionByName(near).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
-def verified(compared: DataFrame, stored: DataFrame, weights: Weights) -> DataFrame:
+def verified(compared: DataFrame, stored: DataFrame, shipped: Broadcast) -> DataFrame:
     """(a, b, weighted, plain) of the pairs that are similar enough, from the whole texts stored by id.
 
     The end of a pair that is in more pairs is its head. A head's text goes once to each task that holds some of its
@@ -341,7 +343,6 @@ def verified(compared: DataFrame, stored: DataFrame, weights: Weights) -> DataFr
     heads = led.select("head", "salt").distinct().join(stored, F.col("head") == stored["id"]).select("head", "salt", F.col("head").alias("id"), F.lit(0).alias("place"), "text")
     members = led.join(stored, F.col("member") == stored["id"]).select("head", "salt", "id", F.lit(1).alias("place"), "text")
     lined = heads.unionByName(members).repartition("head", "salt").sortWithinPartitions("head", "salt", "place", "id")
-    shipped = stored.sparkSession.sparkContext.broadcast(weights)
     kind = stored.schema["id"].dataType.simpleString()
 
     def run(batches):
@@ -387,13 +388,12 @@ def components(links: DataFrame) -> DataFrame:
         state = now
 
 
-def rarest(stored: DataFrame, weights: Weights) -> DataFrame:
+def rarest(stored: DataFrame, shipped: Broadcast) -> DataFrame:
     """(id, root, token, left, width, heft, weight) of the rarest shingles of texts (id, root, text).
 
     left and heft are the number and the weight of a text's shingles from the token on, rarest first, width and weight
     those of all; tokens go on as long as either is ``LEAST`` of the whole.
     """
-    shipped = stored.sparkSession.sparkContext.broadcast(weights)
     kind = stored.schema["id"].dataType.simpleString()
 
     def run(batches):
@@ -415,13 +415,13 @@ def rarest(stored: DataFrame, weights: Weights) -> DataFrame:
     return mapped(stored.select("id", "root", "text"), run, f"id {kind}, root {kind}, token bigint, left bigint, width bigint, heft double, weight double")
 
 
-def rest(full: DataFrame, stored: DataFrame, rooted: DataFrame, weights: Weights) -> tuple[DataFrame, int]:
+def rest(full: DataFrame, stored: DataFrame, rooted: DataFrame, shipped: Broadcast) -> tuple[DataFrame, int]:
     """Distinct pairs (a, b), a < b, of texts of larger buckets that are in different classes and may be similar, and the number of those texts."""
     large = full.where(F.col("n") > SMALL).select("id", "band", "code").join(rooted.withColumnRenamed("id", "_id"), F.col("id") == F.col("_id"), "left")
     large = large.select("id", "band", "code", F.coalesce("root", "id").alias("root"))
     mixed = group_attach(large, ["band", "code"], {"lo": (F.min("root"), F.min("lo")), "hi": (F.max("root"), F.max("hi"))}, F.col("id"))
     members = written(mixed.where("lo <> hi").select("id", "root").distinct(), "mixed")
-    tokens = written(rarest(stored.join(members, "id"), weights), "tokens")
+    tokens = written(rarest(stored.join(members, "id"), shipped), "tokens")
     counts = tokens.groupBy("token", "root").agg(F.count("*").alias("c"))
     shared = counts.groupBy(F.col("token").alias("_token")).agg(F.max(F.struct("c", "root")).alias("top"), F.sum("c").alias("n")).where("top.c < n")
     found = written(tokens.join(shared, F.col("token") == F.col("_token")).select(*tokens.columns, "n", (F.col("root") != F.col("top.root")).alias("stray")), "shared")
@@ -447,7 +447,7 @@ def across(compared: DataFrame, rooted: DataFrame) -> DataFrame:
     return both.where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b")
 
 
-def all_linked(full: DataFrame, stored: DataFrame, weights: Weights) -> DataFrame:
+def all_linked(full: DataFrame, stored: DataFrame, shipped: Broadcast) -> DataFrame:
     """(id, root) by the links of all pairs that share a bucket.
 
     First the pairs of hubs, blocks and small buckets; then all that ``rest`` finds. Where those are many, some of them
@@ -455,16 +455,16 @@ def all_linked(full: DataFrame, stored: DataFrame, weights: Weights) -> DataFram
     that halves their number.
     """
     compared = written(pairs(full), "compared")
-    found = [written(verified(compared, stored, weights).select("a", "b"), "links")]
+    found = [written(verified(compared, stored, shipped).select("a", "b"), "links")]
     rooted = components(found[0])
-    open_, members = rest(full, stored, rooted, weights)
+    open_, members = rest(full, stored, rooted, shipped)
     left = written(open_.join(compared, ["a", "b"], "left_anti"), "open")
     discard(open_, compared)
     turn, last = 0, None
     while n := left.count():
         final = n <= FEW * members or (last is not None and n > last / 2)
         some = F.lit(True) if final else F.pmod(F.xxhash64("a", "b", F.lit(turn)), F.lit(-(-n // max(1, members)))) == 0
-        found.append(written(verified(left.where(some), stored, weights).select("a", "b"), "links"))
+        found.append(written(verified(left.where(some), stored, shipped).select("a", "b"), "links"))
         rooted = components(reduce(DataFrame.unionByName, found))
         if final:
             break
@@ -477,8 +477,8 @@ def all_linked(full: DataFrame, stored: DataFrame, weights: Weights) -> DataFram
 
 def classes(rows: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, class_id, copy_of, kept) of each row: the least key of its class, and of the texts with the same words."""
-    weights = document_frequencies(rows, text)
-    table = written(signed(rows, key, text, weights), "signatures")
+    shipped = rows.sparkSession.sparkContext.broadcast(document_frequencies(rows, text))
+    table = written(signed(rows, key, text, shipped), "signatures")
     same = ["one", "two"]
     by = F.col(key).cast("string")
     worded = table.where((F.size("bands") > 0) & F.col(key).isNotNull())
@@ -487,8 +487,9 @@ def classes(rows: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
     ids = full.select(F.col("id").alias("_id")).distinct()
     own = rows.select(F.col(key).alias("id"), F.col(text).alias("text"))
     stored = written(own.join(ids, F.col("id") == F.col("_id"), "left_semi").groupBy("id").agg(F.min("text").alias("text")), "texts")
-    rooted = all_linked(full, stored, weights)
+    rooted = all_linked(full, stored, shipped)
     discard(full, stored)
+    shipped.unpersist()
     final = whole.drop("bands").join(rooted.withColumnRenamed("id", "_id"), F.col("id") == F.col("_id"), "left").drop("_id")
     found = whole_attach(worded.select(key, *same), final, same, by)
     known = found.select(key, F.coalesce("root", "id").alias("class_id"), F.col("id").alias("copy_of"))

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from acreframe.llm._shared import SAMPLE_CHARS, WORD, labelled_sample, mapped, slices
+from acreframe.llm._shared import SAMPLE_CHARS, WORD, labelled_sample, mapped, slices, trim
 
 ORDER, DECAY = 3, 0.7
 WINDOW = 32
@@ -41,7 +41,7 @@ SHORT = 4
 THRESHOLD = 0.3
 WORST = 3  # words of a document that its score hangs on
 TURNS, RIDGE = 10, 1e-4
-_CACHE = 600_000  # words whose decisions a task remembers
+_CACHE = 400_000  # words whose decisions a task remembers
 START, END = "\x02", "\x03"  # of a word, in landmarks and in the kernel
 _word = re.compile(WORD)
 
@@ -326,8 +326,13 @@ def pick_landmarks(toxic: list[str], clean: list[str], most: int) -> list[str]:
     """
     known = {marked(w) for t in clean for w in set(t.split())}
     words = [[w for w in {marked(w) for w in set(t.split())} if w not in known and len(w) <= WINDOW] for t in toxic]
-    count = Counter(g for own in words for g in {g for w in own for g in _grams(w)})
     least = max(3, len(toxic) // 150)
+    # Most strings stand in one text; they are told by counts of their hashes, so that few are counted one by one.
+    hashed = np.zeros(1 << 22, np.int32)
+    for own in words:
+        hashed[list({hash(g) & 0x3FFFFF for w in own for g in _grams(w)})] += 1
+    often = hashed >= least
+    count = Counter(g for own in words for g in {g for w in own for g in _grams(w) if often[hash(g) & 0x3FFFFF]})
     found = {g for g, n in count.items() if n >= least}
     seen = Counter(g for t in clean for g in {g for w in {marked(w) for w in set(t.split())} if len(w) <= WINDOW for g in _grams(w) & found})
     share = len(toxic) / (len(toxic) + len(clean))
@@ -371,14 +376,21 @@ def fit(texts: list[str], labels: list[int], most: int = 64) -> ToxicityModel:
     root = vector @ np.diag(1 / np.sqrt(np.maximum(value, 1e-3))) @ vector.T
     # The label of a sentence holds for its worst word, that of a toxic document for its worst sentence; which ones those
     # are is told first by the nearest toxic landmark, then by the machine itself, fitted anew.
-    parts = [[sorted({x for w in words_of(p) for x in windows(START + w + END)}) for p in sentences(text)] for text in lowered]
-    place = {w: i for i, w in enumerate(sorted({w for p in parts for f in p for w in f}))}
+    place: dict[str, int] = {}
+    bags = []  # of each text the words of its sentences, by their number
+    for text in lowered:
+        own = [[place.setdefault(x, len(place)) for w in sorted(words_of(p)) for x in windows(START + w + END)] for p in sentences(text)]
+        bags.append([np.array(sorted(set(f)), np.int32) for f in own if f])
     every = list(place)
-    known = np.concatenate([np.zeros((1, len(landmarks))), *(similarities(every[at : at + 10_000], landmarks) for at in range(0, len(every), 10_000))])
-    x = np.concatenate([known @ root, np.ones((len(known), 1))], 1)  # the last row, of position -1, is a word that resembles none
-    x = np.concatenate([x[1:], x[:1]])
-    told = np.concatenate([known[1:, : len(chosen)].max(1, initial=0), [0.0]])
-    bags = [[np.array([place[w] for w in f]) for f in own if f] for own in parts]
+    place.clear()
+    x = np.zeros((len(every) + 1, len(landmarks) + 1), np.float32)  # the last row, of position -1, is a word that resembles none
+    x[:, -1] = 1
+    told = np.zeros(len(x))
+    for at in range(0, len(every), 10_000):
+        found = similarities(every[at : at + 10_000], landmarks)
+        x[at : at + len(found), :-1] = found @ root
+        told[at : at + len(found)] = found[:, : len(chosen)].max(1)
+    del every
     flat = np.diag([RIDGE] * (x.shape[1] - 1) + [1e-8])
     documents = [np.array(sorted({int(k) for f in own for k in f}), int) for own in bags]
     w = np.zeros(x.shape[1])
@@ -392,7 +404,7 @@ def fit(texts: list[str], labels: list[int], most: int = 64) -> ToxicityModel:
             held.update({(i, k): 1.0 if y else -1.0 for k in worst})
         rows, y = [k for _, k in held], np.array(list(held.values()))
         share = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y < 0).sum()))
-        z = x[rows]
+        z = x[rows].astype(float)
         for step in range(50):  # Newton's steps on the squared hinge loss, both classes of equal weight
             active = share * (y * (z @ w) < 1)
             new = np.linalg.solve((z * active[:, None]).T @ z + flat, z.T @ (active * y))
@@ -458,7 +470,17 @@ def calibrate(model: ToxicityModel, texts: list[str], labels: list[int]) -> None
 def fit_rows(documents: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", per_class: int = 1000, most_chars: int = SAMPLE_CHARS) -> ToxicityModel:
     """Fit on about ``per_class`` labelled documents of each class, of ``most_chars`` characters at most; a key with several labels is toxic if one is."""
     found, _ = labelled_sample(documents, labels, key, text, label, per_class, most_chars)
-    return fit([t for t, _ in found], [y for _, y in found])
+    model = fit([t for t, _ in found], [y for _, y in found])
+    del found
+    forget(model)
+    return model
+
+
+def forget(model: ToxicityModel) -> None:
+    """Give back what a worker has remembered: it goes on to other stages."""
+    model.cache.clear()
+    _plain.clear()
+    trim()
 
 
 def score(rows: DataFrame, model: ToxicityModel, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -470,6 +492,7 @@ def score(rows: DataFrame, model: ToxicityModel, key: str = "doc_id", text: str
         for part in slices(batches):
             found = own.scores([t or "" for t in part.column(1).to_pylist()])
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found, pa.float64())], names=[key, "score"])
+        forget(own)
 
     return mapped(rows.select(key, text), run, f"{key} {rows.schema[key].dataType.simpleString()}, score double")
 
@@ -484,5 +507,6 @@ def clean_rows(rows: DataFrame, model: ToxicityModel, text: str = "text") -> Dat
         for part in slices(batches):
             found = own.scores([t or "" for t in part.column(at).to_pylist()])
             yield part.filter(pa.array(found < THRESHOLD))
+        forget(own)
 
     return mapped(rows, run, rows.schema)
