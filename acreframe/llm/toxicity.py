@@ -403,9 +403,9 @@ def fit(texts: list[str], labels: list[int], most: int = 64) -> ToxicityModel:
                 worst = [k for k in worst if k == worst[0] or told[k] > 0.5]
             held.update({(i, k): 1.0 if y else -1.0 for k in worst})
         rows, y = [k for _, k in held], np.array(list(held.values()))
-        share = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y < 0).sum()))
+        share = np.where(y > 0, 0.5 / len(toxic), 0.5 / len(clean))  # a document's worst sentences weigh as much as it does
         z = x[rows].astype(float)
-        for step in range(50):  # Newton's steps on the squared hinge loss, both classes of equal weight
+        for step in range(50):  # Newton's steps on the squared hinge loss
             active = share * (y * (z @ w) < 1)
             new = np.linalg.solve((z * active[:, None]).T @ z + flat, z.T @ (active * y))
             if np.abs(new - w).max() < 1e-9:
