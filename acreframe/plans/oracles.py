@@ -309,3 +309,9 @@ sql("setup_check", body="SELECT * FROM (VALUES ('lineitem.parquet', true), ('eve
 sql("manual_labels", _LABEL, _QUARTER, "put AS (SELECT id, lat, lon, label, (SELECT min(q.tile) FROM quarter q WHERE lon BETWEEN x0 AND x1 AND lat BETWEEN y0 AND y1) AS tile FROM point)", body="SELECT id, put.tile, cast(floor((lon-x0)/0.0001e0) AS int) AS x, cast(floor((y1-lat)/0.0001e0) AS int) AS y, label FROM put JOIN quarter q ON q.tile = put.tile")
 sql("postprocess_rounds", _PIXEL, *_sieved("CASE WHEN p >= 0.5 THEN 1 ELSE 0 END", 50), body="SELECT tile, round_even(avg(v)*100, 2) AS pct_agricultural FROM after GROUP BY 1", recursive=True)
 ORACLES["picture_files"] = ORACLES["red_overlay"]
+sql("kml_outline", body=f"SELECT tile, count(*) AS placemarks, cast(sum(corners) AS bigint) AS points FROM ({ORACLES['exterior_ring']}) x GROUP BY 1")
+sql("learnt_rules", body="SELECT model, vec_id, vec_id % 2 AS predicted FROM embeddings, (VALUES ('Logistic'), ('SVM'), ('RandomForest'), ('ResNet'), ('Ensemble')) m(model)")
+_BASIS = " + ".join(f"({w}e0)*exp(-0.5e0*((a-({x}e0))*(a-({x}e0)) + (b-({y}e0))*(b-({y}e0))))" for w, x, y in ((0.75, 0.0, 0.0), (-1.0, 1.0, -1.0), (0.5, -1.5, 0.5), (-0.25, 0.5, 2.0)))
+sql("kernel_score", _FEATURE, "z AS (SELECT vec_id, (f1-0.01e0)/0.125e0 AS a, (f2+0.02e0)/0.1e0 AS b FROM feature)", body=f"SELECT vec_id, round(1/(1+exp(-(1.5e0*({_BASIS} + 0.1e0) - 0.2e0))), 6) AS p FROM z")
+sql("loop_summary", _PIXEL, "t AS (SELECT tile, least(count(*), 6) AS n FROM pixel GROUP BY 1)", body="SELECT cast(sum(n) AS bigint) + 5 AS labels, cast(sum(n) AS bigint) + 5 AS places, (SELECT count(*) FROM pixel) AS scored, 0 AS outside, 2 AS rounds FROM t")
+sql("search_f1", body="SELECT * FROM (VALUES ('SVM', 1e0), ('RandomForest', 1e0)) v(model, f1)")

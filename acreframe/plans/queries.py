@@ -913,13 +913,40 @@ def postprocess_rounds(spark, d):
     return rounds.postprocess(sampling.latest_round(spark.read.parquet(folder)))
 
 
-@query
-def loop_labels(spark, d):
-    """Labels after two rounds of the loop from a seed of each tile, the oracle being the pixel's own truth."""
+def loop(spark, d, rounds_: int) -> tuple[str, list, DataFrame]:
+    """The loop from a seed of each tile, the oracle being the pixel's own truth; called round by round, as if it was stopped after each."""
     p = A.pixels(spark, d).withColumn("truth", C("nir") > 25).drop("p", "n")
     truth = p.select(*ORDER, F.when(C("truth"), "Agricultural").otherwise("Non-Agricultural").alias("label"))
     seed = sampling.random_per_group(truth, "tile", ORDER, 6).drop("rank")
-    return rounds.run_loop(spark, files.shared_folder(spark, "loop"), p, seed, truth, ["nir", "red", "blue"], rounds=2, choice="Logistic")[1]
+    root, done = files.shared_folder(spark, "loop"), []
+    for _ in range(rounds_):
+        more, working = rounds.run_loop(spark, root, p, seed, truth, ["nir", "red", "blue"], rounds=1, choice="Logistic")
+        done += more
+    return root, done, working
+
+
+@query
+def loop_labels(spark, d):
+    """Labels that the last of two rounds was fitted on."""
+    return loop(spark, d, 2)[2]
+
+
+@query
+def loop_summary(spark, d):
+    """Rounds of the loop, the labels that the last one was fitted on, and the pixels that the final model scores."""
+    root, done, working = loop(spark, d, 2)
+    scored = rounds.final_model(spark, root).score(A.pixels(spark, d).drop("p"))
+    counts = scored.agg(F.count("p").alias("scored"), F.count_if(~C("p").between(0, 1)).alias("outside"))
+    return working.agg(F.count("*").alias("labels"), F.countDistinct(*ORDER).alias("places")).crossJoin(counts).withColumn("rounds", F.lit(done[-1].number))
+
+
+@query
+def search_f1(spark, d):
+    """The best mean F1 of a search over settings, on a rule that one feature holds."""
+    k = C("vec_id")
+    f = A.features(spark, d).select("vec_id", (k % 2 * 4 + k * 7 % 11 / 100.0).alias("rule"), (k % 2).cast("int").alias("y"))
+    found = models.tune(f, ["rule"], "y", ["vec_id"], svm=[{"c": 1.0, "gamma": "scale"}, {"c": 10.0, "gamma": "auto"}], trees=(5, 10), depths=(2,))
+    return spark.createDataFrame([(name, round(best["f1"], 6)) for name, best in found.items()], "model string, f1 double")
 
 
 @query
@@ -931,3 +958,31 @@ def patch_network(spark, d):
     known = patchnet.as_arrays(cells, ["nir", "red"], 5).join(y, ["tile", "pr", "pc"])
     net = patchnet.fit_rows(known, 2, 5, "y", ["tile", "pr", "pc"], width=4, epochs=2)
     return net.score(known).select("tile", "pr", "pc", "y", F.round("p", 6).alias("p"))
+
+
+@query
+def kml_outline(spark, d):
+    """Placemarks of each tile's KML document, and the points of their rings, counted in its text."""
+    text = polygons_kml(spark, d)
+    return text.select("tile", F.regexp_count("kml", F.lit("<Placemark>")).cast("bigint").alias("placemarks"), F.regexp_count("kml", F.lit(",0[ <]")).cast("bigint").alias("points"))
+
+
+@query
+def learnt_rules(spark, d):
+    """Classes that each kind of model tells after it was fitted on a rule that one feature holds."""
+    k = C("vec_id")
+    f = A.features(spark, d).select("vec_id", "f1", (k % 2 * 4 + k * 7 % 11 / 100.0).alias("rule"), (k % 2).cast("int").alias("y"))
+    found = [models.train(choice, f, ["rule"], "y", ["vec_id"]).score(f).select(F.lit(choice).alias("model"), "vec_id", (C("p") >= SETTINGS.positive_probability).cast("int").alias("predicted")) for choice in ("Logistic", "SVM", "RandomForest", "ResNet", "Ensemble")]
+    out = found[0]
+    for other in found[1:]:
+        out = out.unionByName(other)
+    return out
+
+
+@query
+def kernel_score(spark, d):
+    """Probabilities of a kernel machine with four given support vectors."""
+    import numpy as np
+
+    machine = models.KernelScorer(["f1", "f2"], [0.01, -0.02], [0.125, 0.1], np.array([[0.0, 0.0], [1.0, -1.0], [-1.5, 0.5], [0.5, 2.0]]), np.array([0.75, -1.0, 0.5, -0.25]), 0.1, 0.5, 1.5, -0.2)
+    return machine.score(A.features(spark, d)).select("vec_id", F.round("p", 6).alias("p"))
