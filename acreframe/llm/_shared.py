@@ -177,8 +177,8 @@ SAMPLE_CHARS = 200_000
 def class_sample(rows: DataFrame, key: str, label: str, per_class: int, text: str | None = None, most_chars: int = SAMPLE_CHARS) -> list:
     """A bounded sample of labelled rows: about ``per_class`` of each label, chosen by a hash of the key.
 
-    Rows whose ``text`` has more than ``most_chars`` characters are left out. The same rows are chosen whatever the
-    partitioning. Returned in the order of that hash.
+    Rows whose ``text`` has more than ``most_chars`` characters are left out; of a key and label that repeat, the least text
+    counts once. The same rows are chosen whatever the partitioning. Returned in the order of that hash.
     """
     if text:
         rows = rows.where(F.length(text) <= most_chars)
@@ -189,7 +189,8 @@ def class_sample(rows: DataFrame, key: str, label: str, per_class: int, text: st
     drawn, wanted = unused(rows, "_drawn", "_wanted")
     of = F.map_from_arrays(F.lit(list(counts)), F.lit([min(scale, per_class * scale // n + 1) for n in counts.values()]))
     hashed = F.pmod(F.xxhash64(id_text(F.col(key)), F.lit(17)), F.lit(scale))
-    found = rows.withColumn(drawn, hashed).withColumn(wanted, F.try_element_at(of, F.col(label).cast("string"))).where(F.col(drawn) < F.col(wanted)).drop(wanted).collect()
+    some = rows.withColumn(drawn, hashed).withColumn(wanted, F.try_element_at(of, F.col(label).cast("string"))).where(F.col(drawn) < F.col(wanted))
+    found = (some.groupBy(key, label, drawn).agg(F.min(text).alias(text)) if text else some.select(key, label, drawn).distinct()).collect()
     return sorted(found, key=lambda r: (r[drawn], str(r[key])))
 
 

@@ -402,6 +402,16 @@ def test_labels_that_conflict_and_texts_that_repeat(spark):
         assert found == [("a", 1), ("c", 0)] and share == {0: 1, 1: 4}
 
 
+def test_repeated_rows_are_drawn_once(spark):
+    from acreframe.llm._shared import class_sample
+
+    df = spark.createDataFrame([(1, "en")] * 3000 + [(k, "de") for k in range(2, 60)] + [(None, "de")] * 50, "doc_id long, lang string").withColumn("text", F.concat(F.lit("t"), F.monotonically_increasing_id() % 7))
+    for parts in (1, 5):
+        found = class_sample(df.repartition(parts), "doc_id", "lang", 10_000, "text")
+        assert len(found) == 60 and {r.text for r in found if r.doc_id == 1} == {"t0"}
+        assert len(class_sample(df.repartition(parts), "doc_id", "lang", 10_000)) == 60
+
+
 def test_many_languages(spark):
     rng = np.random.default_rng(4)
     rows = []
