@@ -31,7 +31,6 @@ from operator import add
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from acreframe.llm._shared import SAMPLE_CHARS, WORD, labelled_sample, mapped, slices, trim
 
