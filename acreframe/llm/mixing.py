@@ -33,6 +33,7 @@ STEP = 8  # size classes for each doubling of the size
 CLASSES = STEP * 40
 BINS = 256
 NEWTON, CLOSE = 60, 1e-11  # most steps, and the share of a target that a tilt may miss
+CHAINED = 4  # steps between two tables of tilts
 _EXACT = "decimal(38,6)"
 
 
@@ -83,26 +84,31 @@ def solve(counts: DataFrame, goals: DataFrame, source: str) -> DataFrame:
     size, n = F.col("size").cast("double"), F.col("n").cast("double")
     exact = lambda c: F.sum(c.cast(_EXACT)).cast("double")
     facts = counts.groupBy(F.col(source).alias("_source")).agg(F.sum("n").alias("_n"), exact(size * size * n).alias("_square"))
-    same = lambda other: goals[source].eqNullSafe(other)
-    begun = goals.join(facts, same(F.col("_source")), "left").drop("_source")
-    mean = F.greatest(F.coalesce(F.col("source_size") / F.col("_n"), F.lit(1.0)), F.lit(1.0))
+    begun = goals.join(facts, goals[source].eqNullSafe(F.col("_source")))  # sources without words have nothing to solve
+    mean = F.greatest(F.col("source_size") / F.col("_n"), F.lit(1.0))
     full = F.col("target") >= CAP * F.col("source_size") * (1 - 1e-12)
-    ratio = F.greatest(F.col("target") / F.greatest("source_size", F.lit(1)), F.lit(1e-300))
-    # A first guess from the mean size of a word's document; sources that take all they may, or nothing, are solved.
-    guess = F.log(ratio) / F.greatest(F.col("_square") / F.greatest("source_size", F.lit(1)) / mean, F.lit(1e-300))
-    begun = begun.select(source, "source_size", "target", mean.alias("mean"), F.when(full, F.lit(1e300)).otherwise(guess).alias("tilt"), F.lit(float("-inf")).alias("low"), F.lit(float("inf")).alias("high"), full.alias("done"))
+    # A first guess from the mean size of a word's document; sources that take all they may are solved.
+    guess = F.log(F.col("target") / F.col("source_size")) / (F.col("_square") / F.col("source_size") / mean)
+    begun = begun.select("_source", "target", mean.alias("mean"), F.when(full, F.lit(1e300)).otherwise(guess).alias("tilt"), F.lit(float("-inf")).alias("low"), F.lit(float("inf")).alias("high"), full.alias("done"))
     state = written(begun, "tilts")
-    for _ in range(NEWTON):
-        open_ = state.where("not done")
-        if open_.isEmpty():
-            break
-        at = counts.join(open_.withColumnRenamed(source, "_source"), counts[source].eqNullSafe(F.col("_source")))
+
+    def step(state: DataFrame) -> DataFrame:
+        at = counts.join(state, counts[source].eqNullSafe(F.col("_source")))
         r, x = rate(F.col("tilt"), size, F.col("mean")), size / F.col("mean")
-        sums = at.groupBy(F.col(source).alias("_source")).agg(exact(n * size * r).alias("taken"), exact(F.when(r < CAP, n * size * x * r).otherwise(0.0)).alias("slope"))
-        moved = state.join(sums, state[source].eqNullSafe(F.col("_source")), "left").withColumns(_newton())
-        before, state = state, written(moved.select(*state.columns), "tilts")
+        kept = [F.any_value(c).alias(c) for c in state.columns if c != "_source"]
+        sums = at.groupBy("_source").agg(exact(n * size * r).alias("taken"), exact(F.when(r < CAP, n * size * x * r).otherwise(0.0)).alias("slope"), *kept)
+        return sums.withColumns(_newton()).select(*state.columns)
+
+    for _ in range(NEWTON // CHAINED):
+        before, after = state, state
+        for _ in range(CHAINED):
+            after = step(after)
+        state = written(after, "tilts")
         discard(before)
-    return state.select(source, "source_size", "target", "mean", "tilt")
+        if state.where("not done").isEmpty():
+            break
+    found = goals.join(state.select("_source", "mean", "tilt"), goals[source].eqNullSafe(F.col("_source")), "left")
+    return found.select(source, "source_size", "target", F.coalesce("mean", F.lit(1.0)).alias("mean"), "tilt")
 
 
 def _newton() -> dict[str, Column]:
@@ -115,7 +121,7 @@ def _newton() -> dict[str, Column]:
     wide = F.when(over, tilt - 2 * F.greatest(F.abs(tilt), F.lit(1.0))).otherwise(tilt + 2 * F.greatest(F.abs(tilt), F.lit(1.0)))
     middle = F.when((low > float("-inf")) & (high < float("inf")), (low + high) / 2).otherwise(wide)
     close = (F.abs(taken - target) <= CLOSE * target) | (high - low <= 1e-15 * F.abs(tilt))
-    done = F.col("done") | F.coalesce(close, F.lit(True))  # a source without words has no sums
+    done = F.col("done") | close
     return {
         "tilt": F.when(done, tilt).when(inside, jump).otherwise(middle),
         "low": F.when(done, F.col("low")).otherwise(low),
