@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from acreframe.llm import exact_dedup, language_id, mixing, near_dedup, pieces, pii, quality_model, quality_rules, toxicity, warc
+from acreframe.llm import exact_dedup, language_id, mixing, near_dedup, pieces, pii, quality_model, quality_rules, resample, toxicity, warc
 from acreframe.llm._shared import remainder, table
 
 
@@ -77,6 +77,11 @@ def op10_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (remainder(F.col("doc_id"), 4) == 2).alias("held_out"), "host", "path", "evidence", "host_posterior", "path_posterior", "score", "kept")
 
 
+def op12_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A tenth of the documents of 20 words or more, drawn towards the texts of ``benchmark``."""
+    return resample.resampled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_pii": op2_pii,
@@ -88,6 +93,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_near_dedup": op8_near_dedup,
     "op9_quality_rules": op9_quality_rules,
     "op10_quality_model": op10_quality_model,
+    "op12_resample": op12_resample,
 }
 ORACLES: dict[str, str] = {}
 
@@ -133,3 +139,20 @@ SELECT doc_id, n AS n_words, word_chars, c4 AS n_symbols, dup AS n_dup_lines, re
 
 
 ORACLES["op9_quality_rules"] = _rules_sql()
+
+# The table of crc32 from its rule, and a fold over the bytes of each distinct word.
+_CRC_ROUND = "xor(c >> 1, CASE WHEN c & 1 = 1 THEN 3988292384 ELSE 0 END)"
+ORACLES["op12_resample"] = f"""WITH RECURSIVE rounds AS (SELECT i, 0 AS k, i AS c FROM range(256) r(i) UNION ALL SELECT i, k + 1, {_CRC_ROUND} FROM rounds WHERE k < 8),
+ crc AS (SELECT list(c ORDER BY i) AS of FROM rounds WHERE k = 8),
+ d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents),
+ b AS (SELECT regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM benchmark),
+ own AS (SELECT doc_id, unnest(w) AS x FROM d), target AS (SELECT unnest(w) AS x FROM b),
+ hexed AS (SELECT x, hex(encode(x)) AS h FROM (SELECT x FROM own UNION SELECT x FROM target) u),
+ key AS (SELECT x, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(strlen(x)), lambda i: ('0x' || substr(h, (2 * i + 1)::BIGINT, 2))::BIGINT)), lambda c, y: xor(c >> 8, crc.of[(xor(c & 255, y) + 1)::INT])), 4294967295) % 10000 AS k FROM hexed, crc),
+ s AS (SELECT k, count(*) AS n FROM own JOIN key USING (x) GROUP BY 1), t AS (SELECT k, count(*) AS n FROM target JOIN key USING (x) GROUP BY 1),
+ g AS (SELECT k, CAST(floor(1000 * ln((coalesce(t.n, 0) + 1)::DOUBLE * ((SELECT count(*) FROM own) + 10000) / ((coalesce(s.n, 0) + 1)::DOUBLE * ((SELECT count(*) FROM target) + 10000)))) AS BIGINT) AS gain FROM s FULL JOIN t USING (k)),
+ v AS (SELECT doc_id, CAST(floor(sum(gain)::DOUBLE / count(*)) AS BIGINT) AS weight FROM own JOIN key USING (x) JOIN g USING (k) GROUP BY 1),
+ h AS (SELECT doc_id, len(w)::BIGINT AS n_features, ('0x' || substr(sha256('2024:' || doc_id), 1, 8))::BIGINT AS h FROM d),
+ z AS (SELECT doc_id, n_features, coalesce(weight, 0)::BIGINT AS weight, coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296))) AS BIGINT) AS score FROM h LEFT JOIN v USING (doc_id)),
+ r AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM z WHERE n_features >= 20)
+SELECT doc_id, n_features, weight, score, CASE WHEN rank <= 10 * (SELECT count(*) FROM r) // 100 THEN rank END AS rank FROM z LEFT JOIN r USING (doc_id)"""
