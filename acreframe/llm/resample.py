@@ -38,10 +38,11 @@ def words_of(text: Column) -> Column:
 
 def grams_of(words: Column, most: int) -> Column:
     """All runs of 1 to ``most`` consecutive words, joined by a blank."""
-    runs = [words]
-    for n in range(2, most + 1):
-        runs.append(F.transform(F.slice(words, 1, F.greatest(F.size(words) - (n - 1), F.lit(0))), lambda w, i, n=n: F.concat_ws(" ", w, *[F.get(words, i + k) for k in range(1, n)])))
-    return runs[0] if most == 1 else F.concat(*runs)
+
+    def runs(n: int) -> Column:
+        return F.transform(F.slice(words, 1, F.greatest(F.size(words) - (n - 1), F.lit(0))), lambda w, i: F.concat_ws(" ", w, *[F.get(words, i + k) for k in range(1, n)]))
+
+    return words if most == 1 else F.concat(words, *[runs(n) for n in range(2, most + 1)])
 
 
 def bucket(gram: Column, buckets: int) -> Column:
