@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from acreframe.llm import exact_dedup, language_id, mixing, near_dedup, pieces, pii, quality_model, quality_rules, resample, toxicity, warc
+from acreframe.llm import exact_dedup, language_id, mixing, near_dedup, pieces, pii, quality_model, quality_rules, repeats, resample, toxicity, warc
 from acreframe.llm._shared import remainder, table
 
 
@@ -82,6 +82,11 @@ def op12_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resample.resampled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op13_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document that stand in a window of 20 words which starts earlier too."""
+    return repeats.digests(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_pii": op2_pii,
@@ -94,6 +99,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_quality_rules": op9_quality_rules,
     "op10_quality_model": op10_quality_model,
     "op12_resample": op12_resample,
+    "op13_substring_dedup": op13_substring_dedup,
 }
 ORACLES: dict[str, str] = {}
 
@@ -156,3 +162,10 @@ ORACLES["op12_resample"] = f"""WITH RECURSIVE rounds AS (SELECT i, 0 AS k, i AS
  z AS (SELECT doc_id, n_features, coalesce(weight, 0)::BIGINT AS weight, coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296))) AS BIGINT) AS score FROM h LEFT JOIN v USING (doc_id)),
  r AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM z WHERE n_features >= 20)
 SELECT doc_id, n_features, weight, score, CASE WHEN rank <= 10 * (SELECT count(*) FROM r) // 100 THEN rank END AS rank FROM z LEFT JOIN r USING (doc_id)"""
+
+ORACLES["op13_substring_dedup"] = r"""WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+ s AS (SELECT doc_id, i, array_to_string(list_slice(w, i, i + 19), ' ') AS x FROM (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS i FROM d WHERE len(w) >= 20) y),
+ again AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY x ORDER BY doc_id, i) AS k FROM s) y WHERE k > 1),
+ gone AS (SELECT doc_id, list(DISTINCT i + o) AS cut FROM again, range(20) r(o) GROUP BY 1),
+ kept AS (SELECT d.doc_id, len(w)::BIGINT AS n_words, CASE WHEN cut IS NULL THEN w ELSE list_filter(w, lambda x, i: NOT list_contains(cut, i)) END AS k FROM d LEFT JOIN gone USING (doc_id))
+SELECT doc_id, n_words, n_words - len(k) AS n_removed, sha256(array_to_string(k, ' ')) AS kept_sha256 FROM kept"""

@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import math
+import random
 import re
 import string
 import zlib
@@ -11,7 +12,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from acreframe.llm import queries, resample
+from acreframe.llm import queries, repeats, resample
 from tests.conftest import DATA
 from tests.llm.test_text import HARD, hard, none  # noqa: F401
 
@@ -91,3 +92,88 @@ def test_resample_defined_results(hard, none):  # noqa: F811
     assert sorted(rows, key=str) == sorted(plain_resample(HARD, HARD, (1, 2), 0, 1, resample.BUCKETS), key=str)
     assert resample.resampled(none, hard).count() == 0 and resample.resampled(hard, none).count() == len(HARD)
     assert resample.selected(hard, hard, least=0).columns == hard.columns
+
+
+# --- passages that repeat
+
+
+def plain_cut(rows, window):
+    """(key, n_words, n_removed, kept) by a dictionary of all windows; rows in the order of their keys, null first."""
+    seen, out = set(), []
+    for key, text in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0)):
+        w = re.findall(r"[^\x20\x09-\x0D]+", text or "")
+        gone = set()
+        for i in range(len(w) - window + 1):
+            x = tuple(w[i : i + window])
+            if x in seen:
+                gone.update(range(i, i + window))
+            seen.add(x)
+        out.append((key, len(w), len(gone), " ".join(x for i, x in enumerate(w) if i not in gone)))
+    return out
+
+
+def cut_rows(rows, **options):
+    return sorted(((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in repeats.digests(rows, **options).collect()), key=str)
+
+
+def test_passages_are_their_sql(spark, other):
+    same_as_sql(spark, other, "op13_substring_dedup")
+
+
+@pytest.mark.parametrize(("window", "first"), [(20, 10), (20, 5), (6, 2), (7, 2), (3, 10), (1, 1), (5, 1)])
+def test_windows_of_any_length(spark, window, first):
+    """Few different words, so that many short runs repeat whose windows do not."""
+    r = random.Random(window * 31 + first)
+    vocabulary = ["a", "b", "é", "日本", "x.y"] + [f"w{i}" for i in range(40 if window > 3 else 4000)]
+    shared = [[r.choice(vocabulary) for _ in range(3 * window)] for _ in range(4)]
+    rows = []
+    for i in range(150):
+        words = [r.choice(vocabulary) for _ in range(r.randrange(0, 60))]
+        if i % 3 == 0:
+            at, part = r.randrange(len(words) + 1), shared[i % 4]
+            words[at:at] = part[r.randrange(3) :] * (1 + i % 2)
+        rows.append((i, r.choice([" ", "  ", "\n", "\t"]).join(words)))
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    want = sorted(((k, n, g, hashlib.sha256(t.encode()).hexdigest()) for k, n, g, t in plain_cut(rows, window)), key=str)
+    assert cut_rows(frame, window=window, first=first) == want
+
+
+def test_no_window_repeats(spark):
+    rows = [(i, " ".join(f"d{i}w{k}" for k in range(40))) for i in range(20)]
+    got = repeats.digests(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {(r.n_words, r.n_removed) for r in got} == {(40, 0)} and len(got) == 20
+
+
+def test_a_passage_that_most_documents_have(spark):
+    """One group holds most windows: the first document keeps it, all others lose it."""
+    passage = " ".join(f"p{k}" for k in range(30))
+    rows = [(i, f"{passage} own{i} words{i}") for i in range(3000)]
+    got = repeats.digests(spark.createDataFrame(rows, "doc_id long, text string").repartition(8)).groupBy("n_removed").agg(F.count("*").alias("n"), F.min("doc_id").alias("first")).collect()
+    assert {(r.n_removed, r.n, r.first) for r in got} == {(0, 1, 0), (30, 2999, 1)}
+
+
+def test_kept_texts_and_columns(spark):
+    rows = [(2, "a b c d e", "x", 5), (1, "z a b c d", "y", 6), (3, None, None, 7)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, _row string, n_words int")
+    got = {r.doc_id: tuple(r) for r in repeats.without_repeats(frame, window=3, first=2).collect()}
+    assert got == {1: (1, "z a b c d", "y", 6), 2: (2, "e", "x", 5), 3: (3, "", None, 7)}
+
+
+def test_passages_defined_results(hard, none):  # noqa: F811
+    assert len(cut_rows(hard)) == len(HARD) and repeats.without_repeats(hard).columns == hard.columns
+    got = cut_rows(hard, window=5, first=2)
+    assert [(r[1], r[2]) for r in got if r[0] == 7] == [(5, 5), (5, 5)] and [(r[1], r[2]) for r in got if r[0] in (2, 3, 4)] == [(0, 0)] * 3
+    assert repeats.digests(none).count() == 0
+    long = "y " * 200_000
+    assert cut_rows(hard.limit(1).withColumn("text", F.lit(long)).select("doc_id", "text")) == [(1, 200_000, 199_999, hashlib.sha256(b"y").hexdigest())]
+
+
+def test_runs_and_least_places():
+    import numpy as np
+
+    words = np.random.default_rng(3).integers(0, 3, 200).astype(np.uint64)
+    for length in range(1, 12):
+        got, of = repeats.runs(words, length), [tuple(words[i : i + length]) for i in range(200 - length + 1)]
+        assert len(got) == len(of) and len(set(got.tolist())) == len(set(of)) == len(set(zip(of, got.tolist(), strict=True)))
+        least = repeats.least_places(words, length)
+        assert least.tolist() == [i + min(range(length), key=lambda k: (w[k], k)) for i, w in enumerate(of)]
