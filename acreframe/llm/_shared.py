@@ -12,6 +12,7 @@ import uuid
 import zipfile
 from collections.abc import Iterable, Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -126,6 +127,16 @@ def mapped(df: DataFrame, run, schema: str) -> DataFrame:
     return df.mapInArrow(run, schema)
 
 
+_ODD = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))  # odd numbers that mix bits
+
+
+def mixed(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """A number of 64 bits for each pair of them; the order of the two counts."""
+    x = (left ^ (left >> np.uint64(31))) * _ODD[0] + right
+    x = (x ^ (x >> np.uint64(29))) * _ODD[1]
+    return (x ^ (x >> np.uint64(32))) * _ODD[2]
+
+
 def id_text(key: Column) -> Column:
     return F.coalesce(key.cast("string"), F.lit(""))
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from acreframe.llm import exact_dedup, language_id, mixing, near_dedup, pieces, pii, quality_model, quality_rules, repeats, resample, toxicity, warc
+from acreframe.llm import collocations, exact_dedup, language_id, mixing, near_dedup, pieces, pii, quality_model, quality_rules, repeats, resample, toxicity, warc
 from acreframe.llm._shared import remainder, table
 
 
@@ -77,6 +77,11 @@ def op10_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (remainder(F.col("doc_id"), 4) == 2).alias("held_out"), "host", "path", "evidence", "host_posterior", "path_posterior", "score", "kept")
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 2000 collocations of two or three words of each language."""
+    return collocations.mined(table(spark, sf_dir, "documents"))
+
+
 def op12_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A tenth of the documents of 20 words or more, drawn towards the texts of ``benchmark``."""
     return resample.resampled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -98,6 +103,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_near_dedup": op8_near_dedup,
     "op9_quality_rules": op9_quality_rules,
     "op10_quality_model": op10_quality_model,
+    "op11_collocations": op11_collocations,
     "op12_resample": op12_resample,
     "op13_substring_dedup": op13_substring_dedup,
 }
@@ -169,3 +175,16 @@ ORACLES["op13_substring_dedup"] = r"""WITH d AS (SELECT doc_id, regexp_extract_a
  gone AS (SELECT doc_id, list(DISTINCT i + o) AS cut FROM again, range(20) r(o) GROUP BY 1),
  kept AS (SELECT d.doc_id, len(w)::BIGINT AS n_words, CASE WHEN cut IS NULL THEN w ELSE list_filter(w, lambda x, i: NOT list_contains(cut, i)) END AS k FROM d LEFT JOIN gone USING (doc_id))
 SELECT doc_id, n_words, n_words - len(k) AS n_removed, sha256(array_to_string(k, ' ')) AS kept_sha256 FROM kept"""
+
+ORACLES["op11_collocations"] = r"""WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+ w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM p),
+ g AS (SELECT lang, k, w[i:i + k - 1] AS g FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM w, (VALUES (1), (2), (3)) v(k)) y),
+ f AS (SELECT lang, k, array_to_string(g, ' ') AS phrase, count(*) AS a FROM g GROUP BY ALL),
+ n AS (SELECT lang, sum(a)::BIGINT AS n FROM f WHERE k = 1 GROUP BY 1),
+ c AS (SELECT * FROM f WHERE k > 1 AND a >= 10),
+ cut AS (SELECT lang, k, phrase, a, cut, array_to_string(string_split(phrase, ' ')[1:cut], ' ') AS x, array_to_string(string_split(phrase, ' ')[cut + 1:], ' ') AS y FROM (SELECT *, unnest(range(1, k)) AS cut FROM c) z),
+ s AS (SELECT cut.*, l.a AS l, r.a AS r, 1000000::HUGEINT * cut.a * cut.a // (l.a::HUGEINT * r.a) AS score FROM cut JOIN f l ON l.lang = cut.lang AND l.phrase = x JOIN f r ON r.lang = cut.lang AND r.phrase = y),
+ b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) AS o FROM s) z WHERE o = 1),
+ top AS (SELECT lang, x, max(a) AS longer FROM (SELECT lang, a, unnest([string_split(phrase, ' ')[1] || ' ' || string_split(phrase, ' ')[2], string_split(phrase, ' ')[2] || ' ' || string_split(phrase, ' ')[3]]) AS x FROM c WHERE k = 3) z GROUP BY 1, 2),
+ kept AS (SELECT b.* FROM b LEFT JOIN top ON top.lang = b.lang AND top.x = b.phrase WHERE longer IS NULL OR 100 * longer < 50 * a)
+SELECT lang, rank, phrase, a, l, r, n, score::BIGINT AS score FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept) z JOIN n USING (lang) WHERE rank <= 2000"""

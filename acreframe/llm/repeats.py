@@ -29,10 +29,9 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from acreframe.llm._shared import discard, mapped, scratch, slices, unused, written
+from acreframe.llm._shared import discard, mapped, mixed, scratch, slices, unused, written
 
 WINDOW, FIRST = 20, 10
-_A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))  # odd numbers that mix bits
 
 
 def lengths(window: int = WINDOW, first: int = FIRST) -> list[int]:
@@ -74,10 +73,7 @@ def runs(words: np.ndarray, length: int) -> np.ndarray:
         return words[: max(0, len(words) - length + 1)]
     half, n = (length + 1) // 2, len(words) - length + 1
     part = runs(words, half)
-    left, right = part[:n], part[length - half : length - half + n]
-    x = (left ^ (left >> np.uint64(31))) * _A + right
-    x = (x ^ (x >> np.uint64(29))) * _B
-    return (x ^ (x >> np.uint64(32))) * _C
+    return mixed(part[:n], part[length - half : length - half + n])
 
 
 def least_places(h: np.ndarray, width: int) -> np.ndarray:

@@ -9,10 +9,11 @@ import string
 import zlib
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from acreframe.llm import queries, repeats, resample
+from acreframe.llm import collocations, queries, repeats, resample
 from tests.conftest import DATA
 from tests.llm.test_text import HARD, hard, none  # noqa: F401
 
@@ -169,11 +170,80 @@ def test_passages_defined_results(hard, none):  # noqa: F811
 
 
 def test_runs_and_least_places():
-    import numpy as np
-
     words = np.random.default_rng(3).integers(0, 3, 200).astype(np.uint64)
     for length in range(1, 12):
         got, of = repeats.runs(words, length), [tuple(words[i : i + length]) for i in range(200 - length + 1)]
         assert len(got) == len(of) and len(set(got.tolist())) == len(set(of)) == len(set(zip(of, got.tolist(), strict=True)))
         least = repeats.least_places(words, length)
         assert least.tolist() == [i + min(range(length), key=lambda k: (w[k], k)) for i, w in enumerate(of)]
+
+
+# --- collocations
+
+
+def plain_collocations(rows, least, most, top, share=50):
+    """(lang, rank, phrase, a, l, r, n, score) by dictionaries."""
+    lower, f, n = str.maketrans(string.ascii_uppercase, string.ascii_lowercase), collections.Counter(), collections.Counter()
+    for text, lang in rows:
+        for piece in re.split(r"[.,;:!?\x0A-\x0D]", (text or "").translate(lower)):
+            w = re.findall(r"[^\x20\x09]+", piece)
+            n[lang or "und"] += len(w)
+            f.update((lang or "und", tuple(w[i : i + k])) for k in range(1, most + 1) for i in range(len(w) - k + 1))
+    found = {}
+    known = {p: a for p, a in f.items() if len(p[1]) > 1 and a >= least}
+    for (lang, p), a in known.items():
+        score, k = min((1_000_000 * a * a // (f[lang, p[:k]] * f[lang, p[k:]]), k) for k in range(1, len(p)))
+        found.setdefault(lang, []).append((-score, -a, " ".join(p).encode(), f[lang, p[:k]], f[lang, p[k:]], p))
+    out = []
+    for lang, each in found.items():
+        covered = {(p[i:j]) for (g, p), a in known.items() if g == lang for i in range(len(p)) for j in range(i + 2, len(p) + 1) if j - i < len(p) and 100 * a >= share * known[lang, p[i:j]]}
+        kept = sorted(x for x in each if x[5] not in covered)[:top]
+        out += [(lang, k, p.decode(), -a, l, r, n[lang], -score) for k, (score, a, p, l, r, _) in enumerate(kept, 1)]
+    return sorted(out)
+
+
+def odd_phrases(n, seed):
+    r = random.Random(seed)
+    words = ["a", "B", "b", "é", "É", "日本", "x-y", "n\x00l", "to"]
+    return [("".join(r.choice(words) + r.choice([" ", " ", "  ", "\t", ".", "\n", " ,; "]) for _ in range(r.randrange(60))), r.choice(["en", "de", None, "und"])) for _ in range(n)]
+
+
+def test_collocations_are_their_sql(spark, other):
+    same_as_sql(spark, other, "op11_collocations")
+
+
+@pytest.mark.parametrize(("least", "most", "top", "shard"), [(10, 3, 2000, 500_000), (3, 4, 7, 40), (2, 2, 50, 10), (5, 5, 2000, 100)])
+def test_collocations_of_odd_texts(spark, monkeypatch, least, most, top, shard):
+    """Shards of few keys, too, so that keys fall into many of them."""
+    monkeypatch.setattr(collocations, "SHARD", shard)
+    rows = odd_phrases(300, least)
+    got = collocations.mined(spark.createDataFrame(rows, "text string, lang string").repartition(5), least=least, most=most, top=top)
+    assert sorted(map(tuple, got.collect())) == plain_collocations(rows, least, most, top)
+
+
+def test_collocations_defined_results(hard, none):  # noqa: F811
+    assert [tuple(r) for r in collocations.mined(hard, least=3).collect()] == plain_collocations([(t, None) for _, t in HARD], 3, 3, 2000)
+    assert collocations.mined(none).count() == 0 and collocations.mined(hard).count() == 0
+
+
+def test_perfect_hash_is_minimal_and_knows_its_keys():
+    r = np.random.default_rng(5)
+    one = r.integers(0, 2**63, 50_000).astype(np.uint64)
+    one[:1000] = one[0]  # keys that differ in their second part alone
+    two, owner = np.arange(50_000).astype(np.uint32), r.integers(-(2**31), 2**31, 50_000).astype(np.int32)
+    hashed = collocations.PerfectHash.load(collocations.PerfectHash.build(one, two, owner).dump())
+    slots = hashed.find(one, two)
+    assert sorted(slots.tolist()) == list(range(50_000)) and (hashed.owner[slots] == owner).all()
+    assert sum(map(len, hashed.bits)) < 4 * 50_000
+    assert (hashed.find(one, two + np.uint32(1_000_000)) == -1).all() and (hashed.find(r.integers(0, 2**63, 50_000).astype(np.uint64), two) == -1).all()
+    empty = collocations.PerfectHash.load(collocations.PerfectHash.build(one[:0], two[:0], owner[:0]).dump())
+    assert (empty.find(one, two) == -1).all()
+
+
+def test_shards_that_do_not_fit_are_read_again(tmp_path, monkeypatch):
+    monkeypatch.setattr(collocations, "HELD", 1)
+    monkeypatch.setattr(collocations, "_held", collections.OrderedDict())
+    paths = [collocations._write(str(tmp_path), np.arange(10 + k).tobytes()) for k in range(3)]
+    for _ in range(2):
+        assert [len(collocations._read(p, lambda data: np.frombuffer(data, np.int64))) for p in paths] == [10, 11, 12]
+    assert len(collocations._held) == 1
