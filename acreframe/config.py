@@ -30,7 +30,7 @@ class Settings:
     sieve_pixels: int = 50
     forest: dict = field(default_factory=lambda: {"numTrees": 100, "maxDepth": 8})
     svm_c: float = 1.0
-    fit_rows: int = 5000  # labelled rows that a fit on the driver takes
+    fit_rows: int = 5000  # labelled rows of a worker of a network's fit, and of a search over settings
     epochs: int = 10
     learning_rate: float = 0.001
     batch: int = 32

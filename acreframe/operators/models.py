@@ -1,7 +1,8 @@
 """Fitting and scoring of pixel classifiers.
 
-Label sets are tiny (tens to thousands of rows), so fits run on the driver in numpy, or in pyspark.ml; scoring runs where
-the pixels are. A scorer adds a probability column ``p`` to rows with feature columns.
+``train`` fits on all labelled rows, as sums over tasks (``fits``) or in pyspark.ml; the fits of arrays here are what those sums are
+built of and, for the search over settings, what runs on a bounded sample. Scoring runs where the pixels are: a scorer adds a
+probability column ``p`` to rows with feature columns.
 """
 
 from __future__ import annotations
@@ -91,6 +92,11 @@ class ForestScorer:
         return scored.select(*rows.columns, "p")
 
 
+def radial(a: np.ndarray, b: np.ndarray, gamma: float) -> np.ndarray:
+    """Radial basis functions of all rows of a with those of b."""
+    return np.exp(-gamma * np.maximum((a * a).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2 * a @ b.T, 0))
+
+
 @dataclass
 class KernelScorer:
     """A kernel machine with radial basis functions on z-scored features, with a logistic calibration."""
@@ -106,9 +112,7 @@ class KernelScorer:
     offset: float
 
     def decision(self, x: np.ndarray) -> np.ndarray:
-        x = (np.where(np.isnan(x), self.mean, x) - self.mean) / np.array(self.std)
-        d = (x * x).sum(1)[:, None] + (self.support**2).sum(1)[None, :] - 2 * x @ self.support.T
-        return np.exp(-self.gamma * np.maximum(d, 0)) @ self.alpha + self.bias
+        return radial((np.where(np.isnan(x), self.mean, x) - self.mean) / np.array(self.std), self.support, self.gamma) @ self.alpha + self.bias
 
     def forward(self, x: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-(self.slope * self.decision(x) + self.offset)))
@@ -131,7 +135,7 @@ class Ensemble:
 
 
 def matrix(rows: DataFrame, features: Sequence[str], y: str, order: Sequence[str], most: int = SETTINGS.fit_rows) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(X imputed, y, means, population stds) of labelled rows, in a fixed order: label sets only, never pixels.
+    """(X imputed, y, means, population stds) of labelled rows, in a fixed order, for the search over settings alone.
 
     Of more than ``most`` rows a sample of about that many is taken, by a hash of the order's columns.
     """
@@ -176,8 +180,7 @@ def fit_svm(x: np.ndarray, y: np.ndarray, features: Sequence[str], mean: np.ndar
     std = np.where(std == 0, 1.0, std)
     z = (x - mean) / std
     gamma = gamma or 1.0 / (z.shape[1] * max(z.var(), 1e-12))
-    d = (z * z).sum(1)
-    k = np.exp(-gamma * np.maximum(d[:, None] + d[None, :] - 2 * z @ z.T, 0)) + 1.0
+    k = radial(z, z, gamma) + 1.0
     s = np.where(y > 0, 1.0, -1.0)
     a, f = np.zeros(len(s)), np.zeros(len(s))
     for _ in range(rounds):
@@ -209,40 +212,70 @@ def initial_network(d: int, width: int, rng: np.random.Generator) -> tuple[list[
     return layers, [[np.ones(width), np.zeros(width), np.zeros(width), np.ones(width)] for _ in range(3)]
 
 
-def fit_network(x: np.ndarray, y: np.ndarray, features: Sequence[str], mean: np.ndarray, std: np.ndarray, width: int = 64, seed: int = 42, epochs: int = SETTINGS.epochs, validation: tuple[np.ndarray, np.ndarray] | None = None) -> NetworkScorer:
-    """Adam on cross-entropy, in shuffled batches, with batch normalisation.
+class NetworkState:
+    """Parameters of the network, their moments under Adam, and the number of steps taken."""
 
-    ``history`` has each epoch's mean loss of its batches and, where rows for validation are given, their loss and the
-    percentage that is told right.
-    """
-    rng = np.random.default_rng(seed)
-    z = (x - mean) / (std + 1e-6)
-    layers, norms = initial_network(z.shape[1], width, rng)
-    learnt = [p for layer in layers for p in layer] + [p for n in norms for p in n[:2]]
-    first, second = [np.zeros_like(p) for p in learnt], [np.zeros_like(p) for p in learnt]
-    scorer = NetworkScorer(list(features), np.asarray(mean).tolist(), np.asarray(std).tolist(), layers, norms)
-    t = 0
-    for epoch in range(1, epochs + 1):
+    def __init__(self, layers: list[list], norms: list[list]):
+        self.layers, self.norms, self.steps = layers, norms, 0
+        self.learnt = [p for layer in layers for p in layer] + [p for n in norms for p in n[:2]]
+        self.first, self.second = [np.zeros_like(p) for p in self.learnt], [np.zeros_like(p) for p in self.learnt]
+
+    @classmethod
+    def initial(cls, d: int, width: int, seed: int) -> NetworkState:
+        return cls(*initial_network(d, width, np.random.default_rng(seed)))
+
+    def _arrays(self) -> list[np.ndarray]:
+        return [*self.learnt, *self.first, *self.second, *[p for n in self.norms for p in n[2:]]]
+
+    def flat(self) -> np.ndarray:
+        """All numbers in one array, the steps last."""
+        return np.concatenate([*[p.ravel() for p in self._arrays()], [float(self.steps)]])
+
+    def filled(self, flat: np.ndarray) -> NetworkState:
+        """A state of the same shape with the numbers of ``flat``."""
+        out = NetworkState([[np.empty_like(p) for p in layer] for layer in self.layers], [[np.empty_like(p) for p in n] for n in self.norms])
+        at = 0
+        for p in out._arrays():
+            p[...] = flat[at : at + p.size].reshape(p.shape)
+            at += p.size
+        out.steps = int(round(flat[at]))
+        return out
+
+    def epoch(self, z: np.ndarray, y: np.ndarray, rng: np.random.Generator) -> float:
+        """One pass of Adam over shuffled batches of z-scores; the mean loss of the batches."""
         losses = []
         for at in np.array_split(rng.permutation(len(z)), max(1, -(-len(z) // SETTINGS.batch))):
-            loss, grads, stats_ = gradients(layers, norms, z[at], y[at])
+            loss, grads, stats_ = gradients(self.layers, self.norms, z[at], y[at])
             losses.append(loss)
-            for n, (m, v) in zip(norms, stats_, strict=True):
+            for n, (m, v) in zip(self.norms, stats_, strict=True):
                 n[2] += BN_MOMENTUM * (m - n[2])
                 n[3] += BN_MOMENTUM * (v * len(at) / max(1, len(at) - 1) - n[3])
-            t += 1
-            for p, g, m, v in zip(learnt, grads, first, second, strict=True):
+            self.steps += 1
+            for p, g, m, v in zip(self.learnt, grads, self.first, self.second, strict=True):
                 m += 0.1 * (g - m)
                 v += 0.001 * (g**2 - v)
-                p -= SETTINGS.learning_rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
-        scorer.history.append({"epoch": epoch, "loss": float(np.mean(losses))})
+                p -= SETTINGS.learning_rate * (m / (1 - 0.9**self.steps)) / (np.sqrt(v / (1 - 0.999**self.steps)) + 1e-8)
+        return float(np.mean(losses))
+
+    def scorer(self, features: Sequence[str], mean: np.ndarray, std: np.ndarray, history: list[dict]) -> NetworkScorer:
+        layers, norms = [[p.tolist() for p in layer] for layer in self.layers], [[p.tolist() for p in n] for n in self.norms]
+        return NetworkScorer(list(features), np.asarray(mean).tolist(), np.asarray(std).tolist(), layers, norms, history)
+
+
+def fit_network(x: np.ndarray, y: np.ndarray, features: Sequence[str], mean: np.ndarray, std: np.ndarray, width: int = 64, seed: int = 42, epochs: int = SETTINGS.epochs, validation: tuple[np.ndarray, np.ndarray] | None = None) -> NetworkScorer:
+    """Adam on cross-entropy, in shuffled batches, with batch normalisation, of arrays; ``fits.fit_network`` is the form for tables.
+
+    ``history`` has each epoch's mean loss of its batches and, where rows for validation are given, their loss and the
+    percentage that is told right.
+    """
+    z, state, history = (x - mean) / (std + 1e-6), NetworkState.initial(x.shape[1], width, seed), []
+    for epoch in range(1, epochs + 1):
+        history.append({"epoch": epoch, "loss": state.epoch(z, y, np.random.default_rng([seed, epoch, 0]))})
         if validation is not None:
-            p, truth = scorer.forward(validation[0]), validation[1]
+            p, truth = state.scorer(features, mean, std, []).forward(validation[0]), validation[1]
             told = np.clip(np.where(truth == 1, p, 1 - p), 1e-12, 1)
-            scorer.history[-1] |= {"val_loss": float(-np.log(told).mean()), "val_accuracy": float(100 * ((p > 0.5) == (truth == 1)).mean())}
-    scorer.layers = [[a.tolist(), b.tolist()] for a, b in layers]
-    scorer.norms = [[p.tolist() for p in n] for n in norms]
-    return scorer
+            history[-1] |= {"val_loss": float(-np.log(told).mean()), "val_accuracy": float(100 * ((p > 0.5) == (truth == 1)).mean())}
+    return state.scorer(features, mean, std, history)
 
 
 def gradients(layers: list[list], norms: list[list], x: np.ndarray, y: np.ndarray) -> tuple[float, list[np.ndarray], list[tuple[np.ndarray, np.ndarray]]]:
@@ -302,13 +335,15 @@ def train(choice: str, rows: DataFrame, features: Sequence[str], y: str, order:
         return fit_forest(rows, features, y)
     if choice == "Ensemble":
         return Ensemble([train(c, rows, features, y, order) for c in ("RandomForest", "SVM", "ResNet")])
-    fits = {"SVM": fit_svm, "ResNet": fit_network, "Logistic": fit_linear}
-    if choice not in fits:
-        raise ValueError(f"unknown model: {choice}")
-    x, target, mean, std = matrix(rows, features, y, order)
-    if len(target) <= 1:
-        raise ValueError("too few labelled rows to fit a model")
-    return fits[choice](x, target, features, mean, std)
+    from acreframe.operators import fits
+
+    if choice == "Logistic":
+        return fits.fit_logistic(rows, features, y)
+    if choice == "SVM":
+        return fits.fit_kernel(rows, features, y, order)
+    if choice == "ResNet":
+        return fits.fit_network(rows, features, y, order)
+    raise ValueError(f"unknown model: {choice}")
 
 
 def tune(rows: DataFrame, features: Sequence[str], y: str, order: Sequence[str], svm: Sequence[dict] | None = None, trees: Sequence[int] = (100, 200), depths: Sequence[int] = (6, 8, 10)) -> dict[str, dict]:

@@ -294,6 +294,9 @@ sql("export_tiles", _PIXEL, body="SELECT tile, count(*) AS pixels, round(sum(nir
 sql("working_labels", _LABEL, body="SELECT id, lat, lon, tile, label FROM point")
 sql("training_gate", _LABEL, body="SELECT tile, count(*) AS rows, count(*) > 1 AS enough FROM point GROUP BY 1")
 sql("training_statistics", _FEATURE, _FULL, body=" UNION ALL ".join(f"SELECT 'f{i}' AS feature, round(avg(f{i}), 6) AS mean, round(stddev_pop(f{i}), 6) AS std, count(*) AS rows FROM full_" for i in range(8)))
+_AT = [((k * 5) % 7 - 3) / 10 for k in range(9)]
+_Z = "zs AS (SELECT y, " + ", ".join(f"(f{i} - avg(f{i}) OVER ())/(stddev_pop(f{i}) OVER () + 1e-6) AS z{i}" for i in range(8)) + ", 1e0 AS z8 FROM (SELECT full_.*, y FROM full_ JOIN feature USING (vec_id)) j)"
+sql("logistic_gradient", _FEATURE, _FULL, _Z, "told AS (SELECT *, 1/(1+exp(-(" + " + ".join(f"({w}e0)*z{i}" for i, w in enumerate(_AT)) + "))) AS q FROM zs)", body=" UNION ALL ".join(f"SELECT {i} AS place, round(sum(z{i}*(y-q)), 6) AS gradient, round(sum(z{i}*z{i}*q*(1-q)), 6) AS curvature FROM told" for i in range(9)))
 _LINEAR = "1/(1+exp(-(0.1e0 + (nir-25)/(10+1e-6) - 0.5e0*((red-4)/(2+1e-6)))))"
 sql("score_tile", _PIXEL, f"s AS (SELECT tile, r, c, {_LINEAR} AS p FROM pixel)", body="SELECT tile, r, c, round(p, 6) AS p, CASE WHEN p >= 0.5 THEN 1 ELSE 0 END AS predicted FROM s")
 sql("saved_ensemble", _FEATURE, body="SELECT vec_id, round((1/(1+exp(-(0.1e0 + 0.5e0*f1/(0.125e0+1e-6) - 0.25e0*f2/(0.125e0+1e-6)))) + 1/(1+exp(-(-0.2e0 + f4/(0.25e0+1e-6)))))/2, 6) AS p FROM feature")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from acreframe.config import SETTINGS
 from acreframe.functions import geo, images, stats
 from acreframe.functions import indices as X
-from acreframe.operators import composite, grid, labels, models, patches, patchnet, regions, sampling
+from acreframe.operators import composite, fits, grid, labels, models, patches, patchnet, quantiles, regions, sampling
 from acreframe.plans import exports, rounds
 from acreframe.sources import adapters as A
 from acreframe.sources import files, geotiff, sinks
@@ -495,9 +495,12 @@ def zscore_named(spark, d):
 @query
 def auto_tune_params(spark, d):
     """Percentiles of field sizes (10, cut to a whole number) and of uncertainty (40 and 60)."""
-    sizes = regions.component_sizes(mask(spark, d), 4).agg(F.expr("cast(percentile(n, 0.1) as int)").alias("min_field"))
-    u = A.pixels(spark, d).select(F.abs(C("p") - 0.5).alias("u")).agg(r6(F.expr("percentile(u, 0.4)"), "uncertainty_low"), r6(F.expr("percentile(u, 0.6)"), "uncertainty_high"))
-    return sizes.crossJoin(u)
+    sizes = files.kept(regions.component_sizes(mask(spark, d), 4).select("n"), "sizes")
+    unsure = files.kept(A.pixels(spark, d).select(F.abs(C("p") - 0.5).alias("u")), "uncertainty")
+    least = quantiles.percentiles(sizes, C("n"), [0.1])[0]
+    low, high = quantiles.percentiles(unsure, C("u"), [0.4, 0.6])
+    found = spark.createDataFrame([(None if least is None else int(least), low, high)], "min_field int, uncertainty_low double, uncertainty_high double")
+    return found.select("min_field", r6(C("uncertainty_low"), "uncertainty_low"), r6(C("uncertainty_high"), "uncertainty_high"))
 
 
 @query
@@ -799,8 +802,17 @@ def training_gate(spark, d):
 def training_statistics(spark, d):
     """Means and population deviations that a fit keeps, of imputed features."""
     f = A.features(spark, d)
-    x, y, mean, std = models.matrix(f, A.FEATURES, "y", ["vec_id"])
-    return spark.createDataFrame([(n, float(m), float(s), len(y)) for n, m, s in zip(A.FEATURES, mean, std, strict=True)], "feature string, mean double, std double, rows long").select("feature", r6(C("mean"), "mean"), r6(C("std"), "std"), "rows")
+    return fits.statistics_table(f, A.FEATURES, "y").select("feature", r6(C("mean"), "mean"), r6(C("std"), "std"), "rows")
+
+
+@query
+def logistic_gradient(spark, d):
+    """Gradient and the diagonal of the curvature of a logistic fit at given weights, sums over all labelled rows."""
+    f = A.features(spark, d)
+    _, mean, std = fits.statistics(f, A.FEATURES, "y")
+    weights = [((k * 5) % 7 - 3) / 10.0 for k in range(len(A.FEATURES) + 1)]
+    gradient, curvature = fits.logistic_sums(fits.labelled(f, A.FEATURES, "y", mean, std, 1e-6), weights)
+    return spark.createDataFrame([(k, float(g), float(curvature[k, k])) for k, g in enumerate(gradient)], "place int, gradient double, curvature double").select("place", r6(C("gradient"), "gradient"), r6(C("curvature"), "curvature"))
 
 
 @query
