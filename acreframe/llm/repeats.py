@@ -22,6 +22,7 @@ from __future__ import annotations
 import hashlib
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -148,6 +149,18 @@ class Layout:
         discard(self.table)
 
 
+@contextmanager
+def _buckets_hold(spark: SparkSession) -> Iterator[None]:
+    """Rows of one task and number lie in one bucket of the task, so that joins on both need not move what is bucketed by one."""
+    name = "spark.sql.requireAllClusterKeysForCoPartition"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "false")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def _bucket_values(spark: SparkSession, buckets: int) -> DataFrame:
     """(bucket, value) with a value that falls into each bucket, so that buckets are as even as the tasks that write them."""
     tries = spark.range(int(buckets * (np.log(buckets) + 20))).select(F.col("id").cast("int").alias("value"))
@@ -196,6 +209,11 @@ def places(layout: Layout, key: str, text: str, window: int = WINDOW, first: int
 
 def _finished(rows: DataFrame, key: str, text: str, window: int, first: int, digest: bool) -> DataFrame:
     """The rows with ``text`` replaced by what is kept, or by its SHA-256, and n_words, n_removed."""
+    with _buckets_hold(rows.sparkSession):
+        return _cut(rows, key, text, window, first, digest)
+
+
+def _cut(rows: DataFrame, key: str, text: str, window: int, first: int, digest: bool) -> DataFrame:
     words_, removed_ = unused(rows, "n_words", "n_removed")
     layout = Layout(rows)
     levels, lone, heads = places(layout, key, text, window, first)
