@@ -108,6 +108,8 @@ sql("label_features", _PLACED, _PIXEL, body="SELECT id, CASE WHEN lower(label) =
 sql("label_tile_rejects", _LABEL, body="SELECT id, tile FROM point WHERE tile IN ('tile7', 'tile8', 'tile9')")
 _WINDOW = "origin AS (SELECT id, tile, greatest(least(r-1, 37), 0) AS r0, greatest(least(c-1, 37), 0) AS c0 FROM placed), cell AS (SELECT id, tile, r0 + a.s AS r, c0 + b.s AS c, 3*a.s + b.s AS k FROM origin, (VALUES (0),(1),(2)) a(s), (VALUES (0),(1),(2)) b(s)), got AS (SELECT id, k, coalesce(round(nir, 6), 0) AS nir, coalesce(round(red, 6), 0) AS red FROM cell LEFT JOIN pixel ON cell.tile = pixel.tile AND cell.r = pixel.r AND cell.c = pixel.c)"
 sql("window3x3_features", _PLACED, _PIXEL, _WINDOW, body="SELECT id AS key, cast(2*count(*) AS int) AS n, round(sum(nir + red), 6) AS total, max(CASE WHEN k = 0 THEN nir END) AS first, max(CASE WHEN k = 8 THEN red END) AS last FROM got GROUP BY 1")
+# Points beyond their tile have no window in its file.
+sql("window_reads", _PLACED, _PIXEL, _WINDOW, "held AS (SELECT id FROM placed WHERE r BETWEEN 0 AND 39 AND c BETWEEN 0 AND 39 AND tile IN (SELECT tile FROM pixel))", body="SELECT id AS key, cast(2*count(*) AS int) AS n, round(sum(nir + red), 6) AS total, max(CASE WHEN k = 0 THEN nir END) AS first, max(CASE WHEN k = 8 THEN red END) AS last FROM got WHERE id IN (SELECT id FROM held) GROUP BY 1")
 sql("centred_patch", _PLACED, body="SELECT id, greatest(least(r-8, 24), 0) AS r0, greatest(least(c-8, 24), 0) AS c0 FROM placed")
 
 
@@ -200,6 +202,7 @@ sql(
     body=f"SELECT m.tile, m.r, m.c, round(B2_s1, 6) AS b2_s1, round(B8_s2, 6) AS b8_s2, round({_ndi('B8_s3', 'B4_s3')}, 6) AS ndvi_s3, round({_ndi('B8_s1', 'B12_s1')}, 6) AS nbr_s1, round(p.nir, 6) AS elevation, round(slope, 5) AS slope, round(CASE WHEN slope > 1e-9 THEN CASE WHEN t > 90 THEN 450 - t ELSE 90 - t END END, 5) AS aspect, 36 AS bands FROM m JOIN pixel p ON m.tile = p.tile AND m.r = p.r AND m.c = p.c LEFT JOIN turn u ON u.tile = m.tile AND u.r = m.r AND u.c = m.c",
 )
 sql("scene_bounds", _SCENE, body="SELECT tile, r, c, count(*) AS n FROM scene WHERE season = 2 AND ts >= TIMESTAMP '2024-01-11' AND cloud_pct < 60 AND r <= 2 AND r + 1 >= 1.5 AND c <= 1 AND c + 1 >= 0.5 GROUP BY 1, 2, 3")
+sql("scene_collection", _SCENE, body="SELECT tile, r, c, season, count(*) AS n, sum(B2) AS b2, max(qa) AS qa FROM scene WHERE ts >= TIMESTAMP '2024-01-11' AND ts < TIMESTAMP '2024-01-21' AND cloud_pct < 60 AND tile BETWEEN 3 AND 40 GROUP BY 1, 2, 3, 4")
 sql("expression_dsl", _PIXEL, body="SELECT tile, r, c, round(2.5e0*(nir-red)/(nir+2.4e0*red+1), 6) AS evi2 FROM pixel")
 sql("overlay_points", _PIXEL, _RANKED, "dot AS (SELECT tile, r, c FROM ranked WHERE rank <= 2)", body="SELECT p.tile, count(*) FILTER (WHERE EXISTS (SELECT 1 FROM dot WHERE dot.tile = p.tile AND (dot.r-p.r)*(dot.r-p.r) + (dot.c-p.c)*(dot.c-p.c) <= 4)) AS marked, count(*) AS pixels FROM pixel p GROUP BY 1")
 sql("answered_candidates", _LABEL, body="SELECT id, tile, CASE WHEN k % 2 = 1 THEN 'Agricultural' WHEN k % 3 <> 0 THEN label ELSE '' END AS label FROM point")

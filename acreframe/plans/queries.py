@@ -11,7 +11,8 @@ from acreframe.functions import indices as X
 from acreframe.operators import composite, fits, grid, labels, models, patches, patchnet, quantiles, regions, sampling
 from acreframe.plans import exports, rounds
 from acreframe.sources import adapters as A
-from acreframe.sources import files, geotiff, sinks
+from acreframe.sources import files, geotiff, sinks, windows
+from acreframe.sources import scenes as scene_files
 
 QUERIES = {}
 SIDE = 40  # rows and columns of the adapter's tiles
@@ -286,6 +287,17 @@ def window3x3_features(spark, d):
     return found.select("key", F.size("features").alias("n"), r6(F.aggregate("features", F.lit(0.0), lambda a, b: a + b), "total"), C("features")[0].alias("first"), C("features")[17].alias("last"))
 
 
+@query
+def window_reads(spark, d):
+    """The same windows from files: only the strips that windows meet are read."""
+    folder = files.shared_folder(spark, "strips")
+    sinks.write_rasters(A.pixels(spark, d), ["nir", "red"], folder, SIDE, SIDE, TRANSFORM, strip_rows=4).agg(F.sum("pixels")).first()
+    points = placed_labels(spark, d).select(C("id").alias("key"), F.concat(F.lit("tile_"), C("tile").cast("string")).alias("tile"), "r", "c")
+    found = windows.read_windows(points, files.kept(windows.geometry(spark, folder), "geometry"), [0, 1])
+    values = F.transform("features", lambda v: F.round(v, 6))
+    return found.select("key", F.size("features").alias("n"), r6(F.aggregate(values, F.lit(0.0), lambda a, b: a + b), "total"), values[0].alias("first"), values[17].alias("last"))
+
+
 @query
 def centred_patch(spark, d):
     """Origin of the 16-cell patch around each label, moved to stay inside."""
@@ -667,6 +679,15 @@ def scene_bounds(spark, d):
     return composite.intersecting(composite.select_scenes(s, "2024-01-11", "2024-01-21", 60.0), 1.5, 0.5, 2.0, 1.0).groupBy("tile", "r", "c").agg(F.count("*").alias("n"))
 
 
+@query
+def scene_collection(spark, d):
+    """The same scenes and season by season counts from a collection of files: time, cloud and place go to the source, which skips files."""
+    folder = files.shared_folder(spark, "scenes")
+    scene_files.write_scenes(A.scenes(spark, d), folder)
+    found = composite.select_scenes(scene_files.read_scenes(spark, folder), "2024-01-11", "2024-01-21", 60.0, (3, 40))
+    return found.groupBy("tile", "r", "c", "season").agg(F.count("*").alias("n"), F.sum("B2").alias("b2"), F.max("qa").alias("qa"))
+
+
 @query
 def expression_dsl(spark, d):
     """An index as a formula with named operands."""

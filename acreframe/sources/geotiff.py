@@ -196,7 +196,10 @@ def _kind(order: str, tags: dict[int, tuple]) -> np.dtype:
 
 
 def metadata(data: bytes) -> Metadata:
-    order, tags = tags_of(data)
+    return metadata_of(tags_of(data)[1])
+
+
+def metadata_of(tags: dict[int, tuple]) -> Metadata:
     if MATRIX in tags:
         m = tags[MATRIX]
         transform = (m[0], m[1], m[3], m[4], m[5], m[7])
@@ -217,40 +220,86 @@ def metadata(data: bytes) -> Metadata:
     return Metadata(tags[WIDTH][0], tags[HEIGHT][0], bands, _kind("<", tags).name, transform, float(missing) if missing else None, of.get(PROJECTED, of.get(GEOGRAPHIC)), names)
 
 
+@dataclass
+class Blocks:
+    """How a file's pixels lie in strips or tiles: ``places`` and ``sizes`` of their bytes, plane by plane if the file is planar."""
+
+    width: int
+    height: int
+    depth: int
+    kind: np.dtype
+    packed: int
+    predictor: int
+    planar: bool
+    tiled: bool
+    block_width: int
+    block_height: int
+    places: tuple[int, ...]
+    sizes: tuple[int, ...]
+
+    @classmethod
+    def of(cls, order: str, tags: dict[int, tuple]) -> Blocks:
+        w, h, tiled = tags[WIDTH][0], tags[HEIGHT][0], TILES in tags
+        wide, high = tags.get(TILE_WIDTH, (w,))[0], tags[TILE_HEIGHT][0] if TILE_HEIGHT in tags else min(tags.get(ROWS_PER_STRIP, (h,))[0], h)
+        places, sizes = (tags[TILES], tags[TILE_BYTES]) if tiled else (tags[STRIPS], tags[STRIP_BYTES])
+        return cls(w, h, tags.get(SAMPLES, (1,))[0], _kind(order, tags), tags.get(COMPRESSION, (1,))[0], tags.get(PREDICTOR, (1,))[0], tags.get(PLANAR, (1,))[0] == 2, tiled, wide, high, places, sizes)
+
+    @property
+    def across(self) -> int:
+        return -(-self.width // self.block_width)
+
+    @property
+    def cells(self) -> int:
+        """Blocks of a plane."""
+        return self.across * -(-self.height // self.block_height)
+
+    def numbers(self, cell: int, bands: Sequence[int]) -> list[int]:
+        """The blocks that hold the bands of a cell of the grid of blocks."""
+        return [band * self.cells + cell for band in bands] if self.planar else [cell]
+
+    def unpack(self, raw: bytes, cell: int) -> np.ndarray:
+        """(planes of the block, rows, columns) of the bytes of a block, without what lies beyond the file's edge."""
+        if self.packed == LZW:
+            raw = unpack_lzw(raw)
+        elif self.packed in (DEFLATE, OLD_DEFLATE):
+            raw = zlib.decompress(raw)
+        elif self.packed == PACKBITS:
+            raw = unpack_bits(raw)
+        elif self.packed != NONE:
+            raise ValueError(f"compression {self.packed}")
+        r, c = self.origin(cell)
+        rows = self.block_height if self.tiled else min(self.block_height, self.height - r)
+        block = undo_prediction(raw, self.kind, self.predictor, rows, self.block_width, 1 if self.planar else self.depth)
+        return block.transpose(2, 0, 1)[:, : self.height - r, : self.width - c]
+
+    def origin(self, cell: int) -> tuple[int, int]:
+        return cell // self.across * self.block_height, cell % self.across * self.block_width
+
+    def read(self, data, cell: int, bands: Sequence[int]) -> np.ndarray:
+        """(bands, rows, columns) of a cell; ``data`` is the file's bytes, or what reads a slice of them."""
+        parts = [self.unpack(data[self.places[k] : self.places[k] + self.sizes[k]], cell) for k in self.numbers(cell, bands)]
+        return np.concatenate(parts) if self.planar else parts[0][list(bands)]
+
+
 def decode(data: bytes, bands: Sequence[int] | None = None) -> tuple[np.ndarray, tuple[float, ...]]:
     """(array of bands, rows, columns; affine transform (a, b, c, d, e, f)); ``bands`` picks some, from 0.
 
     Of files that hold band by band, only the blocks of those bands are unpacked.
     """
+    image, found = decoded(data, bands)
+    return image, found.transform
+
+
+def decoded(data: bytes, bands: Sequence[int] | None = None) -> tuple[np.ndarray, Metadata]:
+    """(array of bands, rows, columns; what the file tells besides), from one reading of its directory."""
     order, tags = tags_of(data)
-    w, h, depth = tags[WIDTH][0], tags[HEIGHT][0], tags.get(SAMPLES, (1,))[0]
-    kind, packed, predictor = _kind(order, tags), tags.get(COMPRESSION, (1,))[0], tags.get(PREDICTOR, (1,))[0]
-    planar = tags.get(PLANAR, (1,))[0] == 2
-    tw, th = tags.get(TILE_WIDTH, (w,))[0], tags[TILE_HEIGHT][0] if TILE_HEIGHT in tags else min(tags.get(ROWS_PER_STRIP, (h,))[0], h)
-    across, down = -(-w // tw), -(-h // th)
-    chosen = list(range(depth)) if bands is None else list(bands)
-    out = np.zeros((len(chosen), h, w), kind.newbyteorder("="))
-    places, sizes = (tags[TILES], tags[TILE_BYTES]) if TILES in tags else (tags[STRIPS], tags[STRIP_BYTES])
-    for k, (place, size) in enumerate(zip(places, sizes, strict=True)):
-        plane, cell = divmod(k, across * down) if planar else (0, k)
-        if planar and plane not in chosen:
-            continue
-        raw = data[place : place + size]
-        if packed == LZW:
-            raw = unpack_lzw(raw)
-        elif packed in (DEFLATE, OLD_DEFLATE):
-            raw = zlib.decompress(raw)
-        elif packed == PACKBITS:
-            raw = unpack_bits(raw)
-        elif packed != NONE:
-            raise ValueError(f"compression {packed}")
-        r, c = cell // across * th, cell % across * tw
-        rows = th if TILES in tags else min(th, h - r)
-        block = undo_prediction(raw, kind, predictor, rows, tw, 1 if planar else depth).transpose(2, 0, 1)[:, : h - r, : w - c]
-        for n, band in enumerate(chosen):
-            if not planar or band == plane:
-                out[n, r : r + block.shape[1], c : c + block.shape[2]] = block[0 if planar else band]
-    return out, metadata(data).transform
+    blocks = Blocks.of(order, tags)
+    chosen = list(range(blocks.depth)) if bands is None else list(bands)
+    out = np.zeros((len(chosen), blocks.height, blocks.width), blocks.kind.newbyteorder("="))
+    for cell in range(blocks.cells):
+        (r, c), part = blocks.origin(cell), blocks.read(data, cell, chosen)
+        out[:, r : r + part.shape[1], c : c + part.shape[2]] = part
+    return out, metadata_of(tags)
 
 
 def encode(image: np.ndarray, transform: tuple[float, ...], compression: str = "none", predictor: int = 1, nodata: float | None = None, epsg: int | None = None, descriptions: Sequence[str] | None = None, strip_rows: int = 256) -> bytes:
@@ -301,8 +350,8 @@ def read_pixels(spark: SparkSession, folder: str, bands: list[int] | None = None
     def run(batches):
         for batch in batches:
             for tile, content in zip(batch["tile"], batch["content"], strict=True):
-                image, (a, _, c, _, e, f) = decode(content, bands)
-                missing = metadata(content).nodata
+                image, found = decoded(content, bands)
+                (a, _, c, _, e, f), missing = found.transform, found.nodata
                 image = image.astype(float)
                 if missing is not None:
                     image[image == missing] = np.nan

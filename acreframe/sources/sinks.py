@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from acreframe.config import SETTINGS
 from acreframe.functions import geo, images
-from acreframe.sources import geotiff
+from acreframe.sources import rasters
 from acreframe.sources.files import put_file
 
 
@@ -34,32 +34,15 @@ def write_once(rows: DataFrame, path: str) -> None:
 def write_masks(mask: DataFrame, folder: str, height: int, width: int, transform: tuple[float, ...], on: int = 1, epsg: int = SETTINGS.epsg) -> DataFrame:
     """(tile, path, pixels) of an LZW GeoTIFF of unsigned bytes for each tile of a mask (tile, r, c, v), 0 where there is no pixel.
 
-    Files go to a folder of their own, of a file system that all executors share, never beside the inputs; ``on`` is the
-    value of set pixels, 1 or 255.
+    Files go to a folder of their own, of a file system that all executors share, never beside the inputs, and are there when all
+    are (``sources/rasters``); ``on`` is the value of set pixels, 1 or 255.
     """
+    return rasters.save(mask, ["v"], folder, height, width, transform, dtype="uint8", compression="lzw", epsg=epsg, prefix="", suffix="_mask", on=on, count="set")
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        image = np.zeros((1, height, width), "uint8")
-        image[0, pdf.r.to_numpy(), pdf.c.to_numpy()] = pdf.v.to_numpy() * on
-        path = put_file(folder, f"{pdf.tile.iloc[0]}_mask.tif", geotiff.encode(image, transform, "lzw", epsg=epsg))
-        return pd.DataFrame({"tile": [pdf.tile.iloc[0]], "path": [path], "pixels": [int((image > 0).sum())]})
-
-    kind = mask.schema["tile"].dataType.simpleString()
-    return mask.select("tile", "r", "c", "v").groupBy("tile").applyInPandas(run, f"tile {kind}, path string, pixels bigint")
 
-
-def write_rasters(pixels: DataFrame, bands: Sequence[str], folder: str, height: int, width: int, transform: tuple[float, ...], nodata: float = -9999.0, epsg: int = SETTINGS.epsg) -> DataFrame:
+def write_rasters(pixels: DataFrame, bands: Sequence[str], folder: str, height: int, width: int, transform: tuple[float, ...], nodata: float = -9999.0, epsg: int = SETTINGS.epsg, strip_rows: int = 256) -> DataFrame:
     """(tile, path, pixels) of a Deflate GeoTIFF of doubles for each tile of pixels (tile, r, c, bands), named by tile and bands."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        image = np.full((len(bands), height, width), nodata)
-        for k, b in enumerate(bands):
-            image[k, pdf.r.to_numpy(), pdf.c.to_numpy()] = np.nan_to_num(pdf[b].to_numpy(float), nan=nodata)
-        path = put_file(folder, f"tile_{pdf.tile.iloc[0]}.tif", geotiff.encode(image, transform, "deflate", 3, nodata, epsg, list(bands)))
-        return pd.DataFrame({"tile": [pdf.tile.iloc[0]], "path": [path], "pixels": [len(pdf)]})
-
-    kind = pixels.schema["tile"].dataType.simpleString()
-    return pixels.select("tile", "r", "c", *bands).groupBy("tile").applyInPandas(run, f"tile {kind}, path string, pixels bigint")
+    return rasters.save(pixels, bands, folder, height, width, transform, predictor=3, nodata=nodata, epsg=epsg, named=True, strip_rows=strip_rows)
 
 
 def write_pictures(pixels: DataFrame, folder: str, height: int, width: int) -> DataFrame:
