@@ -28,6 +28,7 @@ class Settings:
     candidates_per_round: int = 5
     random_per_tile: int = 5
     sieve_pixels: int = 50
+    block: int = 1024  # cells of a side of the blocks that tiles are labelled in
     forest: dict = field(default_factory=lambda: {"numTrees": 100, "maxDepth": 8})
     svm_c: float = 1.0
     fit_rows: int = 5000  # labelled rows of a worker of a network's fit, and of a search over settings

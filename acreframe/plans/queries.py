@@ -16,6 +16,7 @@ from acreframe.sources import scenes as scene_files
 
 QUERIES = {}
 SIDE = 40  # rows and columns of the adapter's tiles
+BLOCK = 16  # smaller than a tile, so that regions cross blocks
 ORDER = ["tile", "r", "c"]
 BANDS = ["blue", "green", "red", "nir", "swir1", "swir2"]
 C = F.col
@@ -379,24 +380,24 @@ def terrain_slope_aspect(spark, d):
 
 @query
 def components4(spark, d):
-    return regions.components(mask(spark, d).where("v = 1"), 4).select(*ORDER, (C("root_r") * SIDE + C("root_c")).alias("root"))
+    return regions.components(mask(spark, d).where("v = 1"), 4, BLOCK).select(*ORDER, (C("root_r") * SIDE + C("root_c")).alias("root"))
 
 
 @query
 def components8(spark, d):
-    return regions.component_sizes(mask(spark, d), 8).select("tile", (C("root_r") * SIDE + C("root_c")).alias("root"), "n")
+    return regions.component_sizes(mask(spark, d), 8, BLOCK).select("tile", (C("root_r") * SIDE + C("root_c")).alias("root"), "n")
 
 
 @query
 def field_sizes(spark, d):
-    sizes = regions.component_sizes(mask(spark, d), 4)
+    sizes = regions.component_sizes(mask(spark, d), 4, BLOCK)
     return sizes.groupBy("tile").agg(F.count("*").alias("fields"), F.sum("n").alias("pixels"), F.max("n").alias("largest"), r6(F.avg("n"), "mean"))
 
 
 @query
 def sieve50(spark, d):
     """Percent of agricultural pixels of each tile after the sieve."""
-    return regions.sieve(mask(spark, d)).groupBy("tile").agg(F.count("*").alias("pixels"), F.sum("v").alias("agri"), r6(F.avg("v") * 100, "pct_agricultural"))
+    return regions.sieve(mask(spark, d), block=BLOCK).groupBy("tile").agg(F.count("*").alias("pixels"), F.sum("v").alias("agri"), r6(F.avg("v") * 100, "pct_agricultural"))
 
 
 @query
@@ -418,7 +419,7 @@ def boundary_edges(spark, d):
 
 @query
 def polygon_count(spark, d):
-    p = regions.polygons(mask(spark, d))
+    p = regions.polygons(mask(spark, d), BLOCK)
     return p.groupBy("tile").agg(F.count("*").alias("polygons"), F.sum("net_area").cast("bigint").alias("pixels"))
 
 
@@ -436,7 +437,7 @@ def polygons_kml(spark, d):
 @query
 def exterior_ring(spark, d):
     """Corners of each polygon's outer ring; holes stay with the polygon but are not listed."""
-    p = regions.polygons(mask(spark, d))
+    p = regions.polygons(mask(spark, d), BLOCK)
     return p.select("tile", "root_r", "root_c", F.size(C("rings")[0]).alias("corners"), F.round("outer_area", 1).alias("outer_area"), "holes", F.lit("EPSG:32627").alias("crs"))
 
 
