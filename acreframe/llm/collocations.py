@@ -29,13 +29,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from acreframe.llm._shared import discard, file_system, mapped, mixed, scratch, slices, written
+from acreframe.llm._shared import discard, file_system, mapped, mixed, scratch, slices, trim, written
 
 LEAST, MOST, TOP = 10, 3, 2000  # occurrences, words of a phrase, phrases of a language in the result
 SHARD = 500_000  # keys of a shard
 BLOCK = 4096  # slots of a block
-HELD = 256_000_000  # bytes of shards, and of counts, that a task holds
-CHARS = 6_000_000  # characters that are dealt with at once
+HELD = 128_000_000  # bytes of shards, and of counts, that a task holds
+CHARS = 2_000_000  # characters that are dealt with at once
 GROUPS = 16  # groups of tasks in the tree of sums
 SALTS = 64
 _PARTS = r"[.,;:!?\x0a-\x0d]+"
@@ -51,7 +51,8 @@ class Phrases:
     def __init__(self, texts: pa.Array, langs: pa.Array):
         import xxhash
 
-        plain = pc.replace_substring_regex(pc.ascii_lower(pc.fill_null(texts, "").cast(pa.large_string())), _PARTS, f" {_BREAK} ")
+        # Lower case before the cast: of large strings that are part of a longer array it comes out wrong.
+        plain = pc.replace_substring_regex(pc.ascii_lower(pc.fill_null(texts, "")).cast(pa.large_string()), _PARTS, f" {_BREAK} ")
         split = pc.ascii_split_whitespace(plain)
         flat, owner = split.flatten(), pc.list_parent_indices(split).to_numpy()
         full = pc.not_equal(flat, "")
@@ -265,6 +266,7 @@ def candidates(rows: DataFrame, text: str, lang: str, length: int, shorter: Cand
             n = np.diff(np.append(heads, len(order)))
             owner = np.minimum.reduceat(words.documents[words.owner[at]][order], heads) if len(heads) else np.zeros(0, np.int32)
             yield pa.RecordBatch.from_arrays([pa.array(one[order[heads]].view(np.int64)), pa.array(two[order[heads]].view(np.int32)), pa.array(n), pa.array(owner)], names=["one", "two", "n", "owner"])
+        trim()
 
     seen = mapped(rows.select(text, lang), run, "one bigint, two int, n bigint, owner int").groupBy("one", "two").agg(F.sum("n").alias("n"), F.min("owner").alias("owner"))
     keys = written(seen.where(F.col("n") >= least).select("one", "two", "owner"), f"candidates-{length}")
@@ -361,6 +363,7 @@ def counted(rows: DataFrame, text: str, lang: str, found: list[Candidates]) -> D
                 yield from blocks()
         yield from blocks()
         yield batch(lang=list(told), n=list(told.values()))
+        trim()
 
     return written(mapped(rows.select(text, lang), run, _COUNTED), "counted")
 

@@ -226,6 +226,20 @@ def test_collocations_defined_results(hard, none):  # noqa: F811
     assert collocations.mined(none).count() == 0 and collocations.mined(hard).count() == 0
 
 
+@pytest.mark.parametrize("cut", [(0, 50), (7, 40), (49, 1), (13, 0)])
+def test_words_of_a_part_of_a_batch(cut):
+    """Batches are dealt with in slices; words of a slice are those of its texts."""
+    import pyarrow as pa
+
+    texts = [None if i % 9 == 4 else f"Ünï{i} ÇA  va\t日本.B{'é' * i}\nX" for i in range(50)]
+    part, own = pa.array(texts, pa.string()).slice(*cut), texts[cut[0] : cut[0] + cut[1]]
+    got = collocations.Phrases(part, pa.array(["en"] * 50).slice(*cut))
+    lower = str.maketrans(string.ascii_uppercase, string.ascii_lowercase)
+    assert [got.words[int(k)].as_py() for k in got.at] == [w for t in own for w in re.sub(r"[.\n]", " . ", (t or "").translate(lower)).split()]
+    plain = repeats.Words(part, 2)
+    assert plain.words.to_pylist() == [w for t in own for w in (t or "").split()] and plain.count.tolist() == [len((t or "").split()) for t in own]
+
+
 def test_perfect_hash_is_minimal_and_knows_its_keys():
     r = np.random.default_rng(5)
     one = r.integers(0, 2**63, 50_000).astype(np.uint64)
