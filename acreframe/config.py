@@ -28,6 +28,7 @@ class Settings:
     candidates_per_round: int = 5
     random_per_tile: int = 5
     sieve_pixels: int = 50
+    crowd: int = 10_000  # rows of a cell of the plane beyond which it is divided among tasks
     block: int = 1024  # cells of a side of the blocks that tiles are labelled in
     forest: dict = field(default_factory=lambda: {"numTrees": 100, "maxDepth": 8})
     svm_c: float = 1.0

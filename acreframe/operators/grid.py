@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from acreframe.config import SETTINGS
+from acreframe.operators import cells
 
 # Bounding boxes (name, least lon, least lat, most lon, most lat) of the regions of interest (fixed values).
 ISLANDS = (
@@ -49,17 +50,18 @@ def tile_grid(regions: DataFrame, cap: float = SETTINGS.tile_degrees) -> DataFra
     )
 
 
-def tile_of_point(points: DataFrame, tiles: DataFrame, key: str, cell: float = SETTINGS.tile_degrees) -> DataFrame:
+def tile_of_point(points: DataFrame, tiles: DataFrame, key: str, cell: float = SETTINGS.tile_degrees, most: int = SETTINGS.crowd) -> DataFrame:
     """The first tile, by name, whose box holds a point, borders included; null where none does.
 
-    Tiles are listed under the cells of a grid that they touch, so points meet few tiles through an equi-join.
+    Tiles are listed under the cells of a grid that they touch, so each place meets few tiles through an equi-join; cells where
+    places crowd are divided among tasks.
     """
     span = lambda a, b: F.explode(F.sequence(F.floor(F.col(a) / cell), F.floor(F.col(b) / cell)))
     listed = tiles.withColumn("_gx", span("x0", "x1")).withColumn("_gy", span("y0", "y1"))
-    placed = points.withColumns({"_px": F.floor(F.col("lon") / cell), "_py": F.floor(F.col("lat") / cell)})
-    hit = placed.join(listed, (F.col("_px") == F.col("_gx")) & (F.col("_py") == F.col("_gy")) & F.col("lon").between(F.col("x0"), F.col("x1")) & F.col("lat").between(F.col("y0"), F.col("y1")))
-    first = hit.groupBy(F.col(key).alias("_key")).agg(F.min("tile").alias("tile"))
-    return points.drop("tile").join(first, F.col(key) == F.col("_key"), "left").drop("_key")
+    placed = points.select(F.col("lat").alias("_lat"), F.col("lon").alias("_lon")).distinct().withColumns({"_gx": F.floor(F.col("_lon") / cell), "_gy": F.floor(F.col("_lat") / cell)})
+    hit = cells.joined(placed, listed, ["_gx", "_gy"], F.col("_lon").between(F.col("x0"), F.col("x1")) & F.col("_lat").between(F.col("y0"), F.col("y1")), most)
+    first = hit.groupBy("_lat", "_lon").agg(F.min("tile").alias("tile"))
+    return points.drop("tile").join(first, (F.col("lat") == F.col("_lat")) & (F.col("lon") == F.col("_lon")), "left").drop("_lat", "_lon")
 
 
 def slope_aspect(pixels: DataFrame, value: str, step: float = 1.0) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from acreframe.config import NEGATIVE, POSITIVE, SETTINGS
+from acreframe.operators import cells
 from acreframe.sources.files import kept
 
 
@@ -52,18 +53,27 @@ def balanced(labels: DataFrame, key: str, ratio: float) -> DataFrame:
     return inside.unionByName(edge).select(*labels.columns)
 
 
-def near_duplicates(new: DataFrame, known: DataFrame, key: str, tolerance: float = SETTINGS.duplicate_degrees, keep_duplicates: bool = True) -> DataFrame:
+def near_duplicates(new: DataFrame, known: DataFrame, key: str, tolerance: float = SETTINGS.duplicate_degrees, keep_duplicates: bool = True, most: int = SETTINGS.crowd) -> DataFrame:
     """New points nearer than ``tolerance`` to a known one (strictly), or the others; points without place are never near.
 
-    Points go to cells a tolerance wide, and known ones also to the eight cells around: an equi-join on the cell, with the
-    distance as a residual test, instead of a nested loop.
+    Nearness hangs on the place alone, so each place is looked at once. A place whose cell of half a tolerance a side holds a known
+    one is near: the cell's diagonal is shorter than the tolerance. The other places meet known ones by an equi-join on cells a
+    tolerance wide, known ones also standing in the eight cells around, with the distance as a residual test; cells where
+    known places crowd are divided among tasks.
     """
-    cell = lambda c: F.floor(F.col(c) / tolerance)
+    cell = lambda c, side: F.floor(F.col(c) / side).cast("long")
+    half = lambda rows: rows.withColumns({"_hi": cell("lat", tolerance / 2), "_hj": cell("lon", tolerance / 2)})
+    places = half(new.select("lat", "lon").where("lat is not null and lon is not null").distinct())
+    there = half(known.select("lat", "lon").where("lat is not null and lon is not null").distinct())
+    occupied = there.select("_hi", "_hj").distinct()
+    surely = places.join(occupied, ["_hi", "_hj"], "left_semi").select("lat", "lon")
+    others = places.join(occupied, ["_hi", "_hj"], "left_anti").select("lat", "lon", cell("lat", tolerance).alias("_ci"), cell("lon", tolerance).alias("_cj"))
     around = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)]))
-    spread = known.select(F.col("lat").alias("_lat"), F.col("lon").alias("_lon"), cell("lat").alias("_i"), cell("lon").alias("_j"), around.alias("_o"))
+    spread = there.select(F.col("lat").alias("_lat"), F.col("lon").alias("_lon"), cell("lat", tolerance).alias("_i"), cell("lon", tolerance).alias("_j"), around.alias("_o"))
     spread = spread.select("_lat", "_lon", (F.col("_i") + F.col("_o.i")).alias("_ci"), (F.col("_j") + F.col("_o.j")).alias("_cj"))
-    on = (cell("lat") == F.col("_ci")) & (cell("lon") == F.col("_cj")) & (F.hypot(F.col("lat") - F.col("_lat"), F.col("lon") - F.col("_lon")) < tolerance)
-    return new.join(spread, on, "left_semi" if keep_duplicates else "left_anti")
+    met = cells.joined(spread, others, ["_ci", "_cj"], F.hypot(F.col("lat") - F.col("_lat"), F.col("lon") - F.col("_lon")) < tolerance, most).select("lat", "lon")
+    near = surely.unionByName(met).distinct().select(F.col("lat").alias("_lat"), F.col("lon").alias("_lon"))
+    return new.join(near, (new["lat"] == F.col("_lat")) & (new["lon"] == F.col("_lon")), "left_semi" if keep_duplicates else "left_anti")
 
 
 def normalise_legacy(legacy: DataFrame) -> DataFrame:

@@ -102,6 +102,25 @@ _UTM = """q AS (SELECT 6378137e0 AS a, 1e0/298.257223563e0 AS fl), w AS (SELECT
 _EAST = "eta" + "".join(f" + a{k}*cos({2 * k}*xi)*sinh({2 * k}*eta)" for k in (1, 2, 3, 4))
 _NORTH = "xi" + "".join(f" + a{k}*sin({2 * k}*xi)*cosh({2 * k}*eta)" for k in (1, 2, 3, 4))
 sql("utm_forward", _LABEL, _UTM, body=f"SELECT id, round(500000e0 + big*({_EAST}), 3) AS x, round(big*({_NORTH}), 3) AS y FROM e")
+# The way back, and tiles in degrees whose cells are looked up by the centres of a grid of 10 m.
+_BACK = [("n/2 - 2*n*n/3 + 37*n*n*n/96 - n*n*n*n/360", 1), ("n*n/48 + n*n*n/15 - 437*n*n*n*n/1440", 2), ("17*n*n*n/480 - 37*n*n*n*n/840", 3), ("4397*n*n*n*n/161280", 4)]
+_SPOTS = " UNION ALL ".join(f"SELECT tile AS id, lat0 - 0.0001e0*40*{a} AS lat, lon0 + 0.0001e0*40*{b} AS lon FROM box" for a in ("0e0", "0.5e0", "1e0") for b in ("0e0", "0.5e0", "1e0"))
+_WARP = (
+    "box AS (SELECT DISTINCT tile, tile % 200 * 0.0041e0 - 24.4e0 AS lon0, floor(tile / 200) * 0.0041e0 + 16.65e0 AS lat0 FROM pixel)",
+    f"point AS ({_SPOTS})",
+    _UTM,
+    f"met AS (SELECT id AS tile, 500000e0 + big*({_EAST}) AS x, big*({_NORTH}) AS y FROM e)",
+    "span AS (SELECT tile, cast(floor(min(x)/10) AS bigint) AS x0, cast(ceil(max(x)/10) AS bigint) AS x1, cast(floor(min(y)/10) AS bigint) AS y0, cast(ceil(max(y)/10) AS bigint) AS y1 FROM met GROUP BY 1)",
+    "grid AS (SELECT tile, gx, unnest(range(y0, y1)) AS gy FROM (SELECT *, unnest(range(x0, x1)) AS gx FROM span) u)",
+    "zone AS (SELECT tile, gx, gy, ((gy + 0.5e0)*10) / h.big AS xi0, ((gx + 0.5e0)*10 - 500000e0) / h.big AS eta0, h.ec, w.n FROM grid, h, w)",
+    "turn AS (SELECT *, xi0 - (" + " + ".join(f"({b})*sin({2 * k}*xi0)*cosh({2 * k}*eta0)" for b, k in _BACK) + ") AS xi, eta0 - (" + " + ".join(f"({b})*cos({2 * k}*xi0)*sinh({2 * k}*eta0)" for b, k in _BACK) + ") AS eta FROM zone)",
+    "psi AS (SELECT *, asinh(sin(xi) / sqrt(sinh(eta)*sinh(eta) + cos(xi)*cos(xi))) AS psi FROM turn)",
+    "back AS (SELECT tile, gx, gy, degrees(asin(list_reduce(list_prepend(tanh(psi), [1e0, 2e0, 3e0, 4e0, 5e0, 6e0, 7e0, 8e0]), lambda s, k: tanh(psi + ec*atanh(ec*s))))) AS lat, -21e0 + degrees(atan2(sinh(eta), cos(xi))) AS lon FROM psi)",
+    "seen AS (SELECT back.tile, gx, gy, (lat0 - lat)/0.0001e0 AS fr, (lon - lon0)/0.0001e0 AS fc FROM back JOIN box ON box.tile = back.tile), inside AS (SELECT * FROM seen WHERE fr >= 0 AND fc >= 0 AND fr < 40 AND fc < 40)",
+)
+sql("warp_nearest", _PIXEL, *_WARP, body="SELECT i.tile, gx, gy, p.r, p.c, round(nir, 6) AS nir, round(red, 6) AS red FROM inside i JOIN pixel p ON p.tile = i.tile AND p.r = floor(fr) AND p.c = floor(fc)")
+_FOURFOLD = "four AS (SELECT tile, gx, gy, greatest(least(floor(fr - 0.5e0) + a, 39), 0) AS r, greatest(least(floor(fc - 0.5e0) + b, 39), 0) AS c, CASE a WHEN 1 THEN fr - 0.5e0 - floor(fr - 0.5e0) ELSE 1 - (fr - 0.5e0 - floor(fr - 0.5e0)) END * CASE b WHEN 1 THEN fc - 0.5e0 - floor(fc - 0.5e0) ELSE 1 - (fc - 0.5e0 - floor(fc - 0.5e0)) END AS w FROM inside, (VALUES (0, 0), (0, 1), (1, 0), (1, 1)) o(a, b))"
+sql("warp_bilinear", _PIXEL, *_WARP, _FOURFOLD, body="SELECT f.tile, gx, gy, round(sum(w*nir)/sum(w), 4) AS nir, round(sum(w*red)/sum(w), 4) AS red FROM four f LEFT JOIN pixel p ON p.tile = f.tile AND p.r = f.r AND p.c = f.c WHERE w > 0 GROUP BY 1, 2, 3 HAVING count(*) = count(nir)")
 sql("utm_roundtrip", _LABEL, body="SELECT id, true AS close FROM point")
 sql("pixel_at_label", _PLACED, _PIXEL, body="SELECT id, placed.tile, placed.r, placed.c, round(nir, 6) AS nir, round(red, 6) AS red FROM placed LEFT JOIN pixel ON placed.tile = pixel.tile AND placed.r = pixel.r AND placed.c = pixel.c")
 sql("label_features", _PLACED, _PIXEL, body="SELECT id, CASE WHEN lower(label) = 'agricultural' THEN 1 ELSE 0 END AS y, " + ", ".join(f"round({b}, 6) AS f{i}" for i, b in enumerate(("blue", "green", "red", "nir", "swir1", "swir2"))) + " FROM placed JOIN pixel ON placed.tile = pixel.tile AND placed.r = pixel.r AND placed.c = pixel.c")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from acreframe.config import SETTINGS
 from acreframe.functions import geo, images, stats
 from acreframe.functions import indices as X
-from acreframe.operators import composite, fits, grid, labels, models, patches, patchnet, quantiles, regions, sampling
+from acreframe.operators import composite, fits, grid, labels, models, patches, patchnet, quantiles, regions, sampling, warp
 from acreframe.plans import exports, rounds
 from acreframe.sources import adapters as A
 from acreframe.sources import files, geotiff, sinks, windows
@@ -467,6 +467,26 @@ def tile_clip(spark, d):
     return p.where(C("x").between(200050.0, 200200.0) & C("y").between(1839750.0, 1839950.0)).select(*ORDER, F.floor((C("x") - 200000) / 10).alias("gx"), F.floor((1840000 - C("y")) / 10).alias("gy"))
 
 
+def degree_tiles(spark, d) -> DataFrame:
+    """The adapter's tiles as rasters in degrees, of about 11 m a cell, side by side."""
+    tiles = A.pixels(spark, d).select("tile").distinct()
+    return tiles.select("tile", (C("tile") % 200 * 0.0041 - 24.4).alias("lon0"), (F.floor(C("tile") / 200) * 0.0041 + 16.65).alias("lat0"), F.lit(0.0001).alias("step"), F.lit(SIDE).alias("height"), F.lit(SIDE).alias("width"))
+
+
+@query
+def warp_nearest(spark, d):
+    """Rasters in degrees on the 10 m grid of the zone, each cell with the value of its nearest source cell."""
+    p = A.pixels(spark, d).select(*ORDER, "nir", "red")
+    return warp.nearest(p, degree_tiles(spark, d), ["nir", "red"]).select("tile", "gx", "gy", "r", "c", r6(C("nir"), "nir"), r6(C("red"), "red"))
+
+
+@query
+def warp_bilinear(spark, d):
+    """The same by the four source cells around each centre."""
+    p = A.pixels(spark, d).select(*ORDER, "nir", "red")
+    return warp.bilinear(p, degree_tiles(spark, d), ["nir", "red"]).select("tile", "gx", "gy", F.round("nir", 4).alias("nir"), F.round("red", 4).alias("red"))
+
+
 @query
 def tile_extent(spark, d):
     return A.pixels(spark, d).groupBy("tile").agg((F.max("r") + 1).alias("rows"), (F.max("c") + 1).alias("cols"), F.count("*").alias("pixels"))
