@@ -329,6 +329,7 @@ sql("settings", body="SELECT * FROM (VALUES ('tile_degrees', 0.05e0), ('scale_me
 sql("elapsed_text", "g AS (SELECT event_id, 7*(cast(floor(epoch(lead(ts) OVER w)) AS bigint) - cast(floor(epoch(ts)) AS bigint)) AS s FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))", body="SELECT event_id, CASE WHEN s // 86400 = 1 THEN '1 day, ' WHEN s // 86400 > 1 THEN (s // 86400) || ' days, ' ELSE '' END || ((s % 86400) // 3600) || ':' || lpad(cast((s % 3600) // 60 AS varchar), 2, '0') || ':' || lpad(cast(s % 60 AS varchar), 2, '0') AS elapsed FROM g WHERE s IS NOT NULL")
 _STATES = "told AS (SELECT user_id AS task, CASE event_id % 4 WHEN 0 THEN 'READY' WHEN 1 THEN 'RUNNING' WHEN 2 THEN 'COMPLETED' ELSE 'FAILED' END AS state, ts FROM events), last_ AS (SELECT task, state, row_number() OVER (PARTITION BY task ORDER BY ts DESC, state DESC) AS rk FROM told)"
 sql("export_states", _STATES, body="SELECT task, state FROM last_ WHERE rk = 1")
+ORACLES["export_stream"] = ORACLES["export_states"]
 sql("exports_done", _STATES, body="SELECT count(*) AS tasks, count(*) FILTER (WHERE state IN ('COMPLETED', 'FAILED')) AS final, count(*) = count(*) FILTER (WHERE state IN ('COMPLETED', 'FAILED')) AS done FROM last_ WHERE rk = 1")
 sql("setup_check", body="SELECT * FROM (VALUES ('lineitem.parquet', true), ('events.parquet', true), ('labels.parquet', true), ('none.parquet', false)) v(name, ok)")
 sql("manual_labels", _LABEL, _QUARTER, "put AS (SELECT id, lat, lon, label, (SELECT min(q.tile) FROM quarter q WHERE lon BETWEEN x0 AND x1 AND lat BETWEEN y0 AND y1) AS tile FROM point)", body="SELECT id, put.tile, cast(floor((lon-x0)/0.0001e0) AS int) AS x, cast(floor((y1-lat)/0.0001e0) AS int) AS y, label FROM put JOIN quarter q ON q.tile = put.tile")

@@ -938,6 +938,20 @@ def export_states(spark, d):
     return exports.task_states(status_events(spark, d))
 
 
+@query
+def export_stream(spark, d):
+    """The last state of every export task, from its events as a stream in small batches."""
+    from acreframe.streaming import exports as stream
+
+    folder, schema = files.shared_folder(spark, "events"), A.read(spark, d, "events").schema
+    A.read(spark, d, "events").repartition(3).write.parquet(folder)
+    state = F.element_at(F.array(*map(F.lit, ("READY", "RUNNING", "COMPLETED", "FAILED"))), (C("event_id") % 4 + 1).cast("int"))
+    events = spark.readStream.schema(schema).option("maxFilesPerTrigger", 2).parquet(folder).select(C("user_id").alias("task"), state.alias("state"), "ts")
+    out, marks = files.shared_folder(spark, "changes"), files.shared_folder(spark, "marks")
+    stream.run(stream.followed(events, delay="3650 days"), out, marks)
+    return stream.latest(spark, out).select(C("task").cast("bigint").alias("task"), "state")
+
+
 @query
 def exports_done(spark, d):
     """How many tasks are in a final state, and whether all are."""
