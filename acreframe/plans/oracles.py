@@ -306,6 +306,18 @@ sql(
     body="SELECT tile, cast(floor(root/40e0) AS bigint) AS root_r, root % 40 AS root_c, cast(corners AS int) AS corners, round(area, 1) AS outer_area, cast(n - 1 AS int) AS holes, 'EPSG:32627' AS crs FROM ranked WHERE rk = 1",
     recursive=True,
 )
+# The outer rings walked side by side from their least corner, their turns as points in degrees, and the text of each tile.
+_RING = ORACLES["exterior_ring"].partition("SELECT tile, cast(floor(root/40e0) AS bigint) AS root_r")[0].rstrip()
+ORACLES["polygons_kml"] = f"""{_RING}, outer_ AS (SELECT tile, root, ring FROM ranked WHERE rk = 1),
+ path(tile, root, ring, id, k, turn) AS (SELECT tile, root, ring, ring, 0, true FROM outer_ UNION ALL SELECT p.tile, p.root, p.ring, l.after, p.k + 1, l.r2-l.r1 <> l.dr OR l.c2-l.c1 <> l.dc FROM path p JOIN link l ON l.tile = p.tile AND l.id = p.id WHERE l.after <> p.ring),
+ spots AS (SELECT p.tile, p.root, p.k, l.r1, l.c1 FROM path p JOIN link l ON l.tile = p.tile AND l.id = p.id WHERE turn UNION ALL SELECT p.tile, p.root, 1000000000, l.r1, l.c1 FROM path p JOIN link l ON l.tile = p.tile AND l.id = p.id WHERE p.k = 0),
+ {_UTM[: _UTM.index("g AS (SELECT id")].rstrip().rstrip(",")},
+ zone AS (SELECT tile, root, k, (1840000e0 - r1*10e0) / h.big AS xi0, (200000e0 + c1*10e0 - 500000e0) / h.big AS eta0, h.ec, w.n FROM spots, h, w),
+ turned AS (SELECT *, xi0 - ({" + ".join(f"({b})*sin({2 * k}*xi0)*cosh({2 * k}*eta0)" for b, k in _BACK)}) AS xi, eta0 - ({" + ".join(f"({b})*cos({2 * k}*xi0)*sinh({2 * k}*eta0)" for b, k in _BACK)}) AS eta FROM zone),
+ psi AS (SELECT *, asinh(sin(xi) / sqrt(sinh(eta)*sinh(eta) + cos(xi)*cos(xi))) AS psi FROM turned),
+ degree AS (SELECT tile, root, k, round(degrees(asin(list_reduce(list_prepend(tanh(psi), [1e0, 2e0, 3e0, 4e0, 5e0, 6e0, 7e0, 8e0]), lambda s, z: tanh(psi + ec*atanh(ec*s))))), 7) AS lat, round(-21e0 + degrees(atan2(sinh(eta), cos(xi))), 7) AS lon FROM psi),
+ mark AS (SELECT tile, root, '<Placemark><name>field_' || cast(floor(root/40e0) AS bigint) || '_' || (root % 40) || '</name><Polygon><outerBoundaryIs><LinearRing><coordinates>' || string_agg(lon || ',' || lat || ',0', ' ' ORDER BY k) || '</coordinates></LinearRing></outerBoundaryIs></Polygon></Placemark>' AS kml FROM degree GROUP BY 1, 2)
+SELECT tile, count(*) AS placemarks, '<?xml version="1.0" encoding="UTF-8"?><kml xmlns="http://www.opengis.net/kml/2.2"><Document>' || string_agg(kml, '' ORDER BY root) || '</Document></kml>' AS kml FROM mark GROUP BY 1"""
 
 _XY = "200000e0 + (c+0.5e0)*10 AS x, 1840000e0 - (r+0.5e0)*10 AS y"
 sql("geotiff_pixels", _PIXEL, body=f"SELECT tile, r, c, {_XY}, round(nir, 6) AS nir, round(red, 6) AS red FROM pixel")

@@ -427,7 +427,7 @@ def polygon_count(spark, d):
 def polygons_kml(spark, d):
     """A KML document for each tile, a placemark for each polygon's outer ring, in WGS84."""
     lat, lon = geo.from_utm(C("x"), C("y"))
-    p = regions.polygons(mask(spark, d)).select("tile", "root_r", "root_c", F.posexplode(C("rings")[0]).alias("k", "p"))
+    p = regions.polygons(mask(spark, d), BLOCK).select("tile", "root_r", "root_c", F.posexplode(C("rings")[0]).alias("k", "p"))
     placed = p.select("tile", "root_r", "root_c", "k", (200000.0 + C("p.c") * 10.0).alias("x"), (1840000.0 - C("p.r") * 10.0).alias("y"))
     ring = placed.withColumns({"lat": F.round(lat, 7), "lon": F.round(lon, 7)}).groupBy("tile", "root_r", "root_c").agg(F.sort_array(F.collect_list(F.struct("k", C("lon").alias("x"), C("lat").alias("y")))).alias("ring"))
     marks = ring.select("tile", F.struct("root_r", "root_c", geo.placemark(F.concat_ws("_", F.lit("field"), "root_r", "root_c"), C("ring")).alias("kml")).alias("m"))
