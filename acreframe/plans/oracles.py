@@ -80,12 +80,15 @@ sql("append_tiles", _PIXEL, body="SELECT tile, r, c, round(p, 6) AS p FROM pixel
 sql("latest_round", "named AS (SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber <> 7 THEN l_linenumber*3 END AS round FROM lineitem)", body="SELECT * FROM named WHERE round = (SELECT max(round) FROM named)")
 sql("split_80_20", _LABEL, f"ranked AS (SELECT id, row_number() OVER (ORDER BY {_hash('id')}, id) AS rank, count(*) OVER () AS n FROM point)", body="SELECT id, rank, CASE WHEN rank <= floor(0.8e0*n) THEN 'train' ELSE 'validation' END AS part FROM ranked")
 sql("shuffled_order", _LABEL, body=f"SELECT id, {_hash('id')} AS h, row_number() OVER (ORDER BY {_hash('id')}, id) AS place FROM point")
+_REGION = "region_ AS (SELECT *, 0.05e0 AS cap FROM island UNION ALL SELECT tile, min(lon), min(lat), max(lon), max(lat), 0.002e0 FROM point GROUP BY 1)"
 sql(
     "tile_grid",
     _ISLAND,
-    "sized AS (SELECT *, cast(greatest(1, ceil((x1-x0)/0.05e0)) AS int) AS cols, cast(greatest(1, ceil((y1-y0)/0.05e0)) AS int) AS nrows FROM island)",
+    _LABEL,
+    _REGION,
+    "sized AS (SELECT *, cast(greatest(1, ceil((x1-x0)/cap)) AS int) AS cols, cast(greatest(1, ceil((y1-y0)/cap)) AS int) AS nrows FROM region_)",
     "steps AS (SELECT cast(unnest(range(0, 20)) AS int) AS s)",
-    body="SELECT name AS island, cast(a.s*nrows + b.s AS int) AS tile_idx, a.s AS i, b.s AS j, round(x0 + a.s*((x1-x0)/cols), 6) AS x0, round(y0 + b.s*((y1-y0)/nrows), 6) AS y0, round(x0 + (a.s+1)*((x1-x0)/cols), 6) AS x1, round(y0 + (b.s+1)*((y1-y0)/nrows), 6) AS y1 FROM sized, steps a, steps b WHERE a.s < cols AND b.s < nrows",
+    body="SELECT name AS island, cast(a.s*nrows + b.s AS int) AS tile_idx, a.s AS i, b.s AS j, round(x0 + a.s*((x1-x0)/cols), 9) AS x0, round(y0 + b.s*((y1-y0)/nrows), 9) AS y0, round(x0 + (a.s+1)*((x1-x0)/cols), 9) AS x1, round(y0 + (b.s+1)*((y1-y0)/nrows), 9) AS y1 FROM sized, steps a, steps b WHERE a.s < cols AND b.s < nrows",
 )
 _QUARTER = "quarter AS (SELECT 'q' || i || j AS tile, -24.400884e0 + i*0.003965e0 AS x0, 16.644662e0 + j*0.003921e0 AS y0, -24.400884e0 + (i+1)*0.003965e0 AS x1, 16.644662e0 + (j+1)*0.003921e0 AS y1 FROM (VALUES (0,0),(0,1),(1,0),(1,1)) v(i, j) UNION ALL SELECT 'z_over', -24.3975e0, 16.6465e0, -24.3955e0, 16.6505e0)"
 sql("tile_of_point", _LABEL, _QUARTER, body="SELECT id, coalesce((SELECT min(q.tile) FROM quarter q WHERE lon BETWEEN x0 AND x1 AND lat BETWEEN y0 AND y1), 'unknown') AS tile FROM point")
@@ -207,7 +210,7 @@ sql("candidate_union", _LABEL, _UNION, _FIRST, body="SELECT CASE l WHEN 0 THEN '
 _MARGIN = f"margin_ AS (SELECT tile, r, c, row_number() OVER (PARTITION BY tile ORDER BY {_hash('tile', 'r', 'c')}) AS rank FROM pixel WHERE p BETWEEN 0.4e0 AND 0.6e0), listed AS (SELECT tile, r/100e0 AS lat, c/100e0 AS lon, 0 AS l FROM ranked WHERE rank <= 5 UNION ALL SELECT tile, r/100e0, c/100e0, 1 FROM margin_ WHERE rank <= 3)"
 sql("hybrid_candidates", _PIXEL, _RANKED, _MARGIN, _FIRST, body="SELECT CASE l WHEN 0 THEN 'rand' ELSE 'marg' END || '_' || tile || '_' || (row_number() OVER (PARTITION BY tile, l ORDER BY lat, lon) - 1) AS id, tile, round(lat, 6) AS lat, round(lon, 6) AS lon FROM first_")
 _UNIT = "cast('0x' || substr(md5('42|' || name || '|' || '{0}' || '|' || k), 1, 8) AS bigint) / 4294967296e0"
-sql("roi_points", _ISLAND, "k AS (SELECT cast(unnest(range(0, 50)) AS int) AS k)", body=f"SELECT name, k, round(x0 + {_UNIT.format('lon')}*(x1-x0), 9) AS lon, round(y0 + {_UNIT.format('lat')}*(y1-y0), 9) AS lat FROM island, k")
+sql("roi_points", _ISLAND, _LABEL, _REGION, "k AS (SELECT cast(unnest(range(0, 50)) AS int) AS k)", body=f"SELECT name, k, round(x0 + {_UNIT.format('lon')}*(x1-x0), 9) AS lon, round(y0 + {_UNIT.format('lat')}*(y1-y0), 9) AS lat FROM region_, k")
 _CELL = "cast('0x' || substr(md5('42|' || tile || '|' || '{0}' || '|' || k), 1, 8) AS bigint)"
 sql("random_pixels", _PIXEL, "e AS (SELECT tile, max(r)+1 AS h, max(c)+1 AS w FROM pixel GROUP BY 1)", "k AS (SELECT cast(unnest(range(0, 20)) AS int) AS k)", body=f"SELECT tile, k, {_CELL.format('r')} % h AS r, {_CELL.format('c')} % w AS c FROM e, k")
 sql("running_ag_ratio", _LABEL, body="SELECT id, round(coalesce(sum(CASE WHEN lower(label) = 'agricultural' THEN 1e0 ELSE 0 END) OVER w / nullif(count(*) OVER w, 0), 0), 6) AS ag_ratio FROM point WINDOW w AS (PARTITION BY tile ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)")

@@ -201,10 +201,16 @@ def shuffled_order(spark, d):
     return sampling.shuffled(A.label_points(spark, d).select("id"), ["id"]).select("id", C("_h").alias("h"), "place")
 
 
+def label_boxes(spark, d) -> DataFrame:
+    """The bounding box of each tile's labels, as a region of its own."""
+    return A.label_points(spark, d).groupBy(C("tile").alias("name")).agg(F.min("lon").alias("x0"), F.min("lat").alias("y0"), F.max("lon").alias("x1"), F.max("lat").alias("y1"))
+
+
 @query
 def tile_grid(spark, d):
-    g = grid.tile_grid(grid.islands(spark))
-    return g.select("island", "tile_idx", "i", "j", *[r6(C(c), c) for c in ("x0", "y0", "x1", "y1")])
+    """Cells of the regions of interest, and smaller ones of the boxes of labels."""
+    g = grid.tile_grid(grid.islands(spark)).unionByName(grid.tile_grid(label_boxes(spark, d), 0.002))
+    return g.select("island", "tile_idx", "i", "j", *[F.round(c, 9).alias(c) for c in ("x0", "y0", "x1", "y1")])
 
 
 def named_tiles(spark) -> DataFrame:
@@ -629,7 +635,8 @@ def hybrid_candidates(spark, d):
 
 @query
 def roi_points(spark, d):
-    return sampling.roi_points(grid.islands(spark), 50).select("name", "k", F.round("lon", 9).alias("lon"), F.round("lat", 9).alias("lat"))
+    """Random points in the regions of interest and in the boxes of labels."""
+    return sampling.roi_points(grid.islands(spark).unionByName(label_boxes(spark, d)), 50).select("name", "k", F.round("lon", 9).alias("lon"), F.round("lat", 9).alias("lat"))
 
 
 @query

@@ -525,3 +525,54 @@ def test_formula_of_named_operands(spark):
 def test_rgb_bands():
     assert X.rgb_bands(["B2_s1", "B3_s1", "B4_s1"]) == [3, 2, 1]
     assert X.rgb_bands([None, "x"], strict=False) == [1, 1, 1] and X.rgb_bands([None, "x"]) == [1, 2, 3]
+
+
+def test_loop_labels_by_hand(spark):
+    """Two rounds of the loop against arrays: seeds by hash, a fit, the margin's first cells or the most uncertain, their labels."""
+    import hashlib
+
+    import numpy as np
+
+    from acreframe.plans import queries
+    from acreframe.sources import adapters
+
+    folder = f"{DATA}/sf0.001"
+    pixels = adapters.pixels(spark, folder).select("tile", "r", "c", "nir", "red", "blue").toPandas().sort_values(["tile", "r", "c"], ignore_index=True)
+    y = (pixels.nir > 25).astype(int).to_numpy()
+    order = [hashlib.md5(f"42|{a}|{b}|{c}".encode()).hexdigest() for a, b, c in zip(pixels.tile, pixels.r, pixels.c, strict=True)]
+    known = np.zeros(len(pixels), bool)
+    known[pixels.assign(h=order).sort_values("h").groupby("tile").head(6).index] = True
+    x = pixels[["nir", "red", "blue"]].to_numpy(float)
+    model = models.fit_linear(x[known], y[known], ["nir", "red", "blue"], x[known].mean(0), x[known].std(0))
+    z = (x - model.mean) / (np.array(model.std) + 1e-6)
+    p = 1 / (1 + np.exp(-(z @ model.weights + model.bias)))
+    inside = np.flatnonzero(~known & (p >= 0.4) & (p <= 0.6))
+    free = np.flatnonzero(~known)
+    added = inside[:5] if len(inside) >= 5 else free[np.argsort(np.abs(p[free] - 0.5), kind="stable")[:5]]
+    known[added] = True
+    want = {(*k, "Agricultural" if v else "Non-Agricultural") for k, v in zip(pixels[known][["tile", "r", "c"]].itertuples(index=False, name=None), y[known], strict=True)}
+    assert {(r.tile, r.r, r.c, r.label) for r in queries.QUERIES["loop_labels"](spark, folder).collect()} == want
+
+
+def test_forest_scores_by_walking_its_trees(spark, tmp_path):
+    """Probabilities from the nodes of the saved trees, one by one."""
+    import numpy as np
+
+    from acreframe.sources.adapters import FEATURES, features
+
+    rows = features(spark, f"{DATA}/sf0.001")
+    forest = models.fit_forest(rows, FEATURES, "y", numTrees=7, maxDepth=4)
+    models.save(forest, f"file://{tmp_path}/forest")
+    nodes: dict = {}
+    for r in spark.read.parquet(f"file://{tmp_path}/forest/forest/data").collect():
+        nodes.setdefault(r.treeID, {})[r.nodeData.id] = r.nodeData
+    got = {r.vec_id: r.p for r in forest.score(rows).select("vec_id", "p").collect()}
+    for row in rows.collect():
+        x = [row[f] if row[f] is not None else m for f, m in zip(FEATURES, forest.mean, strict=True)]
+        told = []
+        for tree in nodes.values():
+            at = tree[0]
+            while at.leftChild >= 0:
+                at = tree[at.leftChild if x[at.split.featureIndex] <= at.split.leftCategoriesOrThreshold[0] else at.rightChild]
+            told.append(at.impurityStats[1] / sum(at.impurityStats))
+        assert abs(got[row.vec_id] - np.mean(told)) < 1e-9
