@@ -178,7 +178,11 @@ def _attach(rows: DataFrame, facts: DataFrame, key: str, source: str, columns: t
 
 
 def repeated(rows: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
-    """The rows with all their columns, each as many times as the mixture takes it."""
+    """The rows with all their columns, each as many times as the mixture takes it.
+
+    Rows of a key that repeats are all taken as often as the one of them that is taken most, so a source with such rows may
+    get more than its target; keys of documents do not repeat.
+    """
     key_, copies, copy = unused(rows, "_key", "_copies", "_copy")
     taken = mixture(rows, key, text, source).where("copies > 0").groupBy(F.col(key).alias(key_)).agg(F.max("copies").alias(copies))
     joined = rows.join(taken, rows[key].eqNullSafe(F.col(key_)))

@@ -11,7 +11,7 @@ Places never meet the text in a shuffle of texts. The documents are written once
 join with places moves the places alone. A run that occurs once tells its own place, and a window's first place is a
 minimum, so both are aggregations that are combined before the shuffle: a passage that a third of all documents have
 sends one row a task, and no list of a run's places is ever made. Hashes have 64 bits while runs only rule windows out, and
-two numbers of 64 bits at full length.
+96 bits at full length.
 
 Defined results: a null text counts as empty; a null key counts as the smallest; rows that share a key are ordered as they
 are read. Words are parted by blanks, tabs and line ends; what is kept is joined by one blank.
@@ -182,11 +182,11 @@ def _sent(layout: Layout, found: DataFrame, text: str, key: str, window: int, le
             of = pa.array(words.owner[begin])
             out = [pa.array(runs(one, length)[begin].view(np.int64))]
             if whole:
-                out += [pa.array(runs(two, length)[begin].view(np.int64)), part.column(3).take(of)]
+                out += [pa.array((runs(two, length)[begin] >> np.uint64(32)).astype(np.uint32).view(np.int32)), part.column(3).take(of)]
             yield pa.RecordBatch.from_arrays([*out, part.column(1).take(of), part.column(2).take(of), pa.array((begin - words.begin[words.owner[begin]]).astype(np.int32))], names=names)
 
     kind = found.schema[key].dataType.simpleString()
-    schema = "h bigint" + (f", h2 bigint, _key {kind}" if whole else "") + f", {layout.task} int, {layout.row} bigint, place int"
+    schema = "h bigint" + (f", h2 int, _key {kind}" if whole else "") + f", {layout.task} int, {layout.row} bigint, place int"
     names = [c.strip().split(" ")[0] for c in ("h", "h2", "_key") if whole or c == "h"] + [layout.task, layout.row, "place"]
     return mapped(found.select(text, layout.task, layout.row, key, *[f"_places_{k}" for k in range(len(before))]), run, schema)
 
