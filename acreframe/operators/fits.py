@@ -114,12 +114,12 @@ def fit_kernel(rows: DataFrame, features: Sequence[str], y: str, order: Sequence
     The linear machine has the squared hinge loss and is solved by Newton steps, each a sum over all rows; a step that does not
     lower the loss is halved. Its decisions are then calibrated as probabilities, by Newton steps too.
     """
-    n, mean, std = statistics(rows, features, y)
+    n, mean, deviation = statistics(rows, features, y)
     _enough(n)
-    std = np.where(std == 0, 1.0, std)
+    std = np.where(deviation == 0, 1.0, deviation)
     known = labelled(rows, features, y, mean, std, 0.0, order)
     at = landmarks(known, order, most)
-    gamma = gamma or 1.0 / (len(features) * max(float(((statistics(rows, features, y)[2] / std) ** 2).mean()), 1e-12))
+    gamma = gamma or 1.0 / (len(features) * max(float(((deviation / std) ** 2).mean()), 1e-12))
     values, vectors = np.linalg.eigh(models.radial(at, at, gamma))
     good = values > 1e-8 * values.max()
     whiten = vectors[:, good] / np.sqrt(values[good])
@@ -191,13 +191,20 @@ def fit_network(rows: DataFrame, features: Sequence[str], y: str, order: Sequenc
 
 def _epoch(known: DataFrame, state: models.NetworkState, seed: int, epoch: int, order: list[str]) -> tuple[models.NetworkState, float]:
     """The state after an epoch of all workers, and their mean loss."""
+    return averaged(known, state, order, lambda own, pdf, worker: own.epoch(np.stack(pdf.z.to_list()), pdf.y.to_numpy(int), np.random.default_rng([seed, epoch, worker])))
+
+
+def averaged(known: DataFrame, state, order: list[str], epoch: Callable[[object, pd.DataFrame, int], float]):
+    """(state, loss) after ``epoch(state, rows, worker)`` of each worker of the rows: the means over workers by their rows.
+
+    A state has ``flat()``, all its numbers, and ``filled(flat)``. A worker's rows come sorted by the order's columns.
+    """
     flat = state.flat()
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(order)
-        worker = int(pdf.worker.iloc[0])
         own = state.filled(flat)
-        loss = own.epoch(np.stack(pdf.z.to_list()), pdf.y.to_numpy(int), np.random.default_rng([seed, epoch, worker]))
+        loss = epoch(own, pdf, int(pdf.worker.iloc[0]))
         return pd.DataFrame({"n": [float(len(pdf))], "values": [[*own.flat().tolist(), loss]]})
 
     each = known.groupBy("worker").applyInPandas(run, "n double, values array<double>")

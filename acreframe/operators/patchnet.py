@@ -1,8 +1,7 @@
-"""A residual convolution network for patches: fitted in numpy on the driver, scored where the patches are.
+"""A residual convolution network for patches, fitted by workers and scored where the patches are.
 
 A patch is an array of bands by rows by columns. The network is a 3 by 3 convolution to ``width`` channels, two residual blocks
-of two convolutions each with halving by means between them, the mean over all cells, and a linear layer to two logits. Label
-sets of patches are small, and at most ``SETTINGS.fit_rows`` of them are taken; scoring is one Arrow batch at a time.
+of two convolutions each with halving by means between them, the mean over all cells, and a linear layer to two logits.
 """
 
 from __future__ import annotations
@@ -16,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from acreframe.config import SETTINGS
+from acreframe.operators import fits
 
 
 def as_arrays(pixels: DataFrame, bands: Sequence[str], side: int) -> DataFrame:
@@ -139,40 +139,86 @@ def initial(channels: int, side: int, width: int, rng: np.random.Generator) -> P
     return PatchScorer(channels, side, [[rng.normal(0, np.sqrt(2 / a), (a, b)), np.zeros(b)] for a, b in sizes])
 
 
-def fit(x: np.ndarray, y: np.ndarray, width: int = 16, epochs: int = 5, batch: int = 16, rate: float = 1e-4, seed: int = 42, validation: tuple[np.ndarray, np.ndarray] | None = None) -> PatchScorer:
-    """Adam on cross-entropy in shuffled batches; ``history`` as that of the network on features."""
-    rng = np.random.default_rng(seed)
-    net = initial(x.shape[1], x.shape[2], width, rng)
-    learnt = [p for layer in net.layers for p in layer]
-    first, second, t = [np.zeros_like(p) for p in learnt], [np.zeros_like(p) for p in learnt], 0
-    for epoch in range(1, epochs + 1):
+class PatchState:
+    """Parameters of the network, their moments under Adam, and the number of steps taken."""
+
+    def __init__(self, net: PatchScorer):
+        self.net, self.steps = net, 0
+        self.learnt = [p for layer in net.layers for p in layer]
+        self.first, self.second = [np.zeros_like(p) for p in self.learnt], [np.zeros_like(p) for p in self.learnt]
+
+    def flat(self) -> np.ndarray:
+        """All numbers in one array, the steps last."""
+        return np.concatenate([*[p.ravel() for p in (*self.learnt, *self.first, *self.second)], [float(self.steps)]])
+
+    def filled(self, flat: np.ndarray) -> PatchState:
+        """A state of the same shape with the numbers of ``flat``."""
+        out = PatchState(PatchScorer(self.net.channels, self.net.side, [[np.empty_like(p) for p in layer] for layer in self.net.layers]))
+        at = 0
+        for p in (*out.learnt, *out.first, *out.second):
+            p[...] = flat[at : at + p.size].reshape(p.shape)
+            at += p.size
+        out.steps = int(round(flat[at]))
+        return out
+
+    def epoch(self, x: np.ndarray, y: np.ndarray, rng: np.random.Generator, batch: int, rate: float) -> float:
+        """One pass of Adam over shuffled batches; the mean loss of the batches."""
         losses = []
         for at in np.array_split(rng.permutation(len(x)), max(1, -(-len(x) // batch))):
-            loss, grads = gradients(net, x[at], y[at])
+            loss, grads = gradients(self.net, x[at], y[at])
             losses.append(loss)
-            t += 1
-            for p, g, m, v in zip(learnt, [g for layer in grads for g in layer], first, second, strict=True):
+            self.steps += 1
+            for p, g, m, v in zip(self.learnt, [g for layer in grads for g in layer], self.first, self.second, strict=True):
                 m += 0.1 * (g - m)
                 v += 0.001 * (g**2 - v)
-                p -= rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
-        net.history.append({"epoch": epoch, "loss": float(np.mean(losses))})
-        if validation is not None:
-            p, truth = net.probabilities(validation[0]), validation[1]
-            told = np.clip(np.where(truth == 1, p, 1 - p), 1e-12, 1)
-            net.history[-1] |= {"val_loss": float(-np.log(told).mean()), "val_accuracy": float(100 * ((p > 0.5) == (truth == 1)).mean())}
+                p -= rate * (m / (1 - 0.9**self.steps)) / (np.sqrt(v / (1 - 0.999**self.steps)) + 1e-8)
+        return float(np.mean(losses))
+
+
+def begun(channels: int, side: int, width: int, seed: int, worker: int = 0, rows: Sequence[int] = ()) -> tuple[PatchScorer, np.random.Generator]:
+    """(the network before its fit, a worker's generator behind the shuffles of so many rows in earlier epochs).
+
+    The first worker goes on with the generator that the network's numbers are drawn from, others have generators of their own.
+    """
+    rng = np.random.default_rng(seed)
+    net = initial(channels, side, width, rng)
+    rng = rng if worker == 0 else np.random.default_rng([seed, worker])
+    for n in rows:
+        rng.permutation(n)
+    return net, rng
+
+
+def fit(x: np.ndarray, y: np.ndarray, width: int = 16, epochs: int = 5, batch: int = 16, rate: float = 1e-4, seed: int = 42) -> PatchScorer:
+    """Adam on cross-entropy in shuffled batches, of arrays; ``fit_rows`` is the form for tables."""
+    net, rng = begun(x.shape[1], x.shape[2], width, seed)
+    state = PatchState(net)
+    net.history = [{"epoch": epoch, "loss": state.epoch(x, y, rng, batch, rate)} for epoch in range(1, epochs + 1)]
     return net
 
 
-def fit_rows(patches: DataFrame, channels: int, side: int, y: str, order: Sequence[str], most: int = SETTINGS.fit_rows, share: float = 0.8, **settings) -> PatchScorer:
-    """Fit on labelled patches (values, y): the first ``share`` of them in the order of a hash, the others for validation.
+def fit_rows(patches: DataFrame, channels: int, side: int, y: str, order: Sequence[str], share: float = 0.8, width: int = 16, epochs: int = 5, batch: int = 16, rate: float = 1e-4, seed: int = 42, worker_rows: int = SETTINGS.fit_rows) -> PatchScorer:
+    """Fit on all labelled patches (values, y) but about 1 - ``share`` of them, chosen by a hash, which validate each epoch.
 
-    Of more than ``most`` patches a sample of about that many is taken, by that hash.
+    Workers of about ``worker_rows`` patches go over their own ones in each epoch, and are averaged by their patches behind it; up
+    to that many patches it is ``fit``. Losses and the percentage told right of the validation are an aggregation.
     """
-    known = patches.where(F.col(y).isNotNull()).withColumn("_h", F.pmod(F.xxhash64(*order, F.lit(42)), F.lit(1 << 24)))
-    n = known.count()
-    if n > most:
-        known = known.where(F.col("_h") < most * (1 << 24) // n)
-    rows = known.select("_h", *order, "values", y).toPandas().sort_values(["_h", *order])
-    x = np.stack(rows["values"].to_numpy()).reshape(-1, channels, side, side)
-    target, cut = rows[y].to_numpy(int), int(share * len(rows))
-    return fit(x[:cut], target[:cut], validation=(x[cut:], target[cut:]) if cut < len(rows) else None, **settings)
+    known = patches.where(F.col(y).isNotNull()).select(*order, "values", F.col(y).cast("int").alias("y")).withColumn("_h", F.pmod(F.xxhash64(*order, F.lit(42)), F.lit(1 << 24)))
+    learn, check = (known.where(x) for x in (F.col("_h") < share * (1 << 24), F.col("_h") >= share * (1 << 24)))
+    n = learn.count()
+    if n <= 1:
+        raise ValueError("too few labelled patches to fit a network")
+    dealt = learn.withColumn("worker", F.pmod(F.xxhash64(*order), F.lit(-(-n // worker_rows))).cast("int"))
+    state, history = PatchState(begun(channels, side, width, seed)[0]), []
+    for epoch in range(1, epochs + 1):
+
+        def pass_(own: PatchState, pdf: pd.DataFrame, worker: int, epoch: int = epoch) -> float:
+            x = np.stack(pdf["values"].to_numpy()).reshape(-1, channels, side, side)
+            rng = begun(channels, side, width, seed, worker, [len(x)] * (epoch - 1))[1]
+            return own.epoch(x, pdf.y.to_numpy(int), rng, batch, rate)
+
+        state, loss = fits.averaged(dealt, state, ["_h", *order], pass_)
+        told = state.net.score(check).select(F.when(F.col("y") == 1, F.col("p")).otherwise(1 - F.col("p")).alias("told"))
+        val = told.agg(F.avg(-F.log(F.greatest("told", F.lit(1e-12)))).alias("loss"), (100 * F.avg((F.col("told") > 0.5).cast("double"))).alias("right")).first()
+        history.append({"epoch": epoch, "loss": loss} | ({} if val["loss"] is None else {"val_loss": val["loss"], "val_accuracy": val["right"]}))
+    state.net.history = history
+    return state.net

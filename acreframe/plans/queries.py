@@ -11,7 +11,7 @@ from acreframe.functions import indices as X
 from acreframe.operators import composite, fits, grid, labels, models, patches, patchnet, quantiles, regions, sampling, warp
 from acreframe.plans import exports, rounds
 from acreframe.sources import adapters as A
-from acreframe.sources import files, geotiff, sinks, windows
+from acreframe.sources import files, sinks, windows
 from acreframe.sources import scenes as scene_files
 
 QUERIES = {}
@@ -784,20 +784,20 @@ def tile_number(column: str = "tile"):
 @query
 def geotiff_pixels(spark, d):
     """Pixels written to GeoTIFF files and read back, with the centres of their cells; missing ones are left out."""
-    p = geotiff.read_pixels(spark, rasters(spark, d, ["nir", "red"])).where("features[0] is not null and not isnan(features[0])")
+    p = windows.read_pixels(spark, rasters(spark, d, ["nir", "red"])).where("features[0] is not null and not isnan(features[0])")
     return p.select(tile_number(), C("row").cast("bigint").alias("r"), C("col").cast("bigint").alias("c"), "x", "y", r6(C("features")[0], "nir"), r6(C("features")[1], "red"))
 
 
 @query
 def geotiff_bands(spark, d):
     """The second and the third band of files of three."""
-    p = geotiff.read_pixels(spark, rasters(spark, d, ["nir", "red", "blue"]), [1, 2]).where("features[0] is not null and not isnan(features[0])")
+    p = windows.read_pixels(spark, rasters(spark, d, ["nir", "red", "blue"]), [1, 2]).where("features[0] is not null and not isnan(features[0])")
     return p.select(tile_number(), C("row").cast("bigint").alias("r"), C("col").cast("bigint").alias("c"), F.size("features").alias("bands"), r6(C("features")[0], "red"), r6(C("features")[1], "blue"))
 
 
 @query
 def geotiff_metadata(spark, d):
-    m = geotiff.read_metadata(spark, rasters(spark, d, ["nir", "red"]))
+    m = windows.read_metadata(spark, rasters(spark, d, ["nir", "red"]))
     return m.select(tile_number(), "width", "height", "bands", "dtype", "nodata", "epsg", "left", "bottom", "right", "top", F.array_join("descriptions", ",").alias("names"))
 
 
@@ -806,7 +806,7 @@ def mask_files(spark, d):
     """Masks of 255 written as files and read back: their set pixels."""
     folder = files.shared_folder(spark, "masks")
     done = sinks.write_masks(mask(spark, d), folder, SIDE, SIDE, TRANSFORM, 255).agg(F.sum("pixels")).first()[0]
-    p = geotiff.read_pixels(spark, folder).where(C("features")[0] == 255.0)
+    p = windows.read_pixels(spark, folder).where(C("features")[0] == 255.0)
     return p.groupBy(tile_number()).agg(F.count("*").alias("pixels"), F.max("row").cast("bigint").alias("last_row")).withColumn("all_tiles", F.lit(done).cast("bigint"))
 
 

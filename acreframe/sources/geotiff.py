@@ -1,10 +1,9 @@
-"""GeoTIFF tiles as pixel rows: a decoder and encoder, and a reader over binary files.
+"""GeoTIFF: a decoder and encoder of blocks and directories; ``sources/windows`` reads files with it, a block at a time.
 
 Classic and big files, stripped and tiled images, of whole numbers and floats in either byte order; uncompressed, LZW, Deflate
 or PackBits, with horizontal or floating-point prediction. The affine transform comes from the pixel scale and tie point or
 from the transformation matrix, the reference system from the geographic keys, the value for missing cells and the bands'
-descriptions from their tags. What is not supported raises ValueError. One file is decoded in one task, as tiles are files of
-bounded size.
+descriptions from their tags. What is not supported raises ValueError.
 """
 
 from __future__ import annotations
@@ -16,8 +15,6 @@ from collections.abc import Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
 
 # Tag numbers and type sizes of the TIFF format (fixed values).
 WIDTH, HEIGHT, BITS, COMPRESSION, STRIPS, SAMPLES, ROWS_PER_STRIP, STRIP_BYTES = 256, 257, 258, 259, 273, 277, 278, 279
@@ -339,46 +336,3 @@ def encode(image: np.ndarray, transform: tuple[float, ...], compression: str = "
             entries += struct.pack("<I", base + len(extra))
             extra += data + b"\0" * (len(data) % 2)
     return struct.pack("<2sHI", b"II", 42, start) + body + struct.pack("<H", len(fields)) + entries + struct.pack("<I", 0) + extra
-
-
-def read_pixels(spark: SparkSession, folder: str, bands: list[int] | None = None) -> DataFrame:
-    """(tile, row, col, x, y, features) of every pixel of the files of a folder; ``bands`` picks some, from 0; missing values are NaN."""
-    from acreframe.sources.files import tile_of
-
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.tif").load(folder)
-
-    def run(batches):
-        for batch in batches:
-            for tile, content in zip(batch["tile"], batch["content"], strict=True):
-                image, found = decoded(content, bands)
-                (a, _, c, _, e, f), missing = found.transform, found.nodata
-                image = image.astype(float)
-                if missing is not None:
-                    image[image == missing] = np.nan
-                _, h, w = image.shape
-                for r in range(0, h, 64):
-                    part = image[:, r : r + 64].reshape(len(image), -1).T
-                    rows, cols = (x.ravel() for x in np.mgrid[r : min(h, r + 64), 0:w])
-                    yield pd.DataFrame({"tile": tile, "row": rows.astype("int32"), "col": cols.astype("int32"), "x": c + (cols + 0.5) * a, "y": f + (rows + 0.5) * e, "features": list(part)})
-
-    return files.select(tile_of(files["path"]).alias("tile"), "content").mapInPandas(run, "tile string, row int, col int, x double, y double, features array<double>")
-
-
-def read_metadata(spark: SparkSession, folder: str) -> DataFrame:
-    """(tile, width, height, bands, dtype, nodata, epsg, transform, left, bottom, right, top, descriptions) of the files of a folder."""
-    from acreframe.sources.files import tile_of
-
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.tif").load(folder)
-
-    def run(batches):
-        for batch in batches:
-            found = [metadata(x) for x in batch["content"]]
-            edges = np.array([m.bounds for m in found], float).reshape(-1, 4)
-            yield pd.DataFrame({
-                "tile": batch["tile"], "width": [m.width for m in found], "height": [m.height for m in found], "bands": [m.bands for m in found], "dtype": [m.dtype for m in found],
-                "nodata": [m.nodata for m in found], "epsg": pd.array([m.epsg for m in found], "Int64"), "transform": [list(m.transform) for m in found],
-                "left": edges[:, 0], "bottom": edges[:, 1], "right": edges[:, 2], "top": edges[:, 3], "descriptions": [m.descriptions for m in found],
-            })
-
-    schema = "tile string, width long, height long, bands long, dtype string, nodata double, epsg long, transform array<double>, left double, bottom double, right double, top double, descriptions array<string>"
-    return files.select(tile_of(files["path"]).alias("tile"), "content").mapInPandas(run, schema)

@@ -1,4 +1,7 @@
-"""Windowed reads: of each raster file only its directory and the blocks that hold cells asked for.
+"""Raster files read block by block: whole ones dealt out over tasks, and of windows only the blocks that hold cells asked for.
+
+A file's directory tells its geometry; it is read by range, so listing files of any size is cheap. A whole read makes a row of each
+block, which any task can read, so one large file is shared by many tasks.
 
 Cells meet their file's geometry by an equi-join on the tile, which tells the block that each cell lies in; cells are grouped by
 block, a group being a block's cells at most, and a task reads the bytes of its blocks by range. So what is read grows
@@ -50,21 +53,74 @@ class Ranges:
         self.file.close()
 
 
-def geometry(spark: SparkSession, folder: str) -> DataFrame:
-    """(tile, path, height, width, block_height, block_width) of the raster files of a folder, from their directories alone."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.tif").load(folder).select("path", tile_of(F.col("path")).alias("tile"))
+def _files(spark: SparkSession, folder: str) -> DataFrame:
+    """(path, tile) of the raster files of a folder; their contents are not read."""
+    return spark.read.format("binaryFile").option("pathGlobFilter", "*.tif").load(folder).select("path", tile_of(F.col("path")).alias("tile"))
+
+
+def _directories(files: DataFrame, told, schema: str) -> DataFrame:
+    """(tile, path, told(blocks, metadata)) of files, from their directories alone."""
 
     def run(batches):
         for pdf in batches:
             out = []
             for path, tile in zip(pdf.path, pdf.tile, strict=True):
                 data = Ranges(path)
-                b = geotiff.Blocks.of(*geotiff.tags_of(data))
+                order, tags = geotiff.tags_of(data)
                 data.close()
-                out.append((tile, path, b.height, b.width, b.block_height, b.block_width))
-            yield pd.DataFrame(out, columns=["tile", "path", "height", "width", "block_height", "block_width"])
+                out.append((tile, path, *told(geotiff.Blocks.of(order, tags), geotiff.metadata_of(tags))))
+            yield pd.DataFrame(out, columns=names, dtype=object)
+
+    whole = f"tile string, path string, {schema}"
+    names = [c.strip().split(" ")[0] for c in whole.split(",")]
+    return files.mapInPandas(run, whole)
+
+
+def geometry(spark: SparkSession, folder: str) -> DataFrame:
+    """(tile, path, height, width, block_height, block_width) of the raster files of a folder."""
+    return _directories(_files(spark, folder), lambda b, m: (b.height, b.width, b.block_height, b.block_width), "height long, width long, block_height long, block_width long")
+
+
+def read_metadata(spark: SparkSession, folder: str) -> DataFrame:
+    """(tile, width, height, bands, dtype, nodata, epsg, transform, left, bottom, right, top, descriptions) of the files of a folder."""
+    told = lambda b, m: (m.width, m.height, m.bands, m.dtype, m.nodata, m.epsg, list(m.transform), *m.bounds, m.descriptions)
+    schema = "width long, height long, bands long, dtype string, nodata double, epsg long, transform array<double>, left double, bottom double, right double, top double, descriptions array<string>"
+    return _directories(_files(spark, folder), told, schema).drop("path")
+
+
+def read_pixels(spark: SparkSession, folder: str, bands: list[int] | None = None) -> DataFrame:
+    """(tile, row, col, x, y, features) of every pixel of the files of a folder; ``bands`` picks some, from 0; missing values are null.
+
+    A row for each block is dealt out over the shuffle partitions, and the task that gets it reads its bytes.
+    """
+    index = geometry(spark, folder)
+    last = F.ceil(F.col("height") / F.col("block_height")) * F.ceil(F.col("width") / F.col("block_width")) - 1
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    blocks = index.select("tile", "path", F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("block")).repartition(parts, "path", "block")
+
+    def run(batches):
+        for pdf in batches:
+            for path, own in pdf.groupby("path", sort=True):
+                data = Ranges(path)
+                try:
+                    order, tags = geotiff.tags_of(data)
+                    whole, told = geotiff.Blocks.of(order, tags), geotiff.metadata_of(tags)
+                    chosen = list(range(whole.depth)) if bands is None else bands
+                    a, _, c, _, e, f = told.transform
+                    for tile, cell in zip(own.tile, own.block, strict=True):
+                        image = whole.read(data, int(cell), chosen).astype(float)
+                        if told.nodata is not None:
+                            image[image == told.nodata] = np.nan
+                        r0, c0 = whole.origin(int(cell))
+                        rows, cols = (x.ravel() for x in np.mgrid[r0 : r0 + image.shape[1], c0 : c0 + image.shape[2]])
+                        values = image.reshape(len(image), -1).T
+                        for at in range(0, len(rows), 16_384):
+                            r, k = rows[at : at + 16_384], cols[at : at + 16_384]
+                            yield pd.DataFrame({"tile": tile, "row": r.astype("int32"), "col": k.astype("int32"), "x": c + (k + 0.5) * a, "y": f + (r + 0.5) * e, "features": list(values[at : at + 16_384])})
+                finally:
+                    data.close()
 
-    return files.mapInPandas(run, "tile string, path string, height long, width long, block_height long, block_width long")
+    return blocks.mapInPandas(run, "tile string, row int, col int, x double, y double, features array<double>")
 
 
 def read_cells(cells: DataFrame, index: DataFrame, bands: Sequence[int]) -> DataFrame:

@@ -8,7 +8,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from acreframe.operators import fits, models, quantiles
+from acreframe.operators import fits, models, patchnet, quantiles
 
 
 @settings(max_examples=12, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
@@ -110,6 +110,22 @@ def test_workers_are_averaged_by_their_rows(rows):
     assert len(many.history) == 12 and many.history[-1]["loss"] < many.history[0]["loss"]
 
 
+def test_a_patch_network_of_one_worker_is_that_of_arrays(spark):
+    rng = np.random.default_rng(6)
+    x, y = rng.random((60, 2 * 5 * 5)), rng.integers(0, 2, 60)
+    table = spark.createDataFrame([(i, v.tolist(), int(t)) for i, (v, t) in enumerate(zip(x, y, strict=True))], "k long, values array<double>, y int").repartition(3)
+    hashed = F.pmod(F.xxhash64("k", F.lit(42)), F.lit(1 << 24))
+    kept = [r.k for r in table.where(hashed < 0.8 * (1 << 24)).orderBy(hashed, "k").collect()]
+    own = np.isin(np.arange(60), kept)
+    one = patchnet.fit_rows(table, 2, 5, "y", ["k"], width=3, epochs=2)
+    two = patchnet.fit(x[kept].reshape(-1, 2, 5, 5), y[kept], width=3, epochs=2)
+    assert 30 < own.sum() < 60 and all(np.allclose(a, b) for p, q in zip(one.layers, two.layers, strict=True) for a, b in zip(p, q, strict=True))
+    p = one.probabilities(x[~own].reshape(-1, 2, 5, 5))
+    assert np.isclose(one.history[-1]["val_loss"], -np.log(np.where(y[~own] == 1, p, 1 - p)).mean())
+    many = patchnet.fit_rows(table, 2, 5, "y", ["k"], width=3, epochs=1, worker_rows=10)
+    assert len(many.history) == 1 and np.isfinite(many.history[0]["loss"])
+
+
 def test_too_few_rows(rows):
     for fit in (lambda r: fits.fit_logistic(r, ["a"], "y"), lambda r: fits.fit_kernel(r, ["a"], "y", ["k"]), lambda r: fits.fit_network(r, ["a"], "y", ["k"])):
         with pytest.raises(ValueError, match="too few"):

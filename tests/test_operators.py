@@ -10,7 +10,7 @@ from acreframe.functions import geo, images, stats
 from acreframe.functions import indices as X
 from acreframe.operators import composite, grid, labels, models, patches, patchnet, regions, sampling
 from acreframe.plans import exports, rounds
-from acreframe.sources import files, geotiff, sinks
+from acreframe.sources import files, geotiff, sinks, windows
 from acreframe.sources.adapters import FEATURES, features, pixels
 from acreframe import schema
 from tests.conftest import DATA
@@ -232,7 +232,7 @@ def test_geotiff_round_trip(spark, tmp_path):
     back, transform = geotiff.decode(data)
     assert (back == image).all() and transform == (10.0, 0.0, 200000.0, 0.0, -10.0, 1840000.0)
     (tmp_path / "Tile_A.tif").write_bytes(data)
-    rows = geotiff.read_pixels(spark, str(tmp_path), [1]).orderBy("row", "col").collect()
+    rows = windows.read_pixels(spark, str(tmp_path), [1]).orderBy("row", "col").collect()
     assert len(rows) == 35 and rows[0].tile == "tile_a" and rows[8].features == [float(image[1, 1, 1])] and rows[0].x == 200005.0
     assert files.list_tiles(spark, str(tmp_path)).count() == 1
 

@@ -41,6 +41,15 @@ def test_windows_of_files_are_those_of_tables(spark, tiles, folder):
         assert got == want and set(got) == {"in", "corner", "edge", "twin"}
 
 
+def test_a_file_is_shared_by_tasks(spark, tiles, folder):
+    """Whole reads are dealt out by block, and give every pixel once."""
+    got = windows.read_pixels(spark, folder)
+    assert got.where("tile = 'tile_0'").select(F.spark_partition_id()).distinct().count() > 1 and got.count() == 2 * 60 * 400
+    want = tiles.where("tile = 1").select("r", "c", F.round("a", 6), F.round("b", 6))
+    there = got.where("tile = 'tile_1' and features[0] is not null").select(F.col("row").cast("long"), F.col("col").cast("long"), F.round(F.col("features")[0], 6), F.round(F.col("features")[1], 6))
+    assert want.exceptAll(there).isEmpty() and there.exceptAll(want).isEmpty()
+
+
 def test_bytes_read_grow_with_the_cells(spark, folder):
     index = windows.geometry(spark, folder)
     size = sum(os.path.getsize(f) for f in glob.glob(f"{folder.removeprefix('file://')}/*.tif"))
