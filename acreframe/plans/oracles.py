@@ -356,3 +356,4 @@ _BASIS = " + ".join(f"({w}e0)*exp(-0.5e0*((a-({x}e0))*(a-({x}e0)) + (b-({y}e0))*
 sql("kernel_score", _FEATURE, "z AS (SELECT vec_id, (f1-0.01e0)/0.125e0 AS a, (f2+0.02e0)/0.1e0 AS b FROM feature)", body=f"SELECT vec_id, round(1/(1+exp(-(1.5e0*({_BASIS} + 0.1e0) - 0.2e0))), 6) AS p FROM z")
 sql("loop_summary", _PIXEL, "t AS (SELECT tile, least(count(*), 6) AS n FROM pixel GROUP BY 1)", body="SELECT cast(sum(n) AS bigint) + 5 AS labels, cast(sum(n) AS bigint) + 5 AS places, (SELECT count(*) FROM pixel) AS scored, 0 AS outside, 2 AS rounds FROM t")
 sql("search_f1", body="SELECT * FROM (VALUES ('SVM', 1e0), ('RandomForest', 1e0)) v(model, f1)")
+ORACLES |= {"components_in_blocks": ORACLES["components4"], "sieve_in_blocks": ORACLES["sieve50"], "rings_in_blocks": ORACLES["exterior_ring"]}

@@ -386,7 +386,7 @@ def terrain_slope_aspect(spark, d):
 
 @query
 def components4(spark, d):
-    return regions.components(mask(spark, d).where("v = 1"), 4, BLOCK).select(*ORDER, (C("root_r") * SIDE + C("root_c")).alias("root"))
+    return regions.components(mask(spark, d).where("v = 1"), 4).select(*ORDER, (C("root_r") * SIDE + C("root_c")).alias("root"))
 
 
 @query
@@ -396,14 +396,14 @@ def components8(spark, d):
 
 @query
 def field_sizes(spark, d):
-    sizes = regions.component_sizes(mask(spark, d), 4, BLOCK)
+    sizes = regions.component_sizes(mask(spark, d), 4)
     return sizes.groupBy("tile").agg(F.count("*").alias("fields"), F.sum("n").alias("pixels"), F.max("n").alias("largest"), r6(F.avg("n"), "mean"))
 
 
 @query
 def sieve50(spark, d):
     """Percent of agricultural pixels of each tile after the sieve."""
-    return regions.sieve(mask(spark, d), block=BLOCK).groupBy("tile").agg(F.count("*").alias("pixels"), F.sum("v").alias("agri"), r6(F.avg("v") * 100, "pct_agricultural"))
+    return regions.sieve(mask(spark, d)).groupBy("tile").agg(F.count("*").alias("pixels"), F.sum("v").alias("agri"), r6(F.avg("v") * 100, "pct_agricultural"))
 
 
 @query
@@ -412,6 +412,25 @@ def classify_and_sieve(spark, d):
     return regions.sieve(scored, 20).groupBy("tile").agg(F.sum("v").alias("agri"), r6(F.avg("v") * 100, "pct_agricultural"))
 
 
+@query
+def components_in_blocks(spark, d):
+    """Components of tiles that are cut into smaller blocks, joined across their borders."""
+    return regions.components(mask(spark, d).where("v = 1"), 4, BLOCK).select(*ORDER, (C("root_r") * SIDE + C("root_c")).alias("root"))
+
+
+@query
+def sieve_in_blocks(spark, d):
+    """The sieve over regions that cross blocks."""
+    return regions.sieve(mask(spark, d), block=BLOCK).groupBy("tile").agg(F.count("*").alias("pixels"), F.sum("v").alias("agri"), r6(F.avg("v") * 100, "pct_agricultural"))
+
+
+@query
+def rings_in_blocks(spark, d):
+    """Outer rings from chains of edges that cross blocks."""
+    p = regions.polygons(mask(spark, d), BLOCK)
+    return p.select("tile", "root_r", "root_c", F.size(C("rings")[0]).alias("corners"), F.round("outer_area", 1).alias("outer_area"), "holes", F.lit("EPSG:32627").alias("crs"))
+
+
 @query
 def adjacency_pairs(spark, d):
     return regions.adjacency(mask(spark, d))
@@ -425,7 +444,7 @@ def boundary_edges(spark, d):
 
 @query
 def polygon_count(spark, d):
-    p = regions.polygons(mask(spark, d), BLOCK)
+    p = regions.polygons(mask(spark, d))
     return p.groupBy("tile").agg(F.count("*").alias("polygons"), F.sum("net_area").cast("bigint").alias("pixels"))
 
 
@@ -433,7 +452,7 @@ def polygon_count(spark, d):
 def polygons_kml(spark, d):
     """A KML document for each tile, a placemark for each polygon's outer ring, in WGS84."""
     lat, lon = geo.from_utm(C("x"), C("y"))
-    p = regions.polygons(mask(spark, d), BLOCK).select("tile", "root_r", "root_c", F.posexplode(C("rings")[0]).alias("k", "p"))
+    p = regions.polygons(mask(spark, d)).select("tile", "root_r", "root_c", F.posexplode(C("rings")[0]).alias("k", "p"))
     placed = p.select("tile", "root_r", "root_c", "k", (200000.0 + C("p.c") * 10.0).alias("x"), (1840000.0 - C("p.r") * 10.0).alias("y"))
     ring = placed.withColumns({"lat": F.round(lat, 7), "lon": F.round(lon, 7)}).groupBy("tile", "root_r", "root_c").agg(F.sort_array(F.collect_list(F.struct("k", C("lon").alias("x"), C("lat").alias("y")))).alias("ring"))
     marks = ring.select("tile", F.struct("root_r", "root_c", geo.placemark(F.concat_ws("_", F.lit("field"), "root_r", "root_c"), C("ring")).alias("kml")).alias("m"))
@@ -443,7 +462,7 @@ def polygons_kml(spark, d):
 @query
 def exterior_ring(spark, d):
     """Corners of each polygon's outer ring; holes stay with the polygon but are not listed."""
-    p = regions.polygons(mask(spark, d), BLOCK)
+    p = regions.polygons(mask(spark, d))
     return p.select("tile", "root_r", "root_c", F.size(C("rings")[0]).alias("corners"), F.round("outer_area", 1).alias("outer_area"), "holes", F.lit("EPSG:32627").alias("crs"))
 
 
