@@ -367,6 +367,35 @@ def verified(compared: DataFrame, stored: DataFrame, shipped: Broadcast) -> Data
 def components(links: DataFrame) -> DataFrame:
     """(id, root) of every linked id: the least id of its connected component.
 
+    A group's members have many links each, but two of them hold most of it together: the least of the larger ends and
+    the least of the smaller ones. Stars join those first, so that the other links are read once more, to find those whose
+    ends are apart still, and go into no further step.
+    """
+    edges = written(links.select("a", "b").distinct(), "edges")
+    of_a = written(group_whole(edges, ["a"], {"m": (F.min("b"), F.min("m"))}, F.col("b")), "nodes")
+    of_b = written(group_whole(edges, ["b"], {"m": (F.min("a"), F.min("m"))}, F.col("a")), "nodes")
+    rooted = stars(hooks(of_a, of_b))
+    known = rooted.withColumnRenamed("root", "_root")
+    rooted_a, rooted_b = (of.join(known, F.col(f"_key_{c}") == F.col("id"), "left").select(f"_key_{c}", "_salts", F.coalesce("_root", f"_key_{c}").alias(f"root_{c}")) for c, of in (("a", of_a), ("b", of_b)))
+    ends = whole_attach(whole_attach(edges, rooted_a, ["a"], F.col("b")), rooted_b, ["b"], F.col("a")).where("root_a <> root_b")
+    apart = written(ends.select(F.least("root_a", "root_b").alias("a"), F.greatest("root_a", "root_b").alias("b")).distinct(), "edges")
+    discard(edges, of_a, of_b)
+    if apart.isEmpty():
+        discard(apart)
+        return rooted
+    whole = stars(rooted.select(F.col("root").alias("a"), F.col("id").alias("b")).unionByName(apart))
+    discard(apart)
+    return whole
+
+
+def hooks(of_a: DataFrame, of_b: DataFrame) -> DataFrame:
+    """(a, b): of each node the link to the least of its larger neighbours and that to the least of its smaller ones."""
+    return of_a.select(F.col("_key_a").alias("a"), F.col("m").alias("b")).unionByName(of_b.select(F.col("m").alias("a"), F.col("_key_b").alias("b")))
+
+
+def stars(links: DataFrame) -> DataFrame:
+    """(id, root) of every linked id, by all links.
+
     Large-star and small-star steps in turn until nothing changes; each halves distances, hubs are salted.
     """
     edges = written(links.select("a", "b").distinct(), "edges")

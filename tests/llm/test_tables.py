@@ -371,6 +371,23 @@ def test_components_of_a_chain(spark):
     assert near_dedup.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_stars_see_few_links_of_each_node(spark, monkeypatch):
+    """Classes of random links and of a group linked pair by pair; no more than two links a node go into the stars, and class pairs."""
+    import random
+
+    draw = random.Random(4)
+    links = {tuple(sorted(draw.sample(range(200), 2))) for _ in range(150)} | {(a, b) for a in range(1000, 1040) for b in range(a + 1, 1040)}
+    least = {x: x for pair in links for x in pair}
+    for _ in range(200):
+        for a, b in links:
+            least[a] = least[b] = min(least[a], least[b])
+    seen, stars = [], near_dedup.stars
+    monkeypatch.setattr(near_dedup, "stars", lambda rows: [seen.append(rows.count()), stars(rows)][1])
+    got = {r.id: r.root for r in near_dedup.components(spark.createDataFrame(sorted(links), "a long, b long")).collect()}
+    assert got == {x: root for x, root in least.items() if x != root}
+    assert len(links) > 900 and all(n <= 2 * len(least) for n in seen)
+
+
 def test_near_defined_results(hard, none):  # noqa: F811
     got = near_dedup.classes(hard).collect()
     assert len(got) == len(HARD) and near_dedup.classes(none).count() == 0
