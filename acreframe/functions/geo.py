@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -27,34 +28,34 @@ BETA = (
 )
 
 
-def to_utm(lat: Column, lon: Column) -> tuple[Column, Column]:
-    """(easting, northing) of a point in degrees."""
-    phi, lam = F.radians(lat), F.radians(lon - CENTRAL_DEGREES)
-    s = F.sin(phi)
-    t = F.sinh(F.atanh(s) - _E * F.atanh(_E * s))
-    xi, eta = F.atan2(t, F.cos(lam)), F.atanh(F.sin(lam) / F.sqrt(1 + t * t))
+def to_utm(lat, lon, m=F) -> tuple:
+    """(easting, northing) of a point in degrees: column expressions, or arrays with ``m`` numpy."""
+    phi, lam = m.radians(lat), m.radians(lon - CENTRAL_DEGREES)
+    s = m.sin(phi)
+    t = m.sinh(m.atanh(s) - _E * m.atanh(_E * s))
+    xi, eta = m.atan2(t, m.cos(lam)), m.atanh(m.sin(lam) / m.sqrt(1 + t * t))
     x, y = eta, xi
     for k, a in enumerate(ALPHA, 1):
-        x = x + a * F.cos(2 * k * xi) * F.sinh(2 * k * eta)
-        y = y + a * F.sin(2 * k * xi) * F.cosh(2 * k * eta)
+        x = x + a * m.cos(2 * k * xi) * m.sinh(2 * k * eta)
+        y = y + a * m.sin(2 * k * xi) * m.cosh(2 * k * eta)
     return FALSE_EASTING + SCALE * RADIUS * x, SCALE * RADIUS * y
 
 
-def from_utm(x: Column, y: Column) -> tuple[Column, Column]:
+def from_utm(x, y, m=F) -> tuple:
     """(lat, lon) in degrees of a point of the zone; latitude by fixed-point iteration of the conformal latitude."""
     xi0, eta0 = y / (SCALE * RADIUS), (x - FALSE_EASTING) / (SCALE * RADIUS)
     xi, eta = xi0, eta0
     for k, b in enumerate(BETA, 1):
-        xi = xi - b * F.sin(2 * k * xi0) * F.cosh(2 * k * eta0)
-        eta = eta - b * F.cos(2 * k * xi0) * F.sinh(2 * k * eta0)
-    tau0 = F.sin(xi) / F.sqrt(F.sinh(eta) * F.sinh(eta) + F.cos(xi) * F.cos(xi))
-    psi = F.asinh(tau0)
+        xi = xi - b * m.sin(2 * k * xi0) * m.cosh(2 * k * eta0)
+        eta = eta - b * m.cos(2 * k * xi0) * m.sinh(2 * k * eta0)
+    tau0 = m.sin(xi) / m.sqrt(m.sinh(eta) * m.sinh(eta) + m.cos(xi) * m.cos(xi))
+    psi = m.asinh(tau0)
 
-    def refine(s: Column, _: Column) -> Column:
-        return F.tanh(psi + _E * F.atanh(_E * s))
+    def refine(s, _):
+        return m.tanh(psi + _E * m.atanh(_E * s))
 
-    s = F.aggregate(F.sequence(F.lit(1), F.lit(8)), F.tanh(psi), refine)
-    return F.degrees(F.asin(s)), CENTRAL_DEGREES + F.degrees(F.atan2(F.sinh(eta), F.cos(xi)))
+    s = F.aggregate(F.sequence(F.lit(1), F.lit(8)), F.tanh(psi), refine) if m is F else reduce(refine, range(8), m.tanh(psi))
+    return m.degrees(m.asin(s)), CENTRAL_DEGREES + m.degrees(m.atan2(m.sinh(eta), m.cos(xi)))
 
 
 def to_cell(x: Column, y: Column, a, c, e, f) -> tuple[Column, Column]:

@@ -494,7 +494,7 @@ def tile_clip(spark, d):
 
 def degree_tiles(spark, d) -> DataFrame:
     """The adapter's tiles as rasters in degrees, of about 11 m a cell, side by side."""
-    tiles = A.pixels(spark, d).select("tile").distinct()
+    tiles = A.tiles(spark, d)
     return tiles.select("tile", (C("tile") % 200 * 0.0041 - 24.4).alias("lon0"), (F.floor(C("tile") / 200) * 0.0041 + 16.65).alias("lat0"), F.lit(0.0001).alias("step"), F.lit(SIDE).alias("height"), F.lit(SIDE).alias("width"))
 
 

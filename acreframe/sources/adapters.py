@@ -38,6 +38,11 @@ def pixels(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def tiles(spark: SparkSession, folder: str) -> DataFrame:
+    """The tiles that ``pixels`` has, each once, without counting their cells."""
+    return read(spark, folder, "lineitem").select(F.expr("l_suppkey div 4").alias("tile")).distinct()
+
+
 def scenes(spark: SparkSession, folder: str) -> DataFrame:
     """(tile, r, c, ts, season, qa, cloud_pct, six bands): an observation for each event."""
     col = F.col

@@ -92,3 +92,16 @@ def test_a_plane_stays_a_plane(spark):
     got = {(x.gx, x.gy): x.v for x in warp.bilinear(pixels, tiles, ["v"]).collect()}
     inner = {k: (r, c) for k, (r, c) in places(spark, tiles).items() if 0.5 <= r <= 29.5 and 0.5 <= c <= 19.5}
     assert len(inner) > 400 and all(abs(got[k] - (3 * r - 2 * c)) < 1e-6 for k, (r, c) in inner.items())
+
+
+def test_resampling_across_blocks(spark, source, monkeypatch):
+    """Blocks of 7 cells give what one block gives, pixels meet in one shuffle, and target cells in none."""
+    values, pixels, tiles = source
+    holes = pixels.withColumn("w", F.when(F.col("r") != 20, F.col("v")))
+    whole = [sorted(map(tuple, f(holes, tiles, ["v", "w"]).collect()), key=str) for f in (warp.nearest, warp.bilinear)]
+    monkeypatch.setattr(warp, "BLOCK", 7)
+    parts = [f(holes, tiles, ["v", "w"]) for f in (warp.nearest, warp.bilinear)]
+    assert [sorted(map(tuple, p.collect()), key=str) for p in parts] == whole and any(x[-1] is None for x in whole[1])
+    for p in parts:
+        plan = p._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1]
+        assert "Join" not in plan and plan.count("Exchange hashpartitioning") == 2
