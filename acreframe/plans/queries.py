@@ -1007,16 +1007,19 @@ def postprocess_rounds(spark, d):
     return rounds.postprocess(sampling.latest_round(spark.read.parquet(folder)))
 
 
-def loop(spark, d, rounds_: int) -> tuple[str, list, DataFrame]:
-    """The loop from a seed of each tile, the oracle being the pixel's own truth; called round by round, as if it was stopped after each."""
-    p = A.pixels(spark, d).withColumn("truth", C("nir") > 25).drop("p", "n")
-    truth = p.select(*ORDER, F.when(C("truth"), "Agricultural").otherwise("Non-Agricultural").alias("label"))
-    seed = sampling.random_per_group(truth, "tile", ORDER, 6).drop("rank")
+def loop(spark, d, rounds_: int) -> tuple[str, list, DataFrame, DataFrame]:
+    """The loop from a seed of each tile, the oracle being the pixel's own truth; called round by round, as if it was stopped after each.
+
+    The pixels are made of the order lines once and kept with the bands that the model takes; they come back too.
+    """
+    p = files.kept(A.pixels(spark, d).select(*ORDER, "nir", "red", "blue"), "pixels")
+    truth = p.select(*ORDER, F.when(C("nir") > 25, "Agricultural").otherwise("Non-Agricultural").alias("label"))
+    seed = files.kept(sampling.random_per_group(truth, "tile", ORDER, 6).drop("rank"), "seed")
     root, done = files.shared_folder(spark, "loop"), []
     for _ in range(rounds_):
         more, working = rounds.run_loop(spark, root, p, seed, truth, ["nir", "red", "blue"], rounds=1, choice="Logistic")
         done += more
-    return root, done, working
+    return root, done, working, p
 
 
 @query
@@ -1028,8 +1031,8 @@ def loop_labels(spark, d):
 @query
 def loop_summary(spark, d):
     """Rounds of the loop, the labels that the last one was fitted on, and the pixels that the final model scores."""
-    root, done, working = loop(spark, d, 2)
-    scored = rounds.final_model(spark, root).score(A.pixels(spark, d).drop("p"))
+    root, done, working, p = loop(spark, d, 2)
+    scored = rounds.final_model(spark, root).score(p)
     counts = scored.agg(F.count("p").alias("scored"), F.count_if(~C("p").between(0, 1)).alias("outside"))
     return working.agg(F.count("*").alias("labels"), F.countDistinct(*ORDER).alias("places")).crossJoin(counts).withColumn("rounds", F.lit(done[-1].number))
 

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from acreframe.config import SETTINGS
 from acreframe.operators import labels as L
 from acreframe.operators import models, regions, sampling
+from acreframe.sources.files import kept
 from acreframe.sources.sinks import exists
 
 KEY = ("tile", "r", "c")
@@ -54,8 +55,12 @@ def final_model(spark: SparkSession, root: str):
 
 
 def run_round(spark: SparkSession, root: str, number: int, pixels: DataFrame, labelled: DataFrame, oracle: DataFrame, features: Sequence[str], choice: str = "RandomForest") -> Round:
-    """Fit on labelled pixels, score all pixels once, pick candidates, and label those that the oracle knows."""
-    known = labelled.join(pixels, list(KEY)).withColumn("y", L.is_positive(F.col("label")).cast("int"))
+    """Fit on labelled pixels, score all pixels once, pick candidates, and label those that the oracle knows.
+
+    Labelled pixels are looked up once and kept for all steps of the fit, so a round reads the pixels twice, whatever the model.
+    """
+    places = labelled.select(*KEY, "label").join(pixels.select(*dict.fromkeys((*KEY, *features))), list(KEY))
+    known = kept(places.withColumn("y", L.is_positive(F.col("label")).cast("int")), "known")
     scorer = models.train(choice, known, features, "y", list(KEY))
     models.save(scorer, f"{root}/models/round={number}")
     path = f"{root}/predictions/round={number}"
@@ -75,7 +80,7 @@ def run_loop(spark: SparkSession, root: str, pixels: DataFrame, labelled: DataFr
     """
     if choice not in ("RandomForest", "SVM", "ResNet", "Logistic", "Ensemble"):
         choice = "RandomForest"
-    done, labels = [], labelled.select(*KEY, "label")
+    done, labels = [], kept(labelled.select(*KEY, "label"), "seed")
     start = next_round(spark, root)
     for number in finished_rounds(spark, root):
         labels = L.appended(labels, spark.read.parquet(f"{root}/labels/round={number}"))

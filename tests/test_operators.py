@@ -436,6 +436,27 @@ def test_rounds(spark, tmp_path):
     assert len(summary) == tiles and all(0 <= s.pct_agricultural <= 100 for s in summary)
 
 
+def test_a_round_reads_pixels_and_labels_few_times(spark, tmp_path):
+    """The fit's steps read labelled pixels that were looked up once; pixels are read for that and to be scored."""
+    p = pixels(spark, f"{DATA}/sf0.001").select("tile", "r", "c", "nir", "red", "blue").cache()
+    truth = p.select("tile", "r", "c", F.when(F.col("nir") > 25, "Agricultural").otherwise("Non-Agricultural").alias("label")).cache()
+    seed = sampling.random_per_group(truth, "tile", ["tile", "r", "c"], 6).drop("rank").cache()
+    read = {"pixels": spark.sparkContext.accumulator(0), "labels": spark.sparkContext.accumulator(0)}
+
+    def counted(rows, name):
+        def run(batches):
+            for batch in batches:
+                read[name].add(batch.num_rows)
+                yield batch
+
+        return rows.mapInArrow(run, rows.schema)
+
+    rounds.run_round(spark, f"file://{tmp_path}/alone", 1, counted(p, "pixels"), seed, truth, ["nir", "red", "blue"], "Logistic")
+    assert p.count() < read["pixels"].value <= 2 * p.count()
+    rounds.run_loop(spark, f"file://{tmp_path}/whole", p, counted(seed, "labels"), truth, ["nir", "red", "blue"], 2, "Logistic")
+    assert read["labels"].value == seed.count()
+
+
 def test_a_loop_that_was_stopped(spark, tmp_path):
     p = pixels(spark, f"{DATA}/sf0.001").withColumn("truth", (F.col("nir") > 25).cast("int")).drop("p", "n").cache()
     truth = p.select("tile", "r", "c", F.when(F.col("truth") == 1, "Agricultural").otherwise("Non-Agricultural").alias("label")).cache()
