@@ -3,7 +3,7 @@
 A phrase can only be frequent if its parts are, so phrases of two words are looked at where both words are candidates, and
 longer ones where both phrases of a word less are. Candidates of a length are the keys (96 bits of hash) that all documents
 together have often enough. Each range of keys becomes a shard: a minimal perfect hash, which gives each key a slot of
-its own with less than four bits a key, and the keys themselves by slot, so that a phrase that is no candidate is known by its
+its own with less than six bits a key, and the keys themselves by slot, so that a phrase that is no candidate is known by its
 key. Shards are files in the shared folder; a task reads those that it meets and holds ``HELD`` bytes of them at most.
 
 One pass then counts the candidates of all lengths: a task numbers its phrases by slot, counts them with ``bincount`` in arrays
@@ -68,7 +68,7 @@ class Phrases:
         self.keys = {1: [mixed(a, b) for a, b in zip(of, self.lanes, strict=True)]}
         stop = pc.index(self.words, pa.scalar(_BREAK, self.words.type)).as_py()
         self.inside = {1: np.flatnonzero(self.at != stop)}
-        self.documents = np.array([xxhash.xxh32_intdigest(t or "") for t in texts.to_pylist()], np.uint32).view(np.int32)
+        self.documents = np.array([xxhash.xxh32_intdigest(t or b"") for t in texts.cast(pa.large_binary()).to_pylist()], np.uint32).view(np.int32)
 
     def key(self, length: int, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Keys of the phrases of so many words that begin at the places: 64 bits and 32 bits."""
@@ -88,21 +88,25 @@ class Phrases:
             self.inside[length] = least[real[last] & (self.owner[last] == self.owner[least])]
         return self.inside[length]
 
-    def text(self, length: int, at: int) -> str:
-        return " ".join(self.words[int(self.at[at + k])].as_py() for k in range(length))
+    def texts(self, length: int, at: np.ndarray) -> pa.Array:
+        return pc.binary_join_element_wise(*[self.words.take(pa.array(self.at[at + k])) for k in range(length)], pa.scalar(" ", self.words.type)).cast(pa.string())
 
 
 def _word_keys(words: pa.Array) -> list[np.ndarray]:
     """Two numbers of 64 bits for each text."""
     import xxhash
 
-    whole = [xxhash.xxh3_128_intdigest(w) for w in words.cast(pa.large_binary()).to_pylist()]
-    return [np.array([x >> shift & 0xFFFFFFFFFFFFFFFF for x in whole], np.uint64) for shift in (0, 64)]
+    whole = b"".join(map(xxhash.xxh3_128_digest, words.cast(pa.large_binary()).to_pylist()))
+    both = np.frombuffer(whole, ">u8").reshape(-1, 2).astype(np.uint64)
+    return [np.ascontiguousarray(both[:, k]) for k in (1, 0)]
 
 
 def _distinct(one: np.ndarray, two: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(order, heads, group): an order by key, where each key's run begins in it, and the run of each place."""
-    order = np.argsort(one, kind="stable")
+    """(order, heads, group): an order by key, where each key's run begins in it, and the run of each place.
+
+    A key whose first number another key shares may have several runs.
+    """
+    order = np.argsort(one)
     a, b = one[order], two[order]
     new = np.ones(len(order), bool)
     new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
@@ -115,15 +119,22 @@ def _distinct(one: np.ndarray, two: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 
 
 class PerfectHash:
-    """Slots from 0 on, one for each key: bits of several levels, each set where just one key left falls."""
+    """Slots from 0 on, one for each key: bits of several levels, each set where just one key left falls, in words of 64 with
+    the number of bits before each, so that levels take less than a byte a key."""
 
-    def __init__(self, bits: list[np.ndarray], one: np.ndarray, two: np.ndarray, owner: np.ndarray):
-        self.bits, self.one, self.two, self.owner = bits, one, two, owner
+    def __init__(self, sizes: list[int], words: list[np.ndarray], one: np.ndarray, two: np.ndarray, owner: np.ndarray):
+        self.sizes, self.words, self.one, self.two, self.owner = sizes, words, one, two, owner
         self.ranks, base = [], 0
-        for b in bits:
-            self.ranks.append((np.cumsum(b, dtype=np.int32) + np.int32(base - 1)).astype(np.int32))
-            base += int(b.sum())
-        self.bytes = sum(r.nbytes + b.nbytes for r, b in zip(self.ranks, bits, strict=True)) + one.nbytes + two.nbytes + owner.nbytes
+        for w in words:
+            each = np.bitwise_count(w).astype(np.int64)
+            self.ranks.append((np.cumsum(each) - each + base).astype(np.int32))
+            base += int(each.sum())
+        self.bytes = sum(r.nbytes + w.nbytes for r, w in zip(self.ranks, words, strict=True)) + one.nbytes + two.nbytes + owner.nbytes
+
+    @property
+    def bits(self) -> list[np.ndarray]:
+        """The bits of each level, one by one."""
+        return [np.unpackbits(w.view(np.uint8), bitorder="little")[:n].astype(bool) for n, w in zip(self.sizes, self.words, strict=True)]
 
     @staticmethod
     def _place(one: np.ndarray, two: np.ndarray, level: int, size: int) -> np.ndarray:
@@ -132,26 +143,30 @@ class PerfectHash:
     @classmethod
     def build(cls, one: np.ndarray, two: np.ndarray, owner: np.ndarray) -> PerfectHash:
         """Of distinct keys."""
-        left, bits, order = np.arange(len(one)), [], []
+        left, sizes, words, order = np.arange(len(one)), [], [], []
         while len(left):
-            if len(bits) > 200:
+            if len(sizes) > 200:
                 raise ValueError("keys repeat")
-            place = cls._place(one[left], two[left], len(bits), max(8, 2 * len(left)))
-            alone = np.bincount(place, minlength=max(8, 2 * len(left))) == 1
+            size = max(8, 2 * len(left))
+            place = cls._place(one[left], two[left], len(sizes), size)
+            alone = np.zeros(-(-size // 64) * 64, bool)
+            alone[:size] = np.bincount(place, minlength=size) == 1
             own = alone[place]
             order.append(left[own][np.argsort(place[own])])
-            bits.append(alone)
+            sizes.append(size)
+            words.append(np.packbits(alone, bitorder="little").view("<u8"))
             left = left[~own]
         order = np.concatenate(order) if order else left
-        return cls(bits, one[order], two[order], owner[order])
+        return cls(sizes, words, one[order], two[order], owner[order])
 
     def find(self, one: np.ndarray, two: np.ndarray) -> np.ndarray:
         """The slot of each key, -1 for keys that are not stored."""
         out, left = np.full(len(one), -1, np.int64), np.arange(len(one))
-        for level, (bits, ranks) in enumerate(zip(self.bits, self.ranks, strict=True)):
-            place = self._place(one[left], two[left], level, len(bits))
-            hit = bits[place]
-            out[left[hit]] = ranks[place[hit]]
+        for level, (size, words, ranks) in enumerate(zip(self.sizes, self.words, self.ranks, strict=True)):
+            place = self._place(one[left], two[left], level, size)
+            word, bit = words[place >> 6], np.uint64(1) << (place & 63).astype(np.uint64)
+            hit = (word & bit) != 0
+            out[left[hit]] = ranks[place[hit] >> 6] + np.bitwise_count(word[hit] & (bit[hit] - np.uint64(1)))
             left = left[~hit]
             if not len(left):
                 break
@@ -162,14 +177,14 @@ class PerfectHash:
 
     def dump(self) -> bytes:
         to = io.BytesIO()
-        np.savez(to, sizes=np.array([len(b) for b in self.bits], np.int64), bits=np.packbits(np.concatenate(self.bits) if self.bits else np.zeros(0, bool)), one=self.one, two=self.two, owner=self.owner)
+        np.savez(to, sizes=np.array(self.sizes, np.int64), words=np.concatenate(self.words) if self.words else np.zeros(0, np.uint64), one=self.one, two=self.two, owner=self.owner)
         return to.getvalue()
 
     @classmethod
     def load(cls, data: bytes) -> PerfectHash:
         x = np.load(io.BytesIO(data))
-        bits = np.unpackbits(x["bits"])[: int(x["sizes"].sum())].astype(bool)
-        return cls(np.split(bits, np.cumsum(x["sizes"])[:-1]) if len(x["sizes"]) else [], x["one"], x["two"], x["owner"])
+        sizes = x["sizes"].tolist()
+        return cls(sizes, np.split(x["words"], np.cumsum([-(-n // 64) for n in sizes])[:-1]) if sizes else [], x["one"], x["two"], x["owner"])
 
 
 _held: OrderedDict[str, tuple[object, int]] = OrderedDict()
@@ -321,7 +336,8 @@ def counted(rows: DataFrame, text: str, lang: str, found: list[Candidates]) -> D
 
     def batch(**columns) -> pa.RecordBatch:
         n = len(next(iter(columns.values())))
-        return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(n, f.type) for f in schema], schema=schema)
+        given = {k: v if isinstance(v, pa.Array) else pa.array(v, schema.field(k).type) for k, v in columns.items()}
+        return pa.RecordBatch.from_arrays([given[f.name] if f.name in given else pa.nulls(n, f.type) for f in schema], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -352,13 +368,15 @@ def counted(rows: DataFrame, text: str, lang: str, found: list[Candidates]) -> D
                     met = slots[group][here]
                     stored[at[here]] = True
                     sums.add(shard, met)
+                    if length == 1:
+                        continue  # only phrases are scored
                     named = np.flatnonzero(hashed.owner[met] == words.documents[words.owner[at[here]]])
                     each, where = np.unique(met[named], return_index=True)
                     begin = at[here[named[where]]]
-                    out += [(shard.first + s, words.langs[words.lang[words.owner[b]]], words.text(length, b), length) for s, b in zip(each.tolist(), begin.tolist(), strict=True)]
+                    langs = pa.array(words.langs, pa.string()).take(pa.array(words.lang[words.owner[begin]]))
+                    out.append(batch(slot=shard.first + each, lang=langs, phrase=words.texts(length, begin), words=np.full(len(each), length, np.int32)))
                 known = stored
-            if out:
-                yield batch(**dict(zip(("slot", "lang", "phrase", "words"), zip(*out, strict=True), strict=True)))
+            yield from (x for x in out if x.num_rows)
             if sums.full():
                 yield from blocks()
         yield from blocks()

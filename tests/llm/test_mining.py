@@ -261,3 +261,22 @@ def test_shards_that_do_not_fit_are_read_again(tmp_path, monkeypatch):
     for _ in range(2):
         assert [len(collocations._read(p, lambda data: np.frombuffer(data, np.int64))) for p in paths] == [10, 11, 12]
     assert len(collocations._held) == 1
+
+
+def test_a_shard_takes_little_more_than_its_keys():
+    """What a task holds of a shard, so that it holds many: 16 bytes a key for the keys and owners, less than one for the hash."""
+    draw = np.random.default_rng(9)
+    one, two = np.unique(draw.integers(0, 1 << 63, 40_000, dtype=np.uint64)), None
+    two = draw.integers(0, 1 << 32, len(one), dtype=np.uint32)
+    hashed = collocations.PerfectHash.load(collocations.PerfectHash.build(one, two, np.arange(len(one), dtype=np.int32)).dump())
+    assert 16 * len(one) < hashed.bytes < 17 * len(one)
+    assert (one[hashed.owner[hashed.find(one, two)]] == one).all()
+
+
+def test_counted_sends_texts_of_phrases_only(spark, monkeypatch):
+    """Words alone are counted, but no row is sent for their texts."""
+    seen, counted = [], collocations.counted
+    monkeypatch.setattr(collocations, "counted", lambda *a: [seen.append(counted(*a)), seen[-1]][1])
+    rows = spark.createDataFrame([("one two three four. five", "en")] * 12, "text string, lang string")
+    assert {r.phrase for r in collocations.mined(rows).collect()} == {"one two three", "two three four"}
+    assert sorted({r.words for r in seen[0].where("words is not null").collect()}) == [2, 3]
